@@ -78,10 +78,10 @@ def reorder_axes(df: DataFrame, gid: str, size: tuple[int, int, int], order: tup
     return df.withColumn(gid, target.gid(*[by_axis[a][0] for a in (1, 2, 3)]))
 
 
-def _cubic_weights(t: Column) -> list[Column]:
-    """Weights of the four neighbours of a Catmull-Rom spline at t."""
+def _cubic_weight(k: Column, t: Column) -> Column:
+    """Weight of neighbour k (0 to 3, of which 1 is below) of a Catmull-Rom spline at t."""
     t2, t3 = t * t, t * t * t
-    return [0.5 * (-t3 + 2 * t2 - t), 0.5 * (3 * t3 - 5 * t2 + 2), 0.5 * (-3 * t3 + 4 * t2 + t), 0.5 * (t3 - t2)]
+    return 0.5 * F.when(k == 0, -t3 + 2 * t2 - t).when(k == 1, 3 * t3 - 5 * t2 + 2).when(k == 2, -3 * t3 + 4 * t2 + t).otherwise(t3 - t2)
 
 
 def interpolate(points: DataFrame, voxel: DataFrame, grid: Grid, point_id: str, axes: Sequence[str] = AXES, value: str = "value") -> DataFrame:
@@ -93,18 +93,17 @@ def interpolate(points: DataFrame, voxel: DataFrame, grid: Grid, point_id: str,
     voxels that are missing count 0. ``point_id`` must be unique.
     """
     at = grid.floor_index(*[F.col(a) for a in axes])
-    local = [(F.col(a) - o - i * s) / s for a, i, s, o in zip(axes, at, grid.spacing, grid.origin)]
-    per_axis = []
-    for i, t, n in zip(at, local, grid.size):
-        cells = [F.least(F.greatest(i + k - 1, F.lit(0)), F.lit(n - 1)) for k in range(4)]
-        per_axis.append(F.array(*[F.struct(c.alias("i"), w.alias("w")) for c, w in zip(cells, _cubic_weights(t))]))
     ok = F.lit(True)
     for a in axes:
         ok = ok & F.col(a).isNotNull()
-    p = points.where(ok).select(point_id, *[c.alias(f"__{n}") for c, n in zip(per_axis, AXES)])
-    for n in AXES:
-        p = p.withColumn(f"__{n}", F.explode(f"__{n}"))
-    p = p.select(point_id, grid.gid(F.col("__x.i"), F.col("__y.i"), F.col("__z.i")).alias("gid"), (F.col("__x.w") * F.col("__y.w") * F.col("__z.w")).alias("w"))
+    p = points.where(ok).select(point_id, *[F.col(a).alias(f"__p{n}") for a, n in zip(axes, AXES)], *[i.alias(f"__i{n}") for i, n in zip(at, AXES)])
+    p = p.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    cells, weight = [], F.lit(1.0)
+    for j, (a, n, s, o) in enumerate(zip(AXES, grid.size, grid.spacing, grid.origin)):
+        k = F.shiftright("__k", 2 * j).bitwiseAND(F.lit(3))
+        cells.append(F.least(F.greatest(F.col(f"__i{a}") + k - 1, F.lit(0)), F.lit(n - 1)))
+        weight = weight * _cubic_weight(k, (F.col(f"__p{a}") - o - F.col(f"__i{a}") * s) / s)
+    p = p.select(point_id, grid.gid(*cells).alias("gid"), weight.alias("w"))
     p = p.groupBy(point_id, "gid").agg(F.sum("w").alias("w"))  # clamped neighbours fall together
     v = voxel.select(F.col("gid").cast("long").alias("gid"), F.col(value).cast("double").alias("v"))
     got = p.join(v, "gid").groupBy(point_id).agg(F.sum(F.col("w") * F.col("v")).alias("value"))

@@ -114,7 +114,11 @@ def rank_of_values(rows: DataFrame, keys: Sequence[str], member: str, members: S
     Result: keys, member, rank INT. The tuple is short and pivoted, so ranks need no sort."""
     p = rows.where(F.col(member).isin(list(members))).groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col(member) == m, F.col(value))), F.lit(0.0)).alias(f"__{i}") for i, m in enumerate(members)])
     all_ = F.array(*[F.col(f"__{i}") for i in range(len(members))])
-    each = F.array(*[F.struct(F.lit(m).alias("m"), (F.size(F.filter(all_, lambda v, i=i: v < F.col(f"__{i}"))) + 1).alias("r")) for i, m in enumerate(members)])
+
+    def below(i: int) -> Column:
+        return F.size(F.filter(all_, lambda v: v < F.col(f"__{i}")))
+
+    each = F.array(*[F.struct(F.lit(m).alias("m"), (below(i) + 1).alias("r")) for i, m in enumerate(members)])
     return p.select(*keys, F.explode(each).alias("e")).select(*keys, F.col("e.m").alias(member), F.col("e.r").cast("int").alias("rank"))
 
 

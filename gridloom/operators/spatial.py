@@ -13,15 +13,18 @@ from gridloom.session import materialize
 
 def _cells(axes: Sequence[str], size: float, reach: int) -> Column:
     """Cells within ``reach`` cells of a point, as an array of structs c0, c1, ..."""
+
+    def widen(arrays: Column, k: int, span: Column) -> Column:
+        def one(s: Column) -> Column:
+            return F.transform(span, lambda c: F.struct(*[s[f"c{i}"].alias(f"c{i}") for i in range(k)], c.alias(f"c{k}")))
+
+        return F.flatten(F.transform(arrays, one))
+
     arrays = None
     for k, a in enumerate(axes):
         here = F.floor(F.col(a) / F.lit(size)).cast("long")
         span = F.sequence(here - reach, here + reach)
-        if arrays is None:
-            arrays = F.transform(span, lambda c: F.struct(c.alias("c0")))
-        else:
-            names = [f"c{i}" for i in range(k)]
-            arrays = F.flatten(F.transform(arrays, lambda s, span=span, names=names, k=k: F.transform(span, lambda c: F.struct(*[s[n].alias(n) for n in names], c.alias(f"c{k}")))))
+        arrays = F.transform(span, lambda c: F.struct(c.alias("c0"))) if arrays is None else widen(arrays, k, span)
     return arrays
 
 

@@ -153,7 +153,7 @@ _ALPHAS = (0.0, 0.3, 0.6)
 
 def _folds_sql() -> str:
     sides = " union all ".join(f"select k * 100 + {a * 10 + f * 2 + s} as k, x, y from ranked where fold {'=' if s == 0 else '<>'} {f}" for a in range(1) for f in range(3) for s in range(2))
-    return f"""with ranked as materialized (select l_suppkey as k, l_quantity / 10 as x, ln(l_extendedprice) as y, (row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1) % 3 as fold from lineitem),
+    return f"""with ranked as materialized (select l_suppkey as k, l_quantity / 10 as x, ln(l_extendedprice) as y, (row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) % 3 as fold from lineitem),
     rows_ as materialized ({sides})"""
 
 
@@ -167,7 +167,7 @@ def _alpha_sql() -> str:
 
 
 def _alpha_errors(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_quantity") / 10).alias("x"), F.ln("l_extendedprice").alias("y"), F.struct("l_orderkey", "l_linenumber").alias("o"))
+    li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_quantity") / 10).alias("x"), F.ln("l_extendedprice").alias("y"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("o"))
     return robust.alpha_errors(li, ["l_suppkey"], "x", "y", "o", _ALPHAS, 3, 4, 0.0)
 
 
