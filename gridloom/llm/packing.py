@@ -14,6 +14,8 @@ from gridloom.session import materialize
 
 #: Items that one packer places in order; the number of packers follows from the data.
 SHARD_ITEMS = 20_000
+#: Tasks that pack at the same time, at most.
+MOST_TASKS = 4096
 
 
 def pack(sizes: Sequence[int], capacity: int) -> np.ndarray:
@@ -88,7 +90,9 @@ def pack_documents(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text:
             return pd.DataFrame({"item": group["item"], "container": [f"{tag}-{key[0]}-{b}" for b in box], "held": held[box]})
 
         kind = items.schema["item"].dataType.simpleString()
-        return items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(run, f"item {kind}, container string, held long")
+        # an explicit number of partitions isn't coalesced: the few bytes of a shard hide seconds of packing
+        spread = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).repartition(min(shards, MOST_TASKS), "shard")
+        return spread.groupBy("shard").applyInPandas(run, f"item {kind}, container string, held long")
 
     boxes = materialize(placed(loose.select(F.col("row_no").alias("item"), "n_tokens"), n_loose, "r0"))
     moves, level, current, shards = [], 0, boxes, -(-n_loose // shard_items)
