@@ -64,8 +64,11 @@ def in_box(rows: DataFrame, box: DataFrame, keys: Sequence[str], axes: Sequence[
     return rows.join(box, list(keys)).where(inside).select(*[rows[c] for c in rows.columns])
 
 
-def above_share_of_max(rows: DataFrame, value: str, share: float, keys: Sequence[str]) -> DataFrame:
-    """Rows whose value exceeds ``share`` of their key's maximum."""
+def above_share_of_max(rows: DataFrame, value: str, share: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows whose value exceeds ``share`` of their key's maximum (of all rows without keys, found by a job)."""
+    if not keys:
+        top = rows.agg(F.max(value)).first()[0]
+        return rows.where(F.col(value) > F.lit(top) * share)
     m = rows.groupBy(*keys).agg(F.max(value).alias("__max"))
     return rows.join(m, list(keys)).where(F.col(value) > F.col("__max") * share).drop("__max")
 

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from gridloom.plans import data_queries, fit_queries, record_queries
+from gridloom.plans import data_queries, fit_queries, record_queries, report_queries
 from oracle import compare
 
-CORE = {**record_queries.QUERIES, **data_queries.QUERIES, **fit_queries.QUERIES}
+CORE = {**record_queries.QUERIES, **data_queries.QUERIES, **fit_queries.QUERIES, **report_queries.QUERIES}
 
 
 @pytest.mark.parametrize("name", [n for n in CORE if n in entry.oracle_sql()])
