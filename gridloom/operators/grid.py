@@ -106,7 +106,8 @@ def interpolate(points: DataFrame, voxel: DataFrame, grid: Grid, point_id: str,
     p = p.select(point_id, grid.gid(*cells).alias("gid"), weight.alias("w"))
     p = p.groupBy(point_id, "gid").agg(F.sum("w").alias("w"))  # clamped neighbours fall together
     v = voxel.select(F.col("gid").cast("long").alias("gid"), F.col(value).cast("double").alias("v"))
-    got = p.join(v, "gid").groupBy(point_id).agg(F.sum(F.col("w") * F.col("v")).alias("value"))
+    # the 64 rows a point aren't in the optimizer's estimate, so it isn't left to choose a broadcast
+    got = p.join(v.hint("merge"), "gid").groupBy(point_id).agg(F.sum(F.col("w") * F.col("v")).alias("value"))
     return points.select(point_id, ok.alias("__ok")).join(got, point_id, "left").select(point_id, F.when(F.col("__ok"), F.coalesce("value", F.lit(0.0))).alias("value"))
 
 

@@ -10,9 +10,12 @@ from pyspark.sql.window import Window as W
 
 from gridloom.session import materialize
 
+#: Edge of a cell in radii. Larger cells mean fewer copies of the left points and more candidates a point.
+CELL_RADII = 2
 
-def _cells(axes: Sequence[str], size: float, reach: int) -> Column:
-    """Cells within ``reach`` cells of a point, as an array of structs c0, c1, ..."""
+
+def _cells(axes: Sequence[str], size: float, radius: float) -> Column:
+    """Cells that the box of half edge ``radius`` around a point touches, as an array of structs c0, c1, ..."""
 
     def widen(arrays: Column, k: int, span: Column) -> Column:
         def one(s: Column) -> Column:
@@ -22,8 +25,7 @@ def _cells(axes: Sequence[str], size: float, reach: int) -> Column:
 
     arrays = None
     for k, a in enumerate(axes):
-        here = F.floor(F.col(a) / F.lit(size)).cast("long")
-        span = F.sequence(here - reach, here + reach)
+        span = F.sequence(F.floor((F.col(a) - radius) / F.lit(size)).cast("long"), F.floor((F.col(a) + radius) / F.lit(size)).cast("long"))
         arrays = F.transform(span, lambda c: F.struct(c.alias("c0"))) if arrays is None else widen(arrays, k, span)
     return arrays
 
@@ -39,22 +41,25 @@ def _square(axes: Sequence[str]) -> Column:
 def range_join(left: DataFrame, right: DataFrame, axes: Sequence[str], radius: float, keys: Sequence[str] = (), condition: Column | None = None) -> DataFrame:
     """Pairs within ``radius`` (included) and equal keys, as columns l and r (structs) and distance.
 
-    Left points go to the cells around them, right points to their own (cell size = radius); the equi-join on key and cell
-    spreads even one key over as many tasks as it has cells. Points with null coordinates or keys pair with none.
+    Cells have an edge of CELL_RADII radii. Left points go to the cells that their box touches (at most two an axis), right
+    points to their own; the equi-join on key and cell spreads even one key over as many tasks as it has cells. Points with
+    null coordinates or keys pair with none.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
+    edge = CELL_RADII * radius
     ks = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     names = [f"__k{i}" for i in range(len(keys))]
     ok = F.lit(True)
     for a in axes:
         ok = ok & F.col(a).isNotNull()
-    a = left.where(ok).select(F.struct(*left.columns).alias("l"), *ks, F.explode(_cells(axes, radius, 1)).alias("__c"))
-    b = right.where(ok).select(F.struct(*right.columns).alias("r"), *ks, F.struct(*[F.floor(F.col(x) / F.lit(radius)).cast("long").alias(f"c{i}") for i, x in enumerate(axes)]).alias("__c"))
+    a = left.where(ok).select(F.struct(*left.columns).alias("l"), *ks, F.explode(_cells(axes, edge, radius)).alias("__c"))
+    b = right.where(ok).select(F.struct(*right.columns).alias("r"), *ks, F.struct(*[F.floor(F.col(x) / F.lit(edge)).cast("long").alias(f"c{i}") for i, x in enumerate(axes)]).alias("__c"))
     cells = [f"c{i}" for i in range(len(axes))]
     a = a.select("l", *names, *[F.col(f"__c.{c}").alias(f"__{c}") for c in cells])
     b = b.select("r", *names, *[F.col(f"__c.{c}").alias(f"__{c}") for c in cells])
-    j = a.join(b, [*names, *[f"__{c}" for c in cells]])
+    # what explode adds isn't in the optimizer's estimate, so it isn't left to choose a broadcast
+    j = a.join(b.hint("merge"), [*names, *[f"__{c}" for c in cells]])
     if condition is not None:
         j = j.where(condition)
     d2 = _square(axes)
