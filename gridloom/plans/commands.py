@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import gauss, keys, potential
+from gridloom.functions import codes, gauss, keys, potential
 from gridloom.operators import grid, group_model, lookup, reports, robust, samplers, select, spatial, stats, tester
 from gridloom.session import materialize
 from gridloom.sources import exports, formats, maps
@@ -190,22 +190,18 @@ class PositionEstimation(Request):
         self.positive(issues, "radius", "iterations", "step")
 
 
-# Atomic numbers of the elements that structures mostly hold.
-NUMBERS = {"H": 1, "C": 6, "N": 7, "O": 8, "F": 9, "NA": 11, "MG": 12, "P": 15, "S": 16, "CL": 17, "K": 19, "CA": 20, "MN": 25, "FE": 26, "CO": 27, "NI": 28, "CU": 29, "ZN": 30, "SE": 34}
-
-
 def _with_numbers(atoms: DataFrame) -> DataFrame:
-    pairs = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
+    pairs = F.create_map(*[F.lit(x) for kv in codes.element_codes().items() for x in kv])
     return atoms.withColumn("number", F.coalesce(F.try_element_at(pairs, F.upper("element")), F.lit(0)))
 
 
 def _keyed(atoms: DataFrame) -> DataFrame:
     """Component, atom and structure codes derived from names, as both structure formats give them."""
     a = atoms
-    for column, out, first in (("component_id", "component_key", 30), ("atom_id", "atom_key", 10000)):
-        known = a.sparkSession.createDataFrame([], "id string, code long")
-        codes = materialize(keys.encode_ids(a, column, "serial_id", known, first))
-        a = a.join(codes.select(F.col("id").alias(column), F.col("code").alias(out)), column, "left")
+    for column, out, first, fixed in (("component_id", "component_key", 30, codes.residue_codes()), ("atom_id", "atom_key", 10000, codes.spot_codes())):
+        known = codes.code_table(a.sparkSession, fixed)
+        table = materialize(keys.encode_ids(a, column, "serial_id", known, first))
+        a = a.join(table.select(F.col("id").alias(column), F.col("code").alias(out)), column, "left")
     return a.na.fill(0, ["component_key", "atom_key"])
 
 
@@ -249,10 +245,11 @@ def potential_analysis(spark: SparkSession, r: PotentialAnalysis) -> dict[str, D
     atoms = model["atom"]
     if "chain_map" in model:
         atoms = select.first_chains(atoms, model["chain_map"].drop("path"), (), r.asymmetric)
-    labelled = atoms.withColumn("structure", F.lit(0))
+    labelled = atoms.withColumn("structure", F.lit(codes.structure_codes()["FREE"]))
     if "secondary" in model:
-        codes = model["secondary"].withColumn("structure", F.when(F.col("label") == "HELX", 1).otherwise(2)).withColumn("chain_id", F.explode(F.array_distinct(F.array("chain_1", "chain_2"))))
-        labelled = lookup.label_intervals(atoms, codes, ["chain_id"], "sequence_id", label="structure", default=0)
+        numbers = codes.structure_codes()
+        ranges = model["secondary"].withColumn("structure", F.when(F.col("label") == "HELX", numbers["HELX_P"]).otherwise(numbers["SHEET"])).withColumn("chain_id", F.explode(F.array_distinct(F.array("chain_1", "chain_2"))))
+        labelled = lookup.label_intervals(atoms, ranges, ["chain_id"], "sequence_id", label="structure", default=numbers["FREE"])
     atoms = materialize(_keyed(labelled))
     samples = sample_profiles(atoms, voxel, g, r.samples, r.sample_low, r.sample_high, r.seed)
     samples = materialize(samples)
@@ -282,8 +279,8 @@ def potential_analysis(spark: SparkSession, r: PotentialAnalysis) -> dict[str, D
         names = atoms.select("serial_id", "atom_key", "component_key", "is_special_atom")
         one, two = (names.select(F.col("serial_id").alias(f"atom_serial_id_{k}"), F.col("atom_key").alias(f"a{k}"), F.col("component_key").alias("component_key" if k == 1 else "c2"), F.col("is_special_atom").cast("int").alias(f"f{k}")) for k in (1, 2))
         pair = named.join(one, "atom_serial_id_1").join(two, "atom_serial_id_2").withColumn("bond_name", F.concat_ws("_", F.least("a1", "a2"), F.greatest("a1", "a2")))
-        codes = materialize(keys.encode_ids(pair, "bond_name", "atom_serial_id_1", spark.createDataFrame([], "id string, code long"), 10000))
-        pair = pair.join(codes.select(F.col("id").alias("bond_name"), F.col("code").alias("bond_key")), "bond_name")
+        table = materialize(keys.encode_ids(pair, "bond_name", "atom_serial_id_1", spark.createDataFrame([], "id string, code long"), 10000))
+        pair = pair.join(table.select(F.col("id").alias("bond_name"), F.col("code").alias("bond_key")), "bond_name")
         # bonds of one model: numbered by their ends
         bonds = materialize(lookup.numbered(pair.withColumn("is_special_bond", F.greatest("f1", "f2")), [], ["atom_serial_id_1", "atom_serial_id_2"], "n").withColumn("bond_no", F.col("n").cast("long")).select("bond_no", "atom_serial_id_1", "atom_serial_id_2", "bond_key", "component_key", "is_special_bond"))
         out |= analyze_bonds(bonds, atoms, voxel, g, r)

@@ -81,7 +81,7 @@ def bonds_from_distance(spark: SparkSession, d: str) -> DataFrame:
     return lookup.build_bonds(a, allowed).withColumn("distance", F.round("distance", 6))
 
 
-@query("""select row_id, case when component_id = 'ALA' and atom_id = 'N' and structure = 1 then 0.5 when component_id = 'ALA' and atom_id = 'N' and structure = 2 then -0.25 else 0 end::double as charge from model_atom""")
+@query("""select row_id, case when component_id = 'ALA' and atom_id = 'N' and structure between 10 and 61 then 0.5 when component_id = 'ALA' and atom_id = 'N' and structure in (3, 4) then -0.25 else 0 end::double as charge from model_atom""")
 def charges(spark: SparkSession, d: str) -> DataFrame:
     """Charges from a parameter table by component, atom and structure class."""
     t = spark.createDataFrame([("ALA", "N", "HELX", 0.5), ("ALA", "N", "SHEET", -0.25), ("ALA", "N", None, 9.0)], "component_id string, atom_id string, structure_class string, charge double")

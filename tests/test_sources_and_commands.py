@@ -1,13 +1,13 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions import gauss, potential
 from gridloom.operators import grid, robust
 from gridloom.plans import commands
 from gridloom.sources import cif, exports, formats, maps, pdb
 from gridloom.sources.store import Store
-from pyspark.sql import functions as F
 
 BASE = """data_TEST
 #
@@ -214,3 +214,12 @@ def test_estimator_expectations(spark):
     assert all(e.error < 1e-6 for e in errors) and robust.best_alpha(robust.alpha_errors(line.limit(0), ["k"], "x", "y", "o", [0.0, 0.5])).first().alpha == 0.0
     with pytest.raises(ValueError):
         robust.fit_local(df, ["k"], "x", "y", -1.0)
+
+
+def test_codes():
+    from gridloom.functions import codes
+
+    s = codes.spot_codes()
+    assert [s[n] for n in ("C", "CA", "CG1", "CH2", "N", "ND1", "NH2", "O", "OXT", "SG", "SD", "HG11", "HA2", "C1'", "O5'", "C8", "N9", "O6")] == [6100, 6200, 6410, 6820, 7100, 7510, 7720, 8100, 8999, 9400, 9500, 411, 220, 11, 25, 48, 59, 66]
+    e, r, t = codes.element_codes(), codes.residue_codes(), codes.structure_codes()
+    assert (e["C"], e["ZN"], e["TH"], r["ALA"], r["DT"], t["SHEET"], t["HELX_RH_OT_P"], t["HELX_RH_Z_N"], t["TURN_TY3_P"]) == (6, 30, 90, 1, 28, 3, 27, 61, 107)
