@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gridloom.llm.tokens import TOKENIZERS, token_counts
+from gridloom.llm.tokens import TOKENIZERS, encoder, token_counts
 from gridloom.session import materialize
 
 #: Tokens of a block at most, blocks of an output shard, and documents numbered together.
@@ -180,6 +181,32 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
     return drawn.join(parts, ["source", "block"]).select("shard_id", "slot", "source", "repeat_no", "block", "doc_id", "token_start", "block_offset", "n_tokens"), plan
 
 
+def mixed_tokens(mixture: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
+    """The mixture's tokens: shard_id, slot INT, source STRING, block_offset LONG, doc_id, token_ids ARRAY<INT>.
+
+    Each used document is joined to the list of its ranges (as many as its blocks and repetitions) and counted once; the
+    pieces of a slot, in order of block_offset, are its block. ``doc_id`` must be unique in ``docs``.
+    """
+    spot = F.struct("shard_id", "slot", "source", "block_offset", "token_start", "n_tokens")
+    ranges = mixture.groupBy("doc_id").agg(F.collect_list(spot).alias("spots"))
+    used = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(ranges, "doc_id")
+    kind = used.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(folder)[0]
+        for b in batches:
+            ids, texts, spots = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text", "spots"))
+            for i, t in enumerate(texts.to_pylist()):
+                tokens = enc.encode_to_numpy(t, disallowed_special=()).astype(np.int32)
+                at = spots[i].as_py()
+                yield pa.RecordBatch.from_pydict({
+                    "shard_id": pa.array([s["shard_id"] for s in at], pa.int32()), "slot": pa.array([s["slot"] for s in at], pa.int32()), "source": pa.array([s["source"] for s in at], pa.string()), "block_offset": pa.array([s["block_offset"] for s in at], pa.int64()),
+                    "doc_id": ids.take(pa.array([i] * len(at), pa.int64())), "token_ids": pa.array([tokens[s["token_start"] : s["token_start"] + s["n_tokens"]] for s in at], pa.list_(pa.int32())),
+                })
+
+    return used.mapInArrow(run, f"shard_id int, slot int, source string, block_offset long, doc_id {kind}, token_ids array<int>")
+
+
 def share_report(mixture: DataFrame, plan: list[SourcePlan]) -> DataFrame:
     """For each target: source, target_share, actual_share, shortfall DOUBLE, tokens, available_tokens LONG, max_repeat,
     most_uses INT (of a document's tokens) and n_docs LONG used."""

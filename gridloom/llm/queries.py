@@ -29,6 +29,12 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
 
 
+def p7_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture's tokens by shard, slot and offset."""
+    docs = table(spark, d, "documents")
+    return mixing.mixed_tokens(mixing.mix(docs, table(spark, d, "mix_target"))[0], docs)
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares really reached by each source."""
     mixture, plan = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
@@ -46,6 +52,6 @@ def p8_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return p8_pieces(spark, d).groupBy("boundary").agg(F.count(F.lit(1)).alias("n_pieces"), F.round(F.avg("n_tokens"), 3).alias("mean_tokens"), F.max("n_tokens").alias("most_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_mixture, p7_shares, p8_pieces, p8_boundaries)}
+QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_mixture, p7_shares, p7_tokens, p8_pieces, p8_boundaries)}
 #: What SQL can express of them: none; they are tested against brute force and round trips.
 SQL: dict[str, str] = {}

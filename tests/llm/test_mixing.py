@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridloom.llm.mixing import mix, permute, plan_sources, shard_counts, share_report
+from gridloom.llm.mixing import mix, mixed_tokens, permute, plan_sources, shard_counts, share_report
 from gridloom.llm.tokens import encode
 
 
@@ -54,6 +54,9 @@ def test_frames(spark):
     report = {r.source: r for r in share_report(m, plan).collect()}
     assert abs(report["big"].actual_share - 0.75) < 0.02 and abs(report["small"].actual_share - 0.25) < 0.02 and report["absent"].tokens == 0
     assert sorted(map(tuple, m.collect())) == sorted(map(tuple, got))
+    tokens = {(r.shard_id, r.slot, r.block_offset): list(r.token_ids) for r in mixed_tokens(m, docs).collect()}
+    text = {r[0]: encode(r[1] or "").tolist() for r in rows}
+    assert tokens == {(r.shard_id, r.slot, r.block_offset): text[r.doc_id][r.token_start : r.token_start + r.n_tokens] for r in got}
     assert mix(docs.limit(0), targets)[0].count() == 0 and mix(docs, targets.limit(0))[0].count() == 0
     with pytest.raises(ValueError):
         mix(docs, targets.union(targets))
