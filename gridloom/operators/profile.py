@@ -281,9 +281,8 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
     coder = _Coder(tuple(rules), numeric, tuple(m for m, _ in ms), tuple(s for _, s in ms))
     masks = np.stack([m for _, m in coder.variants()], 1)
     nv, d = masks.shape[1], coder.width
-    share = F.lit(1.0)
-    for k in [first, *later]:
-        share = F.when(F.col(load) == k, F.lit(min(1.0, fit_rows / base[k]["n"]))).otherwise(share)
+    shares = F.create_map(*[F.lit(v) for k in [first, *later] for v in (str(k), min(1.0, fit_rows / base[k]["n"]))])
+    share = F.try_element_at(shares, F.col(load).cast("string"))
     picked = df.where(F.col(load).isin([first, *later]) & (F.pmod(F.xxhash64(F.col(f"`{row_id}`"), F.lit(2)), F.lit(1 << 30)) < share * F.lit(1 << 30)))
     sample = materialize(_coded(picked, rules, load, row_id).coalesce(4))
     counts: dict[tuple[int, int], int] = {(k, f): 0 for k in [first, *later] for f in (0, 1)}
