@@ -54,10 +54,28 @@ with rec as (
         and ({_pdb(55, 60)} = '' or {_full(_pdb(55, 60), _NUM)}) and ({_pdb(61, 66)} = '' or {_full(_pdb(61, 66), _NUM)})
         and ({_pdb(77, 78)} = '' or {_full(_pdb(77, 78), "'[A-Za-z]{1,2}'")})
       ) then 'bad_value' end
-    end as reason from tok
+    end as reason, toks, column_name_list, txt, source_format, loop_no from tok
 )"""
 
 
+def _atom_row() -> str:
+    """Typed columns of a record that doesn't fail."""
+    def pick(cif: list[str], pdb: tuple[int, int] | None) -> str:
+        c = "coalesce(" + ", ".join(_cif(n) for n in cif) + ")" if len(cif) > 1 else _cif(cif[0])
+        return f"nullif(case when source_format = 'cif' then {c} else {_pdb(*pdb) if pdb else 'null'} end, '')"
+
+    def number(x: str, kind: str = "double") -> str:
+        return f"try_cast(nullif(nullif({x}, '.'), '?') as {kind})"
+
+    coordinates = [f"{number(pick([f'Cartn_{c}'], p))} as position_{c}" for c, p in (("x", (31, 38)), ("y", (39, 46)), ("z", (47, 54)))]
+    symbol = pick(["type_symbol"], (77, 78))
+    return ", ".join([
+        "record_id", "file_name", "source_format", "loop_no", "line_number", f"{pick(['group_PDB'], (1, 6))} as group_pdb", f"{number(pick(['id'], (7, 11)), 'bigint')} as serial_id", f"trim({pick(['label_atom_id', 'auth_atom_id'], (13, 16))}, {_TRIM}) as atom_id",
+        f"{pick(['label_alt_id'], (17, 17))} as indicator", f"{pick(['label_comp_id', 'auth_comp_id'], (18, 20))} as component_id", f"{pick(['label_asym_id', 'auth_asym_id'], (22, 22))} as chain_id", f"{pick(['label_seq_id', 'auth_seq_id'], (23, 26))} as sequence_id", *coordinates,
+        f"coalesce({number(pick(['occupancy'], (55, 60)))}, 1.0) as occupancy", f"coalesce({number(pick(['B_iso_or_equiv'], (61, 66)))}, 0.0) as temperature", f"nullif(nullif({symbol}, '.'), '?') as element_symbol", f"coalesce({number(pick(['pdbx_PDB_model_num'], None), 'bigint')}, 1) as model_number",
+    ])
+
+
 def _summary(period: str, extra: list[float], name: str) -> str:
     levels = ", ".join(f"{p!r}::double" for p in sorted({i / 64 for i in range(65)} | set(extra)))
     parts = " union all ".join(f"select '{c}' as column_name, {c}::varchar as key_value, {period} as {name}, temperature as x from model_atom" for c in ("element", "structure"))
@@ -156,6 +174,7 @@ def _stat(v: str) -> str:
 
 SQL = {
     "p1_found": P1_REASONS + " select record_id, reason from judged where reason is not null",
+    "p1_atoms": P1_REASONS + f" select {_atom_row()} from judged where reason is null and (source_format = 'cif' or substr(txt, 1, 6) in ('ATOM  ', 'HETATM'))",
     "p1_rejects": P1_REASONS + " select file_name, line_number, record_id, reason from judged where reason is not null",
     "p2_summary": _summary("load_id", _EXTRA, "load_id") + " select * from summary",
     "p2_daily": _summary("loaded_at::date", [], "day") + " select * from summary",

@@ -32,7 +32,12 @@ def counter_draws(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", "sample_no", _r(0.5 + u, "distance"), _r(F.col("p_size") + (0.5 + u) * F.cos(2 * F.pi() * u), "px"))
 
 
-@query()
+@query("""with v as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, embedding[4]::double as vx, embedding[5]::double as vy, embedding[6]::double as vz from embeddings),
+n as (select *, vx / sqrt(vx * vx + vy * vy + vz * vz) as n0, vy / sqrt(vx * vx + vy * vy + vz * vz) as n1, vz / sqrt(vx * vx + vy * vy + vz * vz) as n2 from v),
+a as (select *, case when abs(n2) < 0.999 then n1 / sqrt(n0 * n0 + n1 * n1) else 0 end as a0, case when abs(n2) < 0.999 then -n0 / sqrt(n0 * n0 + n1 * n1) else n2 / sqrt(n1 * n1 + n2 * n2) end as a1, case when abs(n2) < 0.999 then 0 else -n1 / sqrt(n1 * n1 + n2 * n2) end as a2 from n),
+s as (select *, n1 * a2 - n2 * a1 as b0, n2 * a0 - n0 * a2 as b1, n0 * a1 - n1 * a0 as b2, unnest(range(9))::int as sample_no from a),
+p as (select *, (sample_no // 3)::int as row, (sample_no % 3)::int as column, (sample_no % 3 - 1)::double as u, (sample_no // 3 - 1)::double as w from s)
+select vec_id, sample_no, row, "column", round(sqrt(u * u + w * w), 6) as distance, round(x + u * a0 + w * b0, 6) as px, round(y + u * a1 + w * b1, 6) as py, round(z + u * a2 + w * b2, 6) as pz from p""")
 def plane_lattice(spark: SparkSession, d: str) -> DataFrame:
     """A 3 x 3 lattice across each vector."""
     e = F.col("embedding")

@@ -109,8 +109,8 @@ def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
 
 
 def write_map(voxel: DataFrame, grid: Grid, path: str, value: str = "value") -> None:
-    """One map file. Values come to the driver layer by layer in index order and go straight to the file; missing voxels are
-    0. The header holds the exact extremes, mean and deviation."""
+    """One map file. Workers gather the layers, which go one by one through the driver to their place in the file; missing
+    voxels are 0. The header holds the exact extremes, mean and deviation."""
     s = voxel.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("m"), F.stddev_pop(value).alias("sd")).first()
     mrc = path.lower().endswith(".mrc")
     starts = (0, 0, 0) if mrc else tuple(round(o / s_) for o, s_ in zip(grid.origin, grid.spacing))
@@ -119,6 +119,11 @@ def write_map(voxel: DataFrame, grid: Grid, path: str, value: str = "value") ->
     with open(path.removeprefix("file://"), "wb") as f:
         f.write(head.ljust(HEADER, b"\0"))
         f.truncate(HEADER + 4 * grid.n)
-        for r in voxel.select(F.col("gid").cast("long").alias("gid"), F.col(value).cast("float").alias("v")).orderBy("gid").toLocalIterator(prefetchPartitions=True):
-            f.seek(HEADER + 4 * r["gid"])
-            f.write(struct.pack("<f", r["v"] or 0.0))
+        plane = grid.size[0] * grid.size[1]
+        v = voxel.select(F.col("gid").cast("long").alias("gid"), F.col(value).cast("float").alias("v")).where(F.col("gid").between(0, grid.n - 1) & F.col("v").isNotNull())
+        layers = v.groupBy(F.floor(F.col("gid") / plane).alias("z")).agg(F.collect_list("gid").alias("gid"), F.collect_list("v").alias("v"))
+        for r in layers.toLocalIterator(prefetchPartitions=True):
+            layer = np.zeros(plane, "<f4")
+            layer[np.asarray(r["gid"]) - r["z"] * plane] = r["v"]
+            f.seek(HEADER + 4 * plane * r["z"])
+            f.write(layer.tobytes())
