@@ -106,6 +106,12 @@ def compare_groups(groups: DataFrame, reference_key: str, value: str, sigma: str
     return j.select("key_tag", "class_key", "group_key", q.alias("ratio"), e.alias("ratio_sigma")).where("ratio is not null and ratio <> 0")
 
 
+def paired_profiles(left: DataFrame, right: DataFrame, keys: Sequence[str], distance: str, value: str, bins: int = 15, high: float = 1.5) -> DataFrame:
+    """Binned medians of two models side by side at equal keys and bins: keys, bin, x, a, b."""
+    a, b = (stats.binned_medians(m, keys, distance, value, 0.0, high, bins) for m in (left, right))
+    return a.withColumnRenamed("y", "a").join(b.select(*keys, "bin", F.col("y").alias("b")), [*keys, "bin"])
+
+
 def value_regression(left: DataFrame, right: DataFrame, on: Sequence[str], value: str) -> DataFrame:
     """Line of the right table's values over the left's at equal keys: n, slope, intercept, r2."""
     j = left.select(*on, F.col(value).alias("a")).join(right.select(*on, F.col(value).alias("b")), list(on))

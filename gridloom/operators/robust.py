@@ -301,6 +301,18 @@ def alpha_bias(df: DataFrame, keys: Sequence[str], x: str, y: str, alphas: Seque
     return out
 
 
+def group_alpha_bias(members: DataFrame, group: Sequence[str], member: str, alphas: Sequence[float]) -> DataFrame:
+    """Mean distance of the robust from the plain mean of the groups for each alpha: alpha, bias_b0, bias_b1."""
+    from gridloom.operators.group_model import fit_groups, group_rows
+
+    out = None
+    for a in alphas:
+        g = group_rows(fit_groups(members, group, member, a), group)
+        one = g.agg(F.avg(F.abs(F.col("b0_mdpde") - F.col("b0_mean"))).alias("bias_b0"), F.avg(F.abs(F.col("b1_mdpde") - F.col("b1_mean"))).alias("bias_b1")).select(F.lit(float(a)).alias("alpha"), "bias_b0", "bias_b1")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def fold_of(keys: Sequence[str], order: str, folds: int) -> Column:
     """Round-robin fold of a row within its entity."""
     return F.pmod(F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1, F.lit(folds))

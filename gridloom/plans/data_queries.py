@@ -181,12 +181,13 @@ def grid_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("back", g.gid(F.col("fx"), F.col("fy"), F.col("fz")))
 
 
-@query("""with g as (select event_id as gid, value, event_id % 2 as a, (event_id // 2) % 3 as b, event_id // 6 as c from events where event_id < 24)
-select (b + 3 * (c + 4 * a))::bigint as gid, value from g""")
+@query("""with g as (select event_id as gid, value, event_id % 10 as a, (event_id // 10) % 25 as b, event_id // 250 as c, (select max(event_id) // 250 + 1 from events) as ny from events)
+select (b + 25 * (c + ny * a))::bigint as gid, value from g""")
 def axes_reordered(spark: SparkSession, d: str) -> DataFrame:
-    """The first 24 values as a (2, 3, 4) array stored in z, x, y order."""
-    e = table(spark, d, "events").where("event_id < 24").select(F.col("event_id").alias("gid"), "value")
-    return grid.reorder_axes(e, "gid", (2, 3, 4), (3, 1, 2))
+    """All events as an array of 10 x 25 x n values stored in z, x, y order."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("gid"), "value")
+    n = e.agg(F.max("gid")).first()[0] // 250 + 1
+    return grid.reorder_axes(e, "gid", (10, 25, n), (3, 1, 2))
 
 
 _PTS = "select vec_id as id, embedding[1] * 40::double as px, embedding[2] * 4::double as py, embedding[3] * 20::double + 10 as pz from embeddings"
@@ -254,18 +255,18 @@ def _atoms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with a as ({_ATOMS}) select l.row_id as left_id, r.row_id as right_id, round(sqrt(pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2)), 6) as distance
-from a l join a r on l.key_tag = r.key_tag and l.row_id < r.row_id where pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2) <= 4 and l.element = 15""")
+from a l join a r on l.key_tag = r.key_tag and l.row_id < r.row_id where pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2) <= 4""")
 def range_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Atoms within 2 of each phosphorus atom of the same model."""
+    """Pairs of atoms of the same model within 2 of each other."""
     a = _atoms(spark, d)
-    j = spatial.range_join(a.where("element = 15"), a, "xyz", 2.0, ["key_tag"], F.col("l.row_id") < F.col("r.row_id"))
+    j = spatial.range_join(a.select("row_id", "key_tag", "x", "y", "z"), a.select("row_id", "key_tag", "x", "y", "z"), "xyz", 2.0, ["key_tag"], F.col("l.row_id") < F.col("r.row_id"))
     return j.select(F.col("l.row_id").alias("left_id"), F.col("r.row_id").alias("right_id"), _r(F.col("distance"), "distance"))
 
 
-@query(f"""with a as ({_ATOMS} where element = 7) select l.row_id, count(r.row_id) as n_neighbours from a l left join a r on l.key_tag = r.key_tag and pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2) <= 9 group by 1""")
+@query(f"""with a as ({_ATOMS}) select l.row_id, count(r.row_id) as n_neighbours from a l left join a r on l.key_tag = r.key_tag and pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2) <= 9 group by 1""")
 def neighbour_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Nitrogen atoms within 3 of each nitrogen atom, itself included."""
-    return spatial.neighbour_counts(_atoms(spark, d).where("element = 7"), "row_id", "xyz", 3.0, ["key_tag"])
+    """Atoms of the same model within 3 of each atom, itself included."""
+    return spatial.neighbour_counts(_atoms(spark, d), "row_id", "xyz", 3.0, ["key_tag"])
 
 
 @query("""with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings)
@@ -286,7 +287,7 @@ def quantized_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shift_sql(rounds: int) -> str:
-    out = "v as materialized (select vec_id, embedding[1] * 4::double as x, embedding[2] * 4::double as y, 1.0::double + label as value from embeddings), m0 as materialized (select vec_id, x, y from v where vec_id % 20 = 0)"
+    out = "v as materialized (select vec_id, embedding[1] * 4::double as x, embedding[2] * 4::double as y, 1.0::double + label as value from embeddings), m0 as materialized (select vec_id, x, y from v)"
     for i in range(1, rounds + 1):
         out += f", m{i} as materialized (select m.vec_id, sum(v.value * v.value * v.x) / sum(v.value * v.value) as x, sum(v.value * v.value * v.y) / sum(v.value * v.value) as y from m{i - 1} m join v on pow(m.x - v.x, 2) + pow(m.y - v.y, 2) <= 0.25 group by 1)"
     return f"with {out} select vec_id, round(x, 6) as x, round(y, 6) as y from m{rounds}"
@@ -294,10 +295,10 @@ def _shift_sql(rounds: int) -> str:
 
 @query(_shift_sql(2))
 def mean_shift_two_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Every twentieth point moved twice to the weighted centroid around it."""
+    """Every point moved twice to the weighted centroid around it."""
     e = F.col("embedding")
     v = table(spark, d, "embeddings").select("vec_id", (e[0] * F.lit(4.0)).alias("x"), (e[1] * F.lit(4.0)).alias("y"), (F.lit(1.0) + F.col("label")).alias("value"))
-    return spatial.mean_shift(v.where("vec_id % 20 = 0"), v, "vec_id", "xy", "value", 0.5, 2.0, 2).select("vec_id", _r(F.col("x"), "x"), _r(F.col("y"), "y"))
+    return spatial.mean_shift(v, v, "vec_id", "xy", "value", 0.5, 2.0, 2).select("vec_id", _r(F.col("x"), "x"), _r(F.col("y"), "y"))
 
 
 _FIRST = "select key_tag, serial_id, min(row_id) as row_id from model_atom group by 1, 2"

@@ -197,6 +197,12 @@ def robustness_bias(spark: SparkSession, d: str) -> DataFrame:
     return robust.alpha_bias(_rows(spark, d), ["l_partkey"], "x", "y", [0.0, 0.1, 0.5])
 
 
+@query()
+def group_robustness_bias(spark: SparkSession, d: str) -> DataFrame:
+    """Mean distance of robust from plain means of the brands by level."""
+    return robust.group_alpha_bias(materialize(_members(spark, d)), ["p_brand"], "l_partkey", [0.0, 0.2, 0.5])
+
+
 @query("""with b as (select p_partkey, ln(p_retailprice) as b0, p_size / 7.0::double as b1 from part)
 select p_partkey, round(exp(b0) * pow(2 * pi() / b1, 1.5), 4) as amplitude, round(pow(b1, -0.5), 6) as width, round(exp(b0) * 2 * pi() / b1, 4) as amplitude_2d,
   round(sqrt(pow(2 * pi(), 3) * exp(2 * b0) * pow(b1, -5) * (b1 * b1 * 0.04::double + 2.25::double * 0.01::double - 3 * b1 * 0.002::double)), 4) as sigma_amplitude, round(sqrt(0.25::double * pow(b1, -3) * 0.01::double), 6) as sigma_width from b""")

@@ -93,11 +93,11 @@ def charges(spark: SparkSession, d: str) -> DataFrame:
     return partial_charges(table(spark, d, "model_atom").select("row_id", "component_id", "atom_id", "structure"), t).select("row_id", "charge")
 
 
-@query("""with a as (select row_id, key_tag, position_x as x, position_y as y, position_z as z, temperature from model_atom where element = 16)
-select l.row_id, any_value(l.temperature) as temperature, count(r.row_id) as n_neighbours from a l left join a r on l.key_tag = r.key_tag and pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2) <= 25 group by 1""")
+@query("""with a as (select row_id, key_tag, position_x as x, position_y as y, position_z as z, temperature from model_atom)
+select l.row_id, any_value(l.temperature) as temperature, count(r.row_id) as n_neighbours from a l left join a r on l.key_tag = r.key_tag and pow(l.x - r.x, 2) + pow(l.y - r.y, 2) + pow(l.z - r.z, 2) <= 4 group by 1""")
 def neighbours_and_value(spark: SparkSession, d: str) -> DataFrame:
-    a = _atoms(spark, d).join(table(spark, d, "model_atom").select("row_id", "temperature"), "row_id").where("element = 16")
-    return reports.neighbours_and_value(a, "row_id", "xyz", 5.0, "temperature", ["key_tag"]).select("row_id", "temperature", "n_neighbours")
+    a = _atoms(spark, d).join(table(spark, d, "model_atom").select("row_id", "temperature"), "row_id")
+    return reports.neighbours_and_value(a, "row_id", "xyz", 2.0, "temperature", ["key_tag"]).select("row_id", "temperature", "n_neighbours")
 
 
 @query("""select row_id, round(sqrt(pow(position_x - avg(position_x) over w, 2) + pow(position_y - avg(position_y) over w, 2) + pow(position_z - avg(position_z) over w, 2)), 5) as distance, occupancy from model_atom window w as (partition by key_tag)""")
