@@ -32,7 +32,9 @@ class ColumnRule:
 
     One of ``low``/``high``, ``pattern`` (matched whole) or ``domain`` may say what is valid; without any, every value but
     NaN is. ``mean_change``: difference of the valid means; ``share_change``: half the summed difference of the domain
-    shares; null shares count from ``null_change``.
+    shares; null shares count from ``null_change``. Without a domain the shares are those of all values that aren't null, over
+    the intervals between ``cuts`` (from a cut on, NaN apart) or over ``buckets`` hash buckets, and must differ by
+    ``share_change`` more than two draws from the same values would on average.
     """
 
     name: str
@@ -43,6 +45,22 @@ class ColumnRule:
     mean_change: float | None = None
     share_change: float | None = None
     null_change: float = 0.15
+    cuts: tuple[float, ...] = ()
+    buckets: int = 0
+
+    def n_bins(self) -> int:
+        return len(self.cuts) + 2 if self.cuts else self.buckets
+
+    def bin(self) -> Column:
+        """Number of the value's interval or bucket, null for null."""
+        c = F.col(f"`{self.name}`")
+        if not self.cuts:
+            return F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(self.buckets))).cast("int")
+        v, at = c.cast("double"), F.lit(len(self.cuts))
+        for i, x in reversed(list(enumerate(self.cuts))):
+            at = F.when(v < F.lit(float(x)), F.lit(i)).otherwise(at)
+        at = F.when(c.isNotNull(), at)
+        return F.when(F.isnan(v), F.lit(len(self.cuts) + 1)).otherwise(at)
 
     def valid(self) -> Column:
         c = F.col(f"`{self.name}`")
@@ -59,7 +77,10 @@ class ColumnRule:
         return F.col(f"`{self.name}`").isNotNull() & ~F.coalesce(self.valid(), F.lit(False))
 
     def smallest_gain(self) -> float:
-        """Half of the AUC over 1/2 that the smallest counting change gives at least: what must be excluded."""
+        """Half of the AUC over 1/2 that the smallest counting change gives at least: what must be excluded. 0 (nothing is
+        ever excluded) where a change can be smaller than any AUC or lie in bins that the features don't tell apart."""
+        if self.n_bins() or (self.mean_change is not None and self.low is None):
+            return 0.0
         gains = [self.null_change / 2]
         if self.mean_change is not None and self.low is not None:
             gains.append(self.mean_change / (self.high - self.low) / 2)
@@ -93,6 +114,35 @@ def base_aggregates(df: DataFrame, rules: Sequence[ColumnRule], load: str = "loa
     return df.where(F.col(load).isNotNull()).groupBy(F.col(f"`{load}`").alias("load")).agg(*aggs)
 
 
+def bin_counts(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id") -> dict[tuple[int, int], np.ndarray]:
+    """Rows in each bin of the rules with cuts or buckets, by load and number of the rule; exact, over all rows, one scan.
+    The driver gets a row a load and partition."""
+    binned = [i for i, r in enumerate(rules) if r.n_bins()]
+    if not binned:
+        return {}
+    ends = np.cumsum([0, *[rules[i].n_bins() + 1 for i in binned]])  # the last bin of each is null
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            loads, row = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            n = np.zeros((len(loads), ends[-1]), np.int64)
+            for j in range(len(binned)):
+                width = ends[j + 1] - ends[j]
+                n[:, ends[j] : ends[j + 1]] = np.bincount(row * width + b.column(j + 1).to_numpy(), minlength=len(loads) * width).reshape(len(loads), width)
+            for k, v in zip(loads.tolist(), n):
+                sums[k] = sums[k] + v if k in sums else v
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_pydict({"load": pa.array([k], pa.int64()), "counts": pa.array([v.tobytes()], pa.binary())})
+
+    cols = [F.coalesce(rules[i].bin(), F.lit(rules[i].n_bins())).cast("int").alias(f"b_{i}") for i in binned]
+    total: dict[int, np.ndarray] = {}
+    for r in df.where(F.col(load).isNotNull()).select(F.col(f"`{load}`").cast("long").alias("load"), *cols).mapInArrow(run, "load long, counts binary").collect():
+        v = np.frombuffer(r["counts"], np.int64)
+        total[r["load"]] = total[r["load"]] + v if r["load"] in total else v
+    return {(k, i): v[ends[j] : ends[j + 1] - 1].astype(float) for k, v in total.items() for j, i in enumerate(binned) if v[ends[j] : ends[j + 1] - 1].any()}
+
+
 @dataclass
 class _Coder:
     """Worker-side feature matrix: for each column null, broken, standardized value and its square or category flags."""
@@ -162,12 +212,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _unpacked(sums: bytes, masks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gradient and curvature of each variant, over its own features."""
+    v, at, out = np.frombuffer(sums), 0, []
+    for k in masks.sum(0):
+        upper, h = np.triu_indices(k), np.zeros((k, k))
+        end = at + k + len(upper[0])
+        h[upper] = v[at + k : end]
+        out.append((v[at : at + k], h + np.triu(h, 1).T))
+        at = end
+    return out
+
+
 def _newton_sums(coder: _Coder, loads: list[int], first: int, weights: dict[tuple[int, int], np.ndarray], counts: dict[tuple[int, int], int]):
     """Partial gradients and curvatures of all models of a block over one partition, for mapInArrow."""
-    d = coder.width
+    masks = [m for _, m in coder.variants()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             x, ld, fold = coder.matrix(b), b.column("load").to_numpy(), b.column("fold").to_numpy()
             for f in (0, 1):
@@ -181,18 +243,17 @@ def _newton_sums(coder: _Coder, loads: list[int], first: int, weights: dict[tupl
                     # either class weighs a half, whatever the loads' sizes
                     c = np.where(y > 0, 0.5 / max(1, counts[one, f]), 0.5 / max(1, counts[first, f]))
                     p = _sigmoid(xs @ w)
-                    g = xs.T @ ((p - y[:, None]) * c[:, None])
+                    g = (p - y[:, None]) * c[:, None]
                     s = p * (1 - p) * c[:, None]
-                    h = np.einsum("ni,nv,nj->vij", xs, s, xs, optimize=True)
-                    if (one, f) in sums:
-                        sums[one, f][0][...] += g
-                        sums[one, f][1][...] += h
-                    else:
-                        sums[one, f] = (g, h)
-        for (one, f), (g, h) in sums.items():
-            yield pa.RecordBatch.from_pydict({"load": pa.array([one], pa.int64()), "fold": pa.array([f], pa.int32()), "sums": pa.array([np.concatenate([g.ravel(), h.ravel()])], pa.list_(pa.float64()))})
-
-    del d
+                    parts = []
+                    for j, m in enumerate(masks):
+                        xm = xs[:, m]
+                        parts += [xm.T @ g[:, j], ((xm * s[:, j : j + 1]).T @ xm)[np.triu_indices(xm.shape[1])]]
+                    v = np.concatenate(parts)
+                    sums[one, f] = sums[one, f] + v if (one, f) in sums else v
+        for (one, f), v in sums.items():
+            yield pa.RecordBatch.from_pydict({"load": pa.array([one], pa.int64()), "fold": pa.array([f], pa.int32()), "sums": pa.array([v.tobytes()], pa.binary())})
+
     return run
 
 
@@ -221,7 +282,7 @@ def _scores(coder: _Coder, loads: list[int], first: int, weights: dict[tuple[int
             n = len(at)
             yield pa.RecordBatch.from_pydict({
                 "load": pa.array(np.full(n, one), pa.int64()), "fold": pa.array(np.full(n, f), pa.int32()), "positive": pa.array(np.full(n, positive), pa.int32()),
-                "variant": pa.array([names[k] for k in at // SCORE_BINS], pa.string()), "bin": pa.array(at % SCORE_BINS, pa.int32()), "cnt": pa.array(h[at], pa.int64()),
+                "variant": pa.array(names, pa.string()).take(pa.array(at // SCORE_BINS)), "bin": pa.array(at % SCORE_BINS, pa.int32()), "cnt": pa.array(h[at], pa.int64()),
             })
 
     return run
@@ -256,7 +317,7 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
        one column (their loss is the column's ablation) and the models of one column alone (which a correlated column
        can't mask). A column is a candidate unless its AUC plus SURE standard errors excludes half the gain of the
        smallest change that counts.
-    4. Candidates are confirmed by the exact aggregates: null share, mean of valid values, shares over the domain.
+    4. Candidates are confirmed by the exact aggregates: null share, mean of valid values, shares over the domain or bins.
 
     Result: a dict a load and column: table_name, column_name, load, n, n_first, auc_all, auc_without, auc_only, auc_error,
     candidate, null_gap, mean_gap, share_gap, shifted. Loads with under ``least_rows`` rows (either side) and rows without
@@ -266,7 +327,7 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
     if first not in base or base[first]["n"] < least_rows:
         return []
     later = sorted(k for k, r in base.items() if k > first and r["n"] >= least_rows)
-    head = base[first]
+    head, bins = base[first], bin_counts(df, rules, load)
     numeric = tuple(_is_number(df.schema[r.name].dataType) for r in rules)
 
     def moments(i: int) -> tuple[float, float]:
@@ -294,15 +355,14 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
         here = sample.where(F.col("load").isin([first, *block]))
         for _ in range(NEWTON_STEPS):
             total: dict[tuple[int, int], np.ndarray] = {}
-            for r in here.mapInArrow(_newton_sums(coder, block, first, weights, counts), "load long, fold int, sums array<double>").collect():
-                v = np.asarray(r["sums"])
+            for r in here.mapInArrow(_newton_sums(coder, block, first, weights, counts), "load long, fold int, sums binary").collect():
+                v = np.frombuffer(r["sums"])
                 total[r["load"], r["fold"]] = total[r["load"], r["fold"]] + v if (r["load"], r["fold"]) in total else v
             for key, v in total.items():
-                g, h = v[: d * nv].reshape(d, nv), v[d * nv :].reshape(nv, d, d)
-                for j in range(nv):
+                for j, (g, h) in enumerate(_unpacked(v, masks)):
                     m = masks[:, j]
-                    hj = h[j][np.ix_(m, m)] + RIDGE * np.diag(np.r_[1e-6, np.ones(m.sum() - 1)])
-                    gj = g[m, j] + RIDGE * np.r_[0, np.ones(m.sum() - 1)] * weights[key][m, j]
+                    hj = h + RIDGE * np.diag(np.r_[1e-6, np.ones(m.sum() - 1)])
+                    gj = g + RIDGE * np.r_[0, np.ones(m.sum() - 1)] * weights[key][m, j]
                     step = np.linalg.solve(hj, gj)
                     weights[key][m, j] -= step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
         rows = _coded(df.where(F.col(load).isin([first, *block])), rules, load, row_id)
@@ -319,19 +379,26 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
                 candidate = only is None or max(only, 1 - only) + SURE * error >= 0.5 + r.smallest_gain()
                 found.append(
                     {"table_name": table, "column_name": r.name, "load": int(k), "n": base[k]["n"], "n_first": head["n"], "auc_all": auc.get((k, "all")), "auc_without": auc.get((k, f"without:{r.name}")), "auc_only": only, "auc_error": error, "candidate": candidate}
-                    | _confirm(r, i, base[k], head, candidate)
+                    | _confirm(r, i, base[k], head, candidate, bins.get((k, i)), bins.get((first, i)))
                 )
     return found
 
 
-def _confirm(r: ColumnRule, i: int, now, head, candidate: bool) -> dict:
+def _confirm(r: ColumnRule, i: int, now, head, candidate: bool, bins: np.ndarray | None = None, head_bins: np.ndarray | None = None) -> dict:
     null_gap = now[f"n_null_{i}"] / now["n"] - head[f"n_null_{i}"] / head["n"]
     mean_gap = share_gap = None
+    chance = 0.0
     if r.mean_change is not None and now[f"n_num_{i}"] and head[f"n_num_{i}"]:
         mean_gap = now[f"sum_{i}"] / now[f"n_num_{i}"] - head[f"sum_{i}"] / head[f"n_num_{i}"]
-    if r.share_change is not None and now[f"n_valid_{i}"] and head[f"n_valid_{i}"]:
+    if r.share_change is not None and r.n_bins():
+        if bins is not None and head_bins is not None:
+            n, m = bins.sum(), head_bins.sum()
+            share_gap = float(np.abs(bins / n - head_bins / m).sum() / 2)
+            p = (bins + head_bins) / (n + m)
+            chance = float(np.sqrt(2 / math.pi * p * (1 - p) * (1 / n + 1 / m)).sum() / 2)
+    elif r.share_change is not None and now[f"n_valid_{i}"] and head[f"n_valid_{i}"]:
         share_gap = sum(abs(now[f"dom_{i}_{k}"] / now[f"n_valid_{i}"] - head[f"dom_{i}_{k}"] / head[f"n_valid_{i}"]) for k in range(len(r.domain))) / 2
-    shifted = abs(null_gap) > r.null_change or (mean_gap is not None and abs(mean_gap) > r.mean_change) or (share_gap is not None and share_gap > r.share_change)
+    shifted = abs(null_gap) > r.null_change or (mean_gap is not None and abs(mean_gap) > r.mean_change) or (share_gap is not None and share_gap > r.share_change + chance)
     return {"null_gap": null_gap, "mean_gap": mean_gap, "share_gap": share_gap, "shifted": bool(candidate and shifted)}
 
 

@@ -69,9 +69,27 @@ def _object_rules(spark: SparkSession, d: str) -> list[profile.ColumnRule]:
 
 
 ATOM_RULES = [profile.ColumnRule("occupancy", low=0.0, high=1.0, mean_change=0.10)]
-#: Further columns of the classifier, so that their ablation shows what a change rests on.
-OBJECT_MORE = [profile.ColumnRule("atom_size"), profile.ColumnRule("pdb_id")]
-ATOM_MORE = [profile.ColumnRule("temperature"), profile.ColumnRule("element"), profile.ColumnRule("structure"), profile.ColumnRule("component_id")]
+#: Form of the ids in pdb_id; the tables name none.
+PDB_FORM = r"[0-9][0-9A-Za-z]{3}|X[0-9A-Z]{5}"
+#: Share by which any other column's values must move between loads: that of resolution_method.
+SHARE = 0.25
+
+
+def _spans(name: str, *cuts: float) -> profile.ColumnRule:
+    return profile.ColumnRule(name, cuts=cuts, share_change=SHARE)
+
+
+def _codes(name: str, pattern: str | None = None) -> profile.ColumnRule:
+    return profile.ColumnRule(name, pattern=pattern, buckets=16, share_change=SHARE)
+
+
+#: The other columns, all but the bookkeeping of the load (row_id, load_id, loaded_at).
+OBJECT_MORE = [_codes("key_tag"), _spans("atom_size", 250, 500, 1000, 2000, 4000, 8000, 16000, 32000), _codes("pdb_id", PDB_FORM)]
+ATOM_MORE = [
+    *[_codes(c) for c in ("key_tag", "component_id", "atom_id", "chain_id", "indicator", "element", "structure", "is_special_atom", "component_key", "atom_key")],
+    _spans("serial_id", 1, 100, 200, 400, 800, 1600, 3200, 6400, 12800, 25600), _spans("sequence_id", 0, 1, 25, 50, 75, 100, 150, 200, 400, 800),
+    _spans("temperature", 0, 0.01, 10, 20, 30, 40, 50, 60, 80, 100, 150, 200, 500, 1000), *[_spans(f"position_{a}", *range(0, 401, 50)) for a in "xyz"],
+]
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +114,7 @@ def p4_load_changes(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     """Null, distinct and broken counts and value ranges of every column of both tables."""
-    return profile.column_profile(table(spark, d, "model_object"), "model_object", _object_rules(spark, d)).unionAll(profile.column_profile(table(spark, d, "model_atom"), "model_atom", ATOM_RULES))
+    return profile.column_profile(table(spark, d, "model_object"), "model_object", [*_object_rules(spark, d), *OBJECT_MORE]).unionAll(profile.column_profile(table(spark, d, "model_atom"), "model_atom", [*ATOM_RULES, *ATOM_MORE]))
 
 
 REFERENCES = [

@@ -40,6 +40,25 @@ def test_large_loads_rule_columns_out(spark):
     assert not all(r["candidate"] for r in got) and {(r["column_name"], r["load"]) for r in got if r["shifted"]} == {("v", 3)}
 
 
+@pytest.mark.parametrize(("column", "change"), [("t", "F.when(F.rand(1) < 0.4, 999.99).otherwise(F.col('t'))"), ("c", "F.lit('zz')"), ("t", "F.lit(float('nan'))"), ("c", "F.when(F.rand(1) > 0.3, F.col('c'))")])
+def test_shifts_over_cuts_and_buckets(spark, column, change):
+    rules = [profile.ColumnRule("t", cuts=(0, 20, 40, 60), share_change=0.25), profile.ColumnRule("c", buckets=16, share_change=0.25)]
+    df = spark.range(1200).select(F.col("id").alias("row_id"), (F.col("id") % 3 + 1).cast("int").alias("load_id"), (F.randn(3) * 10 + 40).alias("t"), F.concat(F.lit("k"), F.floor(F.rand(4) * 40).cast("string")).alias("c"))
+    got = profile.load_changes(df.withColumn(column, F.when(F.col("load_id") == 3, eval(change)).otherwise(F.col(column))), "t", rules)
+    assert {(r["column_name"], r["load"]) for r in got if r["shifted"]} == {(column, 3)} and len(got) == 4
+    assert profile.load_changes(df.where("row_id < 90"), "t", rules) and not any(r["shifted"] for r in profile.load_changes(df.where("row_id < 90"), "t", rules))
+
+
+def test_all_columns_have_rules(spark, data):
+    from gridloom.plans import record_queries
+
+    keep = {"row_id", "load_id", "loaded_at"}
+    for name, rules in (("model_object", [*record_queries._object_rules(spark, data), *record_queries.OBJECT_MORE]), ("model_atom", [*record_queries.ATOM_RULES, *record_queries.ATOM_MORE])):
+        assert {r.name for r in rules} == set(spark.read.parquet(f"{data}/{name}.parquet").columns) - keep
+        # only emd_id has no limit but that of its null share
+        assert {r.name for r in rules if r.mean_change is None and r.share_change is None} <= {"emd_id"}
+
+
 def test_violations_and_profile(spark):
     df = loads(spark)
     bad = {(r.column_name, r.row_id) for r in profile.violations(df, "t", RULES).collect() if r.row_id >= 10_000}
