@@ -1,4 +1,5 @@
-"""Queries of the estimators, with SQL that unrolls a fixed number of iterations."""
+"""Queries of the estimators. Those with SQL, which can only unroll a fixed number of iterations, stop after as many and are
+there for the comparison; those named ``_converged`` and all that have no SQL iterate to the operators' tolerance."""
 
 from __future__ import annotations
 
@@ -94,9 +95,32 @@ def weighted_lines(spark: SparkSession, d: str) -> DataFrame:
     return robust.ols(li, ["l_suppkey"], "l_quantity", "l_extendedprice", 1 / (1 + F.col("l_tax"))).select("l_suppkey", "n", *[F.round(c, 5).alias(c) for c in ("b0", "b1")])
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
+def _converged(spark: SparkSession, d: str) -> DataFrame:
+    return robust.fit_local(_rows(spark, d), ["l_partkey"], "x", "y", ALPHA).where("n > 1")
+
+
+@query()
+def robust_lines_converged(spark: SparkSession, d: str) -> DataFrame:
+    """A robust line for each part, iterated to the tolerance."""
+    return _converged(spark, d).select("l_partkey", "n", *_r("b0_ols", "b1_ols", "b0", "b1", "sigma2"), "status", "iterations")
+
+
+@query()
+def robust_lines_of_large_groups_converged(spark: SparkSession, d: str) -> DataFrame:
+    """The same by sums over the cluster."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", (F.lit(-0.5) * F.pow(F.col("l_discount") * 10, F.lit(2.0))).alias("x"), F.ln("l_extendedprice").alias("y"))
+    return robust.fit_local(rows, ["l_returnflag"], "x", "y", ALPHA, kernel_rows=100).select("l_returnflag", "n", *_r("b0", "b1", "sigma2"), "status", "iterations")
+
+
+@query()
+def information_sums_converged(spark: SparkSession, d: str) -> DataFrame:
+    """The five sums of each part under its converged line."""
+    return _converged(spark, d).select("l_partkey", *[F.round(c, 4).alias(c) for c in ("g00", "g01", "g11", "m0", "m1")])
+
+
+def _members(spark: SparkSession, d: str, fits=_converged) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_brand")
-    return _fits(spark, d).join(part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "l_partkey", *group_model.MEMBER_COLUMNS)
+    return fits(spark, d).join(part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "l_partkey", *group_model.MEMBER_COLUMNS)
 
 
 def group_sql(steps: int, alpha: float) -> str:
@@ -132,7 +156,11 @@ mem as materialized (select p_brand as g, t.k as id, b0, b1, g00, g01, g11, m0,
 
 
 def _posterior(spark: SparkSession, d: str) -> DataFrame:
-    return group_model.fit_groups(materialize(_members(spark, d)), ["p_brand"], "l_partkey", ALPHA_GROUP, GROUP_STEPS, 0.0)
+    return group_model.fit_groups(materialize(_members(spark, d, _fits)), ["p_brand"], "l_partkey", ALPHA_GROUP, GROUP_STEPS, 0.0)
+
+
+def _posterior_converged(spark: SparkSession, d: str) -> DataFrame:
+    return group_model.fit_groups(materialize(_members(spark, d)), ["p_brand"], "l_partkey", ALPHA_GROUP)
 
 
 @query(_MEM + " select g as p_brand, count(*) as n_members, count(*) filter (dist > -2 * ln(0.01::double)) as n_outliers, round(avg(b0), 5) as b0_mean, round(any_value(u0), 5) as b0_mdpde, round(any_value(u1), 5) as b1_mdpde, round(any_value(p0), 5) as b0_prior, round(any_value(p1), 5) as b1_prior, round(any_value(l00), 5) as l00, round(any_value(l01), 5) as l01, round(any_value(l11), 5) as l11 from outl group by g")
@@ -148,7 +176,22 @@ def member_posteriors(spark: SparkSession, d: str) -> DataFrame:
     return _posterior(spark, d).select("p_brand", "l_partkey", *[F.round(c, 5).alias(c) for c in ("b0_posterior", "b1_posterior", "v00", "v01", "v11")], F.round("distance", 4).alias("distance"), "is_outlier")
 
 
+@query()
+def group_estimates_converged(spark: SparkSession, d: str) -> DataFrame:
+    """Robust mean, prior and spread of the parts of each brand, parts and brands iterated to the tolerance."""
+    g = group_model.group_rows(_posterior_converged(spark, d), ["p_brand"])
+    return g.select("p_brand", "n_members", "n_outliers", *[F.round(c, 5).alias(c) for c in ("b0_mean", "b0_mdpde", "b1_mdpde", "b0_prior", "b1_prior", "l00", "l01", "l11")], "status")
+
+
+@query()
+def member_posteriors_converged(spark: SparkSession, d: str) -> DataFrame:
+    """Shrunk coefficients, their covariance and the outlier flag of each part, from converged estimates."""
+    return _posterior_converged(spark, d).select("p_brand", "l_partkey", *[F.round(c, 5).alias(c) for c in ("b0_posterior", "b1_posterior", "v00", "v01", "v11")], F.round("distance", 4).alias("distance"), "is_outlier")
+
+
 _ALPHAS = (0.0, 0.3, 0.6)
+#: The reference's training grid.
+_ALL_ALPHAS = tuple(i / 10 for i in range(11))
 
 
 def _folds_sql() -> str:
@@ -166,9 +209,16 @@ def _alpha_sql() -> str:
     return " union all ".join(f"({p})" for p in parts)
 
 
+def _alpha_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_suppkey", (F.col("l_quantity") / 10).alias("x"), F.ln("l_extendedprice").alias("y"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("o"))
+
+
 def _alpha_errors(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_quantity") / 10).alias("x"), F.ln("l_extendedprice").alias("y"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("o"))
-    return robust.alpha_errors(li, ["l_suppkey"], "x", "y", "o", _ALPHAS, 3, 4, 0.0)
+    return robust.alpha_errors(_alpha_rows(spark, d), ["l_suppkey"], "x", "y", "o", _ALPHAS, 3, 4, 0.0)
+
+
+def _alpha_errors_converged(spark: SparkSession, d: str) -> DataFrame:
+    return robust.alpha_errors(_alpha_rows(spark, d), ["l_suppkey"], "x", "y", "o", _ALL_ALPHAS)
 
 
 @query(_alpha_sql())
@@ -183,6 +233,18 @@ def best_robustness(spark: SparkSession, d: str) -> DataFrame:
     return robust.best_alpha(_alpha_errors(spark, d))
 
 
+@query()
+def fold_errors_converged(spark: SparkSession, d: str) -> DataFrame:
+    """Error of each supplier over five folds for the whole grid of levels, fits iterated to the tolerance."""
+    return _alpha_errors_converged(spark, d).select("l_suppkey", "alpha", F.round("error", 5).alias("error"))
+
+
+@query()
+def best_robustness_converged(spark: SparkSession, d: str) -> DataFrame:
+    """The level of least summed error of those."""
+    return robust.best_alpha(_alpha_errors_converged(spark, d))
+
+
 @query()
 def half_split_errors(spark: SparkSession, d: str) -> DataFrame:
     """Split-half error of each brand for several robustness levels (splits by a hash)."""
