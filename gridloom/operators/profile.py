@@ -24,6 +24,8 @@ SCORE_BINS = 2048
 HASH_BUCKETS = 6
 #: Standard errors by which an AUC must fall short of a column's smallest change before the load is ruled out.
 SURE = 3.0
+#: Valid rows that a load's models must be fitted on at least for a column to be ruled out by them.
+SURE_ROWS = 100
 
 
 @dataclass(frozen=True)
@@ -76,16 +78,18 @@ class ColumnRule:
         """Not null and not valid."""
         return F.col(f"`{self.name}`").isNotNull() & ~F.coalesce(self.valid(), F.lit(False))
 
-    def smallest_gain(self) -> float:
-        """Half of the AUC over 1/2 that the smallest counting change gives at least: what must be excluded. 0 (nothing is
+    def smallest_gain(self, now: float = 1.0, head: float = 1.0) -> float:
+        """Half of the AUC over 1/2 that the smallest counting change gives at least: what must be excluded. ``now`` and
+        ``head`` are the valid shares of the two loads, as only valid rows show a change of means or shares. 0 (nothing is
         ever excluded) where a change can be smaller than any AUC or lie in bins that the features don't tell apart."""
         if self.n_bins() or (self.mean_change is not None and self.low is None):
             return 0.0
-        gains = [self.null_change / 2]
+        # a gap d among the valid rows is one of at least d times the smaller valid share among all rows
+        gains, least = [self.null_change / 2], min(now, head)
         if self.mean_change is not None and self.low is not None:
-            gains.append(self.mean_change / (self.high - self.low) / 2)
+            gains.append(least * self.mean_change / (self.high - self.low) / 2)
         if self.share_change is not None:
-            gains.append(self.share_change / 2)
+            gains.append(least * self.share_change / 2)
         return min(gains) / 2
 
 
@@ -376,7 +380,9 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
             for i, r in enumerate(rules):
                 only = auc.get((k, f"only:{r.name}"))
                 error = _standard_error(only, base[k]["n"], head["n"]) if only is not None else None
-                candidate = only is None or max(only, 1 - only) + SURE * error >= 0.5 + r.smallest_gain()
+                valid = [b[f"n_valid_{i}"] / b["n"] for b in (base[k], head)]
+                known = min(valid) * min(counts[x, f] for x in (k, first) for f in (0, 1)) >= SURE_ROWS
+                candidate = only is None or not known or max(only, 1 - only) + SURE * error >= 0.5 + r.smallest_gain(*valid)
                 found.append(
                     {"table_name": table, "column_name": r.name, "load": int(k), "n": base[k]["n"], "n_first": head["n"], "auc_all": auc.get((k, "all")), "auc_without": auc.get((k, f"without:{r.name}")), "auc_only": only, "auc_error": error, "candidate": candidate}
                     | _confirm(r, i, base[k], head, candidate, bins.get((k, i)), bins.get((first, i)))

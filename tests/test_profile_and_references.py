@@ -59,6 +59,14 @@ def test_all_columns_have_rules(spark, data):
         assert {r.name for r in rules if r.mean_change is None and r.share_change is None} <= {"emd_id"}
 
 
+def test_mostly_null_columns_of_large_loads(spark):
+    # every fifth value is there; of those of load 2 a share is 0, so that the means differ by 0.12 and hardly any pair tells
+    df = spark.range(0, 1_000_000).select(F.col("id").alias("row_id"), (F.col("id") % 2 + 1).cast("int").alias("load_id"), F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, F.when((F.col("id") % 2 == 1) & (F.pmod(F.hash("id"), F.lit(100)) < 12), 0.0).otherwise(1.0)).alias("v"))
+    (got,) = profile.load_changes(df, "t", [profile.ColumnRule("v", low=0.0, high=1.0, mean_change=0.10)])
+    assert abs(got["mean_gap"] + 0.12) < 0.01 and got["auc_only"] + 3 * got["auc_error"] < 0.525
+    assert got["candidate"] and got["shifted"]
+
+
 def test_violations_and_profile(spark):
     df = loads(spark)
     bad = {(r.column_name, r.row_id) for r in profile.violations(df, "t", RULES).collect() if r.row_id >= 10_000}
