@@ -135,6 +135,33 @@ def mean_shift(start: DataFrame, voxels: DataFrame, point_id: str, axes: Sequenc
     return at
 
 
+def mean_shift_nearest(start: DataFrame, voxels: DataFrame, point_id: str, axes: Sequence[str], value: str, cell: float, k: int = 20, power: float = 1.0, rounds: int = 15) -> DataFrame:
+    """Every start point moved ``rounds`` times to the centroid, weighted by value^power, of its ``k`` nearest fixed voxels.
+
+    ``voxels`` has ``point_id`` too, which decides ties; with fewer than k voxels all are taken. ``cell`` is the reach that the
+    search starts with and has no influence on the result. A point whose neighbours have no positive value stays. Each round
+    is a job of nearest(), whose result is joined to the voxels by id, and is written so that the lineage doesn't grow.
+    """
+    names = [f"__v{i}" for i in range(len(axes))]
+    ok = F.lit(True)
+    for a in axes:
+        ok = ok & F.col(a).isNotNull()
+    fixed = materialize(voxels.where(ok).select(F.col(point_id).alias("__near"), *axes, F.col(value).alias("__value")))
+    k = min(k, fixed.count())
+    at = start.select(point_id, *axes)
+    if not k:
+        return at
+    v = fixed.select("__near", *[F.col(a).alias(n) for a, n in zip(axes, names)], "__value")
+    for _ in range(rounds):
+        near = nearest(at, fixed, point_id, "__near", axes, k, cell)
+        j = near.select(point_id, "__near").join(v, "__near").join(at, point_id)
+        j = j.select(point_id, F.col("__value"), *[F.col(a).alias(f"__at{i}") for i, a in enumerate(axes)], *[F.col(n).alias(a) for a, n in zip(axes, names)])
+        moved = weighted_centroids(j, point_id, axes, "__value", power, [f"__at{i}" for i in range(len(axes))])
+        m = moved.select(point_id, *[F.col(a).alias(f"__m{i}") for i, a in enumerate(axes)])
+        at = materialize(at.join(m, point_id, "left").select(point_id, *[F.coalesce(f"__m{i}", a).alias(a) for i, a in enumerate(axes)]))
+    return at
+
+
 def edge_geometry(bonds: DataFrame, atoms: DataFrame, keys: Sequence[str], axes: Sequence[str], serial: str = "serial_id", ends: tuple[str, str] = ("atom_serial_id_1", "atom_serial_id_2")) -> DataFrame:
     """Bonds with both atoms: mid_a, vec_a, unit_a for each axis and length; the unit vector is 0 for length 0."""
     one = atoms.select(*keys, F.col(serial).alias(ends[0]), *[F.col(a).alias(f"__1{a}") for a in axes])

@@ -180,14 +180,15 @@ class MapVisualization(Request):
 class PositionEstimation(Request):
     map_file: str = ""
     threshold: float = 0.5
-    radius: float = 1.0
+    radius: float = 1.0  # reach that the search of neighbours starts with
+    neighbours: int = 20
     iterations: int = 15
     power: float = 1.0
     step: float = 0.1
 
     def check(self, issues: list[Issue]) -> None:
         self.exists(issues, "map_file")
-        self.positive(issues, "radius", "iterations", "step")
+        self.positive(issues, "radius", "neighbours", "iterations", "step")
 
 
 def _with_numbers(atoms: DataFrame) -> DataFrame:
@@ -368,7 +369,7 @@ def position_estimation(spark: SparkSession, r: PositionEstimation) -> dict[str,
     voxel, g = formats.read_map(spark, r.map_file)
     v = voxel.select("gid", *[p.alias(c) for p, c in zip(g.position(F.col("gid")), "xyz")], F.col("value").cast("double").alias("value"))
     high = materialize(select.above_share_of_max(v, "value", r.threshold))
-    at = spatial.mean_shift(high, v.where("value > 0"), "gid", "xyz", "value", r.radius, r.power, r.iterations)
+    at = spatial.mean_shift_nearest(high, high, "gid", "xyz", "value", r.radius, r.neighbours, r.power, r.iterations)
     return {"points": spatial.quantized_distinct(at, "xyz", r.step)}
 
 

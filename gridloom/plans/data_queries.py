@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from gridloom.functions import keys, potential, strings
 from gridloom.operators import grid, lookup, select, spatial, stats
-from gridloom.session import table
+from gridloom.session import materialize, table
 
 QUERIES, SQL = {}, {}
 
@@ -301,6 +301,15 @@ def mean_shift_two_rounds(spark: SparkSession, d: str) -> DataFrame:
     return spatial.mean_shift(v, v, "vec_id", "xy", "value", 0.5, 2.0, 2).select("vec_id", _r(F.col("x"), "x"), _r(F.col("y"), "y"))
 
 
+@query()
+def mean_shift_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The selected points (at least half the largest value), each moved 15 times to the weighted centroid of its 20 nearest."""
+    e = F.col("embedding")
+    v = table(spark, d, "embeddings").select("vec_id", (e[0] * F.lit(4.0)).alias("x"), (e[1] * F.lit(4.0)).alias("y"), (F.lit(1.0) + F.col("label")).alias("value"))
+    high = materialize(select.above_share_of_max(v, "value", 0.5))
+    return spatial.mean_shift_nearest(high, high, "vec_id", "xy", "value", 0.25, power=2.0).select("vec_id", _r(F.col("x"), "x"), _r(F.col("y"), "y"))
+
+
 _FIRST = "select key_tag, serial_id, min(row_id) as row_id from model_atom group by 1, 2"
 
 

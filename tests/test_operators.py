@@ -186,3 +186,18 @@ def test_samplers(spark):
         samplers.sphere(p, "id", 5, 2.0, 1.0)
     with pytest.raises(ValueError):
         samplers.cylinder(p, "id", 0, 0.0, 1.0, 1.0)
+
+
+def test_mean_shift_to_the_nearest(spark):
+    g = np.random.default_rng(5)
+    place, value = np.r_[g.normal(0, 1, (60, 3)), g.normal(40, 8, (12, 3))], g.uniform(-0.2, 1, 72)  # the sparse ones are far apart
+    df = spark.createDataFrame([(i, *map(float, p), float(v)) for i, (p, v) in enumerate(zip(place, value))], "gid long, x double, y double, z double, value double")
+    for k in (6, 100):
+        at = place.copy()
+        for _ in range(3):
+            near = np.argsort(((at[:, None] - place[None]) ** 2).sum(2), 1, kind="stable")[:, :k]
+            w = np.maximum(value[near], 0) ** 2
+            at = (w[:, :, None] * place[near]).sum(1) / w.sum(1)[:, None]
+        got = {r.gid: (r.x, r.y, r.z) for r in spatial.mean_shift_nearest(df, df, "gid", "xyz", "value", 0.5, k, 2.0, 3).collect()}
+        assert len(got) == 72 and max(abs(np.array(got[i]) - at[i]).max() for i in got) < 1e-9
+    assert spatial.mean_shift_nearest(df, df.limit(0), "gid", "xyz", "value", 0.5).count() == 72
