@@ -144,13 +144,21 @@ def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "model_atom").groupBy("key_tag", "serial_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def _studies(spark: SparkSession, studies: dict, residuals) -> DataFrame:
+    out = None
+    for name, (replicas, points) in studies.items():
+        one = tester.summarize(residuals(spark, tester.scenario_table(spark, name), replicas, points, seed=1)).withColumn("study", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def simulated_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Residuals of simulated profiles by scenario and method."""
-    return tester.summarize(tester.profile_residuals(spark, tester.scenario_table(spark, "data_outlier"), 20, 300, seed=1))
+    """Residuals of simulated profiles by study, scenario and method."""
+    return _studies(spark, tester.LINE_STUDIES, tester.profile_residuals)
 
 
 @query()
 def simulated_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Residuals of simulated groups with outlying members by scenario and method."""
-    return tester.summarize(tester.member_residuals(spark, tester.scenario_table(spark, "member_outlier"), 20, 100, seed=1))
+    """Residuals of simulated groups with outlying members by study, scenario and method."""
+    return _studies(spark, tester.GROUP_STUDIES, tester.member_residuals)
