@@ -502,6 +502,13 @@ def text_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(t.isNotNull()).select("doc_id", F.upper(F.substring(t, 1, 12)).alias("head"), F.length(F.rtrim(F.replace(t, F.lit("\n"), F.lit("")), F.lit("x"))).cast("long").alias("n"), F.size(strings.split_list(t)).cast("long").alias("n_parts"))
 
 
+@query()
+def upper_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Length and hash of each whole text in upper case; without SQL, as engines differ on letters like sharp s."""
+    up = F.upper("text")
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.length(up).cast("long").alias("n"), F.md5(up.cast("binary")).alias("hash"))
+
+
 @query("""select row_id, try_cast(regexp_extract(emd_id, '^\\s*EMD-([0-9]+)', 1) as bigint) as number, try_cast(regexp_extract(formula_, '^\\s*([+-]?[0-9]+)', 1) as bigint) as prefix from (select row_id, emd_id, substr(pdb_id, 2) as formula_ from model_object)""")
 def number_prefixes(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "model_object")

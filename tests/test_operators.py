@@ -201,3 +201,12 @@ def test_mean_shift_to_the_nearest(spark):
         got = {r.gid: (r.x, r.y, r.z) for r in spatial.mean_shift_nearest(df, df, "gid", "xyz", "value", 0.5, k, 2.0, 3).collect()}
         assert len(got) == 72 and max(abs(np.array(got[i]) - at[i]).max() for i in got) < 1e-9
     assert spatial.mean_shift_nearest(df, df.limit(0), "gid", "xyz", "value", 0.5).count() == 72
+
+
+def test_whole_texts_in_upper_case(spark, data):
+    import hashlib
+
+    from gridloom.plans import data_queries
+
+    want = {r.doc_id: hashlib.md5(r.text.upper().encode()).hexdigest() for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").collect()}
+    assert {r.doc_id: r.hash for r in data_queries.upper_texts(spark, data).collect()} == want
