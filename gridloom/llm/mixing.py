@@ -66,10 +66,16 @@ def _split(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarra
     total = int(counts.sum())
     if total < 1_000_000_000:
         return rng.multivariate_hypergeometric(counts, left, method="marginals")
-    exact = counts.astype(float) * left / total  # beyond the generator's range; the spread there is below 1e-4 of a count
-    got = np.floor(exact).astype(np.int64)
-    for k in np.argsort(got - exact)[: left - int(got.sum())]:
-        got[k] += 1
+    # beyond the generator's range: source by source, a normal draw with the moments of its hypergeometric distribution
+    got, rest = np.zeros(len(counts), np.int64), total
+    for i, c in enumerate(counts.tolist()):
+        low, high = max(0, left - (rest - c)), min(c, left)
+        p = c / rest if rest else 0.0
+        spread = math.sqrt(max(0.0, left * p * (1 - p) * (rest - left) / max(1, rest - 1)))
+        # the mean is a whole number of exact division and a fraction, so that no count loses digits
+        whole, part = divmod(left * c, rest) if rest else (0, 0)
+        got[i] = min(high, max(low, whole + round(part / max(1, rest) + spread * rng.standard_normal())))
+        left, rest = left - int(got[i]), rest - c
     return got
 
 

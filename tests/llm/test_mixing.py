@@ -60,3 +60,18 @@ def test_frames(spark):
     assert mix(docs.limit(0), targets)[0].count() == 0 and mix(docs, targets.limit(0))[0].count() == 0
     with pytest.raises(ValueError):
         mix(docs, targets.union(targets))
+
+
+def test_split_of_huge_counts_is_drawn():
+    import numpy as np
+
+    from gridloom.llm.mixing import _split
+
+    counts = np.array([3_000_000_000, 1_000_000_000, 0, 7], np.int64)
+    got = np.array([_split(counts, 1_500_000_000, np.random.default_rng(i)) for i in range(400)])
+    assert (got.sum(1) == 1_500_000_000).all() and (got >= 0).all() and (got <= counts).all()
+    p, share = 0.75, 1.5 / 4.0
+    sd = (4e9 * share * (1 - share) * p * (1 - p)) ** 0.5
+    assert abs(got[:, 0].mean() - 1_125_000_000) < 5 * sd / 20 and 0.85 < got[:, 0].std() / sd < 1.15
+    # as many as there are
+    assert (_split(counts, int(counts.sum()), np.random.default_rng(1)) == counts).all() and not _split(counts, 0, np.random.default_rng(1)).any()
