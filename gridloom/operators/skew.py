@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A table of at most this many rows (of a few dozen bytes) may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A table of at most this many bytes may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32_000_000
 BUCKETS = 4096
 #: A bucket that holds more than this share of all rows is split; so at most 1 / HOT_SHARE buckets are hot.
 HOT_SHARE = 1 / 64
@@ -36,7 +36,7 @@ def n_salts(hot: dict[int, int], bucket: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, bucket), F.lit(1))
 
 
-def bounded_join(rows: DataFrame, small: DataFrame, on: Column, small_rows: int, how: str = "inner") -> DataFrame:
-    """Join with a table whose counted size decides: broadcast up to BROADCAST_ROWS, else a shuffled join, in which AQE
-    splits skewed partitions."""
-    return rows.join(F.broadcast(small) if small_rows <= BROADCAST_ROWS else small, on, how)
+def bounded_join(rows: DataFrame, small: DataFrame, on: Column, small_rows: int, how: str = "inner", row_bytes: int = 160) -> DataFrame:
+    """Join with a table whose size decides: broadcast up to BROADCAST_BYTES, else a shuffled join, in which AQE splits skewed
+    partitions. ``small_rows`` is its counted number of rows, ``row_bytes`` what one of them holds at most."""
+    return rows.join(F.broadcast(small) if small_rows * row_bytes <= BROADCAST_BYTES else small, on, how)
