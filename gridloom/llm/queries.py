@@ -1,14 +1,30 @@
-"""Queries p6 to p8 over the documents."""
+"""Queries p2 over the atoms, p6 to p8 over the documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, packing, splitting
-from gridloom.session import table
+from gridloom.llm import mixing, packing, quantiles, splitting
+from gridloom.llm.sql import SQL as _SQL
+from gridloom.session import materialize, table
 
 
+def p2_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Order statistics of temperature by element and by structure for each load, mergeable over loads."""
+    return quantiles.quantile_summary(table(spark, d, "model_atom"), ["element", "structure"], "temperature", "load_id").withColumnRenamed("period", "load_id")
+
+
+def p2_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The same by day of arrival."""
+    atom = table(spark, d, "model_atom").withColumn("day", F.to_date("loaded_at"))
+    return quantiles.quantile_summary(atom, ["element", "structure"], "temperature", "day", percentiles=()).withColumnRenamed("period", "day")
+
+
+def p2_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles over all loads from the summaries alone, with their rank error."""
+    return quantiles.combine(materialize(p2_summary(spark, d)).withColumnRenamed("load_id", "period"))
+
 def _settings(spark: SparkSession, d: str) -> dict[str, int]:
     # a fixed table of three rows
     return {r["setting_name"]: r["tokens"] for r in table(spark, d, "size_setting").collect()}
@@ -52,6 +68,6 @@ def p8_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return p8_pieces(spark, d).groupBy("boundary").agg(F.count(F.lit(1)).alias("n_pieces"), F.round(F.avg("n_tokens"), 3).alias("mean_tokens"), F.max("n_tokens").alias("most_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_mixture, p7_shares, p7_tokens, p8_pieces, p8_boundaries)}
-#: What SQL can express of them: none; they are tested against brute force and round trips.
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_summary, p2_daily, p2_combined, p6_containers, p6_fill, p7_mixture, p7_shares, p7_tokens, p8_pieces, p8_boundaries)}
+#: Tokens can't be counted in SQL: p6 to p8 are tested against brute force and round trips.
+SQL: dict[str, str] = dict(_SQL)
