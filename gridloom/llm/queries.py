@@ -25,6 +25,7 @@ def p2_combined(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles over all loads from the summaries alone, with their rank error."""
     return quantiles.combine(materialize(p2_summary(spark, d)).withColumnRenamed("load_id", "period"))
 
+
 def _settings(spark: SparkSession, d: str) -> dict[str, int]:
     # a fixed table of three rows
     return {r["setting_name"]: r["tokens"] for r in table(spark, d, "size_setting").collect()}
