@@ -1,11 +1,11 @@
-"""Queries p1 to p5: raw records, percentiles, hot keys, profiles and references."""
+"""Queries p1, p3, p4 and p5: raw records, hot keys, profiles and references."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import profile, quantiles, references, rejects, tree_agg
+from gridloom.operators import profile, references, rejects, tree_agg
 from gridloom.session import materialize, table
 
 
@@ -28,22 +28,6 @@ def p1_atoms(spark: SparkSession, d: str) -> DataFrame:
     return rejects.atoms(_parsed(spark, d))
 
 
-def p2_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Order statistics of temperature by element and by structure for each load, mergeable over loads."""
-    return quantiles.quantile_summary(table(spark, d, "model_atom"), ["element", "structure"], "temperature", "load_id").withColumnRenamed("period", "load_id")
-
-
-def p2_daily(spark: SparkSession, d: str) -> DataFrame:
-    """The same by day of arrival."""
-    atom = table(spark, d, "model_atom").withColumn("day", F.to_date("loaded_at"))
-    return quantiles.quantile_summary(atom, ["element", "structure"], "temperature", "day", percentiles=()).withColumnRenamed("period", "day")
-
-
-def p2_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles over all loads from the summaries alone, with their rank error."""
-    return quantiles.combine(materialize(p2_summary(spark, d)).withColumnRenamed("load_id", "period"))
-
-
 def _states(spark: SparkSession, d: str) -> DataFrame:
     return tree_agg.key_stats(table(spark, d, "model_atom"), ["component_id", "element"], ["occupancy", "temperature"])
 
@@ -142,4 +126,4 @@ def p5_by_month(spark: SparkSession, d: str) -> DataFrame:
     return references.orphans_by_month(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_atoms, p2_summary, p2_daily, p2_combined, p3_found, p3_stats, p4_found, p4_load_changes, p4_profile, p5_found, p5_by_month)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_atoms, p3_found, p3_stats, p4_found, p4_load_changes, p4_profile, p5_found, p5_by_month)}
