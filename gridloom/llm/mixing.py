@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,10 @@ from gridloom.session import materialize
 BLOCK_TOKENS = 512
 SHARD_BLOCKS = 4096
 BUCKET_DOCS = 65_536
-#: Table of bucket totals that may be broadcast.
+#: Table of bucket totals (source, bucket, start) that may be broadcast, in rows of about a hundred bytes.
 BROADCAST_BUCKETS = 200_000
+#: As ``total``: as many tokens as all sources with a target have together.
+ALL_TOKENS = -1
 _MASK = (1 << 33) - 1
 
 
@@ -42,12 +45,15 @@ def plan_sources(targets: list[tuple[str, float, int]], tokens: dict[str, int],
     """Blocks to draw from each source.
 
     ``total`` tokens are mixed; by default as many as can be while every source that has tokens reaches its share within
-    its repetitions. Sources without tokens give nothing; with a larger ``total`` a source ends at its cap and falls short.
+    its repetitions. Sources without tokens give nothing; with a larger ``total`` (ALL_TOKENS: that of all sources together) a
+    source ends at its cap and falls short.
     """
     live = [(s, w, r) for s, w, r in targets if tokens.get(s, 0) > 0 and w > 0 and r > 0]
     weight = sum(w for _, w, _ in live)
     if total is None:
         total = min((math.floor(r * tokens[s] * weight / w) for s, w, r in live), default=0)
+    if total == ALL_TOKENS:
+        total = sum(tokens[s] for s, _, _ in live)
     out = []
     for s, w, r in targets:
         n = tokens.get(s, 0)
@@ -61,22 +67,75 @@ def plan_sources(targets: list[tuple[str, float, int]], tokens: dict[str, int],
     return out
 
 
-def _split(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+def _stirling_rest(n: int) -> float:
+    """log n! beyond Stirling's sqrt(2 pi n) (n / e)^n."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    i = 1 / (n * n)
+    return (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i / 1680))) / n
+
+
+def _deviance(x: int, d: float) -> float:
+    """x log(x / m) + m - x for a mean m = x - d, without the cancellation of its terms."""
+    m = x - d
+    if abs(d) >= 0.1 * (x + m):
+        return x * math.log(x / m) - d
+    v = d / (x + m)
+    total, term, j = d * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        if (more := total + term / (2 * j + 1)) == total:
+            return total
+        total, j = more, j + 1
+
+
+def _log_binomial(x: int, n: int, share: tuple[int, int]) -> float:
+    """log of the binomial probability of x out of n at p = share[0] / share[1], to full precision at any size."""
+    a, b = share
+    if x == 0:
+        return n * math.log1p(-a / b)
+    if x == n:
+        return n * math.log(a / b)
+    d = (x * b - n * a) / b  # distance from the mean, from whole numbers
+    rest = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x)
+    return rest - _deviance(x, d) - _deviance(n - x, -d) + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def hypergeometric(good: int, total: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``good`` among ``total`` items are in a draw of ``n``: one draw of the hypergeometric distribution.
+
+    Rejection under a hat that lies above every log-concave distribution: flat around the mode, exponential beyond. The same
+    for all sizes, from the exact probabilities (three binomial ones, whose terms don't cancel).
+    """
+    low, high = max(0, n - (total - good)), min(good, n)
+    if low == high:
+        return low
+    share = (n, total)
+
+    def log_p(k: int) -> float:
+        return _log_binomial(k, good, share) + _log_binomial(n - k, total - good, share)
+
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    top = log_p(mode)
+    p = math.exp(top - _log_binomial(n, total, share))
+    w = 1 + p / 2
+    while True:
+        u, v, accept = rng.random(3).tolist()
+        away = v * w / p if u <= w / (1 + w) else (w - math.log1p(-v)) / p
+        k = mode + round(away) * (1 if rng.random() < 0.5 else -1)
+        if low <= k <= high and accept * min(1.0, math.exp(w - p * away)) <= math.exp(log_p(k) - top):
+            return k
+
+
+@lru_cache(maxsize=256)
+def _split(counts: tuple[int, ...], left: int, seed: tuple[int, ...]) -> tuple[int, ...]:
     """Of ``counts`` blocks by source, how many fall on the left ``left`` slots: a multinomial draw given the totals."""
-    total = int(counts.sum())
-    if total < 1_000_000_000:
-        return rng.multivariate_hypergeometric(counts, left, method="marginals")
-    # beyond the generator's range: source by source, a normal draw with the moments of its hypergeometric distribution
-    got, rest = np.zeros(len(counts), np.int64), total
-    for i, c in enumerate(counts.tolist()):
-        low, high = max(0, left - (rest - c)), min(c, left)
-        p = c / rest if rest else 0.0
-        spread = math.sqrt(max(0.0, left * p * (1 - p) * (rest - left) / max(1, rest - 1)))
-        # the mean is a whole number of exact division and a fraction, so that no count loses digits
-        whole, part = divmod(left * c, rest) if rest else (0, 0)
-        got[i] = min(high, max(low, whole + round(part / max(1, rest) + spread * rng.standard_normal())))
-        left, rest = left - int(got[i]), rest - c
-    return got
+    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed)))
+    rest, got = sum(counts), []
+    for c in counts:
+        got.append(hypergeometric(c, rest, left, rng))
+        left, rest = left - got[-1], rest - c
+    return tuple(got)
 
 
 def shard_counts(shard: int, n_shards: int, take: np.ndarray, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +149,7 @@ def shard_counts(shard: int, n_shards: int, take: np.ndarray, slots: int, seed:
     while hi - lo > 1:
         mid = (lo + hi) // 2
         left = min(mid * slots, total) - min(lo * slots, total)
-        first = _split(counts, left, np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, lo, hi]))))
+        first = np.array(_split(tuple(counts.tolist()), left, (seed, lo, hi)), np.int64)
         if shard < mid:
             counts, hi = first, mid
         else:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.tokens import TOKENIZERS, token_counts
+from gridloom.llm.tokens import TOKENIZERS, encoder, token_counts
 from gridloom.session import materialize
 
 #: Items that one packer places in order; the number of packers follows from the data.
@@ -117,6 +118,24 @@ def pack_documents(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text:
     return whole.select(*cols).unionAll(packed.select(*cols)).unionAll(none.select(*cols))
 
 
+def texts_again(packed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
+    """doc_id, text STRING: the tokens of each document's pieces, decoded in order; for documents with unique ids."""
+    spots = packed.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("piece_no", "token_start", "n_tokens"))).alias("spots"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(spots.withColumnRenamed(doc_id, "doc_id"), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(folder)[0]
+        for b in batches:
+            out = []
+            for t, spots in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                tokens = enc.encode_to_numpy(t or "", disallowed_special=()).tolist()
+                got = [x for s in spots for x in tokens[s["token_start"] : s["token_start"] + s["n_tokens"]]]
+                out.append(enc.decode_bytes(got).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: n_containers, n_tokens, least_containers (that the tokens alone would need), n_unused LONG, fill DOUBLE."""
     held = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("held"))

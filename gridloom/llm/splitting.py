@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from gridloom.llm.tokens import TOKENIZERS, encoder
 
@@ -151,3 +152,12 @@ def split_documents(docs: DataFrame, limit: int, overlap: int, doc_id: str = "do
                 yield flush()
 
     return big.mapInArrow(run, f"doc_id {kind}, piece_no int, n_pieces int, token_start long, token_end long, n_tokens long, char_start long, char_end long, boundary string, text string")
+
+
+def texts_again(pieces: DataFrame, limit: int) -> DataFrame:
+    """doc_id, whole STRING (the pieces of each text without their overlaps, in order) and fits (no piece above ``limit``
+    tokens), for documents with unique ids."""
+    before = F.coalesce(F.lag("char_end").over(W.partitionBy("doc_id").orderBy("piece_no")), F.lit(0))
+    own = pieces.select("doc_id", "piece_no", "n_tokens", F.substr("text", (before - F.col("char_start") + 1).cast("int")).alias("part"))
+    rows = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "part"))).alias("parts"), F.every(F.col("n_tokens") <= limit).alias("fits"))
+    return rows.select("doc_id", F.array_join("parts.part", "").alias("whole"), "fits")

@@ -1,4 +1,4 @@
-"""SQL that gives the rows of the queries p2 another way."""
+"""SQL that gives the rows of the queries p2 another way, and the texts that p6 and p8 must give back."""
 
 from __future__ import annotations
 
@@ -34,4 +34,6 @@ SQL = {
     ) select t.column_name, t.key_value, t.n, l.p, min(k.v) as value, t.rank_error
     from totals t join known k on k.column_name = t.column_name and k.key_value is not distinct from t.key_value cross join (select unnest([0.05, 0.25, 0.5, 0.75, 0.95]::double[]) as p) l
     where k.known >= l.p * t.n group by t.column_name, t.key_value, t.n, l.p, t.rank_error""",
+    "p6_texts": "select doc_id, md5(coalesce(text, '')) as digest, true as fits from documents",
+    "p8_texts": "select doc_id, md5(text) as digest, true as fits from documents",
 }

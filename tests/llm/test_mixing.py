@@ -1,9 +1,10 @@
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from gridloom.llm.mixing import mix, mixed_tokens, permute, plan_sources, shard_counts, share_report
+from gridloom.llm.mixing import ALL_TOKENS, hypergeometric, mix, mixed_tokens, permute, plan_sources, shard_counts, share_report
 from gridloom.llm.tokens import encode
 
 
@@ -27,11 +28,33 @@ def test_shards_share_out_the_totals():
     assert 0 < spread.std() < 10
 
 
+@pytest.mark.parametrize(("good", "total", "n"), [(5, 20, 7), (3, 10, 9), (50, 1000, 300), (1, 4, 2), (400, 800, 400)])
+def test_draws_have_the_hypergeometric_probabilities(good, total, n):
+    rng, draws = np.random.default_rng(4), 20_000
+    got = Counter(hypergeometric(good, total, n, rng) for _ in range(draws))
+    p = {k: math.comb(good, k) * math.comb(total - good, n - k) / math.comb(total, n) for k in range(max(0, n + good - total), min(good, n) + 1)}
+    assert set(got) <= set(p)
+    tested = [k for k in p if draws * p[k] > 5]
+    assert sum((got[k] - draws * p[k]) ** 2 / (draws * p[k]) for k in tested) < len(tested) + 4 * math.sqrt(2 * len(tested)) + 4
+
+
+@pytest.mark.parametrize("size", [10**6, 10**10, 10**14])
+def test_counts_of_huge_nodes_are_drawn_too(size):
+    good, n, rng = 3 * size // 10, size // 2, np.random.default_rng(8)
+    sd = math.sqrt(n * 0.3 * 0.7 * (size - n) / (size - 1))
+    x = (np.array([hypergeometric(good, size, n, rng) for _ in range(4000)]) - good * n // size) / sd
+    assert abs(x.mean()) < 0.07 and abs(x.std() - 1) < 0.05
+    take = np.array([size, size // 7, 0, 5])
+    halves = [shard_counts(i, 2, take, -(-int(take.sum()) // 2), 3)[0] for i in range(2)]
+    assert (halves[0] + halves[1] == take).all() and halves[0][0] != size // 2
+
+
 def test_plan_respects_caps():
     plan = {p.source: p for p in plan_sources([("a", 0.5, 1), ("b", 0.5, 3), ("none", 0.2, 2)], {"a": 100_000, "b": 1000}, 100)}
     assert plan["b"].take == 3 * plan["b"].blocks and abs(plan["a"].take * plan["a"].length - 3000) < 100 and plan["none"].take == 0
     more = {p.source: p for p in plan_sources([("a", 0.5, 1), ("b", 0.5, 3)], {"a": 100_000, "b": 1000}, 100, total=50_000)}
     assert more["b"].take == 3 * more["b"].blocks and abs(more["a"].take * more["a"].length - 25_000) < 100
+    assert plan_sources([("a", 1.0, 9)], {"a": 1000, "other": 5}, 100, total=ALL_TOKENS)[0].take == 10
 
 
 def test_frames(spark):
@@ -60,18 +83,3 @@ def test_frames(spark):
     assert mix(docs.limit(0), targets)[0].count() == 0 and mix(docs, targets.limit(0))[0].count() == 0
     with pytest.raises(ValueError):
         mix(docs, targets.union(targets))
-
-
-def test_split_of_huge_counts_is_drawn():
-    import numpy as np
-
-    from gridloom.llm.mixing import _split
-
-    counts = np.array([3_000_000_000, 1_000_000_000, 0, 7], np.int64)
-    got = np.array([_split(counts, 1_500_000_000, np.random.default_rng(i)) for i in range(400)])
-    assert (got.sum(1) == 1_500_000_000).all() and (got >= 0).all() and (got <= counts).all()
-    p, share = 0.75, 1.5 / 4.0
-    sd = (4e9 * share * (1 - share) * p * (1 - p)) ** 0.5
-    assert abs(got[:, 0].mean() - 1_125_000_000) < 5 * sd / 20 and 0.85 < got[:, 0].std() / sd < 1.15
-    # as many as there are
-    assert (_split(counts, int(counts.sum()), np.random.default_rng(1)) == counts).all() and not _split(counts, 0, np.random.default_rng(1)).any()
