@@ -12,20 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators.skew import bounded_join
 from gridloom.session import materialize
 
 #: Expected rows of a load that the classifier is fitted on; smaller loads are used whole. Everything else reads all rows.
 FIT_ROWS = 4096
-#: Loads that one scoring scan handles, so that what a worker holds doesn't grow with the number of loads.
-LOAD_BLOCK = 16
+#: Bytes of models and score histograms that a worker holds in a scoring scan; more loads take more scans.
+SCORE_BYTES = 64_000_000
 NEWTON_STEPS = 6
 RIDGE = 1e-2
-SCORE_BINS = 2048
+SCORE_BINS = 512
 HASH_BUCKETS = 6
-#: Standard errors by which an AUC must fall short of a column's smallest change before the load is ruled out.
+#: Standard errors by which an AUC must fall short of a column's smallest change before the load is ruled out, and must
+#: exceed 1/2 for the column to count as distinguishable.
 SURE = 3.0
-#: Valid rows that a load's models must be fitted on at least for a column to be ruled out by them.
+#: Rows that a fold of either load must have for a column to be ruled out, and the part of a limit that must be seen.
 SURE_ROWS = 100
+SEEN = 0.8
 
 
 @dataclass(frozen=True)
@@ -103,9 +106,14 @@ def _is_number(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 
 
-def base_aggregates(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id") -> DataFrame:
-    """One row a load: n, and for column i n_null_i, n_valid_i, sum_i, sumsq_i (valid values; text by length), and the
-    counts dom_i_k of its domain; exact, over all rows, combined before the shuffle. Loads without id are left out."""
+def _fold(row_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{row_id}`"), F.lit(1)), F.lit(2)).cast("int")
+
+
+def base_aggregates(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id", row_id: str = "row_id") -> DataFrame:
+    """A row for each load and fold (halves by a hash of the row id): n, and for column i n_null_i, n_valid_i, sum_i, sumsq_i
+    (valid values; text by length), and the counts dom_i_k of its domain; exact, over all rows, combined before the shuffle.
+    Loads without id are left out."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, r in enumerate(rules):
         c = F.col(f"`{r.name}`")
@@ -115,12 +123,12 @@ def base_aggregates(df: DataFrame, rules: Sequence[ColumnRule], load: str = "loa
         v = F.when(fine, x)
         aggs += [F.count_if(c.isNull()).alias(f"n_null_{i}"), F.count_if(ok).alias(f"n_valid_{i}"), F.count(v).alias(f"n_num_{i}"), F.sum(v).alias(f"sum_{i}"), F.sum(v * v).alias(f"sumsq_{i}")]
         aggs += [F.count_if(c == d).alias(f"dom_{i}_{k}") for k, d in enumerate(r.domain or ())]
-    return df.where(F.col(load).isNotNull()).groupBy(F.col(f"`{load}`").alias("load")).agg(*aggs)
+    return df.where(F.col(load).isNotNull()).groupBy(F.col(f"`{load}`").cast("long").alias("load"), _fold(row_id).alias("fold")).agg(*aggs)
 
 
-def bin_counts(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id") -> dict[tuple[int, int], np.ndarray]:
-    """Rows in each bin of the rules with cuts or buckets, by load and number of the rule; exact, over all rows, one scan.
-    The driver gets a row a load and partition."""
+def bin_counts(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id", row_id: str = "row_id") -> dict[tuple[int, int, int], np.ndarray]:
+    """Rows in each bin of the rules with cuts or buckets, by load, fold and number of the rule; exact, over all rows, one scan.
+    Partitions are summed before the driver gets a row for each load and fold."""
     binned = [i for i, r in enumerate(rules) if r.n_bins()]
     if not binned:
         return {}
@@ -129,41 +137,48 @@ def bin_counts(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            loads, row = np.unique(b.column(0).to_numpy(), return_inverse=True)
-            n = np.zeros((len(loads), ends[-1]), np.int64)
+            keys, row = np.unique(b.column(0).to_numpy() * 2 + b.column(1).to_numpy(), return_inverse=True)
+            n = np.zeros((len(keys), ends[-1]), np.int64)
             for j in range(len(binned)):
                 width = ends[j + 1] - ends[j]
-                n[:, ends[j] : ends[j + 1]] = np.bincount(row * width + b.column(j + 1).to_numpy(), minlength=len(loads) * width).reshape(len(loads), width)
-            for k, v in zip(loads.tolist(), n):
+                n[:, ends[j] : ends[j + 1]] = np.bincount(row * width + b.column(j + 2).to_numpy(), minlength=len(keys) * width).reshape(len(keys), width)
+            for k, v in zip(keys.tolist(), n):
                 sums[k] = sums[k] + v if k in sums else v
         for k, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"load": pa.array([k], pa.int64()), "counts": pa.array([v.tobytes()], pa.binary())})
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_pydict({"load": pa.array(np.full(len(at), k // 2), pa.int64()), "fold": pa.array(np.full(len(at), k % 2), pa.int32()), "bin": pa.array(at, pa.int32()), "cnt": pa.array(v[at], pa.int64())})
 
     cols = [F.coalesce(rules[i].bin(), F.lit(rules[i].n_bins())).cast("int").alias(f"b_{i}") for i in binned]
-    total: dict[int, np.ndarray] = {}
-    for r in df.where(F.col(load).isNotNull()).select(F.col(f"`{load}`").cast("long").alias("load"), *cols).mapInArrow(run, "load long, counts binary").collect():
-        v = np.frombuffer(r["counts"], np.int64)
-        total[r["load"]] = total[r["load"]] + v if r["load"] in total else v
-    return {(k, i): v[ends[j] : ends[j + 1] - 1].astype(float) for k, v in total.items() for j, i in enumerate(binned) if v[ends[j] : ends[j + 1] - 1].any()}
+    counts = df.where(F.col(load).isNotNull()).select(F.col(f"`{load}`").cast("long").alias("load"), _fold(row_id).alias("fold"), *cols).mapInArrow(run, "load long, fold int, bin int, cnt long")
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for r in counts.groupBy("load", "fold", "bin").agg(F.sum("cnt").alias("cnt")).collect():
+        total.setdefault((r["load"], r["fold"]), np.zeros(ends[-1]))[r["bin"]] = r["cnt"]
+    return {(k, f, i): v[ends[j] : ends[j + 1] - 1] for (k, f), v in total.items() for j, i in enumerate(binned)}
 
 
 @dataclass
 class _Coder:
-    """Worker-side feature matrix: for each column null, broken, standardized value and its square or category flags."""
+    """Worker-side feature matrix: for each column null, broken, standardized value and its square or category flags; after
+    them, for each column with a limit to its mean, the value in (nearly) unclipped units of its spread."""
 
     rules: tuple[ColumnRule, ...]
     numeric: tuple[bool, ...]
     centre: tuple[float, ...]
     spread: tuple[float, ...]
     slots: list[tuple[int, int]] = field(default_factory=list)
+    plain: dict[int, int] = field(default_factory=dict)
     width: int = 1
 
     def __post_init__(self) -> None:
-        self.slots, self.width = [], 1  # slot 0 is the intercept
+        self.slots, self.plain, self.width = [], {}, 1  # slot 0 is the intercept
         for r, num in zip(self.rules, self.numeric):
             k = 4 if num else 2 + (len(r.domain) if r.domain else HASH_BUCKETS)
             self.slots.append((self.width, self.width + k))
             self.width += k
+        for i, r in enumerate(self.rules):
+            if r.mean_change is not None and self.numeric[i]:
+                self.plain[i] = self.width
+                self.width += 1
 
     def matrix(self, batch: pa.RecordBatch) -> np.ndarray:
         n = batch.num_rows
@@ -176,7 +191,10 @@ class _Coder:
             x[:, a + 1] = ~null & ~ok
             v = batch.column(f"v_{i}").to_numpy(zero_copy_only=False)
             if num:
-                z = np.where(ok & np.isfinite(v), (v - self.centre[i]) / self.spread[i], 0.0)
+                with np.errstate(invalid="ignore"):
+                    z = np.where(ok & np.isfinite(v), (v - self.centre[i]) / self.spread[i], 0.0)
+                if i in self.plain:
+                    x[:, self.plain[i]] = np.clip(z, -1000, 1000)
                 z = np.clip(z, -8, 8)
                 x[:, a + 2], x[:, a + 3] = z, z * z / 8
             else:
@@ -186,8 +204,9 @@ class _Coder:
         return x
 
     def variants(self) -> list[tuple[str, np.ndarray]]:
-        """Feature masks: all columns, all but one, and one alone."""
+        """Feature masks of the scored models: all columns, all but one, and one alone."""
         every = np.ones(self.width, bool)
+        every[list(self.plain.values())] = False
         out = [("all", every)]
         for r, (a, b) in zip(self.rules, self.slots):
             without, alone = every.copy(), np.zeros(self.width, bool)
@@ -196,9 +215,13 @@ class _Coder:
             out += [(f"without:{r.name}", without), (f"only:{r.name}", alone)]
         return out
 
+    def means(self) -> list[tuple[str, np.ndarray]]:
+        """Feature masks of the models of one column's plain value."""
+        return [(f"mean:{self.rules[i].name}", np.isin(np.arange(self.width), (0, at))) for i, at in self.plain.items()]
+
 
 def _coded(df: DataFrame, rules: Sequence[ColumnRule], load: str, row_id: str) -> DataFrame:
-    cols = [F.col(f"`{load}`").cast("long").alias("load"), F.pmod(F.xxhash64(F.col(f"`{row_id}`"), F.lit(1)), F.lit(2)).cast("int").alias("fold")]
+    cols = [F.col(f"`{load}`").cast("long").alias("load"), _fold(row_id).alias("fold")]
     for i, r in enumerate(rules):
         c = F.col(f"`{r.name}`")
         if _is_number(df.schema[r.name].dataType):
@@ -216,49 +239,53 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _unpacked(sums: bytes, masks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Gradient and curvature of each variant, over its own features."""
-    v, at, out = np.frombuffer(sums), 0, []
-    for k in masks.sum(0):
-        upper, h = np.triu_indices(k), np.zeros((k, k))
-        end = at + k + len(upper[0])
-        h[upper] = v[at + k : end]
-        out.append((v[at : at + k], h + np.triu(h, 1).T))
-        at = end
-    return out
-
-
-def _newton_sums(coder: _Coder, loads: list[int], first: int, weights: dict[tuple[int, int], np.ndarray], counts: dict[tuple[int, int], int]):
-    """Partial gradients and curvatures of all models of a block over one partition, for mapInArrow."""
-    masks = [m for _, m in coder.variants()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            x, ld, fold = coder.matrix(b), b.column("load").to_numpy(), b.column("fold").to_numpy()
-            for f in (0, 1):
-                base = (ld == first) & (fold == f)
-                for one in loads:
-                    rows = base | ((ld == one) & (fold == f))
-                    if not rows.any():
-                        continue
-                    xs, y = x[rows], (ld[rows] == one).astype(float)
-                    w = weights[one, f]
-                    # either class weighs a half, whatever the loads' sizes
-                    c = np.where(y > 0, 0.5 / max(1, counts[one, f]), 0.5 / max(1, counts[first, f]))
-                    p = _sigmoid(xs @ w)
-                    g = (p - y[:, None]) * c[:, None]
-                    s = p * (1 - p) * c[:, None]
-                    parts = []
-                    for j, m in enumerate(masks):
-                        xm = xs[:, m]
-                        parts += [xm.T @ g[:, j], ((xm * s[:, j : j + 1]).T @ xm)[np.triu_indices(xm.shape[1])]]
-                    v = np.concatenate(parts)
-                    sums[one, f] = sums[one, f] + v if (one, f) in sums else v
-        for (one, f), v in sums.items():
-            yield pa.RecordBatch.from_pydict({"load": pa.array([one], pa.int64()), "fold": pa.array([f], pa.int32()), "sums": pa.array([v.tobytes()], pa.binary())})
-
-    return run
+def _fit(coder: _Coder, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients (features x models) of the logistic regressions of one load and fold by Newton steps; either class weighs
+    a half, whatever the loads' sizes."""
+    masks = [m for _, m in coder.variants() + coder.means()]
+    w = np.zeros((coder.width, len(masks)))
+    c = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
+    for j, m in enumerate(masks):
+        xm, b = x[:, m], np.zeros(m.sum())
+        ridge = RIDGE * np.r_[1e-6, np.ones(len(b) - 1)]
+        for _ in range(NEWTON_STEPS):
+            p = _sigmoid(xm @ b)
+            g = xm.T @ ((p - y) * c) + RIDGE * np.r_[0, np.ones(len(b) - 1)] * b
+            h = (xm * (p * (1 - p) * c)[:, None]).T @ xm + np.diag(ridge)
+            step = np.linalg.solve(h, g)
+            b = b - step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
+        w[m, j] = b
+    return w
+
+
+def _models(df: DataFrame, coder: _Coder, rules: Sequence[ColumnRule], sizes: dict[int, int], first: int, load: str, row_id: str, fit_rows: int) -> dict[tuple[int, int], np.ndarray]:
+    """The models of all later loads and both folds, trained side by side on the executors.
+
+    A hash of the row id picks about ``fit_rows`` rows of each load, in a scan of all partitions. Each later load's rows and a
+    copy of the first load's go to the tasks of its two folds; the driver gets the coefficients."""
+    spark = df.sparkSession
+    later = [k for k in sizes if k != first]
+    shares = spark.createDataFrame([(int(k), min(1.0, fit_rows / n)) for k, n in sizes.items()], "__load long, __share double")
+    draw = F.pmod(F.xxhash64(F.col(f"`{row_id}`"), F.lit(2)), F.lit(1 << 30))
+    j = bounded_join(df, shares, F.col(f"`{load}`").cast("long") == F.col("__load"), len(sizes), row_bytes=16)
+    picked = j.where(draw < F.col("__share") * F.lit(1 << 30)).drop("__load", "__share")
+    tasks = max(1, -(-len(sizes) * fit_rows // 65_536))
+    sample = materialize(_coded(picked, rules, load, row_id).repartition(tasks))
+    others = spark.createDataFrame([(int(k),) for k in later], "model long")
+    head = bounded_join(sample.where(F.col("load") == first), others, F.lit(True), len(later), row_bytes=8)
+    pairs = sample.where(F.col("load") != first).withColumn("model", F.col("load")).unionByName(head)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.combine_chunks().to_batches()
+        x = np.concatenate([coder.matrix(b) for b in rows])
+        y = (table["load"].to_numpy() != first).astype(float)
+        w = _fit(coder, x, y)
+        return pa.table({"model": pa.array([key[0].as_py()], pa.int64()), "fold": pa.array([key[1].as_py()], pa.int32()), "weights": pa.array([w.tobytes()], pa.binary())})
+
+    n_models = len(coder.variants()) + len(coder.means())
+    got = pairs.groupBy("model", "fold").applyInArrow(run, "model long, fold int, weights binary").collect()
+    out = {(k, f): np.zeros((coder.width, n_models)) for k in later for f in (0, 1)}
+    return out | {(r["model"], r["fold"]): np.frombuffer(r["weights"]).reshape(coder.width, n_models) for r in got}
 
 
 def _scores(coder: _Coder, loads: list[int], first: int, weights: dict[tuple[int, int], np.ndarray]):
@@ -277,7 +304,7 @@ def _scores(coder: _Coder, loads: list[int], first: int, weights: dict[tuple[int
                         rows = (ld == (one if positive else first)) & (fold == f)
                         if not rows.any():
                             continue
-                        bins = np.minimum((_sigmoid(x[rows] @ weights[one, 1 - f]) * SCORE_BINS).astype(int), SCORE_BINS - 1) + offset
+                        bins = np.minimum((_sigmoid(x[rows] @ weights[one, 1 - f][:, :nv]) * SCORE_BINS).astype(int), SCORE_BINS - 1) + offset
                         h = np.bincount(bins.ravel(), minlength=nv * SCORE_BINS)
                         key = (one, f, positive)
                         hist[key] = hist[key] + h if key in hist else h
@@ -309,68 +336,81 @@ def _standard_error(auc: float, pos: int, neg: int) -> float:
     return math.sqrt(max(0.0, (a * (1 - a) + (pos - 1) * (q1 - a * a) + (neg - 1) * (q2 - a * a)) / (pos * neg)))
 
 
+def discrimination(now: Sequence[np.ndarray], head: Sequence[np.ndarray]) -> float:
+    """Cross-fitted discrimination of two loads by one set of flags, from their counts by fold.
+
+    The logistic regression of flags of which one is set has the log ratio of the shares as its coefficients; that of one
+    fold calls a row of the other fold the later load's where it is positive. The result is the rate of right calls less that
+    of wrong ones (mean of the folds): the difference of the shares where they differ, about 0 where they don't.
+    """
+    out = total = 0.0
+    for f in (0, 1):
+        fit, test = (now[1 - f], head[1 - f]), (now[f], head[f])
+        if not test[0].sum() or not test[1].sum():
+            continue
+        shares = [(c + 0.5) / (c + 0.5).sum() for c in fit]
+        called = shares[0] > shares[1]
+        rows = test[0].sum() + test[1].sum()
+        out += rows * (test[0][called].sum() / test[0].sum() - test[1][called].sum() / test[1].sum())
+        total += rows
+    return float(out / total) if total else 0.0
+
+
 def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: str = "load_id", row_id: str = "row_id", first: int = 1, least_rows: int = 20, fit_rows: int = FIT_ROWS) -> list[dict]:
     """Compare each later load with the first by a classifier two-sample test, column by column. Runs jobs.
 
-    1. Exact base aggregates of all rows by load (one scan).
-    2. For each later load a logistic regression tells its rows from the first load's: features are null, broken,
-       standardized value and square, or category flags of every column. Rows are split into two folds by a hash; models
-       are fitted on one fold by Newton steps, whose gradients and curvatures are summed over the partitions, on about
-       ``fit_rows`` rows a load (a documented bound; smaller loads are used whole), and score every row of the other.
-    3. Cross-fitted AUCs come from exact score histograms over all rows, for the model of all columns, the models without
-       one column (their loss is the column's ablation) and the models of one column alone (which a correlated column
-       can't mask). A column is a candidate unless its AUC plus SURE standard errors excludes half the gain of the
-       smallest change that counts.
-    4. Candidates are confirmed by the exact aggregates: null share, mean of valid values, shares over the domain or bins.
+    1. Exact base aggregates of all rows by load and fold (two halves by a hash of the row id), one scan.
+    2. For each later load and fold logistic regressions tell its rows from the first load's: features are null, broken,
+       standardized value and square, or category flags of every column. They are trained side by side on the executors on
+       about ``fit_rows`` rows a load (a documented bound; smaller loads are used whole), and score every row of the other fold.
+    3. Cross-fitted AUCs over all rows (scores to 1 / SCORE_BINS) for the model of all columns, the models without one column
+       (their loss is the column's ablation) and the models of one column alone (which a correlated column can't mask). A
+       column is distinguishable if its own AUC exceeds 1/2 by SURE standard errors.
+    4. For each kind of change that counts, a cross-fitted classifier of that kind alone says how much of a change it sees:
+       seen_null and seen_share are the discrimination() by the null flag and by the flags of the domain or bins, seen_mean is
+       the difference of the mean scores of the valid rows, in units of the value, along the slope fitted on the other fold.
+       What it sees is from all rows, as such scores only depend on the flag or are linear in the value.
+    5. A load and column are a candidate if some kind is seen to SEEN of its limit and the AUC plus SURE standard errors
+       doesn't exclude half the gain of the smallest change. With under SURE_ROWS rows a fold the classifiers can't rule
+       anything out. Candidates are confirmed by the exact aggregates: null share, mean of valid values, shares.
 
     Result: a dict a load and column: table_name, column_name, load, n, n_first, auc_all, auc_without, auc_only, auc_error,
-    candidate, null_gap, mean_gap, share_gap, shifted. Loads with under ``least_rows`` rows (either side) and rows without
-    a load are left out, so an empty table gives []. The driver holds one row a load and the models of LOAD_BLOCK loads.
+    distinguishable, seen_null, seen_mean, seen_share, candidate, null_gap, mean_gap, share_gap, shifted. Loads with under
+    ``least_rows`` rows (either side) and rows without a load are left out, so an empty table gives []. The driver holds two
+    rows a load and the models; the models and histograms of a scoring scan stay below SCORE_BYTES on a worker.
     """
-    base = {r["load"]: r for r in base_aggregates(df, rules, load).collect()}
+    folds = {(r["load"], r["fold"]): r.asDict() for r in base_aggregates(df, rules, load, row_id).collect()}
+    base: dict[int, dict] = {}
+    for (k, _), r in folds.items():
+        base[k] = {c: (base[k][c] if k in base else 0) + (v or 0) for c, v in r.items() if c not in ("load", "fold")}
     if first not in base or base[first]["n"] < least_rows:
         return []
     later = sorted(k for k, r in base.items() if k > first and r["n"] >= least_rows)
-    head, bins = base[first], bin_counts(df, rules, load)
+    if not later:
+        return []
+    head, by_fold = base[first], bin_counts(df, rules, load, row_id)
     numeric = tuple(_is_number(df.schema[r.name].dataType) for r in rules)
 
     def moments(i: int) -> tuple[float, float]:
-        n = head[f"n_num_{i}"]
+        r, n = rules[i], head[f"n_num_{i}"]
+        least = 1e-9 if r.low is None else (r.high - r.low) / 1000
         if not n:
             return 0.0, 1.0
         m = head[f"sum_{i}"] / n
         sd = math.sqrt(max(0.0, head[f"sumsq_{i}"] / n - m * m)) if math.isfinite(head[f"sumsq_{i}"]) else abs(m)
-        return m, sd if sd > 1e-9 else 1.0
+        return m, sd if sd > least else max(least, 1.0 if r.low is None else least)
 
     ms = [moments(i) for i in range(len(rules))]
     coder = _Coder(tuple(rules), numeric, tuple(m for m, _ in ms), tuple(s for _, s in ms))
-    masks = np.stack([m for _, m in coder.variants()], 1)
-    nv, d = masks.shape[1], coder.width
-    shares = F.create_map(*[F.lit(v) for k in [first, *later] for v in (str(k), min(1.0, fit_rows / base[k]["n"]))])
-    share = F.try_element_at(shares, F.col(load).cast("string"))
-    picked = df.where(F.col(load).isin([first, *later]) & (F.pmod(F.xxhash64(F.col(f"`{row_id}`"), F.lit(2)), F.lit(1 << 30)) < share * F.lit(1 << 30)))
-    sample = materialize(_coded(picked, rules, load, row_id).coalesce(4))
-    counts: dict[tuple[int, int], int] = {(k, f): 0 for k in [first, *later] for f in (0, 1)}
-    counts |= {(r["load"], r["fold"]): r["count"] for r in sample.groupBy("load", "fold").count().collect()}
+    weights = _models(df, coder, rules, {k: base[k]["n"] for k in [first, *later]}, first, load, row_id, fit_rows)
+    names = [v for v, _ in coder.variants() + coder.means()]
+    nv = len(coder.variants())
+    block_size = max(1, SCORE_BYTES // (2 * 8 * coder.width * len(names) + 4 * 8 * nv * SCORE_BINS))
     found = []
-    for at in range(0, len(later), LOAD_BLOCK):
-        block = later[at : at + LOAD_BLOCK]
-        weights = {(k, f): np.zeros((d, nv)) for k in block for f in (0, 1)}
-        here = sample.where(F.col("load").isin([first, *block]))
-        for _ in range(NEWTON_STEPS):
-            total: dict[tuple[int, int], np.ndarray] = {}
-            for r in here.mapInArrow(_newton_sums(coder, block, first, weights, counts), "load long, fold int, sums binary").collect():
-                v = np.frombuffer(r["sums"])
-                total[r["load"], r["fold"]] = total[r["load"], r["fold"]] + v if (r["load"], r["fold"]) in total else v
-            for key, v in total.items():
-                for j, (g, h) in enumerate(_unpacked(v, masks)):
-                    m = masks[:, j]
-                    hj = h + RIDGE * np.diag(np.r_[1e-6, np.ones(m.sum() - 1)])
-                    gj = g + RIDGE * np.r_[0, np.ones(m.sum() - 1)] * weights[key][m, j]
-                    step = np.linalg.solve(hj, gj)
-                    weights[key][m, j] -= step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
+    for at in range(0, len(later), block_size):
+        block = later[at : at + block_size]
         rows = _coded(df.where(F.col(load).isin([first, *block])), rules, load, row_id)
-        hist = rows.mapInArrow(_scores(coder, block, first, weights), "load long, fold int, positive int, variant string, bin int, cnt long")
+        hist = rows.mapInArrow(_scores(coder, block, first, {k: w for k, w in weights.items() if k[0] in block}), "load long, fold int, positive int, variant string, bin int, cnt long")
         parts: dict[tuple[int, str], list] = {}
         for r in _auc(hist):
             if r["pos"] and r["neg"]:
@@ -381,15 +421,43 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
                 only = auc.get((k, f"only:{r.name}"))
                 error = _standard_error(only, base[k]["n"], head["n"]) if only is not None else None
                 valid = [b[f"n_valid_{i}"] / b["n"] for b in (base[k], head)]
-                known = min(valid) * min(counts[x, f] for x in (k, first) for f in (0, 1)) >= SURE_ROWS
-                candidate = only is None or not known or max(only, 1 - only) + SURE * error >= 0.5 + r.smallest_gain(*valid)
+                seen = _seen(r, i, k, first, folds, by_fold, {f: weights[k, f][coder.plain[i], names.index(f"mean:{r.name}")] for f in (0, 1)} if i in coder.plain else {})
+                visible = any(v is None or v >= SEEN * limit for v, limit in seen.values())
+                excluded = only is not None and min(valid) * min(FIT_ROWS, base[k]["n"], head["n"]) / 2 >= SURE_ROWS and max(only, 1 - only) + SURE * error < 0.5 + r.smallest_gain(*valid)
+                candidate = visible and not excluded
+                pooled = [sum(x) if (x := [by_fold[j, f, i] for f in (0, 1) if (j, f, i) in by_fold]) else None for j in (k, first)]
                 found.append(
-                    {"table_name": table, "column_name": r.name, "load": int(k), "n": base[k]["n"], "n_first": head["n"], "auc_all": auc.get((k, "all")), "auc_without": auc.get((k, f"without:{r.name}")), "auc_only": only, "auc_error": error, "candidate": candidate}
-                    | _confirm(r, i, base[k], head, candidate, bins.get((k, i)), bins.get((first, i)))
-                )
+                    {"table_name": table, "column_name": r.name, "load": int(k), "n": base[k]["n"], "n_first": head["n"], "auc_all": auc.get((k, "all")), "auc_without": auc.get((k, f"without:{r.name}")), "auc_only": only, "auc_error": error,
+                     "distinguishable": only is not None and max(only, 1 - only) - SURE * error > 0.5, "seen_null": seen["null"][0], "seen_mean": seen.get("mean", (None,))[0], "seen_share": seen.get("share", (None,))[0], "candidate": candidate}
+                    | _confirm(r, i, base[k], head, candidate, *pooled)
+                )
     return found
 
 
+def _seen(r: ColumnRule, i: int, load: int, first: int, folds: dict, by_fold: dict, slopes: dict[int, float]) -> dict[str, tuple[float | None, float]]:
+    """How much of each kind of change the cross-fitted classifiers see, with its limit; None where a fold has too few rows."""
+    empty = {"n": 0}
+    now, head = ([folds.get((k, f), empty) for f in (0, 1)] for k in (load, first))
+    enough = lambda rows: min(rows) >= SURE_ROWS
+    flags = [[np.array([x.get(f"n_null_{i}", 0), x["n"] - x.get(f"n_null_{i}", 0)], float) for x in side] for side in (now, head)]
+    out = {"null": (discrimination(*flags) if enough([x["n"] for x in now + head]) else None, r.null_change)}
+    if r.mean_change is not None:
+        rows = [x.get(f"n_num_{i}", 0) for x in now + head]
+        seen = None
+        if enough(rows) and all(slopes.get(f) for f in (0, 1)):
+            gaps = [math.copysign(1, slopes[1 - f]) * (now[f][f"sum_{i}"] / now[f][f"n_num_{i}"] - head[f][f"sum_{i}"] / head[f][f"n_num_{i}"]) for f in (0, 1)]
+            share = [now[f][f"n_num_{i}"] + head[f][f"n_num_{i}"] for f in (0, 1)]
+            seen = (gaps[0] * share[0] + gaps[1] * share[1]) / sum(share)
+        out["mean"] = (seen, r.mean_change)
+    if r.share_change is not None:
+        if r.n_bins():
+            counts = [[by_fold.get((k, f, i), np.zeros(r.n_bins())) for f in (0, 1)] for k in (load, first)]
+        else:
+            counts = [[np.array([x.get(f"dom_{i}_{k}", 0) for k in range(len(r.domain or ()))], float) for x in side] for side in (now, head)]
+        out["share"] = (discrimination(*counts) if enough([c.sum() for side in counts for c in side]) else None, r.share_change)
+    return out
+
+
 def _confirm(r: ColumnRule, i: int, now, head, candidate: bool, bins: np.ndarray | None = None, head_bins: np.ndarray | None = None) -> dict:
     null_gap = now[f"n_null_{i}"] / now["n"] - head[f"n_null_{i}"] / head["n"]
     mean_gap = share_gap = None
@@ -408,7 +476,7 @@ def _confirm(r: ColumnRule, i: int, now, head, candidate: bool, bins: np.ndarray
     return {"null_gap": null_gap, "mean_gap": mean_gap, "share_gap": share_gap, "shifted": bool(candidate and shifted)}
 
 
-CHANGE_SCHEMA = "table_name string, column_name string, load long, n long, n_first long, auc_all double, auc_without double, auc_only double, auc_error double, candidate boolean, null_gap double, mean_gap double, share_gap double, shifted boolean"
+CHANGE_SCHEMA = "table_name string, column_name string, load long, n long, n_first long, auc_all double, auc_without double, auc_only double, auc_error double, distinguishable boolean, seen_null double, seen_mean double, seen_share double, candidate boolean, null_gap double, mean_gap double, share_gap double, shifted boolean"
 
 
 def column_profile(df: DataFrame, table: str, rules: Sequence[ColumnRule] = ()) -> DataFrame:

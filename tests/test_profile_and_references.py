@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -37,7 +38,24 @@ def test_shifts(spark, change, column):
 
 def test_large_loads_rule_columns_out(spark):
     got = profile.load_changes(loads(spark, "mean", 3000), "t", RULES, fit_rows=500)
-    assert not all(r["candidate"] for r in got) and {(r["column_name"], r["load"]) for r in got if r["shifted"]} == {("v", 3)}
+    assert [(r["column_name"], r["load"]) for r in got if r["candidate"]] == [("v", 3)] == [(r["column_name"], r["load"]) for r in got if r["shifted"]]
+    by = {(r["column_name"], r["load"]): r for r in got}
+    assert abs(by["v", 3]["seen_mean"] - by["v", 3]["mean_gap"]) < 0.05 and by["v", 3]["distinguishable"] and abs(by["s", 2]["seen_share"]) < 0.05
+
+
+def test_small_blocks_of_loads_agree(spark, monkeypatch):
+    whole = profile.load_changes(loads(spark, "share", 300), "t", RULES)
+    monkeypatch.setattr(profile, "SCORE_BYTES", 1)
+    assert profile.load_changes(loads(spark, "share", 300), "t", RULES) == whole
+
+
+def test_discrimination():
+    rng = np.random.default_rng(1)
+    for p, q in (((0.5, 0.3, 0.2), (0.5, 0.3, 0.2)), ((0.5, 0.3, 0.2), (0.2, 0.3, 0.5)), ((1, 0, 0), (0, 0, 1)), ((0.1, 0.9, 0), (0.3, 0.7, 0))):
+        a, b = ([rng.multinomial(4000, w).astype(float) for _ in range(2)] for w in (p, q))
+        assert abs(profile.discrimination(a, b) - np.abs(np.subtract(p, q)).sum() / 2) < 0.04
+    none = [np.zeros(3)] * 2
+    assert profile.discrimination(none, none) == 0.0 == profile.discrimination(none, [np.ones(3)] * 2)
 
 
 @pytest.mark.parametrize(("column", "change"), [("t", "F.when(F.rand(1) < 0.4, 999.99).otherwise(F.col('t'))"), ("c", "F.lit('zz')"), ("t", "F.lit(float('nan'))"), ("c", "F.when(F.rand(1) > 0.3, F.col('c'))")])
