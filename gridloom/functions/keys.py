@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 @dataclass(frozen=True)
@@ -61,10 +60,12 @@ def bond_classes(df: DataFrame, bond_key: str = "bond_key", component_key: str =
 def encode_ids(df: DataFrame, column: str, order: str, known: DataFrame, first_new: int, limit: int | None = None) -> DataFrame:
     """Codes of all ids: those of ``known`` (id, code), and for others the next numbers from ``first_new`` by first
     occurrence in ``order`` (ties by id). Codes beyond ``limit`` are null. Result: id, code LONG, is_new BOOLEAN. Nulls have
-    no code. The ids are combined before the one task that numbers the new ones sees them."""
+    no code. The ids are combined before they are numbered, in parts of their order. Runs jobs."""
+    from gridloom.operators.ordering import numbered
+
     seen = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).agg(F.min(order).alias("first"))
     j = seen.join(known.select("id", F.col("code").cast("long").alias("old")), "id", "left")
-    new = j.where("old is null").withColumn("code", F.lit(first_new - 1) + F.row_number().over(W.orderBy("first", "id")))
+    new = numbered(j.where("old is null"), [], ["first", "id"], "__no").withColumn("code", F.lit(first_new - 1) + F.col("__no"))
     code = F.when(F.col("code") <= limit, F.col("code")) if limit is not None else F.col("code")
     return j.where("old is not null").select("id", F.col("old").alias("code"), F.lit(False).alias("is_new")).unionAll(new.select("id", code.cast("long"), F.lit(True)))
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.ordering import percentiles
+
 
 def mean(c: Column) -> Column:
     return F.coalesce(F.avg(c), F.lit(0.0))
@@ -28,7 +30,8 @@ def maximum(c: Column) -> Column:
 
 
 def percentile(c: Column, p: float) -> Column:
-    """Exact, between ranks linear at p (n - 1); 0 for p <= 0 or empty input, the maximum for p >= 1."""
+    """Exact, between ranks linear at p (n - 1); 0 for p <= 0 or empty input, the maximum for p >= 1. The aggregate holds a
+    group's distinct values in one task: for large groups use ordering.percentiles()."""
     if p <= 0:
         return F.lit(0.0)
     return F.coalesce(F.max(c) if p >= 1 else F.percentile(c, F.lit(p)), F.lit(0.0))
@@ -70,11 +73,12 @@ def normalize_by_sd(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
 def binned_medians(df: DataFrame, keys: Sequence[str], distance: str, value: str, low: float = 0.0, high: float = 1.5, bins: int = 15) -> DataFrame:
     """Median of ``value`` in each of ``bins`` distance bins for every key: keys, bin INT, x, y DOUBLE, empty bins 0.
 
-    A bin's index ignores ``low`` while its centre uses it (they agree at low = 0); values outside all bins are left out.
+    A bin's index ignores ``low`` while its centre uses it (they agree at low = 0); values outside all bins are left out. Runs
+    jobs; bins of any size.
     """
     step = (high - low) / bins
     b = F.floor(F.col(distance) / F.lit(step)).cast("int")
-    got = df.select(*keys, b.alias("bin"), F.col(value)).where(F.col("bin").between(0, bins - 1)).groupBy(*keys, "bin").agg(F.median(value).alias("y"))
+    got = percentiles(df.select(*keys, b.alias("bin"), F.col(value)).where(F.col("bin").between(0, bins - 1)), [*keys, "bin"], value, {"y": 0.5})
     grid = df.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return grid.join(got, [*keys, "bin"], "left").select(*keys, "bin", (F.lit(low) + (F.col("bin") + 0.5) * step).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
 

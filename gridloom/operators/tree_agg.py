@@ -12,9 +12,10 @@ CHUNK_ROWS = 65_536
 FAN_IN = 8
 
 
-def rounds(n_rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> list[int]:
-    """Nodes of each merge round, the last being 1: every node merges about ``fan_in`` of the round before."""
-    widths, w = [], max(1, -(-n_rows // chunk_rows))
+def rounds(n_rows: int, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN, splits: int = 0) -> list[int]:
+    """Nodes of each merge round, the last being 1: every node merges about ``fan_in`` of the round before. Chunks don't reach
+    over splits, of which each has one that isn't full."""
+    widths, w = [], max(1, -(-n_rows // chunk_rows) + splits)
     while w > 1:
         w = -(-w // fan_in)
         widths.append(w)
@@ -40,7 +41,7 @@ def key_stats(
         n_rows = df.count()
     row = F.monotonically_increasing_id()
     chunk = F.struct(F.shiftright(row, 33).alias("split"), F.floor((row.bitwiseAND(F.lit((1 << 33) - 1))) / F.lit(chunk_rows)).alias("chunk"))
-    widths = rounds(n_rows, chunk_rows, fan_in)
+    widths = rounds(n_rows, chunk_rows, fan_in, df.rdd.getNumPartitions())
     parts = None
     for c in key_columns:
         vs = [F.col(f"`{v}`").cast("double").alias(f"v{i}") for i, v in enumerate(value_columns)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions import keys, potential, strings
-from gridloom.operators import grid, lookup, select, spatial, stats
+from gridloom.operators import grid, lookup, ordering, select, spatial, stats
 from gridloom.session import materialize, table
 
 QUERIES, SQL = {}, {}
@@ -39,14 +39,15 @@ def grouped_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("select count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as sd, min(value) as low, max(value) as high, round(median(value), 6) as median from events")
 def global_stats(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("value")
-    return table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"), _r(stats.mean(c), "mean"), _r(stats.sd(c), "sd"), stats.minimum(c).alias("low"), stats.maximum(c).alias("high"), _r(stats.median(c), "median"))
+    e = table(spark, d, "events")
+    one = e.agg(F.count(F.lit(1)).alias("n"), _r(stats.mean(c), "mean"), _r(stats.sd(c), "sd"), stats.minimum(c).alias("low"), stats.maximum(c).alias("high"))
+    return one.crossJoin(ordering.percentiles(e, [], "value", {"m": 0.5}).select(_r(F.col("m"), "median")))  # one row each
 
 
 @query("""select user_id, round(quantile_cont(value, 0.01), 6) as p01, round(quantile_cont(value, 0.25), 6) as p25, round(median(value), 6) as p50, round(quantile_cont(value, 0.99), 6) as p99, 0.0::double as p00, max(value) as p100 from events group by 1""")
 def percentiles_by_group(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("value")
-    p01, p99 = stats.percentile_range(c)
-    return table(spark, d, "events").groupBy("user_id").agg(_r(p01, "p01"), _r(stats.percentile(c, 0.25), "p25"), _r(stats.median(c), "p50"), _r(p99, "p99"), stats.percentile(c, 0.0).alias("p00"), stats.percentile(c, 1.0).alias("p100"))
+    p = ordering.percentiles(table(spark, d, "events"), ["user_id"], "value", {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p00": 0.0, "p100": 1.0})
+    return p.select("user_id", *[_r(F.col(c), c) for c in ("p01", "p25", "p50", "p99")], "p00", "p100")
 
 
 @query("""select event_type, round(lo - 0.1 * (hi - lo), 6) as low, round(hi + 0.1 * (hi - lo), 6) as high, round(q1 - 0.5 * (q9 - q1), 6) as p_low, round(q9 + 0.5 * (q9 - q1), 6) as p_high
@@ -54,8 +55,10 @@ from (select event_type, min(value) as lo, max(value) as hi, quantile_cont(value
 def scaled_ranges(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("value")
     lo, hi = stats.scaled(stats.value_range(c), 0.1)
-    a, b = stats.scaled(stats.percentile_range(c, 0.1, 0.9), 0.5)
-    return table(spark, d, "events").groupBy("event_type").agg(_r(lo, "low"), _r(hi, "high"), _r(a, "p_low"), _r(b, "p_high"))
+    e = table(spark, d, "events")
+    p = ordering.percentiles(e, ["event_type"], "value", {"q1": 0.1, "q9": 0.9})
+    a, b = stats.scaled((F.col("q1"), F.col("q9")), 0.5)
+    return e.groupBy("event_type").agg(_r(lo, "low"), _r(hi, "high")).join(p.select("event_type", _r(a, "p_low"), _r(b, "p_high")), "event_type")
 
 
 @query("select event_id, round(value / nullif(stddev_samp(value) over (partition by event_type), 0), 6) as value from events")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from gridloom.operators.ordering import numbered
 
 # Header lines of the exported atom loop.
 CIF_COLUMNS = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv", "pdbx_PDB_model_num"]
@@ -75,9 +76,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def marker_lines(points: DataFrame, order: str, radius: float = 0.1, rgb: tuple[float, float, float] = (1.0, 1.0, 0.0)) -> DataFrame:
-    """Marker elements numbered by ``order``; write_text() with marker_ends() makes the file."""
-    n = F.row_number().over(W.orderBy(order))
-    return points.withColumn("id", n).select("id", F.format_string(f'<marker id="%d" x="%.4f" y="%.4f" z="%.4f" r="{rgb[0]}" g="{rgb[1]}" b="{rgb[2]}" radius="{radius}"/>', "id", "x", "y", "z").alias("value"))
+    """Marker elements numbered by ``order``; write_text() with marker_ends() makes the file. Runs jobs."""
+    return numbered(points, [], [order], "id").select("id", F.format_string(f'<marker id="%d" x="%.4f" y="%.4f" z="%.4f" r="{rgb[0]}" g="{rgb[1]}" b="{rgb[2]}" radius="{radius}"/>', "id", "x", "y", "z").alias("value"))
 
 
 def marker_ends(name: str) -> tuple[list[str], list[str]]:

@@ -20,7 +20,7 @@ def values(spark):
 
 
 def test_tree(spark):
-    assert tree_agg.rounds(0) == [1] and tree_agg.rounds(10**9, 65_536, 8) == [1908, 239, 30, 4, 1]
+    assert tree_agg.rounds(0) == [1] and tree_agg.rounds(10, 5, 8, 100) == [13, 2, 1] and tree_agg.rounds(10**9, 65_536, 8) == [1908, 239, 30, 4, 1]
     rows = values(spark)
     df = frame(spark, rows).repartition(7)
     flat = {str(r): 1 for r in tree_agg.key_stats(df, ["k", "day"], ["row_id"], 10**9).collect()}
