@@ -56,16 +56,19 @@ class ColumnRule:
     def n_bins(self) -> int:
         return len(self.cuts) + 2 if self.cuts else self.buckets
 
-    def bin(self) -> Column:
-        """Number of the value's interval or bucket, null for null."""
+    def coded(self) -> Column:
+        """What the value's interval or bucket follows from on a worker: the number, or the bucket; null for null."""
         c = F.col(f"`{self.name}`")
-        if not self.cuts:
-            return F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(self.buckets))).cast("int")
-        v, at = c.cast("double"), F.lit(len(self.cuts))
-        for i, x in reversed(list(enumerate(self.cuts))):
-            at = F.when(v < F.lit(float(x)), F.lit(i)).otherwise(at)
-        at = F.when(c.isNotNull(), at)
-        return F.when(F.isnan(v), F.lit(len(self.cuts) + 1)).otherwise(at)
+        return c.cast("double") if self.cuts else F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(self.buckets))).cast("double")
+
+    def bins(self, v: pa.Array) -> np.ndarray:
+        """Numbers of the intervals or buckets of coded() values; n_bins() for null."""
+        x = v.to_numpy(zero_copy_only=False)  # nulls as NaN
+        if self.cuts:
+            at = np.where(np.isnan(x), len(self.cuts) + 1, np.searchsorted(np.asarray(self.cuts, float), x, side="right"))
+        else:
+            at = np.nan_to_num(x).astype(int)
+        return np.where(np.asarray(v.is_null().to_numpy(zero_copy_only=False), bool), self.n_bins(), at)
 
     def valid(self) -> Column:
         c = F.col(f"`{self.name}`")
@@ -77,6 +80,9 @@ class ColumnRule:
             return c.isin(list(self.domain))
         return c.isNotNull()
 
+    def limited(self) -> bool:
+        return self.low is not None or self.pattern is not None or self.domain is not None
+
     def broken(self) -> Column:
         """Not null and not valid."""
         return F.col(f"`{self.name}`").isNotNull() & ~F.coalesce(self.valid(), F.lit(False))
@@ -141,14 +147,14 @@ def bin_counts(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id"
             n = np.zeros((len(keys), ends[-1]), np.int64)
             for j in range(len(binned)):
                 width = ends[j + 1] - ends[j]
-                n[:, ends[j] : ends[j + 1]] = np.bincount(row * width + b.column(j + 2).to_numpy(), minlength=len(keys) * width).reshape(len(keys), width)
+                n[:, ends[j] : ends[j + 1]] = np.bincount(row * width + rules[binned[j]].bins(b.column(j + 2)), minlength=len(keys) * width).reshape(len(keys), width)
             for k, v in zip(keys.tolist(), n):
                 sums[k] = sums[k] + v if k in sums else v
         for k, v in sums.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_pydict({"load": pa.array(np.full(len(at), k // 2), pa.int64()), "fold": pa.array(np.full(len(at), k % 2), pa.int32()), "bin": pa.array(at, pa.int32()), "cnt": pa.array(v[at], pa.int64())})
 
-    cols = [F.coalesce(rules[i].bin(), F.lit(rules[i].n_bins())).cast("int").alias(f"b_{i}") for i in binned]
+    cols = [rules[i].coded().alias(f"b_{i}") for i in binned]
     counts = df.where(F.col(load).isNotNull()).select(F.col(f"`{load}`").cast("long").alias("load"), _fold(row_id).alias("fold"), *cols).mapInArrow(run, "load long, fold int, bin int, cnt long")
     total: dict[tuple[int, int], np.ndarray] = {}
     for r in counts.groupBy("load", "fold", "bin").agg(F.sum("cnt").alias("cnt")).collect():
@@ -184,12 +190,17 @@ class _Coder:
         n = batch.num_rows
         x = np.zeros((n, self.width))
         x[:, 0] = 1
-        for i, ((a, b), num) in enumerate(zip(self.slots, self.numeric)):
-            ok = np.asarray(batch.column(f"ok_{i}").fill_null(False).to_numpy(zero_copy_only=False), bool)
-            null = np.asarray(batch.column(f"null_{i}").to_numpy(zero_copy_only=False), bool)
+        for i, (r, (a, b), num) in enumerate(zip(self.rules, self.slots, self.numeric)):
+            c = batch.column(f"v_{i}")
+            v = c.to_numpy(zero_copy_only=False)  # nulls as NaN
+            if r.limited():
+                null = np.asarray(batch.column(f"null_{i}").to_numpy(zero_copy_only=False), bool)
+                ok = np.asarray(batch.column(f"ok_{i}").to_numpy(zero_copy_only=False), bool)
+            else:
+                null = np.asarray(c.is_null().to_numpy(zero_copy_only=False), bool)
+                ok = ~null & ~np.isnan(v)
             x[:, a] = null
             x[:, a + 1] = ~null & ~ok
-            v = batch.column(f"v_{i}").to_numpy(zero_copy_only=False)
             if num:
                 with np.errstate(invalid="ignore"):
                     z = np.where(ok & np.isfinite(v), (v - self.centre[i]) / self.spread[i], 0.0)
@@ -224,14 +235,17 @@ def _coded(df: DataFrame, rules: Sequence[ColumnRule], load: str, row_id: str) -
     cols = [F.col(f"`{load}`").cast("long").alias("load"), _fold(row_id).alias("fold")]
     for i, r in enumerate(rules):
         c = F.col(f"`{r.name}`")
+        ok = r.valid()
         if _is_number(df.schema[r.name].dataType):
             v = c.cast("double")
-            ok = r.valid() & ~F.isnan(v)
+            ok = ok & ~F.isnan(v)
         elif r.domain:
-            v, ok = (F.array_position(F.array(*[F.lit(d) for d in r.domain]), c) - 1).cast("double"), r.valid()
+            v = (F.array_position(F.array(*[F.lit(d) for d in r.domain]), c) - 1).cast("double")
         else:
-            v, ok = F.pmod(F.xxhash64(c.cast("string")), F.lit(HASH_BUCKETS)).cast("double"), r.valid()
-        cols += [c.isNull().alias(f"null_{i}"), F.coalesce(ok, F.lit(False)).alias(f"ok_{i}"), v.alias(f"v_{i}")]
+            v = F.when(c.isNotNull(), F.pmod(F.xxhash64(c.cast("string")), F.lit(HASH_BUCKETS))).cast("double")
+        cols.append(v.alias(f"v_{i}"))
+        if r.limited():  # else what is null and valid follows from the value
+            cols += [c.isNull().alias(f"null_{i}"), F.coalesce(ok, F.lit(False)).alias(f"ok_{i}")]
     return df.select(*cols)
 
 
