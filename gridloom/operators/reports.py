@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -54,9 +55,15 @@ def group_estimates(groups: DataFrame, keys: Sequence[str], dimension: int = 3)
     return groups.select(*out, sa.alias("sigma_amplitude"), sw.alias("sigma_width"))
 
 
+def first_member_value(members: DataFrame, group: Sequence[str], member: str, value: str, out: str) -> DataFrame:
+    """For each group the value of its first member in order, 0 where that has none."""
+    return members.groupBy(*group).agg(F.coalesce(F.min_by(value, member), F.lit(0.0)).alias(out))
+
+
 def parameter_minimum(fits: DataFrame, atoms: DataFrame, element: int, column: str) -> DataFrame:
-    """Least value of an estimate over one element."""
-    return fits.join(atoms.where(F.col("element") == element).select("serial_id"), "serial_id", "left_semi").agg(F.min(column).alias("minimum"))
+    """Least value of an estimate over one element; NaN counts as none."""
+    rows = fits.join(atoms.where(F.col("element") == element).select("serial_id"), "serial_id", "left_semi")
+    return rows.agg(F.min(F.when(~F.isnan(F.col(column).cast("double")), F.col(column))).alias("minimum"))
 
 
 def category_counts(atoms: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
@@ -83,19 +90,29 @@ def distance_to_centre(points: DataFrame, point_id: str, keys: Sequence[str], ax
 def paired_groups(rows: DataFrame, first: str, second: str, name: str, on: Sequence[str], value: str, order: str) -> DataFrame:
     """Value of each ``first`` atom beside that of the first ``second`` atom with the same keys."""
     right = rows.where(F.col(name) == second).withColumn("other", F.col(value))
-    return lookup.first_match(rows.where(F.col(name) == first), right, on, order, ["other"]).select(*on, F.col(value), "other")
+    return lookup.first_match(rows.where(F.col(name) == first), right, on, order, ["other"]).select(order, *on, F.col(value), "other")
+
 
+def curves(fits: DataFrame, keys: Sequence[str], xs: Sequence[float], b0: str = "b0", b1: str = "b1", form: str = "gauss", dimension: int = 3) -> DataFrame:
+    """Fitted curves at the given positions, for all fits at once: keys, x, y.
 
-def curve(b0: float, b1: float, xs: Sequence[float], spark, dimension: int = 3) -> DataFrame:
-    """Fitted profile at the given distances."""
-    d = spark.createDataFrame([(float(x),) for x in xs], "x double")
-    return d.select("x", F.exp(F.lit(b0) - 0.5 * F.lit(b1) * F.col("x") * F.col("x")).alias("y"))
+    ``form`` line: ln v over -d^2 / 2, y = b0 + b1 x; gauss: amplitude times the unit Gaussian of the width in ``dimension``
+    dimensions at distance x, both from the line's coefficients (0 where b1 isn't positive)."""
+    rows = fits.select(*keys, F.col(b0).alias("__b0"), F.col(b1).alias("__b1"), F.explode(F.array(*[F.lit(float(x)) for x in xs])).alias("x"))
+    if form == "line":
+        y = F.col("__b0") + F.col("__b1") * F.col("x")
+    elif form == "gauss":
+        a, w = gauss.gauss_from_beta(F.col("__b0"), F.col("__b1"), dimension)
+        y = F.when(w > 0, a * F.pow(2 * math.pi * w * w, F.lit(-dimension / 2)) * F.exp(-F.col("x") * F.col("x") / (2 * w * w))).otherwise(0.0)
+    else:
+        raise ValueError("form must be line or gauss")
+    return rows.select(*keys, "x", y.alias("y"))
 
 
 def chain_series(rows: DataFrame, value: str, sigma: str | None = None) -> DataFrame:
-    """Values along the sequence of each chain; negative sequence numbers are left out."""
+    """Values by chain and sequence number (a series is sorted by who draws it); negative sequence numbers are left out."""
     cols = ["key_tag", "chain_id", "sequence_id", value] + ([sigma] if sigma else [])
-    return rows.where(F.col("sequence_id") >= 0).select(*cols).orderBy("key_tag", "chain_id", "sequence_id")
+    return rows.where(F.col("sequence_id") >= 0).select(*cols)
 
 
 def compare_groups(groups: DataFrame, reference_key: str, value: str, sigma: str, rooted: bool = False) -> DataFrame:

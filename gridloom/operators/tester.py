@@ -90,11 +90,11 @@ def _jobs(scenarios: DataFrame, replicas: int) -> DataFrame:
     return jobs.repartition(math.ceil(max(1, scenarios.count()) * replicas / TASK_REPLICAS))
 
 
-def profile_residuals(spark: SparkSession, scenarios: DataFrame, replicas: int, points: int, seed: int = 0, amplitude: float = 1.0, width: float = 0.5) -> DataFrame:
+def profile_residuals(spark: SparkSession, scenarios: DataFrame, replicas: int, points: int, seed: int = 0, amplitude: float = 1.0, width: float = 0.5, fit_range: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Normalized residuals of amplitude and width for each scenario and replica.
 
     ``scenarios``: scenario INT, alpha, noise, outlier_share DOUBLE. A replica is a Gaussian profile at ``points`` distances in
-    (0, 1] whose log carries noise; a share of the points is replaced by outliers. Every replica has a seed of its own.
+    ``fit_range`` whose log carries noise; a share of the points is replaced by outliers. Every replica has a seed of its own.
     Result: scenario, replica, method (ols, robust, and trained: robust with the alpha trained on the replica), amplitude_residual,
     width_residual.
     """
@@ -107,7 +107,7 @@ def profile_residuals(spark: SparkSession, scenarios: DataFrame, replicas: int,
         for b in batches:
             for r in b.itertuples():
                 g = _rng(seed, r.scenario, r.replica)
-                d = g.uniform(0, 1, points)
+                d = g.uniform(*fit_range, points)
                 x = -0.5 * d * d
                 y = b0 + b1 * x + g.normal(0, r.noise, points)
                 bad = g.random(points) < r.outlier_share

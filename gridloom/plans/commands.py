@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import codes, gauss, keys, potential
-from gridloom.operators import grid, group_model, lookup, reports, robust, samplers, select, spatial, stats, tester
+from gridloom.functions.charges import partial_charges
+from gridloom.operators import grid, group_model, lookup, ordering, reports, robust, samplers, select, spatial, stats, tester
 from gridloom.session import materialize
 from gridloom.sources import exports, formats, maps
 from gridloom.sources.store import Store
@@ -21,8 +22,9 @@ log = logging.getLogger("gridloom")
 
 # Names that stand for choices.
 ALIASES = {
-    "potential_model": {"0": "single_gauss", "single": "single_gauss", "2": "user_gauss", "user": "user_gauss"},
-    "printer": {"0": "atom_outlier", "1": "atom_position", "2": "map_value", "3": "gauss"},
+    "potential_model": {"0": "single_gauss", "single": "single_gauss", "1": "five_gauss_charge", "five": "five_gauss_charge", "2": "user_gauss", "user": "user_gauss"},
+    "partial_charge": {"0": "neutral", "neutral": "neutral", "1": "partial", "partial": "partial", "2": "amber", "amber": "amber"},
+    "printer": {"0": "atom_position", "atom_pos": "atom_position", "1": "map_value", "map": "map_value", "2": "gauss", "gaus": "gauss", "3": "atom_outlier", "atom_out": "atom_outlier"},
     "study": {"0": "benchmark", "1": "data_outlier", "2": "member_outlier", "3": "alpha_data", "4": "alpha_member"},
 }
 
@@ -46,6 +48,7 @@ class Request:
     """What all commands share. Values out of bounds are put right with a warning, contradictions are errors."""
 
     folder: str = "."
+    verbosity: int = 3  # 0 none, 1 errors, 2 warnings, 3 notes, 4 details
 
     def normalize(self, issues: list[Issue]) -> None:
         for f in fields(self):
@@ -79,6 +82,7 @@ class PotentialAnalysis(Request):
     samples: int = 1500
     sample_low: float = 0.0
     sample_high: float = 1.5
+    sample_height: float = 0.1
     fit_low: float = 0.0
     fit_high: float = 1.0
     alpha_r: float = 0.1
@@ -86,11 +90,16 @@ class PotentialAnalysis(Request):
     train_alpha: bool = False
     asymmetric: bool = False
     bonds: bool = False
+    simulated: bool = False
+    simulated_resolution: float = 0.0
+    training_report: str = ""
     seed: int = 0
 
     def check(self, issues: list[Issue]) -> None:
         self.exists(issues, "model_file", "map_file")
-        self.positive(issues, "samples", "sample_high", "fit_high")
+        self.positive(issues, "samples", "sample_high", "sample_height", "fit_high")
+        if self.simulated and not self.simulated_resolution > 0:
+            issues.append(Issue("simulated_resolution", "a simulated map needs a positive resolution"))
         for lo, hi in (("sample_low", "sample_high"), ("fit_low", "fit_high")):
             if getattr(self, lo) > getattr(self, hi):
                 issues.append(Issue(lo, "the range is reversed"))
@@ -102,7 +111,11 @@ class PotentialAnalysis(Request):
 class MapSimulation(Request):
     model_file: str = ""
     out: str = ""
-    potential_model: str = "single_gauss"
+    map_name: str = "sim_map"
+    potential_model: str = "five_gauss_charge"
+    partial_charge: str = "partial"
+    form_factors: str = ""  # file of scattering parameters, as potential.read_form_factors() reads it
+    charge_table: str = ""  # Parquet or CSV file of component_id, atom_id, structure_class, charge
     cutoff: float = 5.0
     spacing: float = 0.5
     widths: tuple[float, ...] = (1.5,)
@@ -111,8 +124,14 @@ class MapSimulation(Request):
     def check(self, issues: list[Issue]) -> None:
         self.exists(issues, "model_file")
         self.positive(issues, "cutoff", "spacing")
-        if self.potential_model not in ("single_gauss", "user_gauss"):
+        if self.potential_model not in ALIASES["potential_model"].values():
             issues.append(Issue("potential_model", "unknown model"))
+        if self.partial_charge not in ALIASES["partial_charge"].values():
+            issues.append(Issue("partial_charge", "unknown choice"))
+        if self.potential_model == "five_gauss_charge":
+            self.exists(issues, "form_factors")
+            if self.partial_charge != "neutral":
+                self.exists(issues, "charge_table")
         if not self.widths or min(self.widths) < 0:
             issues.append(Issue("widths", "at least one width, none negative"))
 
@@ -155,10 +174,19 @@ class ModelTest(Request):
     study: str = "benchmark"
     replicas: int = 100
     points: int = 1000
+    fit_low: float = 0.0
+    fit_high: float = 1.0
+    alpha_r: float = 0.1
+    alpha_g: float = 0.2
     seed: int = 0
 
     def check(self, issues: list[Issue]) -> None:
-        self.positive(issues, "replicas", "points")
+        self.positive(issues, "replicas", "points", "fit_high")
+        if self.fit_low > self.fit_high or self.fit_low < 0:
+            issues.append(Issue("fit_low", "the range is reversed or negative"))
+        for name in ("alpha_r", "alpha_g"):
+            if not getattr(self, name) >= 0:
+                issues.append(Issue(name, "must not be negative"))
         if self.study not in ALIASES["study"].values():
             issues.append(Issue("study", "unknown study"))
 
@@ -169,7 +197,7 @@ class MapVisualization(Request):
     map_file: str = ""
     serial_id: int = 1
     size: int = 100
-    width: float = 2.0
+    width: float = 5.0
 
     def check(self, issues: list[Issue]) -> None:
         self.exists(issues, "model_file", "map_file")
@@ -179,12 +207,12 @@ class MapVisualization(Request):
 @dataclass
 class PositionEstimation(Request):
     map_file: str = ""
-    threshold: float = 0.5
+    threshold: float = 0.01
     radius: float = 1.0  # reach that the search of neighbours starts with
     neighbours: int = 20
     iterations: int = 15
-    power: float = 1.0
-    step: float = 0.1
+    power: float = 2.0
+    step: float = 0.01
 
     def check(self, issues: list[Issue]) -> None:
         self.exists(issues, "map_file")
@@ -238,6 +266,33 @@ def analyze_bonds(bonds: DataFrame, atoms: DataFrame, voxel: DataFrame, g: grid.
     }
 
 
+def _labelled(model: dict, atoms: DataFrame) -> DataFrame:
+    """Atoms with the structure code of the range that their sequence number is in."""
+    numbers = codes.structure_codes()
+    if "secondary" not in model:
+        return atoms.withColumn("structure", F.lit(numbers["FREE"]))
+    ranges = model["secondary"].withColumn("structure", F.when(F.col("label") == "HELX", numbers["HELX_P"]).otherwise(numbers["SHEET"])).withColumn("chain_id", F.explode(F.array_distinct(F.array("chain_1", "chain_2"))))
+    return lookup.label_intervals(atoms, ranges, ["chain_id"], "sequence_id", label="structure", default=numbers["FREE"])
+
+
+def bond_pairs(model: dict, atoms: DataFrame) -> DataFrame:
+    """atom_serial_id_1, atom_serial_id_2: the declared connections; for files without any, neighbours within 2 of each other
+    whose names form a bond of the file's dictionary (else of the built-in catalogue) or link neighbours of the sequence."""
+    spark = atoms.sparkSession
+    if "connection" in model:
+        named = model["connection"].where("atom_serial_id_1 <> atom_serial_id_2").select("atom_serial_id_1", "atom_serial_id_2").distinct()
+        named = materialize(named)
+        if not named.isEmpty():
+            return named
+    links = spark.createDataFrame([(None, a, b) for a, b in codes.LINKS], "component_id string, atom_1 string, atom_2 string")
+    known = materialize(model["component_bond"].select("component_id", "atom_1", "atom_2")) if "component_bond" in model else None
+    if known is None or known.isEmpty():
+        pairs = spark.createDataFrame([tuple(n.split("_")) for n in codes.BONDS], "atom_1 string, atom_2 string")
+        known = atoms.select("component_id").where("component_id is not null").distinct().crossJoin(F.broadcast(pairs))  # components x the catalogue
+    rows = atoms.select(F.lit("").alias("key_tag"), F.lit(1).alias("model_number"), "serial_id", "chain_id", "sequence_id", "component_id", "atom_id", "x", "y", "z")
+    return lookup.build_bonds(rows, known.unionByName(links)).select("atom_serial_id_1", "atom_serial_id_2")
+
+
 def potential_analysis(spark: SparkSession, r: PotentialAnalysis) -> dict[str, DataFrame]:
     """Normalize the map, sample it around each atom, fit each atom, then each class of groups; optionally store the result."""
     model = formats.read_model(spark, r.model_file)
@@ -246,12 +301,7 @@ def potential_analysis(spark: SparkSession, r: PotentialAnalysis) -> dict[str, D
     atoms = model["atom"]
     if "chain_map" in model:
         atoms = select.first_chains(atoms, model["chain_map"].drop("path"), (), r.asymmetric)
-    labelled = atoms.withColumn("structure", F.lit(codes.structure_codes()["FREE"]))
-    if "secondary" in model:
-        numbers = codes.structure_codes()
-        ranges = model["secondary"].withColumn("structure", F.when(F.col("label") == "HELX", numbers["HELX_P"]).otherwise(numbers["SHEET"])).withColumn("chain_id", F.explode(F.array_distinct(F.array("chain_1", "chain_2"))))
-        labelled = lookup.label_intervals(atoms, ranges, ["chain_id"], "sequence_id", label="structure", default=numbers["FREE"])
-    atoms = materialize(_keyed(labelled))
+    atoms = materialize(_keyed(_labelled(model, atoms)))
     samples = sample_profiles(atoms, voxel, g, r.samples, r.sample_low, r.sample_high, r.seed)
     samples = materialize(samples)
     rows = gauss.linearize_entities(atoms, samples, "serial_id", "distance", "value", r.fit_low, r.fit_high)
@@ -261,12 +311,18 @@ def potential_analysis(spark: SparkSession, r: PotentialAnalysis) -> dict[str, D
         fit_rows = gauss.linearize(samples, "distance", "value", r.fit_low, r.fit_high)
         enough = select.fit_members(samples, "serial_id", "value").join(atoms.where(select.is_main_chain(F.col("atom_id"))), "serial_id", "left_semi")
         errors = robust.alpha_errors(fit_rows.join(enough, "serial_id", "left_semi"), ["serial_id"], "x1", "y", "sample_no", grid_)
+        errors = materialize(errors)
+        if r.training_report:
+            errors.groupBy("alpha").agg(F.sum("error").alias("error")).write.mode("overwrite").csv(f"{r.training_report}/alpha_r", header=True)
         alpha_r = robust.best_alpha(errors).first()["alpha"]
     fits = materialize(robust.fit_local(rows, ["serial_id"], "x1", "y", alpha_r))
     member = keys.atom_classes(atoms.select("serial_id", "atom_id", "atom_key", "component_key", "structure", F.col("is_special_atom").cast("int").alias("is_special_atom"))).join(fits, "serial_id")
     if r.train_alpha:
         ok = select.fit_groups(member.withColumn("main", select.is_main_chain(F.col("atom_id"))), ["class_key", "group_key"], "serial_id", "main")
         errors = group_model.half_split_errors(member.join(ok, ["class_key", "group_key"], "left_semi"), ["class_key", "group_key"], "serial_id", grid_, seed=r.seed)
+        errors = materialize(errors)
+        if r.training_report:
+            errors.groupBy("alpha").agg(F.sum("error").alias("error")).write.mode("overwrite").csv(f"{r.training_report}/alpha_g", header=True)
         alpha_g = robust.best_alpha(errors).first()["alpha"]
     posterior = materialize(group_model.fit_groups(member, ["class_key", "group_key"], "serial_id", alpha_g))
     groups = group_model.group_rows(posterior, ["class_key", "group_key"])
@@ -275,35 +331,70 @@ def potential_analysis(spark: SparkSession, r: PotentialAnalysis) -> dict[str, D
         "atom": atoms, "sample": samples, "fit": fits, "local": local, "posterior": posterior, "group": groups.withColumn("alpha_g", F.lit(float(alpha_g))),
         "posterior_estimate": reports.posterior_estimates(posterior, ["class_key", "group_key", "serial_id"]), "group_estimate": reports.group_estimates(groups, ["class_key", "group_key"]),
     }
-    if r.bonds and "connection" in model:
-        named = model["connection"].where("atom_serial_id_1 <> atom_serial_id_2")
-        names = atoms.select("serial_id", "atom_key", "component_key", "is_special_atom")
-        one, two = (names.select(F.col("serial_id").alias(f"atom_serial_id_{k}"), F.col("atom_key").alias(f"a{k}"), F.col("component_key").alias("component_key" if k == 1 else "c2"), F.col("is_special_atom").cast("int").alias(f"f{k}")) for k in (1, 2))
-        pair = named.join(one, "atom_serial_id_1").join(two, "atom_serial_id_2").withColumn("bond_name", F.concat_ws("_", F.least("a1", "a2"), F.greatest("a1", "a2")))
-        table = materialize(keys.encode_ids(pair, "bond_name", "atom_serial_id_1", spark.createDataFrame([], "id string, code long"), 10000))
+    if r.bonds:
+        named = bond_pairs(model, atoms)
+        names = atoms.select("serial_id", "atom_id", "component_key", "is_special_atom")
+        one, two = (names.select(F.col("serial_id").alias(f"atom_serial_id_{k}"), F.col("atom_id").alias(f"a{k}"), F.col("component_key").alias("component_key" if k == 1 else "c2"), F.col("is_special_atom").cast("int").alias(f"f{k}")) for k in (1, 2))
+        known = codes.code_table(spark, codes.bond_codes())
+        turned = known.select(keys.reversed_bond_id(F.col("id")).alias("bond_name"), F.col("id").alias("as_known"))
+        pair = named.join(one, "atom_serial_id_1").join(two, "atom_serial_id_2").withColumn("bond_name", keys.bond_id(F.col("a1"), F.col("a2")))
+        # a pair matches in either order; pairs that the catalogue lacks are named in the order of their atoms' names
+        listed = known.select(F.col("id").alias("bond_name"), F.lit(True).alias("listed"))
+        pair = pair.join(listed, "bond_name", "left").join(turned, "bond_name", "left")
+        pair = pair.withColumn("bond_name", F.when(F.col("listed"), F.col("bond_name")).otherwise(F.coalesce("as_known", F.concat_ws("_", F.least("a1", "a2"), F.greatest("a1", "a2"))))).drop("listed", "as_known")
+        table = materialize(keys.encode_ids(pair, "bond_name", "atom_serial_id_1", known, 10000))
         pair = pair.join(table.select(F.col("id").alias("bond_name"), F.col("code").alias("bond_key")), "bond_name")
         # bonds of one model: numbered by their ends
-        bonds = materialize(lookup.numbered(pair.withColumn("is_special_bond", F.greatest("f1", "f2")), [], ["atom_serial_id_1", "atom_serial_id_2"], "n").withColumn("bond_no", F.col("n").cast("long")).select("bond_no", "atom_serial_id_1", "atom_serial_id_2", "bond_key", "component_key", "is_special_bond"))
-        out |= analyze_bonds(bonds, atoms, voxel, g, r)
+        bonds = materialize(ordering.numbered(pair.withColumn("is_special_bond", F.greatest("f1", "f2")), [], ["atom_serial_id_1", "atom_serial_id_2"], "bond_no").select("bond_no", "atom_serial_id_1", "atom_serial_id_2", "bond_key", "component_key", "is_special_bond"))
+        out |= analyze_bonds(bonds, atoms, voxel, g, r, r.sample_height)
     if r.store:
         root = atoms.agg(F.count(F.lit(1)).cast("int").alias("atom_size"))
+        if r.simulated:
+            root = root.withColumns({"map_resolution": F.lit(float(r.simulated_resolution)), "resolution_method": F.lit("simulation")})
         Store(spark, r.store).save(r.saved_key_tag, {"model_object": root, "model_atom": atoms.drop("path", "alternates"), "model_atom_local_potential": local, "model_atom_posterior": out["posterior_estimate"], "model_atom_group_potential": out["group_estimate"]}, "model")
     return out
 
 
+def _charged_field(spark: SparkSession, r: MapSimulation, model: dict, atoms: DataFrame, g: grid.Grid) -> DataFrame:
+    """Fields of five Gaussians an element and of the atoms' partial charges, for each width. Elements without parameters add
+    nothing."""
+    charges = None
+    if r.partial_charge != "neutral":
+        charges = spark.read.parquet(r.charge_table) if r.charge_table.rstrip("/").endswith(".parquet") else spark.read.csv(r.charge_table, header=True, inferSchema=True)
+    a = partial_charges(_labelled(model, atoms).withColumn("element", F.upper("element")), charges, r.partial_charge)
+    each = a.join(potential.read_form_factors(spark, r.form_factors), "element").select("serial_id", "x", "y", "z", "charge", "a0", "b0", "ap", "bp", "am", "bm")
+    out = None
+    for w in r.widths:
+        sets = [(F.col(f"a{s}"), F.col(f"b{s}")) for s in "0pm"]
+        p = potential.five_gauss_charged(*sets, F.col("distance"), F.col("charge"), float(w))
+        one = grid.scatter_add(each.withColumn("blur", F.lit(float(w))), g, r.cutoff, p, ["blur"])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def option_table(spark: SparkSession) -> DataFrame:
+    """The schema of all requests: command, option, kind, default_value, flag."""
+    rows = [(name, f.name, str(f.type), str(f.default), "--" + f.name.replace("_", "-")) for name, (kind, _) in COMMANDS.items() for f in fields(kind)]
+    return spark.createDataFrame(rows, "command string, option string, kind string, default_value string, flag string")
+
+
 def map_simulation(spark: SparkSession, r: MapSimulation) -> dict[str, DataFrame]:
     """Fields of a model for all blurring widths in one job, and a map file for each."""
-    atoms = _with_numbers(formats.read_model(spark, r.model_file)["atom"])
+    model = formats.read_model(spark, r.model_file)
+    atoms = _with_numbers(model["atom"])
     if r.drop_unknown:
         atoms = atoms.where("number > 0")
     box = atoms.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "l"), (F.max, "h"))]).first()
     g = grid.Grid((1, 1, 1), (r.spacing,) * 3) if box["lx"] is None else grid.Grid.around([box[f"l{c}"] for c in "xyz"], [box[f"h{c}"] for c in "xyz"], r.spacing, r.cutoff)
-    each = atoms.select("serial_id", "x", "y", "z", "number", F.explode(F.array(*[F.lit(float(w)) for w in r.widths])).alias("blur"))
-    p = potential.single_gauss(F.col("number"), F.col("distance"), F.col("blur")) if r.potential_model == "single_gauss" else potential.user_gauss(F.col("distance"), 1.0, F.col("blur"))
-    field_ = materialize(grid.scatter_add(each, g, r.cutoff, p, ["blur"]))
+    if r.potential_model == "five_gauss_charge":
+        field_ = materialize(_charged_field(spark, r, model, atoms, g))
+    else:
+        each = atoms.select("serial_id", "x", "y", "z", "number", F.explode(F.array(*[F.lit(float(w)) for w in r.widths])).alias("blur"))
+        p = potential.single_gauss(F.col("number"), F.col("distance"), F.col("blur")) if r.potential_model == "single_gauss" else potential.user_gauss(F.col("distance"), 1.0, F.col("blur"))
+        field_ = materialize(grid.scatter_add(each, g, r.cutoff, p, ["blur"]))
     if r.out:
         for w in r.widths:
-            maps.write_map(field_.where(F.col("blur") == float(w)), g, f"{r.out}/{Path(r.model_file).stem}_bw{w:.2f}.map")
+            maps.write_map(field_.where(F.col("blur") == float(w)), g, f"{r.out}/{r.map_name}_{Path(r.model_file).stem}_bw{w:.2f}.map")
     return {"field": field_}
 
 
@@ -348,7 +439,9 @@ def potential_display(spark: SparkSession, r: PotentialDisplay) -> dict[str, Dat
 
 def model_test(spark: SparkSession, r: ModelTest) -> dict[str, DataFrame]:
     t = tester.scenario_table(spark, r.study)
-    res = tester.member_residuals(spark, t, r.replicas, r.points, r.seed) if "member" in r.study else tester.profile_residuals(spark, t, r.replicas, r.points, r.seed)
+    if "alpha" not in r.study:  # the studies of alpha bring their own levels
+        t = t.withColumn("alpha", F.lit(float(r.alpha_g if "member" in r.study else r.alpha_r)))
+    res = tester.member_residuals(spark, t, r.replicas, r.points, r.seed) if "member" in r.study else tester.profile_residuals(spark, t, r.replicas, r.points, r.seed, fit_range=(r.fit_low, r.fit_high))
     return {"residuals": res, "summary": tester.summarize(res)}
 
 
@@ -382,8 +475,12 @@ COMMANDS: dict[str, tuple[type[Request], Callable]] = {
 def run(spark: SparkSession, request: Request) -> Result:
     """Normalize, check, make the output folder, run. Errors stop before any job; warnings are put right and reported."""
     issues: list[Issue] = []
+    log.setLevel([logging.CRITICAL + 1, logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG][min(4, max(0, request.verbosity))])
     request.normalize(issues)
     request.check(issues)
+    for i in issues:
+        log.log(logging.ERROR if i.is_error else logging.WARNING, "%s: %s", i.option, i.message)
+    log.debug("%s", request)
     if any(i.is_error for i in issues):
         return Result(False, issues)
     if request.folder != ".":
@@ -394,5 +491,5 @@ def run(spark: SparkSession, request: Request) -> Result:
         tables = plan(spark, request)
     except (ValueError, KeyError, OSError) as e:
         return Result(False, [*issues, Issue(name, str(e))])
-    log.info("%s planned in %.1f s", name, time.monotonic() - began)
+    log.info("%s: %d tables in %.1f s", name, len(tables), time.monotonic() - began)
     return Result(True, issues, tables)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions import keys, potential, strings
-from gridloom.operators import grid, lookup, ordering, select, spatial, stats
+from gridloom.operators import grid, lookup, ordering, reports, select, spatial, stats
 from gridloom.session import materialize, table
 
 QUERIES, SQL = {}, {}
@@ -113,8 +113,9 @@ def model_extent(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select count(distinct (element, structure)) as n_groups, count(distinct component_key) as n_components, min(temperature) filter (element = 6 and not isnan(temperature)) as least from model_atom")
 def distinct_groups(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("temperature")
-    return table(spark, d, "model_atom").agg(F.countDistinct(F.struct("element", "structure")).alias("n_groups"), F.countDistinct("component_key").alias("n_components"), F.min(F.when((F.col("element") == 6) & ~F.isnan(t), t)).alias("least"))
+    a = table(spark, d, "model_atom").withColumn("serial_id", F.col("row_id"))
+    one = a.agg(F.countDistinct(F.struct("element", "structure")).alias("n_groups"), F.countDistinct("component_key").alias("n_components"))
+    return one.crossJoin(reports.parameter_minimum(a, a, 6, "temperature").withColumnRenamed("minimum", "least"))  # one row each
 
 
 # selections
@@ -241,10 +242,11 @@ def many_gauss_potential(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", _r(potential.five_gauss(a, b, F.col("p_size") / F.lit(50.0), 0.5), "value"))
 
 
-@query()
+@query("""with p as (select p_partkey, p_size / 20.0::double as r, p_size / 20.0::double / (0.5 * sqrt(2::double)) / 400 as h from part)
+select p_partkey, round(case when r > 3 then 0 else 14.39964393::double / r * (h / 3) * list_sum(list_transform(range(401), lambda i: (case when i = 0 or i = 400 then 1 when i % 2 = 1 then 4 else 2 end) * exp(-pow(i * h, 2)))) * 2 / sqrt(pi()) end, 6) as value from p""")
 def charge_term(spark: SparkSession, d: str) -> DataFrame:
-    """The error function term of a charged potential (no such function in SQL)."""
-    return table(spark, d, "part").select("p_partkey", potential.charge_delta(F.col("p_size") / F.lit(20.0), F.lit(1.0), 0.5).alias("value"))
+    """The error function term of a charged potential; the SQL integrates it by Simpson's rule."""
+    return table(spark, d, "part").select("p_partkey", _r(potential.charge_delta(F.col("p_size") / F.lit(20.0), F.lit(1.0), 0.5), "value"))
 
 
 # points
@@ -483,26 +485,27 @@ def next_lines(spark: SparkSession, d: str) -> DataFrame:
 def chain_series(spark: SparkSession, d: str) -> DataFrame:
     """Mean temperature along the sequence of each chain."""
     a = table(spark, d, "model_atom").where((F.col("sequence_id") >= 0) & F.col("temperature").isNotNull() & ~F.isnan("temperature"))
-    return a.groupBy("key_tag", "chain_id", "sequence_id").agg(_r(F.avg("temperature"), "value"), F.count(F.lit(1)).alias("n"))
+    means = a.groupBy("key_tag", "chain_id", "sequence_id").agg(_r(F.avg("temperature"), "value"), F.count(F.lit(1)).alias("n"))
+    return reports.chain_series(means, "value", "n")
 
 
-@query("""with b as (select l_returnflag as g, l_partkey, floor(l_discount / 0.025::double)::int as bin, median(l_quantity) as y from lineitem group by 1, 2, 3)
-select x.l_partkey, x.bin, x.y as a, y.y as b from b x join b y on x.l_partkey = y.l_partkey and x.bin = y.bin where x.g = 'A' and y.g = 'R'""")
+@query("""with s as (select l_returnflag as g, l_partkey as k, floor(l_discount * 10 / 0.1::double)::int as bin, l_quantity as v from lineitem), m as (select g, k, bin, median(v) as y from s where bin between 0 and 9 group by 1, 2, 3),
+p as (select distinct g, k, unnest(range(10))::int as bin from s), f as (select p.g, p.k, p.bin, coalesce(m.y, 0) as y from p left join m on m.g = p.g and m.k = p.k and m.bin = p.bin)
+select x.k as l_partkey, x.bin, round((x.bin + 0.5) * 0.1::double, 6) as x, x.y as a, y.y as b from f x join f y on x.k = y.k and x.bin = y.bin where x.g = 'A' and y.g = 'R'""")
 def cross_model_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Binned medians of two groups of rows side by side."""
-    li = table(spark, d, "lineitem")
-    b = li.groupBy("l_returnflag", "l_partkey", F.floor(F.col("l_discount") / F.lit(0.025)).cast("int").alias("bin")).agg(F.median("l_quantity").alias("y"))
-    one = lambda g, n: b.where(F.col("l_returnflag") == g).select("l_partkey", "bin", F.col("y").alias(n))
-    return one("A", "a").join(one("R", "b"), ["l_partkey", "bin"])
+    """Binned medians of two groups of rows side by side, empty bins 0."""
+    li = table(spark, d, "lineitem").select("l_returnflag", "l_partkey", (F.col("l_discount") * 10).alias("distance"), "l_quantity")
+    p = reports.paired_profiles(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_partkey"], "distance", "l_quantity", 10, 1.0)
+    return p.select("l_partkey", "bin", _r(F.col("x"), "x"), "a", "b")
 
 
 # texts
 
 
-@query("""select doc_id, upper(substr(text, 1, 12)) as head, length(rtrim(replace(text, chr(10), ''), 'x')) as n, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> '')) as n_parts from documents where text is not null""")
+@query("""select doc_id, length(rtrim(replace(text, chr(10), ''), 'x')) as n, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> '')) as n_parts from documents where text is not null""")
 def text_cleanup(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").where(t.isNotNull()).select("doc_id", F.upper(F.substring(t, 1, 12)).alias("head"), F.length(F.rtrim(F.replace(t, F.lit("\n"), F.lit("")), F.lit("x"))).cast("long").alias("n"), F.size(strings.split_list(t)).cast("long").alias("n_parts"))
+    return table(spark, d, "documents").where(t.isNotNull()).select("doc_id", F.length(F.rtrim(F.replace(t, F.lit("\n"), F.lit("")), F.lit("x"))).cast("long").alias("n"), F.size(strings.split_list(t)).cast("long").alias("n_parts"))
 
 
 @query()

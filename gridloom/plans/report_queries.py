@@ -9,6 +9,7 @@ from gridloom.functions.charges import partial_charges
 from gridloom.operators import lookup, reports, samplers, tester
 from gridloom.plans.data_queries import _atoms, _r
 from gridloom.session import table
+from gridloom.sources.store import violations
 
 QUERIES, SQL = {}, {}
 
@@ -132,16 +133,18 @@ def comparison_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with c as (select key_tag, chain_id, sequence_id, (array_agg(temperature order by row_id))[1] as other from model_atom where atom_id = 'C' group by 1, 2, 3)
-select a.key_tag, a.chain_id, a.sequence_id, a.temperature, c.other from model_atom a join c on a.key_tag = c.key_tag and a.chain_id = c.chain_id and a.sequence_id = c.sequence_id where a.atom_id = 'N'""")
+select a.row_id, case when not isnan(a.temperature) then a.temperature end as temperature, case when not isnan(c.other) then c.other end as other from model_atom a join c on a.key_tag = c.key_tag and a.chain_id = c.chain_id and a.sequence_id = c.sequence_id where a.atom_id = 'N'""")
 def paired_atoms(spark: SparkSession, d: str) -> DataFrame:
-    """Temperature of each N atom beside that of the first C atom of its residue."""
-    return reports.paired_groups(table(spark, d, "model_atom"), "N", "C", "atom_id", ["key_tag", "chain_id", "sequence_id"], "temperature", "row_id")
+    """Temperature of each N atom beside that of the first C atom of its residue; null for NaN."""
+    p = reports.paired_groups(table(spark, d, "model_atom"), "N", "C", "atom_id", ["key_tag", "chain_id", "sequence_id"], "temperature", "row_id")
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return p.select("row_id", known("temperature"), known("other"))
 
 
-@query("select key_tag, serial_id, count(*) as n from model_atom group by 1, 2 having count(*) > 1")
+@query("select key_tag, sum(n)::bigint as n from (select key_tag, serial_id, count(*) as n from model_atom group by 1, 2 having count(*) > 1) group by 1")
 def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Natural keys with several rows."""
-    return table(spark, d, "model_atom").groupBy("key_tag", "serial_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Rows of each model that share their natural key with others."""
+    return violations(spark, {"model_atom": table(spark, d, "model_atom")}).where("rule = 'primary_key'").select("key_tag", "n")
 
 
 def _studies(spark: SparkSession, studies: dict, residuals) -> DataFrame:

@@ -10,14 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "gridloom", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
-    """A session with AQE, Arrow and UTC; ``master`` None keeps what spark-submit gave."""
+def get_session(app: str = "gridloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+    """A session with AQE, Arrow and UTC; None for ``master`` or ``shuffle_partitions`` keeps what the cluster set."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (
-        b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -57,6 +58,13 @@ def _remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(local, ignore_errors=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, removed when the driver's Python ends."""
+    path = f"{checkpoint_dir(spark)}/gridloom/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Run ``df`` once, write it to the shared checkpoint folder and return the written table.
 
@@ -64,7 +72,6 @@ def materialize(df: DataFrame) -> DataFrame:
     The files go when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/gridloom/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -94,17 +94,22 @@ def parse_document(text: str) -> Iterator[tuple[str, int, dict[str, str]]]:
         yield category, 0, found
 
 
-def read_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All rows of all files: path, category, row_no, values. A file is read by one task, as it must be parsed in order."""
+def parse_texts(docs: DataFrame) -> DataFrame:
+    """All rows of whole documents (path, value): path, category, row_no, values. A document must be parsed in order, so it is
+    the unit of work; documents are spread over all tasks. Null documents have no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, text in zip(b["path"], b["value"]):
-                out = list(parse_document(text))
+                out = list(parse_document(text or ""))
                 yield pd.DataFrame({"path": path, "category": [c for c, _, _ in out], "row_no": [n for _, n, _ in out], "values": [v for _, _, v in out]})
 
-    text = spark.read.text(paths, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    return text.select("path", "value").mapInPandas(run, ROWS)
+    return docs.select("path", "value").mapInPandas(run, ROWS)
+
+
+def read_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """parse_texts() of files."""
+    return parse_texts(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def _get(*names: str) -> Column:
@@ -179,7 +184,8 @@ def merge_alternates(atoms: DataFrame) -> DataFrame:
     """Alternate locations folded into their primary atom as a map indicator -> (x, y, z, occupancy, temperature).
 
     A row marked ``.`` or ``A`` is an atom of its own; another joins the latest one before it of the same model, chain,
-    component, sequence and name, or becomes an atom if there is none.
+    component, sequence and name, or becomes an atom if there is none. Of several rows of one indicator the one of least
+    coordinates counts.
     """
     w = W.partitionBy("path", "model_number", "chain_id", "component_id", "sequence_id", "atom_id").orderBy("row_no")
     lead = F.col("indicator").isin(*PRIMARY) | (F.row_number().over(w) == 1)
@@ -188,7 +194,9 @@ def merge_alternates(atoms: DataFrame) -> DataFrame:
     rest = [c for c in atoms.columns if c not in key]
     alt = F.struct("indicator", F.struct("x", "y", "z", "occupancy", "temperature"))
     g = a.groupBy(*key).agg(F.min_by(F.struct(*rest), "row_no").alias("__a"), F.sort_array(F.collect_list(F.when(~F.col("__lead"), alt))).alias("__alts"))
-    return g.select(*[c for c in key if c != "__n"], "__a.*", F.map_from_entries(F.array_distinct("__alts")).alias("alternates")).select(*atoms.columns, "alternates")
+    # the map needs distinct keys: of repeated rows the first in order counts
+    first = lambda x, i: F.array_position(F.transform("__alts", lambda a: a["indicator"]), x["indicator"]) == i + 1
+    return g.select(*[c for c in key if c != "__n"], "__a.*", F.map_from_entries(F.filter("__alts", first)).alias("alternates")).select(*atoms.columns, "alternates")
 
 
 def of_model(atoms: DataFrame, preferred: int = 1) -> DataFrame:

@@ -11,14 +11,20 @@ from gridloom.operators.ordering import numbered
 CIF_COLUMNS = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv", "pdbx_PDB_model_num"]
 
 
-def _quoted(c: Column) -> Column:
-    return F.when(c.contains("'"), F.concat(F.lit('"'), c, F.lit('"'))).when(c.contains('"') | c.contains(" "), F.concat(F.lit("'"), c, F.lit("'"))).otherwise(F.coalesce(c, F.lit(".")))
+def quoted(c: Column, missing: str = ".") -> Column:
+    """A value as one token: as it is where it reads as plain data, else in the quotes that it can stand in. Values with both
+    kinds of closing quotes or with line ends have no one-line form and lose these characters."""
+    plain = c.rlike(r"""^[^\s_#$'"\[\];][^\s]*$""") & ~F.lower(c).rlike("^(data_|loop_|save_|stop_|global_)")
+    flat = F.regexp_replace(c, r"[\r\n]+", " ")
+    single, double = ~flat.rlike(r"'(\s|$)"), ~flat.rlike(r'"(\s|$)')
+    text = F.when(single, F.concat(F.lit("'"), flat, F.lit("'"))).when(double, F.concat(F.lit('"'), flat, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(flat, F.lit("'"), F.lit("")), F.lit("'")))
+    return F.coalesce(F.when(plain, c).otherwise(text), F.lit(missing))
 
 
 def cif_lines(atoms: DataFrame, parameter: str) -> DataFrame:
     """One text row an atom in serial order, the column ``parameter`` in place of the temperature; atoms without it are left out."""
     f3 = lambda c: F.format_string("%.3f", F.col(c).cast("double"))
-    parts = [F.when(F.col("is_special_atom").cast("boolean"), "HETATM").otherwise("ATOM"), F.col("serial_id").cast("string"), _quoted(F.col("element")), _quoted(F.col("atom_id")), _quoted(F.col("indicator")), _quoted(F.col("component_id")), _quoted(F.col("chain_id")), F.coalesce(F.col("sequence_id").cast("string"), F.lit(".")), f3("x"), f3("y"), f3("z"), F.format_string("%.2f", F.col("occupancy").cast("double")), f3(parameter), F.lit("1")]
+    parts = [F.when(F.col("is_special_atom").cast("boolean"), "HETATM").otherwise("ATOM"), F.col("serial_id").cast("string"), quoted(F.col("element")), quoted(F.col("atom_id")), quoted(F.col("indicator")), quoted(F.col("component_id")), quoted(F.col("chain_id")), F.coalesce(F.col("sequence_id").cast("string"), F.lit(".")), f3("x"), f3("y"), f3("z"), F.format_string("%.2f", F.col("occupancy").cast("double")), f3(parameter), F.lit("1")]
     return atoms.where(F.col(parameter).isNotNull()).select("serial_id", F.concat_ws(" ", *parts).alias("value"))
 
 
@@ -39,6 +45,12 @@ def write_text(lines: DataFrame, path: str, order: str = "serial_id", head: list
     before.unionAll(body).unionAll(after).coalesce(1).sortWithinPartitions("part", "o").select("value").write.mode("overwrite").text(path)
 
 
+def write_texts(lines: DataFrame, key: str, order: str, path: str, head: str = "", tail: str = "") -> None:
+    """One text file for each ``key`` in a folder of its own (key=...), its lines by ``order``; all keys in one job."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("value").alias("v")))), lambda x: x["v"]), "\n")
+    lines.groupBy(key).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
 def cif_head() -> list[str]:
     return ["data_export", "loop_", *[f"_atom_site.{c}" for c in CIF_COLUMNS]]
 

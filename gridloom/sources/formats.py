@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pathlib import PurePath
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.sources import cif, maps, pdb
 
@@ -13,6 +14,15 @@ MAP_FORMATS = (".mrc", ".map", ".ccp4")
 WRITABLE_MODELS = (".pdb", ".cif")
 
 
+def format_of(path: Column) -> Column:
+    """pdb, cif or map by the extension of a path in any case; null for others."""
+    ext = F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
+    out = F.when(ext.isin(list(MAP_FORMATS)), "map")
+    for e, kind in MODEL_FORMATS.items():
+        out = out.when(ext == e, kind)
+    return out
+
+
 def read_model(spark: SparkSession, path: str, model: int = 1) -> dict:
     kind = MODEL_FORMATS.get(PurePath(path).suffix.lower())
     if kind == "pdb":

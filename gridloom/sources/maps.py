@@ -109,8 +109,9 @@ def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
 
 
 def write_map(voxel: DataFrame, grid: Grid, path: str, value: str = "value") -> None:
-    """One map file. Workers gather the layers, which go one by one through the driver to their place in the file; missing
-    voxels are 0. The header holds the exact extremes, mean and deviation."""
+    """One map file in a folder that all workers share. The driver writes the header (exact extremes, mean and deviation) and
+    sets the length; each task fills slabs of at most SLAB_VALUES values at their place in the file, so that a repeated task
+    writes the same bytes. Missing voxels are 0; of repeated ones the least value counts."""
     s = voxel.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("m"), F.stddev_pop(value).alias("sd")).first()
     mrc = path.lower().endswith(".mrc")
     starts = (0, 0, 0) if mrc else tuple(round(o / s_) for o, s_ in zip(grid.origin, grid.spacing))
@@ -119,11 +120,17 @@ def write_map(voxel: DataFrame, grid: Grid, path: str, value: str = "value") ->
     with open(path.removeprefix("file://"), "wb") as f:
         f.write(head.ljust(HEADER, b"\0"))
         f.truncate(HEADER + 4 * grid.n)
-        plane = grid.size[0] * grid.size[1]
-        v = voxel.select(F.col("gid").cast("long").alias("gid"), F.col(value).cast("float").alias("v")).where(F.col("gid").between(0, grid.n - 1) & F.col("v").isNotNull())
-        layers = v.groupBy(F.floor(F.col("gid") / plane).alias("z")).agg(F.collect_list("gid").alias("gid"), F.collect_list("v").alias("v"))
-        for r in layers.toLocalIterator(prefetchPartitions=True):
-            layer = np.zeros(plane, "<f4")
-            layer[np.asarray(r["gid"]) - r["z"] * plane] = r["v"]
-            f.seek(HEADER + 4 * plane * r["z"])
-            f.write(layer.tobytes())
+    v = voxel.select(F.col("gid").cast("long").alias("gid"), F.col(value).cast("float").alias("v")).where(F.col("gid").between(0, grid.n - 1) & F.col("v").isNotNull())
+    v = v.groupBy("gid").agg(F.min("v").alias("v"))
+    place, slab, total = path.removeprefix("file://"), SLAB_VALUES, grid.n
+
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        first = key[0].as_py() * slab
+        values = np.zeros(min(slab, total - first), "<f4")
+        values[rows["gid"].to_numpy() - first] = rows["v"].to_numpy()
+        with open(place, "r+b") as out:
+            out.seek(HEADER + 4 * first)
+            out.write(values.tobytes())
+        return pa.table({"n": pa.array([rows.num_rows], pa.int64())})
+
+    v.groupBy(F.floor(F.col("gid") / slab).alias("slab")).applyInArrow(fill, "n long").agg(F.sum("n")).collect()

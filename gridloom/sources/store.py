@@ -50,6 +50,14 @@ class Store:
             self._write(name, tables[name].drop("key_tag").withColumn("key_tag", F.lit(key_tag)))
         self._write("object_catalog", self.spark.range(1).select(F.lit(object_type).alias("object_type"), F.lit(key_tag).alias("key_tag")))
 
+    def save_all(self, tables: Mapping[str, DataFrame], object_type: str) -> None:
+        """save() for all keys of tables that have a key_tag column, in one job a table; the catalog comes last."""
+        if object_type not in ROOTS or ROOTS[object_type] not in tables or set(tables) - set(KEYS):
+            raise ValueError("object_type must be model or map, with its root table, and all tables known")
+        for name in [n for n in KEYS if n in tables and n != "object_catalog"]:
+            self._write(name, tables[name].repartition("key_tag"))
+        self._write("object_catalog", tables[ROOTS[object_type]].select(F.lit(object_type).alias("object_type"), "key_tag").distinct())
+
     def _write(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_tag").parquet(self._at(name))
 
@@ -78,25 +86,36 @@ class Store:
             self._drop(name, key_tag)
 
     def violations(self) -> DataFrame:
-        """table_name, rule (primary_key, no_catalog, no_payload, no_parent), key_tag, n: everything that breaks the keys."""
-        out = self.spark.createDataFrame([], "table_name string, rule string, key_tag string, n long")
-        got = {n: t for n in KEYS if (t := self.table(n)) is not None}
-        catalog = got.get("object_catalog")
-        for name, t in got.items():
-            dup = t.groupBy("key_tag", *KEYS[name]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            out = out.unionByName(dup.groupBy("key_tag").agg(F.sum("n").alias("n")).select(F.lit(name).alias("table_name"), F.lit("primary_key").alias("rule"), "key_tag", "n"))
-            if name != "object_catalog" and catalog is not None:
-                lost = t.join(catalog.select("key_tag"), "key_tag", "left_anti").groupBy("key_tag").agg(F.count(F.lit(1)).alias("n"))
-                out = out.unionByName(lost.select(F.lit(name).alias("table_name"), F.lit("no_catalog").alias("rule"), "key_tag", "n"))
-        for kind, root in ROOTS.items():
-            if catalog is not None:
-                c = catalog.where(F.col("object_type") == kind)
-                lost = c if root not in got else c.join(got[root].select("key_tag"), "key_tag", "left_anti")
-                out = out.unionByName(lost.groupBy("key_tag").agg(F.count(F.lit(1)).alias("n")).select(F.lit("object_catalog").alias("table_name"), F.lit("no_payload").alias("rule"), "key_tag", "n"))
-        for child in ("model_bond", "model_atom_local_potential", "model_atom_posterior"):
-            if child in got and "model_atom" in got:
-                atoms = got["model_atom"].select("key_tag", "serial_id")
-                for column in [c for c in KEYS[child] if "serial_id" in c]:
-                    lost = got[child].join(atoms.withColumnRenamed("serial_id", column), ["key_tag", column], "left_anti").groupBy("key_tag").agg(F.count(F.lit(1)).alias("n"))
-                    out = out.unionByName(lost.select(F.lit(child).alias("table_name"), F.lit("no_parent").alias("rule"), "key_tag", "n"))
-        return out
+        return violations(self.spark, {n: t for n in KEYS if (t := self.table(n)) is not None})
+
+    def schema_differences(self) -> DataFrame:
+        """table_name, column_name, problem: key columns that a stored table lacks. Other columns are free."""
+        rows = []
+        for name, keys in KEYS.items():
+            t = self.table(name)
+            rows += [] if t is None else [(name, c, "missing") for c in ("key_tag", *keys) if c not in t.columns]
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, problem string")
+
+
+def violations(spark: SparkSession, got: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name, rule (primary_key, no_catalog, no_payload, no_parent), key_tag, n: everything that breaks the keys."""
+    out = spark.createDataFrame([], "table_name string, rule string, key_tag string, n long")
+    catalog = got.get("object_catalog")
+    for name, t in got.items():
+        dup = t.groupBy("key_tag", *KEYS[name]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = out.unionByName(dup.groupBy("key_tag").agg(F.sum("n").alias("n")).select(F.lit(name).alias("table_name"), F.lit("primary_key").alias("rule"), "key_tag", "n"))
+        if name != "object_catalog" and catalog is not None:
+            lost = t.join(catalog.select("key_tag"), "key_tag", "left_anti").groupBy("key_tag").agg(F.count(F.lit(1)).alias("n"))
+            out = out.unionByName(lost.select(F.lit(name).alias("table_name"), F.lit("no_catalog").alias("rule"), "key_tag", "n"))
+    for kind, root in ROOTS.items():
+        if catalog is not None:
+            c = catalog.where(F.col("object_type") == kind)
+            lost = c if root not in got else c.join(got[root].select("key_tag"), "key_tag", "left_anti")
+            out = out.unionByName(lost.groupBy("key_tag").agg(F.count(F.lit(1)).alias("n")).select(F.lit("object_catalog").alias("table_name"), F.lit("no_payload").alias("rule"), "key_tag", "n"))
+    for child in ("model_bond", "model_atom_local_potential", "model_atom_posterior"):
+        if child in got and "model_atom" in got:
+            atoms = got["model_atom"].select("key_tag", "serial_id")
+            for column in [c for c in KEYS[child] if "serial_id" in c]:
+                lost = got[child].join(atoms.withColumnRenamed("serial_id", column), ["key_tag", column], "left_anti").groupBy("key_tag").agg(F.count(F.lit(1)).alias("n"))
+                out = out.unionByName(lost.select(F.lit(child).alias("table_name"), F.lit("no_parent").alias("rule"), "key_tag", "n"))
+    return out

@@ -159,7 +159,7 @@ def test_simulate_then_analyze_recovers_the_widths(spark, tmp_path):
     model(spark, tmp_path, BASE.replace("ATOM 1 C CA . ALA A 1 0.0 0.0 0.0 1.0 0.0 1\n", rows) + "_struct_conn.conn_type_id covale\n" + link + "#\n")
     sim = commands.run(spark, commands.MapSimulation(folder=str(tmp_path), model_file=f"{tmp_path}/m.cif", out=str(tmp_path), potential_model="2", widths=(0.8,), cutoff=4.0, spacing=0.25))
     assert sim.succeeded, sim.issues
-    r = commands.run(spark, commands.PotentialAnalysis(folder=str(tmp_path), model_file=f"{tmp_path}/m.cif", map_file=f"{tmp_path}/m_bw0.80.map", store=f"file://{tmp_path}/store", samples=150, seed=3, bonds=True))
+    r = commands.run(spark, commands.PotentialAnalysis(folder=str(tmp_path), model_file=f"{tmp_path}/m.cif", map_file=f"{tmp_path}/sim_map_m_bw0.80.map", store=f"file://{tmp_path}/store", samples=150, seed=3, bonds=True))
     assert r.succeeded, r.issues
     local = r.tables["local"].collect()
     assert len(local) == 3 and all(abs(x.width - 0.8) < 0.01 for x in local)
@@ -167,17 +167,64 @@ def test_simulate_then_analyze_recovers_the_widths(spark, tmp_path):
     assert len(post) == 9 and all(abs(x.width - 0.8) < 0.01 for x in post)
     assert r.tables["bond_local"].count() == 1 and r.tables["bond_group"].count() == 2
     for printer in ("0", "1", "2", "3"):
-        d = commands.run(spark, commands.ResultDump(folder=str(tmp_path / "dump"), store=f"file://{tmp_path}/store", key_tags=("model",), printer=printer, map_file=f"{tmp_path}/m_bw0.80.map"))
+        d = commands.run(spark, commands.ResultDump(folder=str(tmp_path / "dump"), store=f"file://{tmp_path}/store", key_tags=("model",), printer=printer, map_file=f"{tmp_path}/sim_map_m_bw0.80.map"))
         assert d.succeeded and all(t.count() >= 0 for t in d.tables.values()), d.issues
     show = commands.run(spark, commands.PotentialDisplay(store=f"file://{tmp_path}/store", key_tags=("model",), pick_chain="A", veto_component="GLY", reference="model"))
     assert show.succeeded and show.tables["series"].count() == 3 and show.tables["ratios"].count() == 0
-    view = commands.run(spark, commands.MapVisualization(model_file=f"{tmp_path}/m.cif", map_file=f"{tmp_path}/m_bw0.80.map", size=5, width=1.0))
+    view = commands.run(spark, commands.MapVisualization(model_file=f"{tmp_path}/m.cif", map_file=f"{tmp_path}/sim_map_m_bw0.80.map", size=5, width=1.0))
     plane = view.tables["plane"].collect()
     assert len(plane) == 25 and max(plane, key=lambda x: x.value)["row"] == 2
-    pos = commands.run(spark, commands.PositionEstimation(map_file=f"{tmp_path}/m_bw0.80.map", threshold=0.9, radius=1.0, iterations=3, step=0.5))
+    pos = commands.run(spark, commands.PositionEstimation(map_file=f"{tmp_path}/sim_map_m_bw0.80.map", threshold=0.9, radius=1.0, iterations=3, power=1.0, step=0.5))
     assert {round(p.x / 6) for p in pos.tables["points"].collect()} == {1, 2, 3}
 
 
+def test_charged_simulation_adds_up(spark, tmp_path):
+    rows = "".join(f"ATOM {i} {e} {n} . ALA A 1 {x:.1f} 0.0 0.0 1.0 0.0 1\n" for i, (e, n, x) in enumerate((("C", "CA", 0.0), ("N", "N", 1.5), ("XX", "Q", 0.5)), 1))
+    model(spark, tmp_path, BASE.replace("ATOM 1 C CA . ALA A 1 0.0 0.0 0.0 1.0 0.0 1\n", rows))
+    sets = {("C", 0): (1, 2), ("C", 1): (0.5, 3), ("C", -1): (1.5, 4), ("N", 0): (2, 5)}
+    cols = [f"{c}{i}" for c in "ab" for i in range(1, 6)]
+    (tmp_path / "f.csv").write_text("element,charge," + ",".join(cols) + "\n" + "".join(f"{e},{q},{a},0,0,0,0,{b},1,1,1,1\n" for (e, q), (a, b) in sets.items()))
+    (tmp_path / "q.csv").write_text("component_id,atom_id,structure_class,charge\nALA,CA,FREE,-0.5\nALA,N,HELX,0.25\n")
+    ask = {"model_file": f"{tmp_path}/m.cif", "form_factors": f"{tmp_path}/f.csv", "charge_table": f"{tmp_path}/q.csv", "widths": (0.7,), "cutoff": 2.0, "spacing": 0.5}
+    r = commands.run(spark, commands.MapSimulation(**ask))
+    assert r.succeeded, r.issues
+    got = {x.gid: x.value for x in r.tables["field"].collect()}
+    g = grid.Grid.around((0.0, 0.0, 0.0), (1.5, 0.0, 0.0), 0.5, 2.0)
+
+    def term(a, b, d):
+        f = b / (8 * math.pi**2) + 0.49
+        return potential.INTRINSIC_SCALE * a * (2 * math.pi * f) ** -1.5 * math.exp(-d * d / f / 2)
+
+    def delta(d):
+        return potential.CHARGE_SCALE * (math.erf(d / 0.7 / math.sqrt(2)) / d if d > 1e-5 else math.sqrt(2 / math.pi) / 0.7)
+
+    for gid, v in got.items():
+        x, y, z = (o + s * i for o, s, i in zip(g.origin, g.spacing, (gid % g.size[0], gid // g.size[0] % g.size[1], gid // g.size[0] // g.size[1])))
+        dc, dn = math.dist((x, y, z), (0, 0, 0)), math.dist((x, y, z), (1.5, 0, 0))
+        want = (term(1, 2, dc) - 0.5 * (term(1, 2, dc) - term(1.5, 4, dc) + delta(dc)) if dc <= 2 else 0) + (term(2, 5, dn) if dn <= 2 else 0)
+        assert abs(v - want) < 1e-9
+    assert any(abs(v) > 1 for v in got.values())
+    assert not commands.run(spark, commands.MapSimulation(model_file=f"{tmp_path}/m.cif")).succeeded
+    neutral = commands.run(spark, commands.MapSimulation(**ask | {"charge_table": "", "partial_charge": "0", "potential_model": "1"}))
+    assert neutral.succeeded and neutral.tables["field"].count() == len(got)
+
+
+def test_bonds_without_declared_ones(spark, tmp_path):
+    atoms = [("N", "N", 1, 0.0), ("C", "CA", 1, 1.4), ("C", "C", 1, 2.9), ("N", "N", 2, 4.2), ("C", "CB", 2, 6.1)]
+    rows = "".join(f"ATOM {i} {e} {n} . ALA A {q} {x:.1f} 0.0 0.0 1.0 0.0 1\n" for i, (e, n, q, x) in enumerate(atoms, 1))
+    m = model(spark, tmp_path, BASE.replace("ATOM 1 C CA . ALA A 1 0.0 0.0 0.0 1.0 0.0 1\n", rows))
+    assert {(r[0], r[1]) for r in commands.bond_pairs(m, m["atom"]).collect()} == {(1, 2), (2, 3), (3, 4)}
+    own = m | {"component_bond": spark.createDataFrame([("ALA", "CB", "N")], "component_id string, atom_1 string, atom_2 string")}
+    assert {(r[0], r[1]) for r in commands.bond_pairs(own, m["atom"]).collect()} == {(3, 4), (4, 5)}
+
+
+def test_repeated_alternates(spark):
+    rows = [("p", i, x, ind) for i, (x, ind) in enumerate([(0.0, "."), (1.0, "B"), (2.0, "B"), (3.0, "C")])]
+    a = spark.createDataFrame(rows, "path string, row_no int, x double, indicator string").selectExpr("*", "1 as model_number", "'A' as chain_id", "'ALA' as component_id", "1 as sequence_id", "'CA' as atom_id", "0.0 as y", "0.0 as z", "1.0 as occupancy", "0.0 as temperature")
+    (one,) = cif.merge_alternates(a).collect()
+    assert {k: v.x for k, v in one.alternates.items()} == {"B": 1.0, "C": 3.0}
+
+
 def test_requests(spark):
     r = commands.run(spark, commands.PotentialAnalysis(model_file="/nowhere", map_file="/nowhere", samples=0, fit_low=2.0))
     assert not r.succeeded and {i.option for i in r.issues if i.is_error} == {"model_file", "map_file", "fit_low"} and any(i.option == "samples" and not i.is_error for i in r.issues)
@@ -222,4 +269,8 @@ def test_codes():
     s = codes.spot_codes()
     assert [s[n] for n in ("C", "CA", "CG1", "CH2", "N", "ND1", "NH2", "O", "OXT", "SG", "SD", "HG11", "HA2", "C1'", "O5'", "C8", "N9", "O6")] == [6100, 6200, 6410, 6820, 7100, 7510, 7720, 8100, 8999, 9400, 9500, 411, 220, 11, 25, 48, 59, 66]
     e, r, t = codes.element_codes(), codes.residue_codes(), codes.structure_codes()
+    b = codes.bond_codes()
+    assert [s.get(n) for n in ("HOP2", "H4'", "H5''", "H1", "H73", "HXT", "CB1", "CH1")] == [5, 32, 37, 71, 84, 999, None, None]
+    assert (b["OP2_HOP2"], b["C1'_N9"], b["P_O3'"], b["N_CA"], b["C_N"], b["SD_CE"]) == (1, 8, 61, 62, 69, len(codes.BONDS))
+    assert all(n.count("_") == 1 and set(n.split("_")) <= set(s) for n in codes.BONDS)
     assert (e["C"], e["ZN"], e["TH"], r["ALA"], r["DT"], t["SHEET"], t["HELX_RH_OT_P"], t["HELX_RH_Z_N"], t["TURN_TY3_P"]) == (6, 30, 90, 1, 28, 3, 27, 61, 107)
