@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from gridloom.operators.ordering import numbered
+from gridloom.operators.skew import bounded_join
 from gridloom.session import materialize
 
 MAX_ITERATIONS = 100
@@ -59,13 +60,16 @@ def fit_segments(x: np.ndarray, y: np.ndarray, starts: np.ndarray, alpha: float,
     seg = np.repeat(np.arange(m), sizes)
     add = lambda v: np.add.reduceat(v, starts)
 
-    def weighted(w):
+    def weighted(w, v):
         wx = w * x
-        return solve2(add(w), add(wx), add(wx * x), add(w * y), add(wx * y))
+        return solve2(add(w), add(wx), add(wx * x), add(w * v), add(wx * v))
 
     few = sizes <= 1
     with np.errstate(all="ignore"):
-        b0, b1 = weighted(np.ones(total))
+        # every solution is the line so far and a correction from its residuals, which keeps the digits of nearly exact fits
+        b0, b1 = weighted(np.ones(total), y)
+        d0, d1 = weighted(np.ones(total), y - b0[seg] - b1[seg] * x)
+        b0, b1 = b0 + d0, b1 + d1
         ols = b0.copy(), b1.copy()
         r = y - b0[seg] - b1[seg] * x
         s2 = add(r * r) / np.maximum(1, sizes - 1)
@@ -80,7 +84,8 @@ def fit_segments(x: np.ndarray, y: np.ndarray, starts: np.ndarray, alpha: float,
             nw = np.ones(total) if alpha == 0 else np.exp(-0.5 * alpha * r * r / base[seg])
             nw = np.maximum(np.where(np.isfinite(nw), nw, floor), floor)
             w = np.where(open_[seg], nw, w)
-            n0, n1 = weighted(w)
+            d0, d1 = weighted(w, r)
+            n0, n1 = b0 + d0, b1 + d1
             r = y - n0[seg] - n1[seg] * x
             den = add(w) - sizes * alpha * (1 + alpha) ** -1.5
             ns = add(w * r * r) / np.where(den > 0, den, TINY)
@@ -118,10 +123,13 @@ def by_segments(keys: Sequence[str], run: Callable[[pd.DataFrame, np.ndarray], p
         return np.flatnonzero(change)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # parts of one entity
         for b in batches:
             if not len(b):
                 continue
+            if held and len(starts_of(pd.concat([held[0].iloc[:1], b.iloc[[0, -1]]], ignore_index=True))) == 1:
+                held.append(b)  # the whole batch goes on with it
+                continue
             df = pd.concat([*held, b], ignore_index=True) if held else b
             at = starts_of(df)
             cut = int(at[-1])
@@ -129,11 +137,28 @@ def by_segments(keys: Sequence[str], run: Callable[[pd.DataFrame, np.ndarray], p
                 yield run(df.iloc[:cut].reset_index(drop=True), at[:-1])
             held = [df.iloc[cut:].reset_index(drop=True)]
         if held:
-            yield run(held[0], starts_of(held[0]))
+            df = pd.concat(held, ignore_index=True)
+            yield run(df, starts_of(df))
 
     return each
 
 
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & a[k].eqNullSafe(b[k])
+    return on
+
+
+def split_large(rows: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of the keys with at most ``limit`` rows, the keys with more (keys, __n), and how many these are: at most a
+    limit-th of the rows. Runs a job."""
+    keys = list(keys)
+    big = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit))
+    n_big = big.count()
+    return (bounded_join(rows, big, same_keys(rows, big, keys), n_big, "left_anti") if n_big else rows), big, n_big
+
+
 def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -154,16 +179,7 @@ def fit_local(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float,
     keys = list(keys)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where(finite(F.col("__x")) & finite(F.col("__y")))
-    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > kernel_rows)
-    big = materialize(big)
-    small = rows
-    n_big = big.count()
-    if n_big:
-        cond = F.lit(True)
-        b = F.broadcast(big)  # at most rows / kernel_rows entities
-        for k in keys:
-            cond = cond & rows[k].eqNullSafe(big[k])
-        small = rows.join(b, cond, "left_anti")
+    small, big, n_big = split_large(rows, keys, kernel_rows)
 
     def run(seg: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         out = fit_segments(seg["__x"].to_numpy(), seg["__y"].to_numpy(), starts, alpha, max_iterations, tolerance, floor)
@@ -172,68 +188,80 @@ def fit_local(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float,
     schema = f"{_key_schema(df, keys)}, {FIT_FIELDS}"
     fits = small.repartition(*keys).sortWithinPartitions(*keys, "__x", "__y").mapInPandas(by_segments(keys, run), schema)
     if n_big:
-        hot = rows.join(F.broadcast(big.drop("__n")), cond, "left_semi")
+        hot = bounded_join(rows, big, same_keys(rows, big, keys), n_big, "left_semi")
         fits = fits.unionByName(fit_by_sums(hot, keys, "__x", "__y", alpha, max_iterations, tolerance, floor))
     return fits
 
 
+_STATE = "n long, b0_ols double, b1_ols double, b0 double, b1 double, sigma2 double, status string, iterations int, s double, sx double, sxx double, sy double, sxy double, si double"
+
+
 def fit_by_sums(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, floor: float = WEIGHT_FLOOR) -> DataFrame:
-    """fit_local() for few entities of many rows: every iteration is one scan whose weighted sums are combined before the
-    shuffle; the state of an entity is a row that comes to the driver (the caller bounds their number)."""
+    """fit_local() for entities of many rows: every iteration is one scan of those still open, whose weighted sums are combined
+    before the shuffle. The state of the entities is a table, so their number isn't bounded either.
+
+    Sums are taken over the residuals to the line so far and give its correction; so the residual variance isn't the
+    difference of large numbers, and the result is that of the kernel to rounding. Runs a job an iteration.
+    """
     keys = list(keys)
     names = [f"__k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(x).alias("x"), F.col(y).alias("y"))
-    sums = lambda w: [F.sum(w).alias("s"), F.sum(w * F.col("x")).alias("sx"), F.sum(w * F.col("x") * F.col("x")).alias("sxx"), F.sum(w * F.col("y")).alias("sy"), F.sum(w * F.col("x") * F.col("y")).alias("sxy"), F.sum(w * F.col("y") * F.col("y")).alias("syy"), F.count(F.lit(1)).alias("n"), F.sum(1 / w).alias("si")]
-    first = {tuple(r[n] for n in names): r for r in rows.groupBy(*names).agg(*sums(F.lit(1.0))).collect()}
-
-    def line(r):
-        b0, b1 = solve2(*(np.array([v]) for v in (r["s"], r["sx"], r["sxx"], r["sy"], r["sxy"])))
-        b0, b1 = float(b0[0]), float(b1[0])
-        rss = r["syy"] - 2 * b0 * r["sy"] - 2 * b1 * r["sxy"] + b0 * b0 * r["s"] + 2 * b0 * b1 * r["sx"] + b1 * b1 * r["sxx"]
-        return b0, b1, max(0.0, rss)
-
-    state = {}
-    for k, r in first.items():
-        b0, b1, rss = line(r)
-        state[k] = {"n": r["n"], "b0_ols": b0, "b1_ols": b1, "b0": b0, "b1": b1, "sigma2": rss / max(1, r["n"] - 1), "status": UNFINISHED, "iterations": 0}
-    schema = T.StructType([T.StructField(n, rows.schema[n].dataType) for n in names] + [T.StructField(c, T.DoubleType()) for c in ("b0", "b1", "base")])
-
-    def weigh(which):
-        now = [(*k, state[k]["b0"], state[k]["b1"], state[k]["sigma2"] if 0 < state[k]["sigma2"] < math.inf else floor) for k in which]
-        st = F.broadcast(df.sparkSession.createDataFrame(now, schema))
-        cond = F.lit(True)
-        for n in names:
-            cond = cond & rows[n].eqNullSafe(st[n])
-        j = rows.join(st, cond).select(*[rows[n] for n in names], "x", "y", "b0", "b1", "base")
-        res = F.col("y") - F.col("b0") - F.col("b1") * F.col("x")
-        return j, F.lit(1.0) if alpha == 0 else F.greatest(F.exp(-0.5 * alpha * res * res / F.col("base")), F.lit(floor))
-
-    last = {}
-    todo = list(state)
-    for _ in range(max_iterations):
-        if not todo:
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    key_schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    start = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    state = materialize(start.select(*names, "n", *[F.lit(0.0).alias(c) for c in ("b0_ols", "b1_ols", "b0", "b1", "sigma2")], F.lit("START").alias("status"), F.lit(0).alias("iterations"), *[F.lit(0.0).alias(c) for c in ("s", "sx", "sxx", "sy", "sxy", "si")]))
+
+    def corrected(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """New line and weighted residual sum from the sums over the residuals to the old one."""
+        v = {c: g[c].to_numpy(float) for c in ("b0", "b1", "s", "sx", "sxx", "sr", "sxr", "srr")}
+        det, scale = v["s"] * v["sxx"] - v["sx"] ** 2, np.maximum(np.abs(v["s"] * v["sxx"]), v["sx"] ** 2)
+        fine = np.abs(det) > 1e-13 * scale
+        d0, d1 = np.zeros(len(g)), np.zeros(len(g))
+        d0[fine], d1[fine] = solve2(*(v[c][fine] for c in ("s", "sx", "sxx", "sr", "sxr")))
+        odd = ~fine  # of all lines that fit the one of least norm, which follows from the values themselves
+        if odd.any():
+            c0, c1 = v["sr"] + v["b0"] * v["s"] + v["b1"] * v["sx"], v["sxr"] + v["b0"] * v["sx"] + v["b1"] * v["sxx"]
+            n0, n1 = solve2(v["s"][odd], v["sx"][odd], v["sxx"][odd], c0[odd], c1[odd])
+            d0[odd], d1[odd] = n0 - v["b0"][odd], n1 - v["b1"][odd]
+        rss = v["srr"] - 2 * (d0 * v["sr"] + d1 * v["sxr"]) + d0 * d0 * v["s"] + 2 * d0 * d1 * v["sx"] + d1 * d1 * v["sxx"]
+        return d0, d1, np.maximum(rss, 0.0)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            d0, d1, rss = corrected(g)
+            first = g["status"].isin(["START", "LINE"]).to_numpy()
+            n, old0, old1 = g["n"].to_numpy(float), g["b0"].to_numpy(float), g["b1"].to_numpy(float)
+            with np.errstate(all="ignore"):
+                den = g["s"].to_numpy(float) - n * alpha * (1 + alpha) ** -1.5
+                s2 = rss / np.where(den > 0, den, TINY)
+            s2 = np.where(first, rss / np.maximum(1, n - 1), np.where(np.isfinite(s2) & (s2 > 0), s2, HUGE))
+            # two passes of equal weights, of which the second only corrects the first, are the least squares line
+            status = np.where(g["status"] == "START", "LINE", np.where(g["status"] == "LINE", UNFINISHED, np.where(d0**2 + d1**2 < tolerance, OK, UNFINISHED)))
+            out = g[names].assign(n=g["n"], b0_ols=np.where(first, old0 + d0, g["b0_ols"]), b1_ols=np.where(first, old1 + d1, g["b1_ols"]), b0=old0 + d0, b1=old1 + d1, sigma2=s2, status=status, iterations=(g["iterations"] + ~first).astype(np.int32))
+            yield out.assign(s=g["s"], sx=g["sx"], sxx=g["sxx"], sy=g["sr"] + g["b0"] * g["s"] + g["b1"] * g["sx"], sxy=g["sxr"] + g["b0"] * g["sx"] + g["b1"] * g["sxx"], si=g["si"])
+
+    done, n_open = [], state.count()
+    for _ in range(max_iterations + 2):
+        if not n_open:
             break
-        j, w = weigh(todo)
-        got = j.withColumn("w", w).groupBy(*names).agg(*sums(F.col("w"))).collect()
-        for r in got:
-            k = tuple(r[n] for n in names)
-            b0, b1, rss = line(r)
-            den = r["s"] - r["n"] * alpha * (1 + alpha) ** -1.5
-            s2 = rss / (den if den > 0 else TINY)
-            s = state[k]
-            moved = (b0 - s["b0"]) ** 2 + (b1 - s["b1"]) ** 2
-            s.update(b0=b0, b1=b1, sigma2=s2 if math.isfinite(s2) and s2 > 0 else HUGE, iterations=s["iterations"] + 1)
-            last[k] = r
-            if moved < tolerance:
-                s["status"] = OK
-        todo = [k for k in todo if state[k]["status"] != OK]
-    out = []
-    for k, s in state.items():
-        r = last[k]
-        f = r["si"] / (r["n"] * s["sigma2"])  # 1 / row variance = weight x f
-        s["status"] = FALLBACK if s["sigma2"] == HUGE else s["status"]
-        out.append((*k, *(s[c] for c in ("n", "b0_ols", "b1_ols", "b0", "b1", "sigma2", "status", "iterations")), f * r["s"], f * r["sx"], f * r["sxx"], f * r["sy"], f * r["sxy"]))
-    return df.sparkSession.createDataFrame(out, f"{_key_schema(df, keys)}, {FIT_FIELDS}")
+        j = bounded_join(rows, state, same_keys(rows, state, names), n_open)
+        r = F.col("__y") - F.col("b0") - F.col("b1") * F.col("__x")
+        base = F.when((F.col("sigma2") > 0) & (F.col("sigma2") < math.inf), F.col("sigma2")).otherwise(floor)
+        w = F.lit(1.0) if alpha == 0 else F.when(F.col("status").isin("START", "LINE"), 1.0).otherwise(F.greatest(F.exp(-0.5 * alpha * r * r / base), F.lit(floor)))
+        j = j.select(*[rows[n] for n in names], "__x", r.alias("__r"), w.alias("__w"))
+        x_, r_, w_ = F.col("__x"), F.col("__r"), F.col("__w")
+        sums = j.groupBy(*names).agg(F.sum(w_).alias("s"), F.sum(w_ * x_).alias("sx"), F.sum(w_ * x_ * x_).alias("sxx"), F.sum(w_ * r_).alias("sr"), F.sum(w_ * x_ * r_).alias("sxr"), F.sum(w_ * r_ * r_).alias("srr"), F.sum(1 / w_).alias("si"))
+        before = state.drop("s", "sx", "sxx", "sy", "sxy", "si")
+        both = before.join(sums, same_keys(before, sums, names)).select(*[before[c] for c in before.columns], "s", "sx", "sxx", "sr", "sxr", "srr", "si")
+        found = materialize(both.mapInPandas(step, f"{key_schema}, {_STATE}"))
+        done.append(found.where(F.col("status") == OK))
+        state = found.where(F.col("status") != OK)
+        n_open = state.count()
+    out = state
+    for f in done:
+        out = out.unionByName(f)
+    f = F.col("si") / (F.col("n") * F.col("sigma2"))  # 1 / row variance = weight x f
+    status = F.when(F.col("sigma2") == HUGE, FALLBACK).otherwise(F.col("status"))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "b0_ols", "b1_ols", "b0", "b1", "sigma2", status.alias("status"), "iterations", (f * F.col("s")).alias("g00"), (f * F.col("sx")).alias("g01"), (f * F.col("sxx")).alias("g11"), (f * F.col("sy")).alias("m0"), (f * F.col("sxy")).alias("m1"))
 
 
 def ols(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: Column | None = None) -> DataFrame:
@@ -244,11 +272,11 @@ def ols(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: Column | Non
     return s.select(*keys, "n", F.try_divide(F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy"), det).alias("b0"), F.try_divide(F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy"), det).alias("b1"))
 
 
-def alpha_errors(df: DataFrame, keys: Sequence[str], x: str, y: str, order: str, alphas: Sequence[float], folds: int = 5, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+def alpha_errors(df: DataFrame, keys: Sequence[str], x: str, y: str, order: str, alphas: Sequence[float], folds: int = 5, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
     """For each entity and alpha the sum over the folds of |fit(fold) - fit(rest)|: keys, alpha, error.
 
     Row i (by ``order``) belongs to fold i mod ``folds``. All alphas, folds and sides of an entity are fitted where its rows
-    are, in one pass over the sorted rows.
+    are, in one pass over the sorted rows; those of entities above ``kernel_rows`` rows by fit_by_sums(). Runs a job.
     """
     if folds < 2 or not alphas:
         raise ValueError("at least two folds and one alpha")
@@ -282,7 +310,27 @@ def alpha_errors(df: DataFrame, keys: Sequence[str], x: str, y: str, order: str,
             out.append(pd.concat([seg[keys].iloc[starts].reset_index(drop=True), pd.DataFrame({"alpha": a, "error": error})], axis=1))
         return pd.concat(out, ignore_index=True)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "__o").mapInPandas(by_segments(keys, run), f"{_key_schema(df, keys)}, alpha double, error double")
+    small, big, n_big = split_large(rows, keys, kernel_rows)
+    out = small.repartition(*keys).sortWithinPartitions(*keys, "__o").mapInPandas(by_segments(keys, run), f"{_key_schema(df, keys)}, alpha double, error double")
+    if n_big:
+        hot = bounded_join(rows, big, same_keys(rows, big, keys), n_big, "left_semi")
+        out = out.unionByName(_large_alpha_errors(hot, keys, alphas, folds, max_iterations, tolerance))
+    return out
+
+
+def _large_alpha_errors(rows: DataFrame, keys: list[str], alphas: Sequence[float], folds: int, max_iterations: int, tolerance: float) -> DataFrame:
+    """alpha_errors() by sums: each row once for every fold, on the side of the fold or of the rest."""
+    own = F.pmod(F.col("__no") - 1, F.lit(folds))
+    sides = numbered(rows, keys, ["__o"], "__no").select(*keys, "__x", "__y", own.alias("__own"), F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("__fold"))
+    sides = materialize(sides.select(*keys, "__x", "__y", "__fold", (F.col("__own") == F.col("__fold")).alias("__in")))
+    out = None
+    for a in alphas:
+        f = fit_by_sums(sides, [*keys, "__fold", "__in"], "__x", "__y", a, max_iterations, tolerance)
+        side = lambda c, inside: F.coalesce(F.max(F.when(F.col("__in") == inside, F.col(c))), F.lit(0.0))
+        gap = f.groupBy(*keys, "__fold").agg(F.sqrt(F.pow(side("b0", True) - side("b0", False), F.lit(2.0)) + F.pow(side("b1", True) - side("b1", False), F.lit(2.0))).alias("__gap"))
+        one = gap.groupBy(*keys).agg(F.sum("__gap").alias("error")).select(*keys, F.lit(float(a)).alias("alpha"), "error")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def best_alpha(errors: DataFrame) -> DataFrame:

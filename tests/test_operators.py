@@ -155,10 +155,55 @@ def test_kernel_agrees_with_sums_and_keeps_floors(spark):
         for c in ("b0", "b1", "sigma2", "b0_ols", "g00", "g11", "m1"):
             assert math.isclose(a[k][c], b[k][c], rel_tol=1e-6), (k, c)
         assert a[k].iterations == b[k].iterations and a[k].status == b[k].status == "SUCCESS"
+    c = {r.k: r for r in robust.fit_local(df, ["k"], "x", "y", 0.0, kernel_rows=10).collect()}
+    d = {r.k: r for r in robust.fit_local(df, ["k"], "x", "y", 0.0).collect()}
+    assert all(math.isclose(c[k][v], d[k][v], rel_tol=1e-9) for k in c for v in ("b0", "b1", "sigma2", "g00"))
     flat = robust.fit_segments(np.array([1.0, 1.0, 1.0]), np.array([1.0, 2.0, 3.0]), np.array([0]), 0.0)
     assert abs(flat["b0"][0] + flat["b1"][0] - 2) < 1e-9
 
 
+def test_sums_keep_the_digits_of_nearly_exact_fits(spark):
+    rng = np.random.default_rng(9)
+    rows = [("far", float(x), float(1e7 + 3e5 * x + 1e-4 * rng.normal())) for x in rng.uniform(100, 101, 400)] + [("flat", 2.0, float(y)) for y in rng.normal(5, 1, 300)] + [("exact", float(i), 2.0 + 3.0 * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    for alpha in (0.0, 0.3):
+        a, b = ({r.k: r for r in robust.fit_local(df, ["k"], "x", "y", alpha, kernel_rows=n).collect()} for n in (10**6, 10))
+        for k in ("far", "flat"):
+            assert a[k].status == b[k].status
+            for c, tol in (("b0", 1e-7), ("b1", 1e-7), ("sigma2", 1e-3)):
+                assert math.isclose(a[k][c], b[k][c], rel_tol=tol, abs_tol=1e-12), (alpha, k, c, a[k][c], b[k][c])
+        assert abs(b["far"].sigma2 - 1e-8) < 5e-9 and abs(b["exact"].b0 - 2) < 1e-9 and abs(b["exact"].b1 - 3) < 1e-9
+
+
+def test_large_entities_train_alpha_by_sums(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, i, float(x), float(1 + x + rng.standard_t(2))) for k in ("a", None) for i, x in enumerate(rng.uniform(0, 3, 60))], "k string, o int, x double, y double")
+    a, b = ({(r.k, r.alpha): r.error for r in robust.alpha_errors(df, ["k"], "x", "y", "o", [0.0, 0.4], 3, kernel_rows=n).collect()} for n in (1000, 10))
+    assert set(a) == set(b) and all(math.isclose(a[x], b[x], rel_tol=1e-5) for x in a)
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.2, None])
+def test_large_groups_agree_with_small_ones(spark, alpha):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in ("a", "b", None):
+        for i in range(60):
+            b = rng.normal((1, 4), (0.2, 0.5)) + (3 if i % 15 == 0 else 0)
+            m = rng.normal(0, 1, (5, 2))
+            info = m.T @ m + np.eye(2)
+            rows.append((g, i, *map(float, b), float(info[0, 0]), float(info[0, 1]), float(info[1, 1]), *map(float, info @ b), 0.1 if g == "a" else 0.3))
+    df = spark.createDataFrame(rows, "g string, id int, b0 double, b1 double, g00 double, g01 double, g11 double, m0 double, m1 double, own double")
+    ask = {"alpha": 0.2 if alpha is None else alpha, "alpha_column": "own" if alpha is None else None}
+    x, y = ({(r.g, r.id): r for r in group_model.fit_groups(df, ["g"], "id", **ask, kernel_members=n).collect()} for n in (1000, 10))
+    assert set(x) == set(y) and len(x) == 180
+    for k in x:
+        for c in x[k].__fields__:
+            u, v = x[k][c], y[k][c]
+            assert math.isclose(u, v, rel_tol=1e-6, abs_tol=1e-9) if isinstance(u, float) else u == v, (k, c, u, v)
+    halves = [{(r.g, r.alpha): r.error for r in group_model.half_split_errors(df, ["g"], "id", [0.0, 0.3], 3, kernel_members=n).collect()} for n in (1000, 10)]
+    assert set(halves[0]) == set(halves[1]) and all(math.isclose(halves[0][k], halves[1][k], rel_tol=1e-6) for k in halves[0])
+
+
 def test_groups(spark):
     eye = np.stack([np.eye(2)] * 3)
     one = group_model.shrink(np.array([[1.0, 2.0]]), eye[:1], np.array([[1.0, 2.0]]), 0.2)
