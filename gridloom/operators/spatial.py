@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gridloom.operators.skew import BROADCAST_BYTES, bounded_join
 from gridloom.session import materialize
 
 #: Edge of a cell in radii. Larger cells mean fewer copies of the left points and more candidates a point.
 CELL_RADII = 2
+#: What a point holds at most where a counted side is broadcast.
+POINT_BYTES = 160
+#: Levels by which cells of a descent are halved at most; beyond them coordinates have no more digits.
+MOST_LEVELS = 60
 
 
 def _cells(axes: Sequence[str], size: float, radius: float) -> Column:
@@ -38,12 +43,13 @@ def _square(axes: Sequence[str]) -> Column:
     return total
 
 
-def range_join(left: DataFrame, right: DataFrame, axes: Sequence[str], radius: float, keys: Sequence[str] = (), condition: Column | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, axes: Sequence[str], radius: float, keys: Sequence[str] = (), condition: Column | None = None, right_rows: int | None = None) -> DataFrame:
     """Pairs within ``radius`` (included) and equal keys, as columns l and r (structs) and distance.
 
     Cells have an edge of CELL_RADII radii. Left points go to the cells that their box touches (at most two an axis), right
-    points to their own; the equi-join on key and cell spreads even one key over as many tasks as it has cells. Points with
-    null coordinates or keys pair with none.
+    points to their own; the equi-join on key and cell spreads even one key over as many tasks as it has cells, and AQE splits
+    what is left of skew by the measured sizes. A right side counted by the caller (``right_rows``) may be broadcast. Points
+    with null coordinates or keys pair with none.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
@@ -58,8 +64,9 @@ def range_join(left: DataFrame, right: DataFrame, axes: Sequence[str], radius: f
     cells = [f"c{i}" for i in range(len(axes))]
     a = a.select("l", *names, *[F.col(f"__c.{c}").alias(f"__{c}") for c in cells])
     b = b.select("r", *names, *[F.col(f"__c.{c}").alias(f"__{c}") for c in cells])
-    # what explode adds isn't in the optimizer's estimate, so it isn't left to choose a broadcast
-    j = a.join(b.hint("merge"), [*names, *[f"__{c}" for c in cells]])
+    # what explode adds isn't in the optimizer's estimate, so only a counted side is broadcast
+    small = right_rows is not None and right_rows * POINT_BYTES <= BROADCAST_BYTES
+    j = a.join(F.broadcast(b) if small else b.hint("merge"), [*names, *[f"__{c}" for c in cells]])
     if condition is not None:
         j = j.where(condition)
     d2 = _square(axes)
@@ -73,13 +80,13 @@ def neighbour_counts(points: DataFrame, point_id: str, axes: Sequence[str], radi
     return points.select(point_id).join(n, point_id, "left").select(point_id, F.coalesce("n", F.lit(0)).cast("long").alias("n_neighbours"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, axes: Sequence[str], k: int, cell: float, max_rings: int = 6) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, axes: Sequence[str], k: int, cell: float, max_rings: int = 3) -> DataFrame:
     """The k nearest points of each query, ascending, ties by point id: query_id, point_id, distance, rank. Exact.
 
     Cells are hashed; the first round looks one cell around each query and is final for those whose k-th distance is within
-    the reach; for the rest the reach doubles. Queries left after ``max_rings`` rounds (far from almost all points) are
-    compared with all points, in blocks of the points, each of which keeps its k best before the merge.
-    With fewer than k points all are returned. Rows with null coordinates take no part. Runs a job a round.
+    the reach; for the rest the reach doubles. Queries that ``max_rings`` rounds don't settle (far from most points, or in
+    sparse places) descend a hierarchy of cells: see _descend(). With fewer than k points all are returned. Rows with null
+    coordinates take no part. Runs jobs.
     """
     q, p = queries.select(F.col(query_id).alias("q"), *axes), points.select(F.col(point_id).alias("p"), *axes)
     ok = F.lit(True)
@@ -87,9 +94,9 @@ def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
         ok = ok & F.col(a).isNotNull()
     q, p = q.where(ok), p.where(ok)
     top = W.partitionBy("q").orderBy("distance", "p")
-    done, reach = None, cell
-    for _ in range(max_rings):
-        got = range_join(q, p, axes, reach).select(F.col("l.q").alias("q"), F.col("r.p").alias("p"), "distance")
+    n_points, done, reach = p.count(), None, cell
+    for _ in range(max_rings if n_points >= k else 0):
+        got = range_join(q, p, axes, reach, right_rows=n_points).select(F.col("l.q").alias("q"), F.col("r.p").alias("p"), "distance")
         best = got.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
         full = materialize(best.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("q"))).where(F.col("n") == k).drop("n"))
         done = full if done is None else done.unionAll(full)
@@ -98,15 +105,55 @@ def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
             break
         reach *= 2
     else:
-        block = F.pmod(F.xxhash64("p"), F.lit(64)).alias("block")
-        blocks = q.select(F.struct(*q.columns).alias("l"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("block"))
-        pairs = blocks.join(p.select(F.struct(*p.columns).alias("r"), block), "block").select(F.col("l.q").alias("q"), F.col("r.p").alias("p"), "block", F.sqrt(_square(axes)).alias("distance"))
-        part = pairs.withColumn("rank", F.row_number().over(W.partitionBy("q", "block").orderBy("distance", "p"))).where(F.col("rank") <= k)
-        rest = part.select("q", "p", "distance").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+        found = _descend(q, p, axes, k, cell)
+        rest = found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
         done = rest if done is None else done.unionAll(rest)
     return done.select(F.col("q").alias(query_id), F.col("p").alias(point_id + "_near" if point_id == query_id else point_id), "distance", "rank")
 
 
+def _descend(q: DataFrame, p: DataFrame, axes: Sequence[str], k: int, leaf: float) -> DataFrame:
+    """q, p, distance of all points that can be among the k nearest of a query, and few others.
+
+    The occupied cells of edge ``leaf`` and the counts of the cells of twice, four times ... their edge that hold them form a
+    tree. Every query starts at the cell that holds all points and goes down level by level: a cell is kept if its least
+    possible distance isn't above the distance within which cells known to it hold k points. So a query keeps about the cells
+    of its k nearest points at each level, however far away or unevenly spread they are, and is compared with the points of
+    its last cells only.
+    """
+    cells = [f"c{i}" for i in range(len(axes))]
+    at = lambda x, size: F.floor(F.col(x) / F.lit(size)).cast("long")
+    points = materialize(p.select("*", *[at(a, leaf).alias(c) for a, c in zip(axes, cells)]))
+    levels = [materialize(points.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")))]
+    if levels[0].isEmpty():
+        return p.limit(0).select(F.lit(None).cast(q.schema["q"].dataType).alias("q"), "p", F.lit(0.0).alias("distance"))
+    while len(levels) < MOST_LEVELS and levels[-1].count() > 1 << len(axes):
+        up = levels[-1].select(*[F.floor(F.col(c) / 2).cast("long").alias(c) for c in cells], "n")
+        levels.append(materialize(up.groupBy(*cells).agg(F.sum("n").alias("n"))))
+    top = levels[-1].count()
+    kept = bounded_join(q, levels[-1], F.lit(True), top, row_bytes=64)  # at most 2 ** axes cells unless the levels ended
+    for level in range(len(levels) - 1, -1, -1):
+        edge = leaf * 2.0**level
+        low = high = F.lit(0.0)
+        for a, c in zip(axes, cells):
+            near, far = F.col(c) * F.lit(edge) - F.col(a), (F.col(c) + 1) * F.lit(edge) - F.col(a)
+            gap = F.greatest(near, -far, F.lit(0.0))
+            low = low + gap * gap
+            reach = F.greatest(F.abs(near), F.abs(far))
+            high = high + reach * reach
+        bounds = kept.select("q", *axes, *cells, "n", low.alias("low"), high.alias("high"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("q").orderBy("high", *cells).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        limit = F.min(F.when(F.col("before") + F.col("n") >= k, F.col("high"))).over(W.partitionBy("q"))
+        # a hair of slack for the rounding of the bounds
+        good = bounds.withColumn("before", before).withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("low") <= F.col("limit") * (1 + 1e-9)))
+        good = materialize(good.select("q", *axes, *cells))
+        if level:
+            below = levels[level - 1].select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(cells)], *[F.floor(F.col(c) / 2).cast("long").alias(c) for c in cells], "n")
+            kept = good.join(below, cells).select("q", *axes, *[F.col(f"d{i}").alias(c) for i, c in enumerate(cells)], "n")
+    a = good.select(F.struct("q", *axes).alias("l"), *cells)
+    b = points.select(F.struct("p", *axes).alias("r"), *cells)
+    return a.join(b, cells).select(F.col("l.q").alias("q"), F.col("r.p").alias("p"), F.sqrt(_square(axes)).alias("distance"))
+
+
 def quantized_distinct(points: DataFrame, axes: Sequence[str], step: float) -> DataFrame:
     """One point for each occupied cube of edge ``step``, at the cube's lower corner."""
     return points.select(*[(F.floor(F.col(a) / F.lit(step)) * F.lit(step)).alias(a) for a in axes]).distinct()

@@ -62,6 +62,29 @@ def test_nearest(spark, rings):
     assert spatial.nearest(q.where("id = 0"), p, "id", "p", "xyz", 50, 1.0, rings).count() == 6
 
 
+@pytest.mark.parametrize(("rings", "k"), [(0, 1), (0, 7), (1, 7), (0, 400)])
+def test_descent_finds_the_nearest(spark, rings, k):
+    rng = np.random.default_rng(12)
+    place = np.r_[rng.normal(0, 1, (120, 2)), rng.normal((5e4, -3e3), 0.01, (120, 2)), np.zeros((30, 2)), rng.uniform(-1e6, 1e6, (10, 2))]
+    ask = np.r_[rng.normal(0, 3, (20, 2)), rng.uniform(-2e6, 2e6, (20, 2)), [(5e4, -3e3)], np.zeros((1, 2))]
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(place)], "p long, x double, y double")
+    q = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(ask)], "q long, x double, y double")
+    got = {}
+    for r in spatial.nearest(q, p, "q", "p", "xy", k, 0.5, rings).collect():
+        got.setdefault(r.q, {})[r["rank"]] = (r.distance, r.p)
+    d = np.sqrt(((ask[:, None] - place[None]) ** 2).sum(2))
+    for i in range(len(ask)):
+        order = np.lexsort((np.arange(len(place)), d[i]))[:k]
+        assert [got[i][n + 1][1] for n in range(len(order))] == order.tolist() and len(got[i]) == len(order)
+    assert spatial.nearest(q, p.limit(0), "q", "p", "xy", k, 0.5, rings).count() == 0
+
+
+def test_range_join_broadcasts_counted_sides(spark, monkeypatch):
+    a = line(spark, [0, 1, 2, 5, None]).withColumn("k", F.lit("a"))
+    both = [sorted((r.l.id, r.r.id) for r in spatial.range_join(a, a, "xyz", 1.0, ["k"], right_rows=n).collect()) for n in (None, 5)]
+    assert both[0] == both[1] and len(both[0]) == 8
+
+
 def test_edges_and_adjacency(spark):
     a = spark.createDataFrame([("m", 1, 0.0, 0.0, 0.0), ("m", 2, 1.0, 0.0, 0.0)], "key_tag string, serial_id int, x double, y double, z double")
     b = spark.createDataFrame([("m", 1, 2), ("m", 1, 1), ("m", 1, None), ("m", 1, 9)], "key_tag string, atom_serial_id_1 int, atom_serial_id_2 int")
