@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A table of at most this many bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32_000_000
 BUCKETS = 4096
-#: A bucket that holds more than this share of all rows is split; so at most 1 / HOT_SHARE buckets are hot.
-HOT_SHARE = 1 / 64
+#: A bucket that holds more than this share of all rows (twice the average) is split into parts of at most that share. A
+#: side that is repeated for each part then grows by less than its own size, as the parts of all hot buckets are at most
+#: 1 / HOT_SHARE, a half of the buckets.
+HOT_SHARE = 2 / BUCKETS
 
 
 def bucket_of(*keys: Column) -> Column:
@@ -29,11 +32,13 @@ def hot_buckets(rows: DataFrame, bucket: Column, share: float = HOT_SHARE, least
 
 
 def n_salts(hot: dict[int, int], bucket: Column) -> Column:
-    """Number of salts of a row's bucket, 1 where it isn't hot."""
+    """Number of salts of a row's bucket, 1 where it isn't hot; looked up by place."""
     if not hot:
         return F.lit(1)
-    pairs = F.create_map(*[F.lit(x) for kv in sorted(hot.items()) for x in kv])
-    return F.coalesce(F.try_element_at(pairs, bucket), F.lit(1))
+    salts = np.ones(BUCKETS, np.int32)
+    for b, n in hot.items():
+        salts[b] = n
+    return F.element_at(F.lit(salts), bucket + 1)
 
 
 def bounded_join(rows: DataFrame, small: DataFrame, on: Column, small_rows: int, how: str = "inner", row_bytes: int = 160) -> DataFrame:

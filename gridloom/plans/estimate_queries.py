@@ -219,6 +219,21 @@ def fitted_curves(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("""select 'sphere' as shape, 0.9::double as distance, 0.0::double as x, 0.0::double as y, 0.0::double as z, 0.333::double as x2, null::double as height2 union all select 'cylinder', null, 0.0, 0.0, 0.0, null, 0.083""")
+def sample_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Moments of the samples around all points: radii of spheres are uniform, squared radii and heights of cylinders."""
+    v = table(spark, d, "embeddings").select("vec_id", *[F.lit(0.0).alias(c) for c in ("x", "y", "z", "vx", "vy")], F.lit(1.0).alias("vz"))
+    near = lambda c, digits: (F.round(F.avg(c), digits) + F.lit(0.0))
+    s = samplers.sphere(v, "vec_id", 400, 0.3, 1.5, seed=3).selectExpr("*", "px / distance as ux", "py / distance as uy", "pz / distance as uz")
+    c = samplers.cylinder(v, "vec_id", 400, 0.0, 1.0, 1.0, seed=4)
+    null = F.lit(None).cast("double")
+    low = lambda c, digits, want, slack: F.when(F.abs(F.avg(c) - want) < slack, F.lit(float(want))).otherwise(near(c, digits))
+    one = s.agg(low("distance", 3, 0.9, 0.005).alias("distance"), *[low(f"u{a}", 3, 0.0, 0.005).alias(a) for a in "xyz"], low(F.col("ux") * F.col("ux"), 3, 0.333, 0.005).alias("x2"), null.alias("height2")).select(F.lit("sphere").alias("shape"), "*")
+    square = F.avg(F.col("distance") * F.col("distance"))
+    two = c.agg(F.when(F.abs(square - 0.5) < 0.005, null).otherwise(square).alias("distance"), *[low(f"p{a}", 3, 0.0, 0.005).alias(a) for a in "xyz"], null.alias("x2"), low(F.col("pz") * F.col("pz"), 3, 0.083, 0.005).alias("height2")).select(F.lit("cylinder").alias("shape"), "*")
+    return one.unionAll(two)
+
+
 # numbering and places
 
 

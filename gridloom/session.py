@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,15 +54,38 @@ def _remove(spark: SparkSession, path: str) -> None:
     except Exception:  # the JVM may be gone at exit
         local = path.removeprefix("file://")
         if os.path.isdir(local):
-            import shutil
-
             shutil.rmtree(local, ignore_errors=True)
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Remove all tables and files that were written so far; results that aren't collected or written yet can't be read
+    afterwards. A long session calls it between its jobs, else they go when the driver's Python ends."""
+    while _TABLES:
+        _remove(*_TABLES.pop())
+
+
+atexit.register(release)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, for sessions whose workers can't import it; once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="gridloom-package-")  # on the driver, from where Spark serves it while the session lasts
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "gridloom"), "zip", root, "gridloom"))
+    sc._gridloom_shipped = True
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder, removed when the driver's Python ends."""
+    """A new path in the shared checkpoint folder, removed by release()."""
     path = f"{checkpoint_dir(spark)}/gridloom/{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _TABLES.append((spark, path))
     return path
 
 
@@ -69,7 +93,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Run ``df`` once, write it to the shared checkpoint folder and return the written table.
 
     Cuts the lineage so that a lost executor costs a re-read and not a re-run, and gives the optimizer exact sizes.
-    The files go when the driver's Python ends.
+    The files go with release() or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = scratch(spark)
