@@ -25,6 +25,7 @@ ALIASES = {
     "potential_model": {"0": "single_gauss", "single": "single_gauss", "1": "five_gauss_charge", "five": "five_gauss_charge", "2": "user_gauss", "user": "user_gauss"},
     "partial_charge": {"0": "neutral", "neutral": "neutral", "1": "partial", "partial": "partial", "2": "amber", "amber": "amber"},
     "printer": {"0": "atom_position", "atom_pos": "atom_position", "1": "map_value", "map": "map_value", "2": "gauss", "gaus": "gauss", "3": "atom_outlier", "atom_out": "atom_outlier"},
+    "painter": {"0": "gaus", "gaus": "gaus", "1": "model", "model": "model", "2": "comparison", "comparison": "comparison", "3": "demo", "demo": "demo", "4": "atom", "atom": "atom"},
     "study": {"0": "benchmark", "1": "data_outlier", "2": "member_outlier", "3": "alpha_data", "4": "alpha_member"},
 }
 
@@ -155,6 +156,7 @@ class ResultDump(Request):
 @dataclass
 class PotentialDisplay(Request):
     store: str = ""
+    painter: str = "model"
     key_tags: tuple[str, ...] = ()
     pick_chain: str = ""
     veto_chain: str = ""
@@ -167,6 +169,10 @@ class PotentialDisplay(Request):
     def check(self, issues: list[Issue]) -> None:
         if not self.key_tags:
             issues.append(Issue("key_tags", "at least one key"))
+        if self.painter not in ALIASES["painter"].values():
+            issues.append(Issue("painter", "unknown painter"))
+        if self.painter == "comparison" and not self.reference:
+            issues.append(Issue("reference", "a comparison needs a reference model"))
 
 
 @dataclass
@@ -423,18 +429,39 @@ def result_dump(spark: SparkSession, r: ResultDump) -> dict[str, DataFrame]:
     return out
 
 
+#: Tables of each suite of figures.
+SUITES = {
+    "gaus": ("groups", "group_sizes", "members", "outliers"), "atom": ("local", "curves"), "model": ("series", "counts", "elements", "ranks", "neighbours", "members", "groups"), "comparison": ("ratios", "regression", "groups"),
+    "demo": ("groups", "group_sizes", "series", "counts", "local"),
+}
+
+
 def potential_display(spark: SparkSession, r: PotentialDisplay) -> dict[str, DataFrame]:
-    """The tables behind the figures: series, members and groups of the selected atoms, ratios to a reference model."""
+    """The tables behind a suite of figures of the selected atoms; those of a reference model, where one is named, besides."""
     s = Store(spark, r.store)
     atoms, post, groups, local = (s.table(n) for n in ("model_atom", "model_atom_posterior", "model_atom_group_potential", "model_atom_local_potential"))
+    if any(t is None for t in (atoms, post, groups, local)):
+        raise ValueError("the store holds no analysed model")
     here = F.col("key_tag").isin(list(r.key_tags))
     names = lambda v: select.parse_names(v)
     chosen = select.pick_veto({"chain_id": names(r.pick_chain), "component_id": names(r.pick_component), "element": names(r.pick_element)}, {"chain_id": names(r.veto_chain), "component_id": names(r.veto_component), "element": names(r.veto_element)})
+    key = ["key_tag", "serial_id"]
     a = atoms.where(here & chosen)
-    out = {"series": reports.chain_series(a.join(local.drop("alpha_r"), ["key_tag", "serial_id"]), "amplitude"), "members": post.where(here).join(a.select("key_tag", "serial_id"), ["key_tag", "serial_id"], "left_semi"), "groups": groups.where(here), "counts": a.groupBy("key_tag", "component_id").agg(F.count(F.lit(1)).alias("n"))}
-    if r.reference:
-        out["ratios"] = reports.compare_groups(groups.where(here | (F.col("key_tag") == r.reference)), r.reference, "amplitude_prior", "sigma_amplitude")
-    return out
+    fits = a.join(local.drop("alpha_r"), key)
+    mine = post.where(here).join(a.select(*key), key, "left_semi")
+    beta = [x.alias(n) for x, n in zip(gauss.beta_from_gauss(F.col("amplitude"), F.col("width")), ("b0", "b1"))]
+    residue = ["key_tag", "model_number", "chain_id", "sequence_id", "component_id"]
+    make = {
+        "groups": lambda: groups.where(here), "group_sizes": lambda: groups.where(here).select("key_tag", "class_key", "group_key", "n_members", "n_outliers", "alpha_g" if "alpha_g" in groups.columns else F.lit(None).cast("double").alias("alpha_g")),
+        "members": lambda: mine, "outliers": lambda: mine.where("is_outlier"), "series": lambda: reports.chain_series(fits, "amplitude"), "counts": lambda: a.groupBy("key_tag", "component_id").agg(F.count(F.lit(1)).alias("n")),
+        "elements": lambda: fits.select(*key, "element", "amplitude", "width"), "local": lambda: fits.select(*key, "component_id", "atom_id", "amplitude", "width", "intensity"), "curves": lambda: reports.curves(fits.select(*key, *beta), key, [i / 10 for i in range(16)]),
+        "ranks": lambda: lookup.rank_of_values(fits, residue, "atom_id", list(select.MAIN_CHAIN_AMINO), "amplitude"),
+        "neighbours": lambda: reports.neighbours_and_value(fits.withColumn("id", F.struct(*key)), "id", "xyz", 2.0, "amplitude", ["key_tag"]).select("id.*", "n_neighbours", "amplitude"),
+        "ratios": lambda: reports.compare_groups(groups.where(here | (F.col("key_tag") == r.reference)), r.reference, "amplitude_prior", "sigma_amplitude"),
+        "regression": lambda: reports.value_regression(groups.where(F.col("key_tag") == r.reference), groups.where(here), ["class_key", "group_key"], "amplitude_prior"),
+    }
+    wanted = dict.fromkeys((*SUITES[r.painter], *(("ratios", "regression") if r.reference else ())))
+    return {n: make[n]() for n in wanted}
 
 
 def model_test(spark: SparkSession, r: ModelTest) -> dict[str, DataFrame]:

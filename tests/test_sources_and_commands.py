@@ -171,6 +171,11 @@ def test_simulate_then_analyze_recovers_the_widths(spark, tmp_path):
         assert d.succeeded and all(t.count() >= 0 for t in d.tables.values()), d.issues
     show = commands.run(spark, commands.PotentialDisplay(store=f"file://{tmp_path}/store", key_tags=("model",), pick_chain="A", veto_component="GLY", reference="model"))
     assert show.succeeded and show.tables["series"].count() == 3 and show.tables["ratios"].count() == 0
+    sizes = {"gaus": {"groups": 3, "group_sizes": 3, "members": 9, "outliers": 0}, "atom": {"local": 3, "curves": 48}, "comparison": {"ratios": 0, "regression": 1, "groups": 3}, "demo": {"series": 3, "counts": 1}, "model": {"elements": 3, "ranks": 12, "neighbours": 3}}
+    for painter, want in sizes.items():
+        t = commands.run(spark, commands.PotentialDisplay(store=f"file://{tmp_path}/store", key_tags=("model",), painter=painter, reference="model" if painter == "comparison" else "")).tables
+        assert set(t) == set(commands.SUITES[painter]) and {n: t[n].count() for n in want} == want
+    assert not commands.run(spark, commands.PotentialDisplay(store="x", key_tags=("model",), painter="9")).succeeded
     view = commands.run(spark, commands.MapVisualization(model_file=f"{tmp_path}/m.cif", map_file=f"{tmp_path}/sim_map_m_bw0.80.map", size=5, width=1.0))
     plane = view.tables["plane"].collect()
     assert len(plane) == 25 and max(plane, key=lambda x: x.value)["row"] == 2
