@@ -306,10 +306,10 @@ def position_listing(spark: SparkSession, d: str) -> DataFrame:
     return exports.position_list(_named_atoms(spark, d))
 
 
-@query("""select row_id as "SerialID", coalesce(occupancy, 0) * 2 as "Amplitude", structure / 4.0::double as "Width", position_x as "X", position_y as "Y", position_z as "Z", component_id as "Residue", element::varchar as "Element", atom_id as "Spot" from model_atom where not isnan(coalesce(occupancy, 0))""")
+@query("""select row_id as "SerialID", coalesce(occupancy, 0) * 2 as "Amplitude", structure / 4.0::double as "Width", position_x as "X", position_y as "Y", position_z as "Z", component_id as "Residue", element::varchar as "Element", atom_id as "Spot" from model_atom where abs(coalesce(occupancy, 0)) < 1e300""")
 def local_listing(spark: SparkSession, d: str) -> DataFrame:
     """Amplitude and width (stood for by other columns) of each atom with its place and names."""
-    a = _named_atoms(spark, d).where("not isnan(coalesce(occupancy, 0))")
+    a = _named_atoms(spark, d).where("abs(coalesce(occupancy, 0)) < 1e300")
     return exports.local_list(a, a.select("serial_id", (F.coalesce("occupancy", F.lit(0.0)) * 2).alias("amplitude"), (F.col("structure") / F.lit(4.0)).alias("width")))
 
 

@@ -24,11 +24,12 @@ def test_numbers_and_totals(spark, share):
     assert [r.before for r in totals] == np.cumsum([0, *[w or 0 for _, _, w, _ in rows]])[:-1].tolist()
 
 
-def test_percentiles(spark):
+@pytest.mark.parametrize("task_rows", [10**6, 10])
+def test_percentiles(spark, task_rows):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), 7.0, 7.0, rng.gauss(0, 5), float("inf")]), 1, 1) for _ in range(700)] + [("empty", None, 1, 1), ("one", 3.0, 1, 1)]
     levels = {"low": 0.01, "mid": 0.5, "high": 0.9, "none": 0.0, "top": 1.0}
-    got = {r.k: r for r in ordering.percentiles(frame(spark, rows), ["k"], "v", levels).collect()}
+    got = {r.k: r for r in ordering.percentiles(frame(spark, rows), ["k"], "v", levels, task_rows).collect()}
     assert set(got) == {"a", "b", None, "empty", "one"}
     for k, r in got.items():
         vs = sorted(v for kk, v, *_ in rows if kk == k and v is not None and v == v)
@@ -41,6 +42,6 @@ def test_percentiles(spark):
             want = lo if lo == hi else lo + (hi - lo) * (at - int(at))
             assert r[name] == want or abs(r[name] - want) < 1e-9
         assert r.none == 0 and r.top == vs[-1]
-    whole = ordering.percentiles(frame(spark, rows), [], "v", {"mid": 0.5}).collect()
-    assert len(whole) == 1 and ordering.percentiles(frame(spark, []), ["k"], "v", levels).count() == 0
+    whole = ordering.percentiles(frame(spark, rows), [], "v", {"mid": 0.5}, task_rows).collect()
+    assert len(whole) == 1 and ordering.percentiles(frame(spark, []), ["k"], "v", levels, -1).count() == 0
     assert ordering.percentiles(frame(spark, []), [], "v", {"mid": 0.5}).first().mid == 0.0
