@@ -255,14 +255,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _fit(coder: _Coder, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Coefficients (features x models) of the logistic regressions of one load and fold by Newton steps; either class weighs
-    a half, whatever the loads' sizes."""
-    masks = [m for _, m in coder.variants() + coder.means()]
-    w = np.zeros((coder.width, len(masks)))
+    a half, whatever the loads' sizes. The models without one column start from that of all and need half the steps."""
+    models = coder.variants() + coder.means()
+    w = np.zeros((coder.width, len(models)))
     c = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-    for j, m in enumerate(masks):
-        xm, b = x[:, m], np.zeros(m.sum())
+    for j, (name, m) in enumerate(models):
+        near = name.startswith("without:")
+        xm, b = x[:, m], w[m, 0].copy() if near else np.zeros(m.sum())
         ridge = RIDGE * np.r_[1e-6, np.ones(len(b) - 1)]
-        for _ in range(NEWTON_STEPS):
+        for _ in range(NEWTON_STEPS // 2 if near else NEWTON_STEPS):
             p = _sigmoid(xm @ b)
             g = xm.T @ ((p - y) * c) + RIDGE * np.r_[0, np.ones(len(b) - 1)] * b
             h = (xm * (p * (1 - p) * c)[:, None]).T @ xm + np.diag(ridge)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,8 +79,9 @@ ATOM_MORE = [
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    rows = profile.load_changes(table(spark, d, "model_object"), "model_object", [*_object_rules(spark, d), *OBJECT_MORE])
-    rows += profile.load_changes(table(spark, d, "model_atom"), "model_atom", [*ATOM_RULES, *ATOM_MORE])
+    work = [("model_object", [*_object_rules(spark, d), *OBJECT_MORE]), ("model_atom", [*ATOM_RULES, *ATOM_MORE])]
+    with ThreadPoolExecutor(len(work)) as pool:  # the small jobs of one table run beside those of the other
+        rows = [r for found in pool.map(lambda w: profile.load_changes(table(spark, d, w[0]), *w), work) for r in found]
     return spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in profile.CHANGE_SCHEMA.split(", ")) for r in rows], profile.CHANGE_SCHEMA)
 
 
