@@ -17,6 +17,8 @@ ROWS = "path string, category string, row_no int, values map<string,string>"
 HYDROGEN = ("H", "D")
 PRIMARY = (".", "A")
 NO_MAP = "X-RAY DIFF"
+#: Category of the rows that tell of incomplete ones.
+INCOMPLETE = "!incomplete"
 
 
 def _stream(text: str) -> Iterator[tuple[str, bool]]:
@@ -54,7 +56,7 @@ def parse_document(text: str) -> Iterator[tuple[str, int, dict[str, str]]]:
     """(category, row_no, values) of every loop row and of each category's single items (row_no 0).
 
     A loop's rows may run over several lines; a ``#`` line, a new loop, block or item ends it. A last row with too few values
-    is dropped. Categories and names are without the leading underscore.
+    isn't a row of its category but one of INCOMPLETE. Categories and names are without the leading underscore.
     """
     items: dict[str, dict[str, str]] = {}
     names: list[str] = []
@@ -68,6 +70,10 @@ def parse_document(text: str) -> Iterator[tuple[str, int, dict[str, str]]]:
             category = names[0].partition(".")[0]
             count[category] = count.get(category, 0) + 1
             yield category, count[category], {c.partition(".")[2]: v for c, v in zip(names, values[at : at + n])}
+        if n and len(values) % n:
+            count[INCOMPLETE] = count.get(INCOMPLETE, 0) + 1
+            left = values[len(values) - len(values) % n :]
+            yield INCOMPLETE, count[INCOMPLETE], {"category": names[0].partition(".")[0], "n_columns": str(n), "n_values": str(len(left)), "first": left[0]}
 
     for token, data in _stream(text):
         low = token.lower()
@@ -124,6 +130,13 @@ def category(rows: DataFrame, name: str) -> DataFrame:
     return c.where("row_no > 0").unionByName(c.where("row_no = 0").join(loops, "path", "left_anti"))
 
 
+def incomplete_rows(rows: DataFrame) -> DataFrame:
+    """Last rows of loops that have too few values: path, category, n_columns, n_values, first (their first value)."""
+    c = rows.where(F.col("category") == INCOMPLETE)
+    get = lambda n: F.try_element_at("values", F.lit(n))
+    return c.select("path", get("category").alias("category"), get("n_columns").cast("int").alias("n_columns"), get("n_values").cast("int").alias("n_values"), get("first").alias("first"))
+
+
 def entry_ids(rows: DataFrame) -> DataFrame:
     """path, pdb_id, emd_id; structures without a map entry have the fixed id."""
     c = category(rows, "database_2").select("path", _get("database_id").alias("k"), _get("database_code").alias("v"))
@@ -221,4 +234,4 @@ def read_model(spark: SparkSession, paths: str | list[str], preferred_model: int
     """The entity tables of structure files."""
     rows = read_rows(spark, paths)
     atoms = of_model(merge_alternates(all_atoms(rows)), preferred_model)
-    return {"entry": entry_ids(rows).join(resolution(rows), "path"), "chain_map": chain_map(rows), "atom": atoms, "component": components(rows), "component_atom": component_atoms(rows), "component_bond": component_bonds(rows), "secondary": secondary_ranges(rows), "connection": connections(rows, atoms)}
+    return {"entry": entry_ids(rows).join(resolution(rows), "path"), "chain_map": chain_map(rows), "atom": atoms, "component": components(rows), "component_atom": component_atoms(rows), "component_bond": component_bonds(rows), "secondary": secondary_ranges(rows), "connection": connections(rows, atoms), "incomplete": incomplete_rows(rows)}

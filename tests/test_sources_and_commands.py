@@ -87,6 +87,7 @@ def test_cif_atoms_alternates_ranges_and_connections(spark, tmp_path):
     more += "_struct_conn.conn_type_id covale\n_struct_conn.ptnr1_label_asym_id A\n_struct_conn.ptnr1_label_comp_id LIG\n_struct_conn.ptnr1_label_atom_id X1\n_struct_conn.ptnr1_label_seq_id 10A\n_struct_conn.ptnr2_label_asym_id A\n_struct_conn.ptnr2_label_comp_id LIG\n_struct_conn.ptnr2_label_atom_id X2\n_struct_conn.ptnr2_label_seq_id 10A\n_struct_conn.pdbx_value_order sing\n#\n"
     m = model(spark, tmp_path, BASE.replace("ATOM 1 C CA . ALA A 1 0.0 0.0 0.0 1.0 0.0 1\n", atoms) + more)
     got = {r.serial_id: r for r in m["atom"].collect()}
+    assert [tuple(r)[1:] for r in m["incomplete"].collect()] == [("atom_site", 14, 4, "ATOM")]
     assert set(got) == {1, 2} and got[2].alternates["B"].x == 1.3 and got[1].is_special_atom and got[1].sequence_id == 10
     assert [(r.range_id, r.low, r.high) for r in m["secondary"].collect()] == [("H2", 2, 5)]
     assert [(r.atom_serial_id_1, r.atom_serial_id_2, r.bond_order) for r in m["connection"].collect()] == [(1, 2, "sing")]
