@@ -241,7 +241,7 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
                 out = pd.DataFrame({"shard_id": int(shard), "slot": np.arange(len(k), dtype=np.int32), "source": np.array(names, object)[which[order]], "repeat_no": turn[order].astype(np.int32), "block": block[order]})
                 yield out.astype({"shard_id": np.int32})
 
-    ids = spark.range(0, n_shards if n_slots else 0, 1, min(n_shards, 512))
+    ids = spark.range(0, n_shards if n_slots else 0, 1, min(n_shards, max(512, n_shards // 256)))
     drawn = ids.mapInPandas(slots, "shard_id int, slot int, source string, repeat_no int, block long")
     return drawn.join(parts, ["source", "block"]).select("shard_id", "slot", "source", "repeat_no", "block", "doc_id", "token_start", "block_offset", "n_tokens"), plan
 
