@@ -41,7 +41,9 @@ class SourcePlan:
     take: int
 
 
-def plan_sources(targets: list[tuple[str, float, int]], tokens: dict[str, int], block_tokens: int = BLOCK_TOKENS, total: int | None = None) -> list[SourcePlan]:
+def plan_sources(
+    targets: list[tuple[str, float, int]], tokens: dict[str, int], block_tokens: int = BLOCK_TOKENS, total: int | None = None
+) -> list[SourcePlan]:
     """Blocks to draw from each source.
 
     ``total`` tokens are mixed; by default as many as can be while every source that has tokens reaches its share within
@@ -178,7 +180,10 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, total: int | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", folder: str = TOKENIZERS, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, list[SourcePlan]]:
+def mix(
+    docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, total: int | None = None, seed: int = 7, doc_id: str = "doc_id",
+    text: str = "text", source: str = "source", folder: str = TOKENIZERS, shard_blocks: int = SHARD_BLOCKS
+) -> tuple[DataFrame, list[SourcePlan]]:
     """Draw a mixture in which each source has its target share of the tokens. Returns it and the plan of the sources.
 
     The tokens of a source, document after document, are cut into blocks of equal length (at most ``block_tokens``). The
@@ -193,23 +198,42 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
     doc_id, token_start LONG (in the document), block_offset LONG, n_tokens LONG. Repeated rows count as documents each.
     Empty tables give an empty mixture. Runs jobs.
     """
-    rows = [(r["source"], float(r["target_share"] or 0), int(r["max_repeat"] or 0)) for r in targets.select("source", "target_share", "max_repeat").collect()]
+    rows = [
+        (
+            r["source"], float(r["target_share"] or 0), int(r["max_repeat"] or 0)
+        ) for r in targets.select("source", "target_share", "max_repeat").collect()
+    ]
     if len({s for s, _, _ in rows} - {None}) != len(rows):
         raise ValueError("each source needs one target")
     rows.sort()
     names = [s for s, _, _ in rows]
     spark = docs.sparkSession
-    used = docs.where(F.col(f"`{source}`").isin(names)).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
-    sizes = materialize(token_counts(used, "text", ["doc_id", "source"], folder).withColumn("row_no", F.monotonically_increasing_id())).where("n_tokens > 0")
-    bucket = F.struct(F.shiftright("row_no", 33).alias("split"), F.floor(F.col("row_no").bitwiseAND(F.lit(_MASK)) / BUCKET_DOCS).alias("part")).alias("bucket")
+    used = docs.where(F.col(f"`{source}`").isin(names)).select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")
+    )
+    sizes = materialize(
+        token_counts(used, "text", ["doc_id", "source"], folder).withColumn("row_no", F.monotonically_increasing_id())
+    ).where("n_tokens > 0")
+    bucket = F.struct(
+        F.shiftright("row_no", 33).alias("split"), F.floor(F.col("row_no").bitwiseAND(F.lit(_MASK)) / BUCKET_DOCS).alias("part")
+    ).alias("bucket")
     numbered = sizes.select("doc_id", "source", "n_tokens", "row_no", bucket)
     held = numbered.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
-    before = materialize(held.select("source", "bucket", "tokens", F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("bucket_start")))
+    before = materialize(
+        held.select(
+            "source", "bucket", "tokens",
+            F.coalesce(
+                F.sum("tokens").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+            ).alias("bucket_start")
+        )
+    )
     tokens = {r["source"]: r["t"] for r in before.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     plan = plan_sources(rows, tokens, block_tokens, total)
     n_before = before.count()
     start = before.select("source", "bucket", "bucket_start")
-    offset = F.coalesce(F.sum("n_tokens").over(W.partitionBy("source", "bucket").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offset = F.coalesce(
+        F.sum("n_tokens").over(W.partitionBy("source", "bucket").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    )
     placed = numbered.withColumn("inner", offset).join(F.broadcast(start) if n_before <= BROADCAST_BUCKETS else start, ["source", "bucket"])
     length = F.lit(1).cast("long")
     for p in plan:
@@ -218,7 +242,11 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
     whole_div = lambda a: F.expr(f"({a}) div len")
     parts = placed.withColumn("block", F.explode(F.sequence(whole_div("start"), whole_div("start + n_tokens - 1"))))
     block_from, block_to = F.col("block") * F.col("len"), (F.col("block") + 1) * F.col("len")
-    parts = parts.select("source", "block", "doc_id", F.greatest(F.lit(0), block_from - F.col("start")).alias("token_start"), F.greatest(F.lit(0), F.col("start") - block_from).alias("block_offset"), (F.least(block_to, F.col("start") + F.col("n_tokens")) - F.greatest(block_from, F.col("start"))).alias("n_tokens"))
+    parts = parts.select(
+        "source", "block", "doc_id", F.greatest(F.lit(0), block_from - F.col("start")).alias("token_start"),
+        F.greatest(F.lit(0), F.col("start") - block_from).alias("block_offset"),
+        (F.least(block_to, F.col("start") + F.col("n_tokens")) - F.greatest(block_from, F.col("start"))).alias("n_tokens")
+    )
 
     take = np.array([p.take for p in plan], np.int64)
     blocks = np.array([max(1, p.blocks) for p in plan], np.int64)
@@ -238,12 +266,19 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, t
                         here = (which == s) & (turn == t)
                         block[here] = permute(at[here], int(blocks[s]), (seed << 40) ^ (int(s) << 24) ^ int(t))
                 order = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, int(shard), 1 << 30]))).permutation(len(k))
-                out = pd.DataFrame({"shard_id": int(shard), "slot": np.arange(len(k), dtype=np.int32), "source": np.array(names, object)[which[order]], "repeat_no": turn[order].astype(np.int32), "block": block[order]})
+                out = pd.DataFrame(
+                    {
+                        "shard_id": int(shard), "slot": np.arange(len(k), dtype=np.int32), "source": np.array(names, object)[which[order]],
+                        "repeat_no": turn[order].astype(np.int32), "block": block[order]
+                    }
+                )
                 yield out.astype({"shard_id": np.int32})
 
     ids = spark.range(0, n_shards if n_slots else 0, 1, min(n_shards, max(512, n_shards // 256)))
     drawn = ids.mapInPandas(slots, "shard_id int, slot int, source string, repeat_no int, block long")
-    return drawn.join(parts, ["source", "block"]).select("shard_id", "slot", "source", "repeat_no", "block", "doc_id", "token_start", "block_offset", "n_tokens"), plan
+    return drawn.join(parts, ["source", "block"]).select(
+        "shard_id", "slot", "source", "repeat_no", "block", "doc_id", "token_start", "block_offset", "n_tokens"
+    ), plan
 
 
 def mixed_tokens(mixture: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
@@ -265,8 +300,11 @@ def mixed_tokens(mixture: DataFrame, docs: DataFrame, doc_id: str = "doc_id", te
                 tokens = enc.encode_to_numpy(t, disallowed_special=()).astype(np.int32)
                 at = spots[i].as_py()
                 yield pa.RecordBatch.from_pydict({
-                    "shard_id": pa.array([s["shard_id"] for s in at], pa.int32()), "slot": pa.array([s["slot"] for s in at], pa.int32()), "source": pa.array([s["source"] for s in at], pa.string()), "block_offset": pa.array([s["block_offset"] for s in at], pa.int64()),
-                    "doc_id": ids.take(pa.array([i] * len(at), pa.int64())), "token_ids": pa.array([tokens[s["token_start"] : s["token_start"] + s["n_tokens"]] for s in at], pa.list_(pa.int32())),
+                    "shard_id": pa.array([s["shard_id"] for s in at], pa.int32()), "slot": pa.array([s["slot"] for s in at], pa.int32()),
+                    "source": pa.array([s["source"] for s in at], pa.string()),
+                    "block_offset": pa.array([s["block_offset"] for s in at], pa.int64()),
+                    "doc_id": ids.take(pa.array([i] * len(at), pa.int64())),
+                    "token_ids": pa.array([tokens[s["token_start"] : s["token_start"] + s["n_tokens"]] for s in at], pa.list_(pa.int32())),
                 })
 
     return used.mapInArrow(run, f"shard_id int, slot int, source string, block_offset long, doc_id {kind}, token_ids array<int>")
@@ -276,10 +314,20 @@ def share_report(mixture: DataFrame, plan: list[SourcePlan]) -> DataFrame:
     """For each target: source, target_share, actual_share, shortfall DOUBLE, tokens, available_tokens LONG, max_repeat,
     most_uses INT (of a document's tokens) and n_docs LONG used."""
     spark = mixture.sparkSession
-    by_block = mixture.groupBy("source", "block", "doc_id", "token_start").agg(F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("tokens"))
-    got = by_block.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("uses").alias("most_uses"), F.countDistinct("doc_id").alias("n_docs"))
-    want = spark.createDataFrame([(p.source, p.share, p.tokens, p.max_repeat) for p in plan], "source string, target_share double, available_tokens long, max_repeat int")
+    by_block = mixture.groupBy("source", "block", "doc_id", "token_start").agg(
+        F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("tokens")
+    )
+    got = by_block.groupBy("source").agg(
+        F.sum("tokens").alias("tokens"), F.max("uses").alias("most_uses"), F.countDistinct("doc_id").alias("n_docs")
+    )
+    want = spark.createDataFrame(
+        [(p.source, p.share, p.tokens, p.max_repeat) for p in plan],
+        "source string, target_share double, available_tokens long, max_repeat int"
+    )
     j = want.join(got, "source", "left").na.fill(0, ["tokens", "most_uses", "n_docs"])
     whole = F.sum("tokens").over(W.partitionBy())  # one row a source
     share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), whole.cast("double")), F.lit(0.0))
-    return j.select("source", "target_share", share.alias("actual_share"), F.greatest(F.lit(0.0), F.col("target_share") - share).alias("shortfall"), "tokens", "available_tokens", "max_repeat", F.col("most_uses").cast("int").alias("most_uses"), "n_docs")
+    return j.select(
+        "source", "target_share", share.alias("actual_share"), F.greatest(F.lit(0.0), F.col("target_share") - share).alias("shortfall"),
+        "tokens", "available_tokens", "max_repeat", F.col("most_uses").cast("int").alias("most_uses"), "n_docs"
+    )

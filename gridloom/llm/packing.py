@@ -55,7 +55,9 @@ def pack(sizes: Sequence[int], capacity: int) -> np.ndarray:
     return out
 
 
-def pack_documents(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, shard_items: int = SHARD_ITEMS
+) -> DataFrame:
     """Assign every text to containers of ``capacity`` tokens.
 
     Texts are counted once (the counts are written, not the texts). A text above the capacity is cut into pieces of exactly
@@ -72,9 +74,14 @@ def pack_documents(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text:
         raise ValueError("capacity must be at least 1")
     sizes = materialize(token_counts(docs, text, [doc_id], folder).withColumn("row_no", F.monotonically_increasing_id()))
     pieces = sizes.withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int"))
-    pieces = pieces.select(doc_id, "row_no", "n_pieces", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece_no"))
+    pieces = pieces.select(
+        doc_id, "row_no", "n_pieces", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece_no")
+    )
     start = F.col("piece_no").cast("long") * capacity
-    pieces = pieces.select(F.col(doc_id), "row_no", "piece_no", "n_pieces", start.alias("token_start"), F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - start).alias("n_tokens"))
+    pieces = pieces.select(
+        F.col(doc_id), "row_no", "piece_no", "n_pieces", start.alias("token_start"),
+        F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - start).alias("n_tokens")
+    )
     whole = pieces.where(F.col("n_tokens") == capacity).withColumn("container_id", F.concat_ws("-", F.lit("whole"), "row_no", "piece_no"))
     none = pieces.where("n_tokens = 0").withColumn("container_id", F.lit(None).cast("string"))
     loose = pieces.where((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity))
@@ -92,14 +99,18 @@ def pack_documents(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text:
 
         kind = items.schema["item"].dataType.simpleString()
         # an explicit number of partitions isn't coalesced: the few bytes of a shard hide seconds of packing
-        spread = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).repartition(min(shards, MOST_TASKS), "shard")
+        spread = items.withColumn(
+            "shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")
+        ).repartition(min(shards, MOST_TASKS), "shard")
         return spread.groupBy("shard").applyInPandas(run, f"item {kind}, container string, held long")
 
     boxes = materialize(placed(loose.select(F.col("row_no").alias("item"), "n_tokens"), n_loose, "r0"))
     moves, level, current, shards = [], 0, boxes, -(-n_loose // shard_items)
     while shards > 1:
         level += 1
-        half = current.where(F.col("held") * 2 <= capacity).select(F.col("container").alias("item"), F.col("held").alias("n_tokens")).distinct()
+        half = current.where(F.col("held") * 2 <= capacity).select(
+            F.col("container").alias("item"), F.col("held").alias("n_tokens")
+        ).distinct()
         n_half = half.count()
         if not n_half:
             break
@@ -121,7 +132,9 @@ def pack_documents(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text:
 def texts_again(packed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, text STRING: the tokens of each document's pieces, decoded in order; for documents with unique ids."""
     spots = packed.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("piece_no", "token_start", "n_tokens"))).alias("spots"))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(spots.withColumnRenamed(doc_id, "doc_id"), "doc_id")
+    rows = docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
+    ).join(spots.withColumnRenamed(doc_id, "doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder)[0]
@@ -140,5 +153,7 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: n_containers, n_tokens, least_containers (that the tokens alone would need), n_unused LONG, fill DOUBLE."""
     held = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("held"))
     return held.agg(F.count(F.lit(1)).alias("n_containers"), F.coalesce(F.sum("held"), F.lit(0)).alias("n_tokens")).select(
-        "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / capacity).cast("long").alias("least_containers"), (F.col("n_containers") * capacity - F.col("n_tokens")).alias("n_unused"), F.try_divide(F.col("n_tokens").cast("double"), F.col("n_containers") * F.lit(float(capacity))).alias("fill")
+        "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / capacity).cast("long").alias("least_containers"),
+        (F.col("n_containers") * capacity - F.col("n_tokens")).alias("n_unused"),
+        F.try_divide(F.col("n_tokens").cast("double"), F.col("n_containers") * F.lit(float(capacity))).alias("fill")
     )

@@ -34,11 +34,15 @@ def _located(cells: DataFrame, within: list[str], order: str) -> DataFrame:
     """Cells that hold a target rank: with the rows before them in ``before`` and only their targets in ``targets``."""
     w = W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     c = cells.withColumn("before", F.col("base") + F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    return c.withColumn("targets", F.filter("targets", lambda t: (t["rank"] > F.col("before")) & (t["rank"] <= F.col("before") + F.col("cnt")))).where(F.size("targets") > 0)
+    return c.withColumn(
+        "targets", F.filter("targets", lambda t: (t["rank"] > F.col("before")) & (t["rank"] <= F.col("before") + F.col("cnt")))
+    ).where(F.size("targets") > 0)
 
 
 def _answers(cells: DataFrame) -> DataFrame:
-    return cells.select(*GROUP, F.col("n"), F.explode("targets").alias("t"), "lo", "hi").select(*GROUP, "n", F.col("t.p").alias("p"), F.col("t.rank").alias("rank"), F.col("lo").alias("value_low"), F.col("hi").alias("value_high"))
+    return cells.select(*GROUP, F.col("n"), F.explode("targets").alias("t"), "lo", "hi").select(
+        *GROUP, "n", F.col("t.p").alias("p"), F.col("t.rank").alias("rank"), F.col("lo").alias("value_low"), F.col("hi").alias("value_high")
+    )
 
 
 def quantile_summary(
@@ -72,7 +76,10 @@ def quantile_summary(
     x = F.col("x")
     parts = None
     for c in group_columns:
-        p = df.select(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("key_value"), F.col(f"`{period_column}`").alias("period"), F.col(f"`{value_column}`").cast("double").alias("x"))
+        p = df.select(
+            F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("key_value"), F.col(f"`{period_column}`").alias("period"),
+            F.col(f"`{value_column}`").cast("double").alias("x")
+        )
         parts = p if parts is None else parts.unionAll(p)
     # -0.0 and 0.0 are one value
     parts = parts.withColumn("x", F.col("x") + F.lit(0.0))
@@ -80,19 +87,37 @@ def quantile_summary(
     log = F.when(F.abs(x) == F.lit(float("inf")), F.signum(x) * F.lit(1e6)).otherwise(F.signum(x) * F.log1p(F.abs(x)))
     cell = F.when(usable, F.floor(log * FIRST_CELLS)).cast("long").alias("cell")
     first = materialize(
-        parts.groupBy(*GROUP, cell).agg(F.count(F.lit(1)).alias("cnt"), F.count_if(x.isNull()).alias("n_null"), F.count_if(F.isnan(x)).alias("n_nan"), F.min(F.when(usable, x)).alias("lo"), F.max(F.when(usable, x)).alias("hi"))
+        parts.groupBy(*GROUP, cell).agg(
+            F.count(F.lit(1)).alias("cnt"), F.count_if(x.isNull()).alias("n_null"), F.count_if(F.isnan(x)).alias("n_nan"),
+            F.min(F.when(usable, x)).alias("lo"), F.max(F.when(usable, x)).alias("hi")
+        )
     )
     g = W.partitionBy(*GROUP)
-    counted = first.withColumns({"n": F.sum(F.when(F.col("cell").isNotNull(), F.col("cnt"))).over(g), "n_null": F.sum("n_null").over(g), "n_nan": F.sum("n_nan").over(g)}).where(F.col("cell").isNotNull())
+    counted = first.withColumns(
+        {
+            "n": F.sum(F.when(F.col("cell").isNotNull(), F.col("cnt"))).over(g), "n_null": F.sum("n_null").over(g),
+            "n_nan": F.sum("n_nan").over(g)
+        }
+    ).where(F.col("cell").isNotNull())
     sizes = counted.select(*GROUP, "n_null", "n_nan").distinct()
-    ranks = F.transform(F.array(*[F.lit(p) for p in levels]), lambda p: F.struct(p.alias("p"), F.greatest(F.lit(1), F.ceil(p * F.col("n"))).cast("long").alias("rank")))
-    cells = materialize(_located(counted.select(*GROUP, "cell", "cnt", "lo", "hi", "n", F.lit(0).cast("long").alias("base"), ranks.alias("targets")), GROUP, "cell"))
+    ranks = F.transform(
+        F.array(*[F.lit(p) for p in levels]),
+        lambda p: F.struct(p.alias("p"), F.greatest(F.lit(1), F.ceil(p * F.col("n"))).cast("long").alias("rank"))
+    )
+    cells = materialize(
+        _located(
+            counted.select(*GROUP, "cell", "cnt", "lo", "hi", "n", F.lit(0).cast("long").alias("base"), ranks.alias("targets")), GROUP,
+            "cell"
+        )
+    )
     answers = [_answers(cells.where("lo = hi"))]
     active = cells.where("lo < hi")
     n_active, passes, rows = active.count(), 1, None
     while n_active and (max_passes is None or passes < max_passes):
         passes += 1
-        span = F.when(F.col("hi") - F.col("lo") < F.lit(float("inf")), (x - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise((x / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+        span = F.when(
+            F.col("hi") - F.col("lo") < F.lit(float("inf")), (x - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        ).otherwise((x / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
         part = F.least(F.floor(span * PARTS), F.lit(PARTS - 1)).cast("int")
         # an infinity can't be halved towards: it stands alone in the first or last cell of the first pass
         if rows is None:
@@ -104,14 +129,18 @@ def quantile_summary(
         joined = bounded_join(source, a, _same(source, a, keys), n_active).select(*[source[k] for k in keys], "x", part.alias("part"))
         agg = joined.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("cnt"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         carried = active.select(*keys, *[k for k in GROUP if k not in keys], "n", F.col("before").alias("base"), "targets")
-        nxt = bounded_join(agg, carried, _same(agg, carried, keys), n_active, row_bytes=200 + 24 * len(levels)).select(*[agg[k] for k in keys], *[k for k in GROUP if k not in keys], "part", "cnt", "lo", "hi", "n", "base", "targets")
+        nxt = bounded_join(agg, carried, _same(agg, carried, keys), n_active, row_bytes=200 + 24 * len(levels)).select(
+            *[agg[k] for k in keys], *[k for k in GROUP if k not in keys], "part", "cnt", "lo", "hi", "n", "base", "targets"
+        )
         found = materialize(_located(nxt, keys, "part").withColumn("next_aid", F.monotonically_increasing_id()))
         answers.append(_answers(found.where("lo = hi")))
         still = found.where("lo < hi")
         n_still = still.count()
         if n_still and (max_passes is None or passes < max_passes):
             s = still.select(*keys, "part", F.col("next_aid"))
-            rows = materialize(bounded_join(joined, s, _same(joined, s, [*keys, "part"]), n_still).select(F.col("next_aid").alias("aid"), "x"))
+            rows = materialize(
+                bounded_join(joined, s, _same(joined, s, [*keys, "part"]), n_still).select(F.col("next_aid").alias("aid"), "x")
+            )
             active = still.drop("aid").withColumnRenamed("next_aid", "aid").select("aid", *GROUP, "n", "before", "targets", "lo", "hi")
         else:
             active = still
@@ -122,7 +151,8 @@ def quantile_summary(
     for a in answers[1:]:
         out = out.unionAll(a)
     return out.join(sizes, _same(out, sizes, GROUP)).select(
-        *[out[k] for k in GROUP], "n", "n_null", "n_nan", "p", "rank", "value_low", "value_high", F.ceil(F.col("n") / grid).cast("long").alias("merge_rank_error")
+        *[out[k] for k in GROUP], "n", "n_null", "n_nan", "p", "rank", "value_low", "value_high",
+        F.ceil(F.col("n") / grid).cast("long").alias("merge_rank_error")
     )
 
 
@@ -138,9 +168,13 @@ def combine(summary: DataFrame, percentiles: Sequence[float] = (0.05, 0.25, 0.5,
     key = ["column_name", "key_value"]
     step = W.partitionBy(*GROUP).orderBy("rank", "p")
     points = summary.withColumn("w", F.col("rank") - F.coalesce(F.lag("rank").over(step), F.lit(0)))
-    totals = points.groupBy(*GROUP).agg(F.max("n").alias("n"), F.max("merge_rank_error").alias("e")).groupBy(*key).agg(F.sum("n").alias("n_all"), F.sum("e").alias("rank_error"))
+    totals = points.groupBy(*GROUP).agg(
+        F.max("n").alias("n"), F.max("merge_rank_error").alias("e")
+    ).groupBy(*key).agg(F.sum("n").alias("n_all"), F.sum("e").alias("rank_error"))
     by_value = points.groupBy(*key, F.col("value_high").alias("v")).agg(F.sum("w").alias("w"))
     known = by_value.withColumn("known", F.sum("w").over(W.partitionBy(*key).orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
     j = known.join(totals, _same(known, totals, key)).select(*[known[k] for k in key], "v", "known", "n_all", "rank_error")
     j = j.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
-    return j.where(F.col("known") >= F.col("p") * F.col("n_all")).groupBy(*key, "p").agg(F.first("n_all").alias("n"), F.min("v").alias("value"), F.first("rank_error").alias("rank_error")).select(*key, "n", "p", "value", "rank_error")
+    return j.where(F.col("known") >= F.col("p") * F.col("n_all")).groupBy(*key, "p").agg(
+        F.first("n_all").alias("n"), F.min("v").alias("value"), F.first("rank_error").alias("rank_error")
+    ).select(*key, "n", "p", "value", "rank_error")

@@ -12,13 +12,17 @@ from gridloom.session import materialize, table
 
 def p2_summary(spark: SparkSession, d: str) -> DataFrame:
     """Order statistics of temperature by element and by structure for each load, mergeable over loads."""
-    return quantiles.quantile_summary(table(spark, d, "model_atom"), ["element", "structure"], "temperature", "load_id").withColumnRenamed("period", "load_id")
+    return quantiles.quantile_summary(
+        table(spark, d, "model_atom"), ["element", "structure"], "temperature", "load_id"
+    ).withColumnRenamed("period", "load_id")
 
 
 def p2_daily(spark: SparkSession, d: str) -> DataFrame:
     """The same by day of arrival."""
     atom = table(spark, d, "model_atom").withColumn("day", F.to_date("loaded_at"))
-    return quantiles.quantile_summary(atom, ["element", "structure"], "temperature", "day", percentiles=()).withColumnRenamed("period", "day")
+    return quantiles.quantile_summary(
+        atom, ["element", "structure"], "temperature", "day", percentiles=()
+    ).withColumnRenamed("period", "day")
 
 
 def p2_combined(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +50,9 @@ def p6_texts(spark: SparkSession, d: str) -> DataFrame:
     docs, capacity = table(spark, d, "documents"), _settings(spark, d)["container_capacity"]
     packed = materialize(packing.pack_documents(docs, capacity))
     held = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("held"))
-    fullest = packed.join(held, "container_id", "left").groupBy("doc_id").agg(F.coalesce(F.max("held") <= capacity, F.lit(True)).alias("fits"))
+    fullest = packed.join(held, "container_id", "left").groupBy("doc_id").agg(
+        F.coalesce(F.max("held") <= capacity, F.lit(True)).alias("fits")
+    )
     return packing.texts_again(packed, docs).join(fullest, "doc_id").select("doc_id", F.md5("text").alias("digest"), "fits")
 
 
@@ -92,14 +98,23 @@ def p8_texts(spark: SparkSession, d: str) -> DataFrame:
     whether all pieces are within the limit."""
     docs, limit = table(spark, d, "documents").select("doc_id", "text"), _settings(spark, d)["piece_limit"]
     whole = splitting.texts_again(p8_pieces(spark, d), limit)
-    return docs.join(whole, "doc_id", "left").select("doc_id", F.md5(F.coalesce(whole["whole"], docs["text"])).alias("digest"), F.coalesce("fits", F.lit(True)).alias("fits"))
+    return docs.join(whole, "doc_id", "left").select(
+        "doc_id", F.md5(F.coalesce(whole["whole"], docs["text"])).alias("digest"), F.coalesce("fits", F.lit(True)).alias("fits")
+    )
 
 
 def p8_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Pieces by the kind of boundary at their end."""
-    return p8_pieces(spark, d).groupBy("boundary").agg(F.count(F.lit(1)).alias("n_pieces"), F.round(F.avg("n_tokens"), 3).alias("mean_tokens"), F.max("n_tokens").alias("most_tokens"))
+    return p8_pieces(spark, d).groupBy("boundary").agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.round(F.avg("n_tokens"), 3).alias("mean_tokens"), F.max("n_tokens").alias("most_tokens")
+    )
 
 
-QUERIES = {f.__name__: f for f in (p2_summary, p2_daily, p2_combined, p6_containers, p6_fill, p6_texts, p7_mixture, p7_shares, p7_tokens, p7_corpus, p7_corpus_shares, p8_pieces, p8_texts, p8_boundaries)}
+QUERIES = {
+    f.__name__: f for f in (
+        p2_summary, p2_daily, p2_combined, p6_containers, p6_fill, p6_texts, p7_mixture, p7_shares, p7_tokens, p7_corpus, p7_corpus_shares,
+        p8_pieces, p8_texts, p8_boundaries
+    )
+}
 #: Tokens can't be counted in SQL: p6 to p8 are tested against brute force, and by SQL on the texts put together again.
 SQL: dict[str, str] = dict(_SQL)

@@ -95,7 +95,9 @@ def split_text(text: str, limit: int, overlap: int, folder: str = TOKENIZERS) ->
         found = cuts(n, kind, limit, overlap, pieces)
         if found is not None:
             texts = [data[ends[s] : ends[e]].decode() for s, e, _ in found]
-            if all(e - s <= limit - _EDGE or len(enc.encode_to_numpy(t, disallowed_special=())) <= limit for (s, e, _), t in zip(found, texts)):
+            if all(
+                e - s <= limit - _EDGE or len(enc.encode_to_numpy(t, disallowed_special=())) <= limit for (s, e, _), t in zip(found, texts)
+            ):
                 break
         pieces += 1
     if len(data) == len(text):
@@ -106,12 +108,19 @@ def split_text(text: str, limit: int, overlap: int, folder: str = TOKENIZERS) ->
     return [(s, e, int(at[s]), int(at[e]), KINDS[b] if b < len(KINDS) else "end", t) for (s, e, b), t in zip(found, texts)]
 
 
-_OUT = pa.schema([("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("token_start", pa.int64()), ("token_end", pa.int64()), ("n_tokens", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("boundary", pa.string()), ("text", pa.string())])
+_OUT = pa.schema(
+    [
+        ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("token_start", pa.int64()), ("token_end", pa.int64()),
+        ("n_tokens", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("boundary", pa.string()), ("text", pa.string())
+    ]
+)
 #: Bytes of piece text that one output batch holds.
 _FLUSH = 16_000_000
 
 
-def split_documents(docs: DataFrame, limit: int, overlap: int, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
+def split_documents(
+    docs: DataFrame, limit: int, overlap: int, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS
+) -> DataFrame:
     """Every text above ``limit`` tokens as pieces of at most ``limit`` tokens; lazy, no shuffle.
 
     The piece count is the least possible with the overlap; equal targets are moved to the strongest nearby boundary
@@ -126,7 +135,9 @@ def split_documents(docs: DataFrame, limit: int, overlap: int, doc_id: str = "do
     """
     if not 0 <= overlap <= limit - 8:
         raise ValueError("overlap must be at least 0 and 8 below the limit")
-    big = docs.where(F.octet_length(F.col(f"`{text}`")) > limit).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    big = docs.where(F.octet_length(F.col(f"`{text}`")) > limit).select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
+    )
     kind = big.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +162,10 @@ def split_documents(docs: DataFrame, limit: int, overlap: int, doc_id: str = "do
             if rows:
                 yield flush()
 
-    return big.mapInArrow(run, f"doc_id {kind}, piece_no int, n_pieces int, token_start long, token_end long, n_tokens long, char_start long, char_end long, boundary string, text string")
+    return big.mapInArrow(
+        run,
+        f"doc_id {kind}, piece_no int, n_pieces int, token_start long, token_end long, n_tokens long, char_start long, char_end long, boundary string, text string"
+    )
 
 
 def texts_again(pieces: DataFrame, limit: int) -> DataFrame:
@@ -159,5 +173,7 @@ def texts_again(pieces: DataFrame, limit: int) -> DataFrame:
     tokens), for documents with unique ids."""
     before = F.coalesce(F.lag("char_end").over(W.partitionBy("doc_id").orderBy("piece_no")), F.lit(0))
     own = pieces.select("doc_id", "piece_no", "n_tokens", F.substr("text", (before - F.col("char_start") + 1).cast("int")).alias("part"))
-    rows = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "part"))).alias("parts"), F.every(F.col("n_tokens") <= limit).alias("fits"))
+    rows = own.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("piece_no", "part"))).alias("parts"), F.every(F.col("n_tokens") <= limit).alias("fits")
+    )
     return rows.select("doc_id", F.array_join("parts.part", "").alias("whole"), "fits")

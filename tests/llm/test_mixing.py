@@ -32,7 +32,11 @@ def test_shards_share_out_the_totals():
 def test_draws_have_the_hypergeometric_probabilities(good, total, n):
     rng, draws = np.random.default_rng(4), 20_000
     got = Counter(hypergeometric(good, total, n, rng) for _ in range(draws))
-    p = {k: math.comb(good, k) * math.comb(total - good, n - k) / math.comb(total, n) for k in range(max(0, n + good - total), min(good, n) + 1)}
+    p = {
+        k: math.comb(good, k) * math.comb(total - good, n - k) / math.comb(total, n) for k in range(
+            max(0, n + good - total), min(good, n) + 1
+        )
+    }
     assert set(got) <= set(p)
     tested = [k for k in p if draws * p[k] > 5]
     assert sum((got[k] - draws * p[k]) ** 2 / (draws * p[k]) for k in tested) < len(tested) + 4 * math.sqrt(2 * len(tested)) + 4
@@ -58,10 +62,14 @@ def test_plan_respects_caps():
 
 
 def test_frames(spark):
-    rows = [(i, f"text number {i} " * (20 + i % 50), "big") for i in range(300)] + [(1000 + i, "small words here " * 40, "small") for i in range(12)]
+    rows = [
+        (i, f"text number {i} " * (20 + i % 50), "big") for i in range(300)
+    ] + [(1000 + i, "small words here " * 40, "small") for i in range(12)]
     rows += [(5000, None, "big"), (5001, "", "small"), (5002, "stray", None), (5003, "stray", "other")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, block int")
-    targets = spark.createDataFrame([("big", 0.75, 1), ("small", 0.25, 4), ("absent", 0.1, 2)], "source string, target_share double, max_repeat int")
+    targets = spark.createDataFrame(
+        [("big", 0.75, 1), ("small", 0.25, 4), ("absent", 0.1, 2)], "source string, target_share double, max_repeat int"
+    )
     m, plan = mix(docs, targets, block_tokens=64, shard_blocks=16)
     got = m.collect()
     size = {r[0]: len(encode(r[1] or "")) for r in rows}
@@ -75,7 +83,9 @@ def test_frames(spark):
     assert max(v for (s, _, _), v in uses.items() if s == "big") == 1 and max(v for (s, _, _), v in uses.items() if s == "small") <= 4
     assert max(filled.values()) <= 64 and {r.doc_id for r in got}.isdisjoint({5000, 5001, 5002, 5003})
     report = {r.source: r for r in share_report(m, plan).collect()}
-    assert abs(report["big"].actual_share - 0.75) < 0.02 and abs(report["small"].actual_share - 0.25) < 0.02 and report["absent"].tokens == 0
+    assert abs(report["big"].actual_share - 0.75) < 0.02 and abs(
+        report["small"].actual_share - 0.25
+    ) < 0.02 and report["absent"].tokens == 0
     assert sorted(map(tuple, m.collect())) == sorted(map(tuple, got))
     tokens = {(r.shard_id, r.slot, r.block_offset): list(r.token_ids) for r in mixed_tokens(m, docs).collect()}
     text = {r[0]: encode(r[1] or "").tolist() for r in rows}

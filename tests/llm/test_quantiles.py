@@ -13,7 +13,12 @@ def values(spark):
     rng = random.Random(5)
     rows = []
     for i in range(3000):
-        v = rng.choice([rng.gauss(40, 9), rng.random() * 1e-12, rng.expovariate(1) * 10 ** rng.randint(-3, 300), 20.0, -rng.random(), float("inf"), -float("inf"), float("nan"), None, 0.0, -0.0, 5e-324, 1.7e308, -1.7e308])
+        v = rng.choice(
+            [
+                rng.gauss(40, 9), rng.random() * 1e-12, rng.expovariate(1) * 10 ** rng.randint(-3, 300), 20.0, -rng.random(), float("inf"),
+                -float("inf"), float("nan"), None, 0.0, -0.0, 5e-324, 1.7e308, -1.7e308
+            ]
+        )
         rows.append((i, rng.choice(["a", "a", "a", "b", None]), v, rng.choice([1, 1, 2, None]), 1, "x"))
     return rows
 

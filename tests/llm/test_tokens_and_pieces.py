@@ -25,7 +25,9 @@ def check(text, limit, overlap):
 
 def test_random_texts_come_back_whole():
     rng = random.Random(3)
-    words = ["alpha", "Beta.", "gamma\n", "\n\n# Title\n", "x" * 40, "日本語の文。", "é", "'s", "\r\n", "  ", "1234567", "🧬", "\t", "don't", "ünïcödé"]
+    words = [
+        "alpha", "Beta.", "gamma\n", "\n\n# Title\n", "x" * 40, "日本語の文。", "é", "'s", "\r\n", "  ", "1234567", "🧬", "\t", "don't", "ünïcödé"
+    ]
     for n in (0, 5, 200, 900, 3000):
         check("".join(rng.choice(words) + rng.choice([" ", "", "\n"]) for _ in range(n)), 64, 8)
 
