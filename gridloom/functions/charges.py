@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from gridloom.functions.codes import structure_codes
 
 #: Structure class of each structure code: helices, sheets, and free for all others.
-STRUCTURE_CLASSES = {c: "HELX" if n.startswith("HELX") else "SHEET" if n in ("SHEET", "STRN") else "FREE" for n, c in structure_codes().items()}
+STRUCTURE_CLASSES = {
+    c: "HELX" if n.startswith("HELX") else "SHEET" if n in ("SHEET", "STRN") else "FREE" for n, c in structure_codes().items()
+}
 
 
 def partial_charges(atoms: DataFrame, table: DataFrame | None, choice: str = "partial") -> DataFrame:
@@ -23,6 +25,8 @@ def partial_charges(atoms: DataFrame, table: DataFrame | None, choice: str = "pa
         t = table.where("structure_class is null").groupBy("component_id", "atom_id").agg(F.min("charge").alias("__c"))
         return atoms.join(t, ["component_id", "atom_id"], "left").withColumn("charge", F.coalesce("__c", F.lit(0.0))).drop("__c")
     pairs = F.create_map(*[F.lit(x) for kv in STRUCTURE_CLASSES.items() for x in kv])
-    t = table.where("structure_class is not null").groupBy("component_id", "atom_id", F.col("structure_class").alias("__s")).agg(F.min("charge").alias("__c"))
+    t = table.where("structure_class is not null").groupBy(
+        "component_id", "atom_id", F.col("structure_class").alias("__s")
+    ).agg(F.min("charge").alias("__c"))
     a = atoms.withColumn("__s", F.coalesce(F.try_element_at(pairs, F.col("structure")), F.lit("FREE")))
     return a.join(t, ["component_id", "atom_id", "__s"], "left").withColumn("charge", F.coalesce("__c", F.lit(0.0))).drop("__c", "__s")

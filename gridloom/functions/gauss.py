@@ -57,7 +57,11 @@ def intensity(amplitude: Column, width: Column) -> Column:
 
 def intensity_sigma(amplitude: Column, sigma_a: Column, width: Column, sigma_w: Column) -> Column:
     w = F.when(width != 0, width)
-    return F.sqrt(F.pow(F.pow(TWO_PI * w * w, F.lit(-1.5)) * sigma_a, F.lit(2.0)) + F.pow(F.lit(-3 * TWO_PI**-1.5) * amplitude * F.pow(w, F.lit(-4.0)) * sigma_w, F.lit(2.0)))
+    return F.sqrt(
+        F.pow(F.pow(TWO_PI * w * w, F.lit(-1.5)) * sigma_a, F.lit(2.0)) + F.pow(
+            F.lit(-3 * TWO_PI**-1.5) * amplitude * F.pow(w, F.lit(-4.0)) * sigma_w, F.lit(2.0)
+        )
+    )
 
 
 def parameter(which: int, amplitude: Column, width: Column) -> Column:

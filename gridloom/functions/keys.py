@@ -44,15 +44,24 @@ BOND_CLASSES = {"simple": SIMPLE_BOND, "component": COMPONENT_BOND}
 
 def class_rows(df: DataFrame, classes: dict[str, Column]) -> DataFrame:
     """Each row once for every class, with class_key STRING and group_key LONG; a row needs no shuffle for it."""
-    return df.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("class_key"), c.alias("group_key")) for k, c in classes.items()])).alias("__c")).select("*", "__c.class_key", "__c.group_key").drop("__c")
+    return df.select(
+        "*", F.explode(F.array(*[F.struct(F.lit(k).alias("class_key"), c.alias("group_key")) for k, c in classes.items()])).alias("__c")
+    ).select("*", "__c.class_key", "__c.group_key").drop("__c")
 
 
-def atom_classes(df: DataFrame, atom_key: str = "atom_key", component_key: str = "component_key", structure: str = "structure", flag: str = "is_special_atom") -> DataFrame:
+def atom_classes(
+    df: DataFrame, atom_key: str = "atom_key", component_key: str = "component_key", structure: str = "structure",
+    flag: str = "is_special_atom"
+) -> DataFrame:
     a, c, s = F.col(atom_key), F.col(component_key), F.col(structure)
-    return class_rows(df, {"simple": SIMPLE_ATOM.pack(a, F.col(flag)), "component": COMPONENT_ATOM.pack(c, a), "structure": STRUCTURE_ATOM.pack(s, c, a)})
+    return class_rows(
+        df, {"simple": SIMPLE_ATOM.pack(a, F.col(flag)), "component": COMPONENT_ATOM.pack(c, a), "structure": STRUCTURE_ATOM.pack(s, c, a)}
+    )
 
 
-def bond_classes(df: DataFrame, bond_key: str = "bond_key", component_key: str = "component_key", flag: str = "is_special_bond") -> DataFrame:
+def bond_classes(
+    df: DataFrame, bond_key: str = "bond_key", component_key: str = "component_key", flag: str = "is_special_bond"
+) -> DataFrame:
     b = F.col(bond_key)
     return class_rows(df, {"simple": SIMPLE_BOND.pack(b, F.col(flag)), "component": COMPONENT_BOND.pack(F.col(component_key), b)})
 
@@ -67,7 +76,9 @@ def encode_ids(df: DataFrame, column: str, order: str, known: DataFrame, first_n
     j = seen.join(known.select("id", F.col("code").cast("long").alias("old")), "id", "left")
     new = numbered(j.where("old is null"), [], ["first", "id"], "__no").withColumn("code", F.lit(first_new - 1) + F.col("__no"))
     code = F.when(F.col("code") <= limit, F.col("code")) if limit is not None else F.col("code")
-    return j.where("old is not null").select("id", F.col("old").alias("code"), F.lit(False).alias("is_new")).unionAll(new.select("id", code.cast("long"), F.lit(True)))
+    return j.where("old is not null").select(
+        "id", F.col("old").alias("code"), F.lit(False).alias("is_new")
+    ).unionAll(new.select("id", code.cast("long"), F.lit(True)))
 
 
 def bond_id(atom_1: Column, atom_2: Column) -> Column:

@@ -37,8 +37,14 @@ def five_gauss(a: Column, b: Column, r: Column, blur: float) -> Column:
 # Coefficients of rational approximations to erf (Cody 1969), from the highest power down.
 _ERF_P = (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
 _ERF_Q = (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)
-_ERFC_P = (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3)
-_ERFC_Q = (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3)
+_ERFC_P = (
+    2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2,
+    8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3
+)
+_ERFC_Q = (
+    1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3,
+    4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3
+)
 
 
 def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
@@ -70,12 +76,21 @@ def read_form_factors(spark: SparkSession, path: str) -> DataFrame:
     to b5. Elements without a charged set use the neutral one there."""
     t = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
     a, b = (F.array(*[F.col(f"{c}{i}").cast("double") for i in range(1, 6)]) for c in "ab")
-    one = t.groupBy(F.upper("element").alias("element")).agg(*[F.max(F.when(F.col("charge") == q, x)).alias(f"{c}{n}") for q, n in ((0, "0"), (1, "p"), (-1, "m")) for c, x in (("a", a), ("b", b))])
+    one = t.groupBy(F.upper("element").alias("element")).agg(
+        *[
+            F.max(F.when(F.col("charge") == q, x)).alias(f"{c}{n}") for q, n in ((0, "0"), (1, "p"), (-1, "m")) for c,
+            x in (("a", a), ("b", b))
+        ]
+    )
     return one.select("element", "a0", "b0", *[F.coalesce(c, c[0] + "0").alias(c) for c in ("ap", "bp", "am", "bm")])
 
 
-def five_gauss_charged(neutral: tuple[Column, Column], positive: tuple[Column, Column], negative: tuple[Column, Column], r: Column, charge: Column, blur: float) -> Column:
+def five_gauss_charged(
+    neutral: tuple[Column, Column], positive: tuple[Column, Column], negative: tuple[Column, Column], r: Column, charge: Column, blur: float
+) -> Column:
     """Linear in the charge between the neutral and the singly charged parameter sets, each with its charge term."""
     zero = five_gauss(*neutral, r, blur)
     delta = charge_delta(r, F.lit(1.0), blur)
-    return zero + charge * F.when(charge >= 0, five_gauss(*positive, r, blur) + delta - zero).otherwise(zero - five_gauss(*negative, r, blur) + delta)
+    return zero + charge * F.when(
+        charge >= 0, five_gauss(*positive, r, blur) + delta - zero
+    ).otherwise(zero - five_gauss(*negative, r, blur) + delta)

@@ -28,7 +28,9 @@ def missing_to_null(c: Column) -> Column:
 
 def split_list(c: Column, separator: str = ",") -> Column:
     """Parts between separators, blanks trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(c, "\\" + separator if not separator.isalnum() else separator), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(
+        F.transform(F.split(c, "\\" + separator if not separator.isalnum() else separator), lambda x: F.trim(x)), lambda x: x != ""
+    )
 
 
 def number_list(c: Column, separator: str = ",") -> Column:

@@ -84,7 +84,9 @@ def _cubic_weight(k: Column, t: Column) -> Column:
     return 0.5 * F.when(k == 0, -t3 + 2 * t2 - t).when(k == 1, 3 * t3 - 5 * t2 + 2).when(k == 2, -3 * t3 + 4 * t2 + t).otherwise(t3 - t2)
 
 
-def interpolate(points: DataFrame, voxel: DataFrame, grid: Grid, point_id: str, axes: Sequence[str] = AXES, value: str = "value") -> DataFrame:
+def interpolate(
+    points: DataFrame, voxel: DataFrame, grid: Grid, point_id: str, axes: Sequence[str] = AXES, value: str = "value"
+) -> DataFrame:
     """Tricubic value at each point: point_id, value DOUBLE.
 
     Every point takes the 64 voxels around it (indices clamped at the edges), joined by linear index and summed with
@@ -96,7 +98,9 @@ def interpolate(points: DataFrame, voxel: DataFrame, grid: Grid, point_id: str,
     ok = F.lit(True)
     for a in axes:
         ok = ok & F.col(a).isNotNull()
-    p = points.where(ok).select(point_id, *[F.col(a).alias(f"__p{n}") for a, n in zip(axes, AXES)], *[i.alias(f"__i{n}") for i, n in zip(at, AXES)])
+    p = points.where(ok).select(
+        point_id, *[F.col(a).alias(f"__p{n}") for a, n in zip(axes, AXES)], *[i.alias(f"__i{n}") for i, n in zip(at, AXES)]
+    )
     p = p.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(63))))
     cells, weight = [], F.lit(1.0)
     for j, (a, n, s, o) in enumerate(zip(AXES, grid.size, grid.spacing, grid.origin)):
@@ -108,7 +112,9 @@ def interpolate(points: DataFrame, voxel: DataFrame, grid: Grid, point_id: str,
     v = voxel.select(F.col("gid").cast("long").alias("gid"), F.col(value).cast("double").alias("v"))
     # the 64 rows a point aren't in the optimizer's estimate, so it isn't left to choose a broadcast
     got = p.join(v.hint("merge"), "gid").groupBy(point_id).agg(F.sum(F.col("w") * F.col("v")).alias("value"))
-    return points.select(point_id, ok.alias("__ok")).join(got, point_id, "left").select(point_id, F.when(F.col("__ok"), F.coalesce("value", F.lit(0.0))).alias("value"))
+    return points.select(point_id, ok.alias("__ok")).join(got, point_id, "left").select(
+        point_id, F.when(F.col("__ok"), F.coalesce("value", F.lit(0.0))).alias("value")
+    )
 
 
 def stencil(points: DataFrame, grid: Grid, radius: float, axes: Sequence[str] = AXES) -> DataFrame:
@@ -126,7 +132,9 @@ def stencil(points: DataFrame, grid: Grid, radius: float, axes: Sequence[str] =
     return out.select(*points.columns, grid.gid(F.col("__i0"), F.col("__i1"), F.col("__i2")).alias("gid"), F.sqrt("__d2").alias("distance"))
 
 
-def scatter_add(points: DataFrame, grid: Grid, radius: float, potential: Column, keys: Sequence[str] = (), axes: Sequence[str] = AXES) -> DataFrame:
+def scatter_add(
+    points: DataFrame, grid: Grid, radius: float, potential: Column, keys: Sequence[str] = (), axes: Sequence[str] = AXES
+) -> DataFrame:
     """Field of all points on a grid: keys, gid, value. ``potential`` is a Column of the point's columns and ``distance``.
 
     Contributions are summed by voxel before the shuffle. With ``keys`` (as a blurring width) one job makes all fields.
@@ -136,5 +144,7 @@ def scatter_add(points: DataFrame, grid: Grid, radius: float, potential: Column,
     field = parts.groupBy(*keys, "gid").agg(F.sum("__p").alias("value"))
     every = voxels(points.sparkSession, grid)
     if keys:
-        every = points.select(*keys).distinct().withColumn("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.n - 1).cast("long"))))
+        every = points.select(*keys).distinct().withColumn(
+            "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.n - 1).cast("long")))
+        )
     return every.join(field, [*keys, "gid"], "left").select(*keys, "gid", F.coalesce("value", F.lit(0.0)).alias("value"))

@@ -33,8 +33,12 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], amo
     sorted_ = df.withColumn("__amount", F.coalesce(amount, F.lit(0)).cast("long")).withColumn("__tie", F.monotonically_increasing_id())
     parts = materialize(sorted_.repartitionByRange(*keys, *order, "__tie").withColumn("__part", F.spark_partition_id()))
     held = parts.groupBy("__part", *keys).agg(F.sum("__amount").alias("__held"))
-    start = held.withColumn("__start", F.coalesce(F.sum("__held").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__held")
-    inner = F.coalesce(F.sum("__amount").over(W.partitionBy("__part", *keys).orderBy(*order, "__tie").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = held.withColumn(
+        "__start", F.coalesce(F.sum("__held").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ).drop("__held")
+    inner = F.coalesce(
+        F.sum("__amount").over(W.partitionBy("__part", *keys).orderBy(*order, "__tie").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    )
     local = parts.withColumn("__inner", inner)
     j = local.join(start, _same(local, start, ["__part", *keys]))  # AQE knows the size of the parts' totals
     return j.select(*[local[c] for c in df.columns], (F.col("__start") + F.col("__inner")).alias(out))
@@ -58,7 +62,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: Mapping[
     if most <= task_rows:
         real = F.when(~F.isnan(v), v)
         between = [p for p in levels.values() if 0 < p < 1]
-        one = df.groupBy(*keys).agg(F.percentile(real, F.array(*[F.lit(float(p)) for p in between] or [F.lit(0.5)])).alias("__p"), F.max(real).alias("__max"))
+        one = df.groupBy(*keys).agg(
+            F.percentile(real, F.array(*[F.lit(float(p)) for p in between] or [F.lit(0.5)])).alias("__p"), F.max(real).alias("__max")
+        )
         pick = lambda p: F.lit(0.0) if p <= 0 else F.col("__max") if p >= 1 else F.col("__p")[between.index(p)]
         return one.select(*keys, *[F.coalesce(pick(p), F.lit(0.0)).alias(name) for name, p in levels.items()])
     counted = df.select(*keys, v.alias("__v")).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__cnt"))
@@ -76,7 +82,10 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, levels: Mapping[
     found = totals if not picks else j.groupBy(*keys).agg(*picks)
     groups = counted.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     for other in ([found] if found is totals else [found, totals]):
-        renamed = other.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys and c not in groups.columns])
+        renamed = other.select(
+            *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+            *[c for c in other.columns if c not in keys and c not in groups.columns]
+        )
         on = F.lit(True)
         for i, k in enumerate(keys):
             on = on & groups[k].eqNullSafe(renamed[f"__k{i}"])

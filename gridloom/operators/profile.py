@@ -127,12 +127,17 @@ def base_aggregates(df: DataFrame, rules: Sequence[ColumnRule], load: str = "loa
         x = c.cast("double") if _is_number(df.schema[r.name].dataType) else F.length(c.cast("string")).cast("double")
         fine = ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
         v = F.when(fine, x)
-        aggs += [F.count_if(c.isNull()).alias(f"n_null_{i}"), F.count_if(ok).alias(f"n_valid_{i}"), F.count(v).alias(f"n_num_{i}"), F.sum(v).alias(f"sum_{i}"), F.sum(v * v).alias(f"sumsq_{i}")]
+        aggs += [
+            F.count_if(c.isNull()).alias(f"n_null_{i}"), F.count_if(ok).alias(f"n_valid_{i}"), F.count(v).alias(f"n_num_{i}"),
+            F.sum(v).alias(f"sum_{i}"), F.sum(v * v).alias(f"sumsq_{i}")
+        ]
         aggs += [F.count_if(c == d).alias(f"dom_{i}_{k}") for k, d in enumerate(r.domain or ())]
     return df.where(F.col(load).isNotNull()).groupBy(F.col(f"`{load}`").cast("long").alias("load"), _fold(row_id).alias("fold")).agg(*aggs)
 
 
-def bin_counts(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id", row_id: str = "row_id") -> dict[tuple[int, int, int], np.ndarray]:
+def bin_counts(
+    df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id", row_id: str = "row_id"
+) -> dict[tuple[int, int, int], np.ndarray]:
     """Rows in each bin of the rules with cuts or buckets, by load, fold and number of the rule; exact, over all rows, one scan.
     Partitions are summed before the driver gets a row for each load and fold."""
     binned = [i for i, r in enumerate(rules) if r.n_bins()]
@@ -147,15 +152,24 @@ def bin_counts(df: DataFrame, rules: Sequence[ColumnRule], load: str = "load_id"
             n = np.zeros((len(keys), ends[-1]), np.int64)
             for j in range(len(binned)):
                 width = ends[j + 1] - ends[j]
-                n[:, ends[j] : ends[j + 1]] = np.bincount(row * width + rules[binned[j]].bins(b.column(j + 2)), minlength=len(keys) * width).reshape(len(keys), width)
+                n[:, ends[j] : ends[j + 1]] = np.bincount(
+                    row * width + rules[binned[j]].bins(b.column(j + 2)), minlength=len(keys) * width
+                ).reshape(len(keys), width)
             for k, v in zip(keys.tolist(), n):
                 sums[k] = sums[k] + v if k in sums else v
         for k, v in sums.items():
             at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_pydict({"load": pa.array(np.full(len(at), k // 2), pa.int64()), "fold": pa.array(np.full(len(at), k % 2), pa.int32()), "bin": pa.array(at, pa.int32()), "cnt": pa.array(v[at], pa.int64())})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "load": pa.array(np.full(len(at), k // 2), pa.int64()), "fold": pa.array(np.full(len(at), k % 2), pa.int32()),
+                    "bin": pa.array(at, pa.int32()), "cnt": pa.array(v[at], pa.int64())
+                }
+            )
 
     cols = [rules[i].coded().alias(f"b_{i}") for i in binned]
-    counts = df.where(F.col(load).isNotNull()).select(F.col(f"`{load}`").cast("long").alias("load"), _fold(row_id).alias("fold"), *cols).mapInArrow(run, "load long, fold int, bin int, cnt long")
+    counts = df.where(F.col(load).isNotNull()).select(
+        F.col(f"`{load}`").cast("long").alias("load"), _fold(row_id).alias("fold"), *cols
+    ).mapInArrow(run, "load long, fold int, bin int, cnt long")
     total: dict[tuple[int, int], np.ndarray] = {}
     for r in counts.groupBy("load", "fold", "bin").agg(F.sum("cnt").alias("cnt")).collect():
         total.setdefault((r["load"], r["fold"]), np.zeros(ends[-1]))[r["bin"]] = r["cnt"]
@@ -273,7 +287,9 @@ def _fit(coder: _Coder, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _models(df: DataFrame, coder: _Coder, rules: Sequence[ColumnRule], sizes: dict[int, int], first: int, load: str, row_id: str, fit_rows: int) -> dict[tuple[int, int], np.ndarray]:
+def _models(
+    df: DataFrame, coder: _Coder, rules: Sequence[ColumnRule], sizes: dict[int, int], first: int, load: str, row_id: str, fit_rows: int
+) -> dict[tuple[int, int], np.ndarray]:
     """The models of all later loads and both folds, trained side by side on the executors.
 
     A hash of the row id picks about ``fit_rows`` rows of each load, in a scan of all partitions. Each later load's rows and a
@@ -295,7 +311,12 @@ def _models(df: DataFrame, coder: _Coder, rules: Sequence[ColumnRule], sizes: di
         x = np.concatenate([coder.matrix(b) for b in rows])
         y = (table["load"].to_numpy() != first).astype(float)
         w = _fit(coder, x, y)
-        return pa.table({"model": pa.array([key[0].as_py()], pa.int64()), "fold": pa.array([key[1].as_py()], pa.int32()), "weights": pa.array([w.tobytes()], pa.binary())})
+        return pa.table(
+            {
+                "model": pa.array([key[0].as_py()], pa.int64()), "fold": pa.array([key[1].as_py()], pa.int32()),
+                "weights": pa.array([w.tobytes()], pa.binary())
+            }
+        )
 
     n_models = len(coder.variants()) + len(coder.means())
     got = pairs.groupBy("model", "fold").applyInArrow(run, "model long, fold int, weights binary").collect()
@@ -319,7 +340,9 @@ def _scores(coder: _Coder, loads: list[int], first: int, weights: dict[tuple[int
                         rows = (ld == (one if positive else first)) & (fold == f)
                         if not rows.any():
                             continue
-                        bins = np.minimum((_sigmoid(x[rows] @ weights[one, 1 - f][:, :nv]) * SCORE_BINS).astype(int), SCORE_BINS - 1) + offset
+                        bins = np.minimum(
+                            (_sigmoid(x[rows] @ weights[one, 1 - f][:, :nv]) * SCORE_BINS).astype(int), SCORE_BINS - 1
+                        ) + offset
                         h = np.bincount(bins.ravel(), minlength=nv * SCORE_BINS)
                         key = (one, f, positive)
                         hist[key] = hist[key] + h if key in hist else h
@@ -327,8 +350,10 @@ def _scores(coder: _Coder, loads: list[int], first: int, weights: dict[tuple[int
             at = np.flatnonzero(h)
             n = len(at)
             yield pa.RecordBatch.from_pydict({
-                "load": pa.array(np.full(n, one), pa.int64()), "fold": pa.array(np.full(n, f), pa.int32()), "positive": pa.array(np.full(n, positive), pa.int32()),
-                "variant": pa.array(names, pa.string()).take(pa.array(at // SCORE_BINS)), "bin": pa.array(at % SCORE_BINS, pa.int32()), "cnt": pa.array(h[at], pa.int64()),
+                "load": pa.array(np.full(n, one), pa.int64()), "fold": pa.array(np.full(n, f), pa.int32()),
+                "positive": pa.array(np.full(n, positive), pa.int32()),
+                "variant": pa.array(names, pa.string()).take(pa.array(at // SCORE_BINS)), "bin": pa.array(at % SCORE_BINS, pa.int32()),
+                "cnt": pa.array(h[at], pa.int64()),
             })
 
     return run
@@ -339,7 +364,10 @@ def _auc(hist: DataFrame) -> list:
     from pyspark.sql.window import Window as W
 
     key = ["load", "fold", "variant"]
-    by_bin = hist.groupBy(*key, "bin").agg(F.sum(F.when(F.col("positive") == 1, F.col("cnt")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("positive") == 0, F.col("cnt")).otherwise(0)).alias("neg"))
+    by_bin = hist.groupBy(*key, "bin").agg(
+        F.sum(F.when(F.col("positive") == 1, F.col("cnt")).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col("positive") == 0, F.col("cnt")).otherwise(0)).alias("neg")
+    )
     below = F.coalesce(F.sum("neg").over(W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     pairs = by_bin.select(*key, "pos", "neg", (F.col("pos").cast("double") * (below + F.col("neg") / 2)).alias("won"))
     return pairs.groupBy(*key).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
@@ -371,7 +399,10 @@ def discrimination(now: Sequence[np.ndarray], head: Sequence[np.ndarray]) -> flo
     return float(out / total) if total else 0.0
 
 
-def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: str = "load_id", row_id: str = "row_id", first: int = 1, least_rows: int = 20, fit_rows: int = FIT_ROWS) -> list[dict]:
+def load_changes(
+    df: DataFrame, table: str, rules: Sequence[ColumnRule], load: str = "load_id", row_id: str = "row_id", first: int = 1,
+    least_rows: int = 20, fit_rows: int = FIT_ROWS
+) -> list[dict]:
     """Compare each later load with the first by a classifier two-sample test, column by column. Runs jobs.
 
     1. Exact base aggregates of all rows by load and fold (two halves by a hash of the row id), one scan.
@@ -425,7 +456,10 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
     for at in range(0, len(later), block_size):
         block = later[at : at + block_size]
         rows = _coded(df.where(F.col(load).isin([first, *block])), rules, load, row_id)
-        hist = rows.mapInArrow(_scores(coder, block, first, {k: w for k, w in weights.items() if k[0] in block}), "load long, fold int, positive int, variant string, bin int, cnt long")
+        hist = rows.mapInArrow(
+            _scores(coder, block, first, {k: w for k, w in weights.items() if k[0] in block}),
+            "load long, fold int, positive int, variant string, bin int, cnt long"
+        )
         parts: dict[tuple[int, str], list] = {}
         for r in _auc(hist):
             if r["pos"] and r["neg"]:
@@ -436,9 +470,14 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
                 only = auc.get((k, f"only:{r.name}"))
                 error = _standard_error(only, base[k]["n"], head["n"]) if only is not None else None
                 valid = [b[f"n_valid_{i}"] / b["n"] for b in (base[k], head)]
-                seen = _seen(r, i, k, first, folds, by_fold, {f: weights[k, f][coder.plain[i], names.index(f"mean:{r.name}")] for f in (0, 1)} if i in coder.plain else {})
+                seen = _seen(
+                    r, i, k, first, folds, by_fold,
+                    {f: weights[k, f][coder.plain[i], names.index(f"mean:{r.name}")] for f in (0, 1)} if i in coder.plain else {}
+                )
                 visible = any(v is None or v >= SEEN * limit for v, limit in seen.values())
-                excluded = only is not None and min(valid) * min(FIT_ROWS, base[k]["n"], head["n"]) / 2 >= SURE_ROWS and max(only, 1 - only) + SURE * error < 0.5 + r.smallest_gain(*valid)
+                excluded = only is not None and min(valid) * min(
+                    FIT_ROWS, base[k]["n"], head["n"]
+                ) / 2 >= SURE_ROWS and max(only, 1 - only) + SURE * error < 0.5 + r.smallest_gain(*valid)
                 candidate = visible and not excluded
                 pooled = [sum(x) if (x := [by_fold[j, f, i] for f in (0, 1) if (j, f, i) in by_fold]) else None for j in (k, first)]
                 found.append(
@@ -449,7 +488,9 @@ def load_changes(df: DataFrame, table: str, rules: Sequence[ColumnRule], load: s
     return found
 
 
-def _seen(r: ColumnRule, i: int, load: int, first: int, folds: dict, by_fold: dict, slopes: dict[int, float]) -> dict[str, tuple[float | None, float]]:
+def _seen(
+    r: ColumnRule, i: int, load: int, first: int, folds: dict, by_fold: dict, slopes: dict[int, float]
+) -> dict[str, tuple[float | None, float]]:
     """How much of each kind of change the cross-fitted classifiers see, with its limit; None where a fold has too few rows."""
     empty = {"n": 0}
     now, head = ([folds.get((k, f), empty) for f in (0, 1)] for k in (load, first))
@@ -460,7 +501,11 @@ def _seen(r: ColumnRule, i: int, load: int, first: int, folds: dict, by_fold: di
         rows = [x.get(f"n_num_{i}", 0) for x in now + head]
         seen = None
         if enough(rows) and all(slopes.get(f) for f in (0, 1)):
-            gaps = [math.copysign(1, slopes[1 - f]) * (now[f][f"sum_{i}"] / now[f][f"n_num_{i}"] - head[f][f"sum_{i}"] / head[f][f"n_num_{i}"]) for f in (0, 1)]
+            gaps = [
+                math.copysign(1, slopes[1 - f]) * (
+                    now[f][f"sum_{i}"] / now[f][f"n_num_{i}"] - head[f][f"sum_{i}"] / head[f][f"n_num_{i}"]
+                ) for f in (0, 1)
+            ]
             share = [now[f][f"n_num_{i}"] + head[f][f"n_num_{i}"] for f in (0, 1)]
             seen = (gaps[0] * share[0] + gaps[1] * share[1]) / sum(share)
         out["mean"] = (seen, r.mean_change)
@@ -468,12 +513,16 @@ def _seen(r: ColumnRule, i: int, load: int, first: int, folds: dict, by_fold: di
         if r.n_bins():
             counts = [[by_fold.get((k, f, i), np.zeros(r.n_bins())) for f in (0, 1)] for k in (load, first)]
         else:
-            counts = [[np.array([x.get(f"dom_{i}_{k}", 0) for k in range(len(r.domain or ()))], float) for x in side] for side in (now, head)]
+            counts = [
+                [np.array([x.get(f"dom_{i}_{k}", 0) for k in range(len(r.domain or ()))], float) for x in side] for side in (now, head)
+            ]
         out["share"] = (discrimination(*counts) if enough([c.sum() for side in counts for c in side]) else None, r.share_change)
     return out
 
 
-def _confirm(r: ColumnRule, i: int, now, head, candidate: bool, bins: np.ndarray | None = None, head_bins: np.ndarray | None = None) -> dict:
+def _confirm(
+    r: ColumnRule, i: int, now, head, candidate: bool, bins: np.ndarray | None = None, head_bins: np.ndarray | None = None
+) -> dict:
     null_gap = now[f"n_null_{i}"] / now["n"] - head[f"n_null_{i}"] / head["n"]
     mean_gap = share_gap = None
     chance = 0.0
@@ -486,8 +535,12 @@ def _confirm(r: ColumnRule, i: int, now, head, candidate: bool, bins: np.ndarray
             p = (bins + head_bins) / (n + m)
             chance = float(np.sqrt(2 / math.pi * p * (1 - p) * (1 / n + 1 / m)).sum() / 2)
     elif r.share_change is not None and now[f"n_valid_{i}"] and head[f"n_valid_{i}"]:
-        share_gap = sum(abs(now[f"dom_{i}_{k}"] / now[f"n_valid_{i}"] - head[f"dom_{i}_{k}"] / head[f"n_valid_{i}"]) for k in range(len(r.domain))) / 2
-    shifted = abs(null_gap) > r.null_change or (mean_gap is not None and abs(mean_gap) > r.mean_change) or (share_gap is not None and share_gap > r.share_change + chance)
+        share_gap = sum(
+            abs(now[f"dom_{i}_{k}"] / now[f"n_valid_{i}"] - head[f"dom_{i}_{k}"] / head[f"n_valid_{i}"]) for k in range(len(r.domain))
+        ) / 2
+    shifted = abs(null_gap) > r.null_change or (mean_gap is not None and abs(mean_gap) > r.mean_change) or (
+        share_gap is not None and share_gap > r.share_change + chance
+    )
     return {"null_gap": null_gap, "mean_gap": mean_gap, "share_gap": share_gap, "shifted": bool(candidate and shifted)}
 
 
@@ -510,14 +563,21 @@ def column_profile(df: DataFrame, table: str, rules: Sequence[ColumnRule] = ())
             continue
         c = F.col(f"`{f.name}`")
         broken = rule[f.name].broken() if f.name in rule else F.lit(False)
-        by_value = df.select(c).groupBy(c).agg(F.count(F.lit(1)).alias("__n")).withColumn("__broken", F.when(broken, F.col("__n")).otherwise(0))
+        by_value = df.select(c).groupBy(c).agg(F.count(F.lit(1)).alias("__n")).withColumn(
+            "__broken", F.when(broken, F.col("__n")).otherwise(0)
+        )
         text = isinstance(f.dataType, T.StringType)
-        as_number = c.cast("timestamp").cast("double") if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)) else c.cast("double")
+        as_number = c.cast("timestamp").cast("double") if isinstance(
+            f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)
+        ) else c.cast("double")
         number, words = (F.lit(None).cast("double"), c) if text else (as_number, F.lit(None).cast("string"))
         one = by_value.agg(
-            F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("n_rows"), F.coalesce(F.sum(F.when(c.isNull(), F.col("__n"))), F.lit(0)).cast("long").alias("n_null"), F.count(c).alias("n_distinct"),
-            F.min(number).alias("min_number"), F.max(number).alias("max_number"), F.min(words).alias("min_text"), F.max(words).alias("max_text"),
-            F.coalesce(F.sum("__broken"), F.lit(0)).cast("long").alias("n_broken"), F.coalesce(F.max(F.when(c.isNotNull(), F.col("__n"))), F.lit(0)).cast("long").alias("top_count"),
+            F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("n_rows"),
+            F.coalesce(F.sum(F.when(c.isNull(), F.col("__n"))), F.lit(0)).cast("long").alias("n_null"), F.count(c).alias("n_distinct"),
+            F.min(number).alias("min_number"), F.max(number).alias("max_number"), F.min(words).alias("min_text"),
+            F.max(words).alias("max_text"),
+            F.coalesce(F.sum("__broken"), F.lit(0)).cast("long").alias("n_broken"),
+            F.coalesce(F.max(F.when(c.isNotNull(), F.col("__n"))), F.lit(0)).cast("long").alias("top_count"),
         )
         one = one.select(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), *one.columns)
         out = one if out is None else out.unionAll(one)

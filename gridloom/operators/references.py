@@ -26,7 +26,9 @@ class Reference:
     only_missing: bool = False
 
 
-def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference], row_id: str = "row_id", arrived: str = "loaded_at") -> DataFrame:
+def find_orphans(
+    tables: Mapping[str, DataFrame], references: Sequence[Reference], row_id: str = "row_id", arrived: str = "loaded_at"
+) -> DataFrame:
     """Every reference whose parent is missing, deleted or late, all references in one co-partitioned merge.
 
     Parent rows become validity intervals [arrived, deleted), at most one for each key and deletion time (the earliest
@@ -46,16 +48,23 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
         two = len(r.child_keys) > 1
         child = tables[r.child_table].where(r.child_filter)
         k2 = lambda cols: F.col(f"`{cols[1]}`").cast("long") if two else F.lit(0).cast("long")  # noqa: B023, E731
-        c = child.select(F.lit(no).alias("ref"), F.col(f"`{r.child_keys[0]}`").cast("string").alias("k1"), k2(r.child_keys).alias("k2"), F.col(f"`{arrived}`").alias("time"), F.col(f"`{row_id}`").alias("row_id"))
+        c = child.select(
+            F.lit(no).alias("ref"), F.col(f"`{r.child_keys[0]}`").cast("string").alias("k1"), k2(r.child_keys).alias("k2"),
+            F.col(f"`{arrived}`").alias("time"), F.col(f"`{row_id}`").alias("row_id")
+        )
         c = c.where(F.col("k1").isNotNull() & F.col("k2").isNotNull())
         kids = c if kids is None else kids.unionAll(c)
         kind = tables[r.child_table].schema[arrived].dataType
         p = tables[r.parent_table].select(
             F.col(f"`{r.parent_keys[0]}`").cast("string").alias("k1"), k2(r.parent_keys).alias("k2"),
             F.coalesce(F.col(f"`{arrived}`").cast(kind), F.lit("0001-01-01 00:00:00").cast(kind)).alias("since"),
-            F.coalesce(F.col(f"`{r.deleted_column}`").cast(kind) if r.deleted_column else F.lit(None).cast(kind), F.lit(far).cast(kind)).alias("until"),
+            F.coalesce(
+                F.col(f"`{r.deleted_column}`").cast(kind) if r.deleted_column else F.lit(None).cast(kind), F.lit(far).cast(kind)
+            ).alias("until"),
         ).where(F.col("k1").isNotNull() & F.col("k2").isNotNull())
-        p = p.groupBy("k1", "k2", "until").agg(F.min("since").alias("since")) if r.deleted_column else p.groupBy("k1", "k2").agg(F.min("since").alias("since"), F.first("until").alias("until"))
+        p = p.groupBy("k1", "k2", "until").agg(F.min("since").alias("since")) if r.deleted_column else p.groupBy("k1", "k2").agg(
+            F.min("since").alias("since"), F.first("until").alias("until")
+        )
         p = p.select(F.lit(no).alias("ref"), "k1", "k2", "since", "until")
         folks = p if folks is None else folks.unionAll(p)
     bucket = bucket_of("ref", "k1", "k2")
@@ -68,15 +77,26 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
     time_type = kids.schema["time"].dataType
     ends = F.col("until") < F.lit(far).cast(time_type)
     none = F.lit(None).cast(time_type)
-    head = F.struct(none.alias("time"), F.lit(0).alias("step"), F.when(~ends, F.col("since")).alias("stays_from"), F.col("until").alias("last_end"))
+    head = F.struct(
+        none.alias("time"), F.lit(0).alias("step"), F.when(~ends, F.col("since")).alias("stays_from"), F.col("until").alias("last_end")
+    )
     opens = F.struct(F.col("since").alias("time"), F.lit(1).alias("step"), none.alias("stays_from"), none.alias("last_end"))
     closes = F.struct(F.col("until").alias("time"), F.lit(-1).alias("step"), none.alias("stays_from"), none.alias("last_end"))
     events = F.when(ends & (F.col("since") < F.col("until")), F.array(head, opens, closes)).otherwise(F.array(head))
     place = ["ref", "k1", "k2", "salt"]
-    parents = folks.select(*place, F.explode(events).alias("e")).select(*place, F.col("e.time").alias("time"), F.lit(0).alias("is_child"), F.col("e.step").alias("step"), F.col("e.stays_from").alias("stays_from"), F.col("e.last_end").alias("last_end"), F.lit(None).cast(kids.schema["row_id"].dataType).alias("row_id"))
-    children = kids.select(*place, "time", F.lit(1).alias("is_child"), F.lit(0).alias("step"), none.alias("stays_from"), none.alias("last_end"), "row_id")
+    parents = folks.select(*place, F.explode(events).alias("e")).select(
+        *place, F.col("e.time").alias("time"), F.lit(0).alias("is_child"), F.col("e.step").alias("step"),
+        F.col("e.stays_from").alias("stays_from"), F.col("e.last_end").alias("last_end"),
+        F.lit(None).cast(kids.schema["row_id"].dataType).alias("row_id")
+    )
+    children = kids.select(
+        *place, "time", F.lit(1).alias("is_child"), F.lit(0).alias("step"), none.alias("stays_from"), none.alias("last_end"), "row_id"
+    )
     run = W.partitionBy(*place).orderBy(F.col("time").asc_nulls_first(), "is_child").rowsBetween(W.unboundedPreceding, 0)
-    merged = parents.unionAll(children).select("ref", "time", "is_child", "row_id", F.sum("step").over(run).alias("open"), F.min("stays_from").over(run).alias("stays_from"), F.max("last_end").over(run).alias("last_end"))
+    merged = parents.unionAll(children).select(
+        "ref", "time", "is_child", "row_id", F.sum("step").over(run).alias("open"), F.min("stays_from").over(run).alias("stays_from"),
+        F.max("last_end").over(run).alias("last_end")
+    )
     kind = (
         F.when(F.col("last_end").isNull(), "missing")
         .when(F.col("time").isNull(), None)
@@ -88,9 +108,14 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
     out = merged.where("is_child = 1").withColumn("kind", kind).where(F.col("kind").isNotNull())
     if strict:
         out = out.where(~F.col("ref").isin(strict) | (F.col("kind") == "missing"))
-    return out.select(named("child_table").alias("child_table"), named("child_column").alias("child_column"), "row_id", "kind", F.col("time").alias("arrived"))
+    return out.select(
+        named("child_table").alias("child_table"), named("child_column").alias("child_column"), "row_id", "kind",
+        F.col("time").alias("arrived")
+    )
 
 
 def orphans_by_month(orphans: DataFrame) -> DataFrame:
     """Number of orphans by child table, column, kind and month of the child's arrival (null for children without time)."""
-    return orphans.groupBy("child_table", "child_column", "kind", F.date_format("arrived", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_orphans"))
+    return orphans.groupBy(
+        "child_table", "child_column", "kind", F.date_format("arrived", "yyyy-MM").alias("month")
+    ).agg(F.count(F.lit(1)).alias("n_orphans"))

@@ -15,7 +15,9 @@ from gridloom.operators import lookup, spatial, stats
 def group_parameter(groups: DataFrame, class_key: str, group_key: int, kind: str, which: int = 0, dimension: int = 3) -> float:
     """Amplitude, width or intensity (0, 1, 2) of one group's mean, mdpde or prior line. An unknown group is an error."""
     a, w = gauss.gauss_from_beta(F.col(f"b0_{kind}"), F.col(f"b1_{kind}"), dimension)
-    r = groups.where((F.col("class_key") == class_key) & (F.col("group_key") == group_key)).select(gauss.parameter(which, a, w).alias("v")).first()
+    r = groups.where(
+        (F.col("class_key") == class_key) & (F.col("group_key") == group_key)
+    ).select(gauss.parameter(which, a, w).alias("v")).first()
     if r is None:
         raise KeyError((class_key, group_key))
     return r["v"]
@@ -35,7 +37,10 @@ def estimates(fits: DataFrame, keys: Sequence[str], dimension: int = 3) -> DataF
     """Amplitude and width of the least squares and of the robust line."""
     ao, wo = gauss.gauss_from_beta(F.col("b0_ols"), F.col("b1_ols"), dimension)
     a, w = gauss.gauss_from_beta(F.col("b0"), F.col("b1"), dimension)
-    return fits.select(*keys, ao.alias("amplitude_ols"), wo.alias("width_ols"), a.alias("amplitude"), w.alias("width"), gauss.intensity(a, w).alias("intensity"))
+    return fits.select(
+        *keys, ao.alias("amplitude_ols"), wo.alias("width_ols"), a.alias("amplitude"), w.alias("width"),
+        gauss.intensity(a, w).alias("intensity")
+    )
 
 
 def posterior_estimates(posterior: DataFrame, keys: Sequence[str], dimension: int = 3) -> DataFrame:
@@ -43,7 +48,9 @@ def posterior_estimates(posterior: DataFrame, keys: Sequence[str], dimension: in
     b0, b1 = F.col("b0_posterior"), F.col("b1_posterior")
     a, w = gauss.gauss_from_beta(b0, b1, dimension)
     sa, sw = gauss.sigma_from_beta(b0, b1, F.col("v00"), F.col("v11"), F.col("v01"))
-    return posterior.select(*keys, a.alias("amplitude"), w.alias("width"), sa.alias("sigma_amplitude"), sw.alias("sigma_width"), "distance", "is_outlier")
+    return posterior.select(
+        *keys, a.alias("amplitude"), w.alias("width"), sa.alias("sigma_amplitude"), sw.alias("sigma_width"), "distance", "is_outlier"
+    )
 
 
 def group_estimates(groups: DataFrame, keys: Sequence[str], dimension: int = 3) -> DataFrame:
@@ -76,7 +83,9 @@ def in_catalogue_order(groups: DataFrame, catalogue: DataFrame, on: Sequence[str
     return catalogue.join(groups, list(on)).orderBy("ordinal")
 
 
-def neighbours_and_value(points: DataFrame, point_id: str, axes: Sequence[str], radius: float, value: str, keys: Sequence[str] = ()) -> DataFrame:
+def neighbours_and_value(
+    points: DataFrame, point_id: str, axes: Sequence[str], radius: float, value: str, keys: Sequence[str] = ()
+) -> DataFrame:
     """Neighbour count within ``radius`` (itself included) beside each point's value."""
     return spatial.neighbour_counts(points, point_id, axes, radius, keys).join(points.select(point_id, value), point_id)
 
@@ -93,17 +102,23 @@ def paired_groups(rows: DataFrame, first: str, second: str, name: str, on: Seque
     return lookup.first_match(rows.where(F.col(name) == first), right, on, order, ["other"]).select(order, *on, F.col(value), "other")
 
 
-def curves(fits: DataFrame, keys: Sequence[str], xs: Sequence[float], b0: str = "b0", b1: str = "b1", form: str = "gauss", dimension: int = 3) -> DataFrame:
+def curves(
+    fits: DataFrame, keys: Sequence[str], xs: Sequence[float], b0: str = "b0", b1: str = "b1", form: str = "gauss", dimension: int = 3
+) -> DataFrame:
     """Fitted curves at the given positions, for all fits at once: keys, x, y.
 
     ``form`` line: ln v over -d^2 / 2, y = b0 + b1 x; gauss: amplitude times the unit Gaussian of the width in ``dimension``
     dimensions at distance x, both from the line's coefficients (0 where b1 isn't positive)."""
-    rows = fits.select(*keys, F.col(b0).alias("__b0"), F.col(b1).alias("__b1"), F.explode(F.array(*[F.lit(float(x)) for x in xs])).alias("x"))
+    rows = fits.select(
+        *keys, F.col(b0).alias("__b0"), F.col(b1).alias("__b1"), F.explode(F.array(*[F.lit(float(x)) for x in xs])).alias("x")
+    )
     if form == "line":
         y = F.col("__b0") + F.col("__b1") * F.col("x")
     elif form == "gauss":
         a, w = gauss.gauss_from_beta(F.col("__b0"), F.col("__b1"), dimension)
-        y = F.when(w > 0, a * F.pow(2 * math.pi * w * w, F.lit(-dimension / 2)) * F.exp(-F.col("x") * F.col("x") / (2 * w * w))).otherwise(0.0)
+        y = F.when(
+            w > 0, a * F.pow(2 * math.pi * w * w, F.lit(-dimension / 2)) * F.exp(-F.col("x") * F.col("x") / (2 * w * w))
+        ).otherwise(0.0)
     else:
         raise ValueError("form must be line or gauss")
     return rows.select(*keys, "x", y.alias("y"))
@@ -117,13 +132,17 @@ def chain_series(rows: DataFrame, value: str, sigma: str | None = None) -> DataF
 
 def compare_groups(groups: DataFrame, reference_key: str, value: str, sigma: str, rooted: bool = False) -> DataFrame:
     """Each model's group value over the reference model's, with propagated error; zero values and absent groups are left out."""
-    ref = groups.where(F.col("key_tag") == reference_key).select("class_key", "group_key", F.col(value).alias("__r"), F.col(sigma).alias("__s"))
+    ref = groups.where(F.col("key_tag") == reference_key).select(
+        "class_key", "group_key", F.col(value).alias("__r"), F.col(sigma).alias("__s")
+    )
     j = groups.where(F.col("key_tag") != reference_key).join(ref, ["class_key", "group_key"])
     q, e = gauss.ratio(F.col(value), F.col(sigma), F.col("__r"), F.col("__s"), rooted)
     return j.select("key_tag", "class_key", "group_key", q.alias("ratio"), e.alias("ratio_sigma")).where("ratio is not null and ratio <> 0")
 
 
-def paired_profiles(left: DataFrame, right: DataFrame, keys: Sequence[str], distance: str, value: str, bins: int = 15, high: float = 1.5) -> DataFrame:
+def paired_profiles(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], distance: str, value: str, bins: int = 15, high: float = 1.5
+) -> DataFrame:
     """Binned medians of two models side by side at equal keys and bins: keys, bin, x, a, b."""
     a, b = (stats.binned_medians(m, keys, distance, value, 0.0, high, bins) for m in (left, right))
     return a.withColumnRenamed("y", "a").join(b.select(*keys, "bin", F.col("y").alias("b")), [*keys, "bin"])

@@ -52,7 +52,10 @@ def solve2(a00, a01, a11, c0, c1):
     return x0, x1
 
 
-def fit_segments(x: np.ndarray, y: np.ndarray, starts: np.ndarray, alpha: float, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, floor: float = WEIGHT_FLOOR) -> dict[str, np.ndarray]:
+def fit_segments(
+    x: np.ndarray, y: np.ndarray, starts: np.ndarray, alpha: float, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE,
+    floor: float = WEIGHT_FLOOR
+) -> dict[str, np.ndarray]:
     """All entities of sorted arrays at once; ``starts`` are the first rows of the entities. Converged ones are left alone."""
     total = len(x)
     sizes = np.diff(np.r_[starts, total])
@@ -104,12 +107,15 @@ def fit_segments(x: np.ndarray, y: np.ndarray, starts: np.ndarray, alpha: float,
     status = np.where(few, FEW, np.where(s2 == HUGE, FALLBACK, np.where(done, OK, UNFINISHED)))
     zero = lambda v: np.where(few, 0.0, v)
     return {
-        "n": sizes, "b0_ols": zero(ols[0]), "b1_ols": zero(ols[1]), "b0": zero(b0), "b1": zero(b1), "sigma2": np.where(few, HUGE, s2), "status": status, "iterations": steps.astype(np.int32),
+        "n": sizes, "b0_ols": zero(ols[0]), "b1_ols": zero(ols[1]), "b0": zero(b0), "b1": zero(b1), "sigma2": np.where(few, HUGE, s2),
+        "status": status, "iterations": steps.astype(np.int32),
         "g00": g[0], "g01": g[1], "g11": g[2], "m0": g[3], "m1": g[4],
     }
 
 
-def by_segments(keys: Sequence[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def by_segments(
+    keys: Sequence[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """mapInPandas function over rows sorted by ``keys`` that hands whole entities to ``run``, many at a time."""
     keys = list(keys)
 
@@ -163,7 +169,10 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def fit_local(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, floor: float = WEIGHT_FLOOR, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
+def fit_local(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE,
+    floor: float = WEIGHT_FLOOR, kernel_rows: int = KERNEL_ROWS
+) -> DataFrame:
     """One robust line for each entity: keys and FIT_FIELDS, sigma2 being the residual variance.
 
     Starting from least squares, rows are weighted exp(-alpha r^2 / 2 sigma2) (at least ``floor``), the weighted line and
@@ -178,7 +187,9 @@ def fit_local(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float,
     validate(alpha, max_iterations, tolerance, floor)
     keys = list(keys)
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where(finite(F.col("__x")) & finite(F.col("__y")))
+    rows = df.select(
+        *keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")
+    ).where(finite(F.col("__x")) & finite(F.col("__y")))
     small, big, n_big = split_large(rows, keys, kernel_rows)
 
     def run(seg: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
@@ -196,7 +207,10 @@ def fit_local(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float,
 _STATE = "n long, b0_ols double, b1_ols double, b0 double, b1 double, sigma2 double, status string, iterations int, s double, sx double, sxx double, sy double, sxy double, si double"
 
 
-def fit_by_sums(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, floor: float = WEIGHT_FLOOR) -> DataFrame:
+def fit_by_sums(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE,
+    floor: float = WEIGHT_FLOOR
+) -> DataFrame:
     """fit_local() for entities of many rows: every iteration is one scan of those still open, whose weighted sums are combined
     before the shuffle. The state of the entities is a table, so their number isn't bounded either.
 
@@ -205,10 +219,17 @@ def fit_by_sums(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float
     """
     keys = list(keys)
     names = [f"__k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    rows = df.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")
+    )
     key_schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     start = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    state = materialize(start.select(*names, "n", *[F.lit(0.0).alias(c) for c in ("b0_ols", "b1_ols", "b0", "b1", "sigma2")], F.lit("START").alias("status"), F.lit(0).alias("iterations"), *[F.lit(0.0).alias(c) for c in ("s", "sx", "sxx", "sy", "sxy", "si")]))
+    state = materialize(
+        start.select(
+            *names, "n", *[F.lit(0.0).alias(c) for c in ("b0_ols", "b1_ols", "b0", "b1", "sigma2")], F.lit("START").alias("status"),
+            F.lit(0).alias("iterations"), *[F.lit(0.0).alias(c) for c in ("s", "sx", "sxx", "sy", "sxy", "si")]
+        )
+    )
 
     def corrected(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """New line and weighted residual sum from the sums over the residuals to the old one."""
@@ -235,9 +256,18 @@ def fit_by_sums(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float
                 s2 = rss / np.where(den > 0, den, TINY)
             s2 = np.where(first, rss / np.maximum(1, n - 1), np.where(np.isfinite(s2) & (s2 > 0), s2, HUGE))
             # two passes of equal weights, of which the second only corrects the first, are the least squares line
-            status = np.where(g["status"] == "START", "LINE", np.where(g["status"] == "LINE", UNFINISHED, np.where(d0**2 + d1**2 < tolerance, OK, UNFINISHED)))
-            out = g[names].assign(n=g["n"], b0_ols=np.where(first, old0 + d0, g["b0_ols"]), b1_ols=np.where(first, old1 + d1, g["b1_ols"]), b0=old0 + d0, b1=old1 + d1, sigma2=s2, status=status, iterations=(g["iterations"] + ~first).astype(np.int32))
-            yield out.assign(s=g["s"], sx=g["sx"], sxx=g["sxx"], sy=g["sr"] + g["b0"] * g["s"] + g["b1"] * g["sx"], sxy=g["sxr"] + g["b0"] * g["sx"] + g["b1"] * g["sxx"], si=g["si"])
+            status = np.where(
+                g["status"] == "START", "LINE",
+                np.where(g["status"] == "LINE", UNFINISHED, np.where(d0**2 + d1**2 < tolerance, OK, UNFINISHED))
+            )
+            out = g[names].assign(
+                n=g["n"], b0_ols=np.where(first, old0 + d0, g["b0_ols"]), b1_ols=np.where(first, old1 + d1, g["b1_ols"]), b0=old0 + d0,
+                b1=old1 + d1, sigma2=s2, status=status, iterations=(g["iterations"] + ~first).astype(np.int32)
+            )
+            yield out.assign(
+                s=g["s"], sx=g["sx"], sxx=g["sxx"], sy=g["sr"] + g["b0"] * g["s"] + g["b1"] * g["sx"],
+                sxy=g["sxr"] + g["b0"] * g["sx"] + g["b1"] * g["sxx"], si=g["si"]
+            )
 
     done, n_open = [], state.count()
     for _ in range(max_iterations + 2):
@@ -246,12 +276,19 @@ def fit_by_sums(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float
         j = bounded_join(rows, state, same_keys(rows, state, names), n_open)
         r = F.col("__y") - F.col("b0") - F.col("b1") * F.col("__x")
         base = F.when((F.col("sigma2") > 0) & (F.col("sigma2") < math.inf), F.col("sigma2")).otherwise(floor)
-        w = F.lit(1.0) if alpha == 0 else F.when(F.col("status").isin("START", "LINE"), 1.0).otherwise(F.greatest(F.exp(-0.5 * alpha * r * r / base), F.lit(floor)))
+        w = F.lit(1.0) if alpha == 0 else F.when(F.col("status").isin("START", "LINE"), 1.0).otherwise(
+            F.greatest(F.exp(-0.5 * alpha * r * r / base), F.lit(floor))
+        )
         j = j.select(*[rows[n] for n in names], "__x", r.alias("__r"), w.alias("__w"))
         x_, r_, w_ = F.col("__x"), F.col("__r"), F.col("__w")
-        sums = j.groupBy(*names).agg(F.sum(w_).alias("s"), F.sum(w_ * x_).alias("sx"), F.sum(w_ * x_ * x_).alias("sxx"), F.sum(w_ * r_).alias("sr"), F.sum(w_ * x_ * r_).alias("sxr"), F.sum(w_ * r_ * r_).alias("srr"), F.sum(1 / w_).alias("si"))
+        sums = j.groupBy(*names).agg(
+            F.sum(w_).alias("s"), F.sum(w_ * x_).alias("sx"), F.sum(w_ * x_ * x_).alias("sxx"), F.sum(w_ * r_).alias("sr"),
+            F.sum(w_ * x_ * r_).alias("sxr"), F.sum(w_ * r_ * r_).alias("srr"), F.sum(1 / w_).alias("si")
+        )
         before = state.drop("s", "sx", "sxx", "sy", "sxy", "si")
-        both = before.join(sums, same_keys(before, sums, names)).select(*[before[c] for c in before.columns], "s", "sx", "sxx", "sr", "sxr", "srr", "si")
+        both = before.join(sums, same_keys(before, sums, names)).select(
+            *[before[c] for c in before.columns], "s", "sx", "sxx", "sr", "sxr", "srr", "si"
+        )
         found = materialize(both.mapInPandas(step, f"{key_schema}, {_STATE}"))
         done.append(found.where(F.col("status") == OK))
         state = found.where(F.col("status") != OK)
@@ -261,18 +298,31 @@ def fit_by_sums(df: DataFrame, keys: Sequence[str], x: str, y: str, alpha: float
         out = out.unionByName(f)
     f = F.col("si") / (F.col("n") * F.col("sigma2"))  # 1 / row variance = weight x f
     status = F.when(F.col("sigma2") == HUGE, FALLBACK).otherwise(F.col("status"))
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "b0_ols", "b1_ols", "b0", "b1", "sigma2", status.alias("status"), "iterations", (f * F.col("s")).alias("g00"), (f * F.col("sx")).alias("g01"), (f * F.col("sxx")).alias("g11"), (f * F.col("sy")).alias("m0"), (f * F.col("sxy")).alias("m1"))
+    return out.select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "b0_ols", "b1_ols", "b0", "b1", "sigma2", status.alias("status"),
+        "iterations", (f * F.col("s")).alias("g00"), (f * F.col("sx")).alias("g01"), (f * F.col("sxx")).alias("g11"),
+        (f * F.col("sy")).alias("m0"), (f * F.col("sxy")).alias("m1")
+    )
 
 
 def ols(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: Column | None = None) -> DataFrame:
     """Least squares line of each group from five sums: keys, n, b0, b1; null for constant x."""
     w = weight if weight is not None else F.lit(1.0)
-    s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("s"), F.sum(w * F.col(x)).alias("sx"), F.sum(w * F.col(y)).alias("sy"), F.sum(w * F.col(x) * F.col(x)).alias("sxx"), F.sum(w * F.col(x) * F.col(y)).alias("sxy"))
+    s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(w).alias("s"), F.sum(w * F.col(x)).alias("sx"), F.sum(w * F.col(y)).alias("sy"),
+        F.sum(w * F.col(x) * F.col(x)).alias("sxx"), F.sum(w * F.col(x) * F.col(y)).alias("sxy")
+    )
     det = F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx")
-    return s.select(*keys, "n", F.try_divide(F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy"), det).alias("b0"), F.try_divide(F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy"), det).alias("b1"))
+    return s.select(
+        *keys, "n", F.try_divide(F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy"), det).alias("b0"),
+        F.try_divide(F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy"), det).alias("b1")
+    )
 
 
-def alpha_errors(df: DataFrame, keys: Sequence[str], x: str, y: str, order: str, alphas: Sequence[float], folds: int = 5, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
+def alpha_errors(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, order: str, alphas: Sequence[float], folds: int = 5,
+    max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE, kernel_rows: int = KERNEL_ROWS
+) -> DataFrame:
     """For each entity and alpha the sum over the folds of |fit(fold) - fit(rest)|: keys, alpha, error.
 
     Row i (by ``order``) belongs to fold i mod ``folds``. All alphas, folds and sides of an entity are fitted where its rows
@@ -283,7 +333,9 @@ def alpha_errors(df: DataFrame, keys: Sequence[str], x: str, y: str, order: str,
     for a in alphas:
         validate(a, max_iterations, tolerance)
     keys = list(keys)
-    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.col(order).alias("__o")).where("__x is not null and __y is not null")
+    rows = df.select(
+        *keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.col(order).alias("__o")
+    ).where("__x is not null and __y is not null")
 
     def run(seg: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         xs, ys = seg["__x"].to_numpy(), seg["__y"].to_numpy()
@@ -311,23 +363,33 @@ def alpha_errors(df: DataFrame, keys: Sequence[str], x: str, y: str, order: str,
         return pd.concat(out, ignore_index=True)
 
     small, big, n_big = split_large(rows, keys, kernel_rows)
-    out = small.repartition(*keys).sortWithinPartitions(*keys, "__o").mapInPandas(by_segments(keys, run), f"{_key_schema(df, keys)}, alpha double, error double")
+    out = small.repartition(*keys).sortWithinPartitions(*keys, "__o").mapInPandas(
+        by_segments(keys, run), f"{_key_schema(df, keys)}, alpha double, error double"
+    )
     if n_big:
         hot = bounded_join(rows, big, same_keys(rows, big, keys), n_big, "left_semi")
         out = out.unionByName(_large_alpha_errors(hot, keys, alphas, folds, max_iterations, tolerance))
     return out
 
 
-def _large_alpha_errors(rows: DataFrame, keys: list[str], alphas: Sequence[float], folds: int, max_iterations: int, tolerance: float) -> DataFrame:
+def _large_alpha_errors(
+    rows: DataFrame, keys: list[str], alphas: Sequence[float], folds: int, max_iterations: int, tolerance: float
+) -> DataFrame:
     """alpha_errors() by sums: each row once for every fold, on the side of the fold or of the rest."""
     own = F.pmod(F.col("__no") - 1, F.lit(folds))
-    sides = numbered(rows, keys, ["__o"], "__no").select(*keys, "__x", "__y", own.alias("__own"), F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("__fold"))
+    sides = numbered(rows, keys, ["__o"], "__no").select(
+        *keys, "__x", "__y", own.alias("__own"), F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("__fold")
+    )
     sides = materialize(sides.select(*keys, "__x", "__y", "__fold", (F.col("__own") == F.col("__fold")).alias("__in")))
     out = None
     for a in alphas:
         f = fit_by_sums(sides, [*keys, "__fold", "__in"], "__x", "__y", a, max_iterations, tolerance)
         side = lambda c, inside: F.coalesce(F.max(F.when(F.col("__in") == inside, F.col(c))), F.lit(0.0))
-        gap = f.groupBy(*keys, "__fold").agg(F.sqrt(F.pow(side("b0", True) - side("b0", False), F.lit(2.0)) + F.pow(side("b1", True) - side("b1", False), F.lit(2.0))).alias("__gap"))
+        gap = f.groupBy(*keys, "__fold").agg(
+            F.sqrt(
+                F.pow(side("b0", True) - side("b0", False), F.lit(2.0)) + F.pow(side("b1", True) - side("b1", False), F.lit(2.0))
+            ).alias("__gap")
+        )
         one = gap.groupBy(*keys).agg(F.sum("__gap").alias("error")).select(*keys, F.lit(float(a)).alias("alpha"), "error")
         out = one if out is None else out.unionAll(one)
     return out
@@ -344,7 +406,9 @@ def alpha_bias(df: DataFrame, keys: Sequence[str], x: str, y: str, alphas: Seque
     out = None
     for a in alphas:
         f = fit_local(df, keys, x, y, a).where(F.col("n") > 1)
-        one = f.agg(F.avg(F.abs(F.col("b0") - F.col("b0_ols"))).alias("bias_b0"), F.avg(F.abs(F.col("b1") - F.col("b1_ols"))).alias("bias_b1")).select(F.lit(float(a)).alias("alpha"), "bias_b0", "bias_b1")
+        one = f.agg(
+            F.avg(F.abs(F.col("b0") - F.col("b0_ols"))).alias("bias_b0"), F.avg(F.abs(F.col("b1") - F.col("b1_ols"))).alias("bias_b1")
+        ).select(F.lit(float(a)).alias("alpha"), "bias_b0", "bias_b1")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -356,7 +420,10 @@ def group_alpha_bias(members: DataFrame, group: Sequence[str], member: str, alph
     out = None
     for a in alphas:
         g = group_rows(fit_groups(members, group, member, a), group)
-        one = g.agg(F.avg(F.abs(F.col("b0_mdpde") - F.col("b0_mean"))).alias("bias_b0"), F.avg(F.abs(F.col("b1_mdpde") - F.col("b1_mean"))).alias("bias_b1")).select(F.lit(float(a)).alias("alpha"), "bias_b0", "bias_b1")
+        one = g.agg(
+            F.avg(F.abs(F.col("b0_mdpde") - F.col("b0_mean"))).alias("bias_b0"),
+            F.avg(F.abs(F.col("b1_mdpde") - F.col("b1_mean"))).alias("bias_b1")
+        ).select(F.lit(float(a)).alias("alpha"), "bias_b0", "bias_b1")
         out = one if out is None else out.unionAll(one)
     return out
 

@@ -38,7 +38,9 @@ def first_chains(atoms: DataFrame, chain_map: DataFrame, keys: Sequence[str] = (
         return atoms
     if not keys and chain_map.isEmpty():
         return atoms
-    heads = chain_map.groupBy(*keys, "entity_id").agg(F.min_by("chain_id", "chain_ordinal").alias("chain_id")).select(*keys, "chain_id").distinct()
+    heads = chain_map.groupBy(*keys, "entity_id").agg(
+        F.min_by("chain_id", "chain_ordinal").alias("chain_id")
+    ).select(*keys, "chain_id").distinct()
     kept = atoms.join(heads, [*keys, "chain_id"], "left_semi")
     return kept if not keys else kept.unionByName(atoms.join(chain_map.select(*keys).distinct(), list(keys), "left_anti"))
 
@@ -53,7 +55,9 @@ def bonds_of_chains(bonds: DataFrame, atoms: DataFrame, chain_map: DataFrame, ke
 
 def bounding_box(points: DataFrame, keys: Sequence[str], axes: Sequence[str], margin: float) -> DataFrame:
     """Range of each axis widened by ``margin``: keys, low_a, high_a."""
-    return points.groupBy(*keys).agg(*[x for a in axes for x in ((F.min(a) - margin).alias(f"low_{a}"), (F.max(a) + margin).alias(f"high_{a}"))])
+    return points.groupBy(*keys).agg(
+        *[x for a in axes for x in ((F.min(a) - margin).alias(f"low_{a}"), (F.max(a) + margin).alias(f"high_{a}"))]
+    )
 
 
 def in_box(rows: DataFrame, box: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:

@@ -43,7 +43,10 @@ def _square(axes: Sequence[str]) -> Column:
     return total
 
 
-def range_join(left: DataFrame, right: DataFrame, axes: Sequence[str], radius: float, keys: Sequence[str] = (), condition: Column | None = None, right_rows: int | None = None) -> DataFrame:
+def range_join(
+    left: DataFrame, right: DataFrame, axes: Sequence[str], radius: float, keys: Sequence[str] = (), condition: Column | None = None,
+    right_rows: int | None = None
+) -> DataFrame:
     """Pairs within ``radius`` (included) and equal keys, as columns l and r (structs) and distance.
 
     Cells have an edge of CELL_RADII radii. Left points go to the cells that their box touches (at most two an axis), right
@@ -60,7 +63,10 @@ def range_join(left: DataFrame, right: DataFrame, axes: Sequence[str], radius: f
     for a in axes:
         ok = ok & F.col(a).isNotNull()
     a = left.where(ok).select(F.struct(*left.columns).alias("l"), *ks, F.explode(_cells(axes, edge, radius)).alias("__c"))
-    b = right.where(ok).select(F.struct(*right.columns).alias("r"), *ks, F.struct(*[F.floor(F.col(x) / F.lit(edge)).cast("long").alias(f"c{i}") for i, x in enumerate(axes)]).alias("__c"))
+    b = right.where(ok).select(
+        F.struct(*right.columns).alias("r"), *ks,
+        F.struct(*[F.floor(F.col(x) / F.lit(edge)).cast("long").alias(f"c{i}") for i, x in enumerate(axes)]).alias("__c")
+    )
     cells = [f"c{i}" for i in range(len(axes))]
     a = a.select("l", *names, *[F.col(f"__c.{c}").alias(f"__{c}") for c in cells])
     b = b.select("r", *names, *[F.col(f"__c.{c}").alias(f"__{c}") for c in cells])
@@ -80,7 +86,9 @@ def neighbour_counts(points: DataFrame, point_id: str, axes: Sequence[str], radi
     return points.select(point_id).join(n, point_id, "left").select(point_id, F.coalesce("n", F.lit(0)).cast("long").alias("n_neighbours"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, axes: Sequence[str], k: int, cell: float, max_rings: int = 3) -> DataFrame:
+def nearest(
+    queries: DataFrame, points: DataFrame, query_id: str, point_id: str, axes: Sequence[str], k: int, cell: float, max_rings: int = 3
+) -> DataFrame:
     """The k nearest points of each query, ascending, ties by point id: query_id, point_id, distance, rank. Exact.
 
     Cells are hashed; the first round looks one cell around each query and is final for those whose k-th distance is within
@@ -108,7 +116,9 @@ def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str,
         found = _descend(q, p, axes, k, cell)
         rest = found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
         done = rest if done is None else done.unionAll(rest)
-    return done.select(F.col("q").alias(query_id), F.col("p").alias(point_id + "_near" if point_id == query_id else point_id), "distance", "rank")
+    return done.select(
+        F.col("q").alias(query_id), F.col("p").alias(point_id + "_near" if point_id == query_id else point_id), "distance", "rank"
+    )
 
 
 def _descend(q: DataFrame, p: DataFrame, axes: Sequence[str], k: int, leaf: float) -> DataFrame:
@@ -144,10 +154,14 @@ def _descend(q: DataFrame, p: DataFrame, axes: Sequence[str], k: int, leaf: floa
         before = F.coalesce(F.sum("n").over(W.partitionBy("q").orderBy("high", *cells).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         limit = F.min(F.when(F.col("before") + F.col("n") >= k, F.col("high"))).over(W.partitionBy("q"))
         # a hair of slack for the rounding of the bounds
-        good = bounds.withColumn("before", before).withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("low") <= F.col("limit") * (1 + 1e-9)))
+        good = bounds.withColumn("before", before).withColumn("limit", limit).where(
+            F.col("limit").isNull() | (F.col("low") <= F.col("limit") * (1 + 1e-9))
+        )
         good = materialize(good.select("q", *axes, *cells))
         if level:
-            below = levels[level - 1].select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(cells)], *[F.floor(F.col(c) / 2).cast("long").alias(c) for c in cells], "n")
+            below = levels[level - 1].select(
+                *[F.col(c).alias(f"d{i}") for i, c in enumerate(cells)], *[F.floor(F.col(c) / 2).cast("long").alias(c) for c in cells], "n"
+            )
             kept = good.join(below, cells).select("q", *axes, *[F.col(f"d{i}").alias(c) for i, c in enumerate(cells)], "n")
     a = good.select(F.struct("q", *axes).alias("l"), *cells)
     b = points.select(F.struct("p", *axes).alias("r"), *cells)
@@ -163,11 +177,18 @@ def weighted_centroids(pairs: DataFrame, group: str, axes: Sequence[str], value:
     """Mean position of each group weighted by value^power; values that aren't positive weigh nothing, and a group without
     weight keeps the position in its columns ``at``."""
     w = F.when(F.col(value) > 0, F.pow(F.col(value), F.lit(float(power)))).otherwise(0.0)
-    s = pairs.withColumn("__w", w).groupBy(group).agg(F.sum("__w").alias("__w"), *[F.sum(F.col("__w") * F.col(a)).alias(f"__s{i}") for i, a in enumerate(axes)], *[F.first(c).alias(f"__p{i}") for i, c in enumerate(at)])
-    return s.select(group, *[F.when(F.col("__w") > 0, F.col(f"__s{i}") / F.col("__w")).otherwise(F.col(f"__p{i}")).alias(a) for i, a in enumerate(axes)])
-
-
-def mean_shift(start: DataFrame, voxels: DataFrame, point_id: str, axes: Sequence[str], value: str, radius: float, power: float = 1.0, rounds: int = 15) -> DataFrame:
+    s = pairs.withColumn("__w", w).groupBy(group).agg(
+        F.sum("__w").alias("__w"), *[F.sum(F.col("__w") * F.col(a)).alias(f"__s{i}") for i, a in enumerate(axes)],
+        *[F.first(c).alias(f"__p{i}") for i, c in enumerate(at)]
+    )
+    return s.select(
+        group, *[F.when(F.col("__w") > 0, F.col(f"__s{i}") / F.col("__w")).otherwise(F.col(f"__p{i}")).alias(a) for i, a in enumerate(axes)]
+    )
+
+
+def mean_shift(
+    start: DataFrame, voxels: DataFrame, point_id: str, axes: Sequence[str], value: str, radius: float, power: float = 1.0, rounds: int = 15
+) -> DataFrame:
     """Every start point moved ``rounds`` times to the weighted centroid of the fixed voxels within ``radius``.
 
     The voxels never move; each round is a cell join and a combined sum, and its result is written so that the lineage
@@ -175,14 +196,20 @@ def mean_shift(start: DataFrame, voxels: DataFrame, point_id: str, axes: Sequenc
     """
     at = start.select(point_id, *axes)
     for _ in range(rounds):
-        j = range_join(at, voxels.select(*axes, value), axes, radius).select(F.col(f"l.{point_id}").alias(point_id), *[F.col(f"r.{a}").alias(a) for a in axes], F.col(f"r.{value}").alias(value), *[F.col(f"l.{a}").alias(f"__at{i}") for i, a in enumerate(axes)])
+        j = range_join(at, voxels.select(*axes, value), axes, radius).select(
+            F.col(f"l.{point_id}").alias(point_id), *[F.col(f"r.{a}").alias(a) for a in axes], F.col(f"r.{value}").alias(value),
+            *[F.col(f"l.{a}").alias(f"__at{i}") for i, a in enumerate(axes)]
+        )
         moved = weighted_centroids(j, point_id, axes, value, power, [f"__at{i}" for i in range(len(axes))])
         m = moved.select(F.col(point_id), *[F.col(a).alias(f"__m{i}") for i, a in enumerate(axes)])
         at = materialize(at.join(m, point_id, "left").select(point_id, *[F.coalesce(f"__m{i}", a).alias(a) for i, a in enumerate(axes)]))
     return at
 
 
-def mean_shift_nearest(start: DataFrame, voxels: DataFrame, point_id: str, axes: Sequence[str], value: str, cell: float, k: int = 20, power: float = 1.0, rounds: int = 15) -> DataFrame:
+def mean_shift_nearest(
+    start: DataFrame, voxels: DataFrame, point_id: str, axes: Sequence[str], value: str, cell: float, k: int = 20, power: float = 1.0,
+    rounds: int = 15
+) -> DataFrame:
     """Every start point moved ``rounds`` times to the centroid, weighted by value^power, of its ``k`` nearest fixed voxels.
 
     ``voxels`` has ``point_id`` too, which decides ties; with fewer than k voxels all are taken. ``cell`` is the reach that the
@@ -202,14 +229,20 @@ def mean_shift_nearest(start: DataFrame, voxels: DataFrame, point_id: str, axes:
     for _ in range(rounds):
         near = nearest(at, fixed, point_id, "__near", axes, k, cell)
         j = near.select(point_id, "__near").join(v, "__near").join(at, point_id)
-        j = j.select(point_id, F.col("__value"), *[F.col(a).alias(f"__at{i}") for i, a in enumerate(axes)], *[F.col(n).alias(a) for a, n in zip(axes, names)])
+        j = j.select(
+            point_id, F.col("__value"), *[F.col(a).alias(f"__at{i}") for i, a in enumerate(axes)],
+            *[F.col(n).alias(a) for a, n in zip(axes, names)]
+        )
         moved = weighted_centroids(j, point_id, axes, "__value", power, [f"__at{i}" for i in range(len(axes))])
         m = moved.select(point_id, *[F.col(a).alias(f"__m{i}") for i, a in enumerate(axes)])
         at = materialize(at.join(m, point_id, "left").select(point_id, *[F.coalesce(f"__m{i}", a).alias(a) for i, a in enumerate(axes)]))
     return at
 
 
-def edge_geometry(bonds: DataFrame, atoms: DataFrame, keys: Sequence[str], axes: Sequence[str], serial: str = "serial_id", ends: tuple[str, str] = ("atom_serial_id_1", "atom_serial_id_2")) -> DataFrame:
+def edge_geometry(
+    bonds: DataFrame, atoms: DataFrame, keys: Sequence[str], axes: Sequence[str], serial: str = "serial_id",
+    ends: tuple[str, str] = ("atom_serial_id_1", "atom_serial_id_2")
+) -> DataFrame:
     """Bonds with both atoms: mid_a, vec_a, unit_a for each axis and length; the unit vector is 0 for length 0."""
     one = atoms.select(*keys, F.col(serial).alias(ends[0]), *[F.col(a).alias(f"__1{a}") for a in axes])
     two = atoms.select(*keys, F.col(serial).alias(ends[1]), *[F.col(a).alias(f"__2{a}") for a in axes])
@@ -222,7 +255,10 @@ def edge_geometry(bonds: DataFrame, atoms: DataFrame, keys: Sequence[str], axes:
     out = [F.col(c) for c in bonds.columns] + [F.col("length")]
     for a in axes:
         v = F.col(f"__2{a}") - F.col(f"__1{a}")
-        out += [((F.col(f"__1{a}") + F.col(f"__2{a}")) / 2).alias(f"mid_{a}"), v.alias(f"vec_{a}"), F.when(F.col("length") > 0, v / F.col("length")).otherwise(0.0).alias(f"unit_{a}")]
+        out += [
+            ((F.col(f"__1{a}") + F.col(f"__2{a}")) / 2).alias(f"mid_{a}"), v.alias(f"vec_{a}"),
+            F.when(F.col("length") > 0, v / F.col("length")).otherwise(0.0).alias(f"unit_{a}")
+        ]
     return j.select(*out)
 
 
@@ -230,4 +266,6 @@ def adjacency(bonds: DataFrame, keys: Sequence[str], ends: tuple[str, str] = ("a
     """One row for each end of each bond: keys, serial_id, other_id; a bond between the same atom gives one."""
     a, b = ends
     one = bonds.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return one.select(*keys, F.col(a).alias("serial_id"), F.col(b).alias("other_id")).unionAll(one.where(F.col(a) != F.col(b)).select(*keys, F.col(b), F.col(a)))
+    return one.select(*keys, F.col(a).alias("serial_id"), F.col(b).alias("other_id")).unionAll(
+        one.where(F.col(a) != F.col(b)).select(*keys, F.col(b), F.col(a))
+    )

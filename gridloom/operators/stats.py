@@ -70,7 +70,9 @@ def normalize_by_sd(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
     return j.withColumn(value, F.when(F.col("__sd") == 0, F.col(value)).otherwise(F.col(value) / F.col("__sd"))).drop("__sd")
 
 
-def binned_medians(df: DataFrame, keys: Sequence[str], distance: str, value: str, low: float = 0.0, high: float = 1.5, bins: int = 15) -> DataFrame:
+def binned_medians(
+    df: DataFrame, keys: Sequence[str], distance: str, value: str, low: float = 0.0, high: float = 1.5, bins: int = 15
+) -> DataFrame:
     """Median of ``value`` in each of ``bins`` distance bins for every key: keys, bin INT, x, y DOUBLE, empty bins 0.
 
     A bin's index ignores ``low`` while its centre uses it (they agree at low = 0); values outside all bins are left out. Runs
@@ -78,9 +80,13 @@ def binned_medians(df: DataFrame, keys: Sequence[str], distance: str, value: str
     """
     step = (high - low) / bins
     b = F.floor(F.col(distance) / F.lit(step)).cast("int")
-    got = percentiles(df.select(*keys, b.alias("bin"), F.col(value)).where(F.col("bin").between(0, bins - 1)), [*keys, "bin"], value, {"y": 0.5})
+    got = percentiles(
+        df.select(*keys, b.alias("bin"), F.col(value)).where(F.col("bin").between(0, bins - 1)), [*keys, "bin"], value, {"y": 0.5}
+    )
     grid = df.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(got, [*keys, "bin"], "left").select(*keys, "bin", (F.lit(low) + (F.col("bin") + 0.5) * step).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    return grid.join(got, [*keys, "bin"], "left").select(
+        *keys, "bin", (F.lit(low) + (F.col("bin") + 0.5) * step).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y")
+    )
 
 
 def near_centre_mean(d: Column, v: Column, radius: float = 0.05) -> Column:
@@ -94,13 +100,20 @@ def moments(d: Column, v: Column, reach: float = 1.0) -> tuple[Column, Column]:
     return m0, F.sqrt(F.try_divide(F.avg(F.when(ok, v * d * d)), m0) / 3)
 
 
-def q_score(df: DataFrame, keys: Sequence[str], distance: str, value: str, amplitude: Column | float = 0.05, width: Column | float = 0.6, offset: float = -0.005) -> DataFrame:
+def q_score(
+    df: DataFrame, keys: Sequence[str], distance: str, value: str, amplitude: Column | float = 0.05, width: Column | float = 0.6,
+    offset: float = -0.005
+) -> DataFrame:
     """Correlation of the values with a reference Gaussian profile, from six sums; 0 where either is constant."""
     as_col = lambda c: c if isinstance(c, Column) else F.lit(float(c))
     d, v = F.col(distance).cast("double"), F.col(value).cast("double")
     ref = as_col(amplitude) * F.exp(-0.5 * F.pow(d / as_col(width), F.lit(2.0))) + offset
-    s = df.select(*keys, v.alias("v"), ref.alias("f")).where("v is not null and f is not null").groupBy(*keys).agg(F.covar_pop("v", "f").alias("c"), F.var_pop("v").alias("a"), F.var_pop("f").alias("b"))
-    return s.select(*keys, F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("c") / (F.sqrt("a") * F.sqrt("b"))).otherwise(0.0).alias("q_score"))
+    s = df.select(*keys, v.alias("v"), ref.alias("f")).where("v is not null and f is not null").groupBy(*keys).agg(
+        F.covar_pop("v", "f").alias("c"), F.var_pop("v").alias("a"), F.var_pop("f").alias("b")
+    )
+    return s.select(
+        *keys, F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("c") / (F.sqrt("a") * F.sqrt("b"))).otherwise(0.0).alias("q_score")
+    )
 
 
 def linear_fit(x: Column, y: Column) -> tuple[Column, Column, Column]:
@@ -114,12 +127,16 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, low: float, high:
     return df.where((F.col(value) >= low) & (F.col(value) < high)).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram_2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range: tuple[float, float], bins: tuple[int, int]) -> DataFrame:
+def histogram_2d(
+    df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range: tuple[float, float], bins: tuple[int, int]
+) -> DataFrame:
     def b(c: str, r: tuple[float, float], n: int) -> Column:
         return F.floor((F.col(c) - r[0]) / F.lit((r[1] - r[0]) / n)).cast("int")
 
     inside = (F.col(x) >= x_range[0]) & (F.col(x) < x_range[1]) & (F.col(y) >= y_range[0]) & (F.col(y) < y_range[1])
-    return df.where(inside).groupBy(b(x, x_range, bins[0]).alias("bin_x"), b(y, y_range, bins[1]).alias("bin_y")).agg(F.count(F.lit(1)).alias("n"))
+    return df.where(inside).groupBy(
+        b(x, x_range, bins[0]).alias("bin_x"), b(y, y_range, bins[1]).alias("bin_y")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def spatial_summary(df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:

@@ -59,7 +59,9 @@ def group_means(beta: np.ndarray, alphas: np.ndarray) -> np.ndarray:
             break
         b, a, m = beta[open_], alphas[open_], mu[open_]
         r = b - m[:, None]
-        d = (r[..., 0] ** 2 * s[:, 1, 1, None] - 2 * r[..., 0] * r[..., 1] * s[:, 0, 1, None] + r[..., 1] ** 2 * s[:, 0, 0, None]) / det[:, None]
+        d = (
+            r[..., 0] ** 2 * s[:, 1, 1, None] - 2 * r[..., 0] * r[..., 1] * s[:, 0, 1, None] + r[..., 1] ** 2 * s[:, 0, 0, None]
+        ) / det[:, None]
         w = np.maximum(np.exp(-0.5 * a[:, None] * d), MEMBER_FLOOR / n)
         new = (b * w[..., None]).sum(1) / w.sum(1)[:, None]
         r = b - new[:, None]
@@ -90,7 +92,10 @@ def _jobs(scenarios: DataFrame, replicas: int) -> DataFrame:
     return jobs.repartition(math.ceil(max(1, scenarios.count()) * replicas / TASK_REPLICAS))
 
 
-def profile_residuals(spark: SparkSession, scenarios: DataFrame, replicas: int, points: int, seed: int = 0, amplitude: float = 1.0, width: float = 0.5, fit_range: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+def profile_residuals(
+    spark: SparkSession, scenarios: DataFrame, replicas: int, points: int, seed: int = 0, amplitude: float = 1.0, width: float = 0.5,
+    fit_range: tuple[float, float] = (0.0, 1.0)
+) -> DataFrame:
     """Normalized residuals of amplitude and width for each scenario and replica.
 
     ``scenarios``: scenario INT, alpha, noise, outlier_share DOUBLE. A replica is a Gaussian profile at ``points`` distances in
@@ -115,7 +120,9 @@ def profile_residuals(spark: SparkSession, scenarios: DataFrame, replicas: int,
                 f = fit_segments(x, y, np.array([0]), r.alpha)
                 out = []
                 t = fit_segments(x, y, np.array([0]), trained_line_alpha(x, y))
-                for method, c0, c1 in (("ols", f["b0_ols"][0], f["b1_ols"][0]), ("robust", f["b0"][0], f["b1"][0]), ("trained", t["b0"][0], t["b1"][0])):
+                for method, c0, c1 in (
+                    ("ols", f["b0_ols"][0], f["b1_ols"][0]), ("robust", f["b0"][0], f["b1"][0]), ("trained", t["b0"][0], t["b1"][0])
+                ):
                     a, w = (math.exp(c0) * (2 * math.pi / c1) ** 1.5, c1**-0.5) if c1 > 0 else (0.0, 0.0)
                     out.append((r.scenario, r.replica, method, (a - amplitude) / amplitude, (w - width) / width))
                 yield pd.DataFrame(out, columns=["scenario", "replica", "method", "amplitude_residual", "width_residual"])
@@ -123,10 +130,15 @@ def profile_residuals(spark: SparkSession, scenarios: DataFrame, replicas: int,
     for r in scenarios.select("alpha").distinct().collect():
         validate(r["alpha"])
     jobs = _jobs(scenarios, replicas)
-    return jobs.select("scenario", "alpha", "noise", "outlier_share", "replica").mapInPandas(run, "scenario int, replica int, method string, amplitude_residual double, width_residual double")
+    return jobs.select("scenario", "alpha", "noise", "outlier_share", "replica").mapInPandas(
+        run, "scenario int, replica int, method string, amplitude_residual double, width_residual double"
+    )
 
 
-def member_residuals(spark: SparkSession, scenarios: DataFrame, replicas: int, members: int, seed: int = 0, mean: tuple[float, float] = (1.0, 4.0), spread: tuple[float, float] = (0.1, 0.3)) -> DataFrame:
+def member_residuals(
+    spark: SparkSession, scenarios: DataFrame, replicas: int, members: int, seed: int = 0, mean: tuple[float, float] = (1.0, 4.0),
+    spread: tuple[float, float] = (0.1, 0.3)
+) -> DataFrame:
     """Residuals of a group's mean line when a share of its members are outliers: scenario, replica, method (mean, robust, trained),
     b0_residual, b1_residual. ``scenarios``: scenario, alpha, outlier_share, outlier_shift."""
 
@@ -139,16 +151,27 @@ def member_residuals(spark: SparkSession, scenarios: DataFrame, replicas: int, m
                 beta[bad] += r.outlier_shift
                 robust = group_mean(beta, r.alpha)[0]
                 trained = group_mean(beta, trained_group_alpha(beta, g))[0]
-                yield pd.DataFrame([(r.scenario, r.replica, m, (v[0] - mean[0]) / mean[0], (v[1] - mean[1]) / mean[1]) for m, v in (("mean", beta.mean(0)), ("robust", robust), ("trained", trained))], columns=["scenario", "replica", "method", "b0_residual", "b1_residual"])
+                yield pd.DataFrame(
+                    [
+                        (r.scenario, r.replica, m, (v[0] - mean[0]) / mean[0], (v[1] - mean[1]) / mean[1]) for m,
+                        v in (("mean", beta.mean(0)), ("robust", robust), ("trained", trained))
+                    ],
+                    columns=["scenario", "replica", "method", "b0_residual", "b1_residual"]
+                )
 
     jobs = _jobs(scenarios, replicas)
-    return jobs.select("scenario", "alpha", "outlier_share", "outlier_shift", "replica").mapInPandas(run, "scenario int, replica int, method string, b0_residual double, b1_residual double")
+    return jobs.select("scenario", "alpha", "outlier_share", "outlier_shift", "replica").mapInPandas(
+        run, "scenario int, replica int, method string, b0_residual double, b1_residual double"
+    )
 
 
 def summarize(residuals: DataFrame) -> DataFrame:
     """Mean and sample deviation of each residual by scenario and method."""
     cols = [c for c in residuals.columns if c.endswith("_residual")]
-    return residuals.groupBy("scenario", "method").agg(F.count(F.lit(1)).alias("n"), *[x for c in cols for x in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_sd"))])
+    return residuals.groupBy("scenario", "method").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[x for c in cols for x in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_sd"))]
+    )
 
 
 def scenario_table(spark: SparkSession, name: str) -> DataFrame:
@@ -163,7 +186,9 @@ def scenario_table(spark: SparkSession, name: str) -> DataFrame:
     elif name in ("member_outlier", "alpha_member"):
         alphas, shares = ((0.2,), few) if name == "member_outlier" else ((0.2, 0.5), many)
         rows = [(a, o, shift) for a in alphas for shift in (1.0, 3.0) for o in shares]
-        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "scenario int, alpha double, outlier_share double, outlier_shift double")
+        return spark.createDataFrame(
+            [(i, *r) for i, r in enumerate(rows)], "scenario int, alpha double, outlier_share double, outlier_shift double"
+        )
     else:
         raise ValueError(f"no such study: {name}")
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "scenario int, alpha double, noise double, outlier_share double")

@@ -42,7 +42,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_stats(spark: SparkSession, d: str) -> DataFrame:
     """Counts, means and extremes for each component id and each element."""
     r = lambda c: F.round(c, 6).alias(c)
-    return _states(spark, d).select("column_name", "key_value", "n_rows", *[x for v in ("occupancy", "temperature") for x in (f"{v}_n", f"{v}_nan", r(f"{v}_mean"), f"{v}_min", f"{v}_max")])
+    return _states(spark, d).select(
+        "column_name", "key_value", "n_rows",
+        *[x for v in ("occupancy", "temperature") for x in (f"{v}_n", f"{v}_nan", r(f"{v}_mean"), f"{v}_min", f"{v}_max")]
+    )
 
 
 EMD_FORM = r"EMD-[0-9]{4,6}|X-RAY DIFF"
@@ -51,7 +54,10 @@ EMD_FORM = r"EMD-[0-9]{4,6}|X-RAY DIFF"
 def _object_rules(spark: SparkSession, d: str) -> list[profile.ColumnRule]:
     # method_code is a fixed table of eight rows
     methods = tuple(sorted(r[0] for r in table(spark, d, "method_code").where("resolution_method is not null").distinct().collect()))
-    return [profile.ColumnRule("map_resolution", low=0.5, high=50.0, mean_change=0.75), profile.ColumnRule("emd_id", pattern=EMD_FORM), profile.ColumnRule("resolution_method", domain=methods, share_change=0.25)]
+    return [
+        profile.ColumnRule("map_resolution", low=0.5, high=50.0, mean_change=0.75), profile.ColumnRule("emd_id", pattern=EMD_FORM),
+        profile.ColumnRule("resolution_method", domain=methods, share_change=0.25)
+    ]
 
 
 ATOM_RULES = [profile.ColumnRule("occupancy", low=0.0, high=1.0, mean_change=0.10)]
@@ -73,8 +79,10 @@ def _codes(name: str, pattern: str | None = None) -> profile.ColumnRule:
 OBJECT_MORE = [_codes("key_tag"), _spans("atom_size", 250, 500, 1000, 2000, 4000, 8000, 16000, 32000), _codes("pdb_id", PDB_FORM)]
 ATOM_MORE = [
     *[_codes(c) for c in ("key_tag", "component_id", "atom_id", "chain_id", "indicator", "element", "structure", "is_special_atom", "component_key", "atom_key")],
-    _spans("serial_id", 1, 100, 200, 400, 800, 1600, 3200, 6400, 12800, 25600), _spans("sequence_id", 0, 1, 25, 50, 75, 100, 150, 200, 400, 800),
-    _spans("temperature", 0, 0.01, 10, 20, 30, 40, 50, 60, 80, 100, 150, 200, 500, 1000), *[_spans(f"position_{a}", *range(0, 401, 50)) for a in "xyz"],
+    _spans("serial_id", 1, 100, 200, 400, 800, 1600, 3200, 6400, 12800, 25600),
+    _spans("sequence_id", 0, 1, 25, 50, 75, 100, 150, 200, 400, 800),
+    _spans("temperature", 0, 0.01, 10, 20, 30, 40, 50, 60, 80, 100, 150, 200, 500, 1000),
+    *[_spans(f"position_{a}", *range(0, 401, 50)) for a in "xyz"],
 ]
 
 
@@ -82,16 +90,22 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     work = [("model_object", [*_object_rules(spark, d), *OBJECT_MORE]), ("model_atom", [*ATOM_RULES, *ATOM_MORE])]
     with ThreadPoolExecutor(len(work)) as pool:  # the small jobs of one table run beside those of the other
         rows = [r for found in pool.map(lambda w: profile.load_changes(table(spark, d, w[0]), *w), work) for r in found]
-    return spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in profile.CHANGE_SCHEMA.split(", ")) for r in rows], profile.CHANGE_SCHEMA)
+    return spark.createDataFrame(
+        [tuple(r[c.split(" ")[0]] for c in profile.CHANGE_SCHEMA.split(", ")) for r in rows], profile.CHANGE_SCHEMA
+    )
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Broken values, and loads in which a column is unlike the first load."""
     rules = _object_rules(spark, d)
     named = [r.name for r in rules + ATOM_RULES]
-    value = profile.violations(table(spark, d, "model_object"), "model_object", rules).unionAll(profile.violations(table(spark, d, "model_atom"), "model_atom", ATOM_RULES))
+    value = profile.violations(table(spark, d, "model_object"), "model_object", rules).unionAll(
+        profile.violations(table(spark, d, "model_atom"), "model_atom", ATOM_RULES)
+    )
     shift = _changes(spark, d).where(F.col("shifted") & F.col("column_name").isin(named))
-    return value.select("table_name", "column_name", F.lit("value").alias("kind"), F.col("row_id").alias("ref_id")).unionAll(shift.select("table_name", "column_name", F.lit("shift"), "load"))
+    return value.select(
+        "table_name", "column_name", F.lit("value").alias("kind"), F.col("row_id").alias("ref_id")
+    ).unionAll(shift.select("table_name", "column_name", F.lit("shift"), "load"))
 
 
 def p4_load_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -99,16 +113,31 @@ def p4_load_changes(spark: SparkSession, d: str) -> DataFrame:
     return _changes(spark, d)
 
 
+def p4_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Differences of null shares, means and method shares of every later load from the first, as the comparison found them."""
+    r = lambda c: F.round(c, 9).alias(c)
+    methods = F.when(F.col("column_name") == "resolution_method", F.round("share_gap", 9)).alias("share_gap")
+    return _changes(spark, d).select("table_name", "column_name", F.col("load").alias("load_id"), "n", r("null_gap"), r("mean_gap"), methods)
+
+
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     """Null, distinct and broken counts and value ranges of every column of both tables."""
-    return profile.column_profile(table(spark, d, "model_object"), "model_object", [*_object_rules(spark, d), *OBJECT_MORE]).unionAll(profile.column_profile(table(spark, d, "model_atom"), "model_atom", [*ATOM_RULES, *ATOM_MORE]))
+    return profile.column_profile(table(spark, d, "model_object"), "model_object", [*_object_rules(spark, d), *OBJECT_MORE]).unionAll(
+        profile.column_profile(table(spark, d, "model_atom"), "model_atom", [*ATOM_RULES, *ATOM_MORE])
+    )
 
 
 REFERENCES = [
     references.Reference("model_object", "key_tag", ("key_tag",), "object_catalog", ("key_tag",), "deleted_at"),
-    references.Reference("object_catalog", "key_tag", ("key_tag",), "model_object", ("key_tag",), None, "object_type = 'model'", only_missing=True),
-    references.Reference("model_atom", "component_key", ("key_tag", "component_key"), "model_component", ("key_tag", "component_key"), "deleted_at"),
-    references.Reference("model_component_atom", "component_key", ("key_tag", "component_key"), "model_component", ("key_tag", "component_key"), "deleted_at"),
+    references.Reference(
+        "object_catalog", "key_tag", ("key_tag",), "model_object", ("key_tag",), None, "object_type = 'model'", only_missing=True
+    ),
+    references.Reference(
+        "model_atom", "component_key", ("key_tag", "component_key"), "model_component", ("key_tag", "component_key"), "deleted_at"
+    ),
+    references.Reference(
+        "model_component_atom", "component_key", ("key_tag", "component_key"), "model_component", ("key_tag", "component_key"), "deleted_at"
+    ),
     references.Reference("model_bond", "atom_serial_id_1", ("key_tag", "atom_serial_id_1"), "model_atom", ("key_tag", "serial_id")),
     references.Reference("model_bond", "atom_serial_id_2", ("key_tag", "atom_serial_id_2"), "model_atom", ("key_tag", "serial_id")),
 ]
@@ -129,4 +158,8 @@ def p5_by_month(spark: SparkSession, d: str) -> DataFrame:
     return references.orphans_by_month(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_atoms, p3_found, p3_stats, p4_found, p4_load_changes, p4_profile, p5_found, p5_by_month)}
+QUERIES = {
+    f.__name__: f for f in (
+        p1_found, p1_rejects, p1_atoms, p3_found, p3_stats, p4_found, p4_load_changes, p4_gaps, p4_profile, p5_found, p5_by_month
+    )
+}

@@ -29,7 +29,8 @@ with rec as (
   select r.*, l.column_name_list, coalesce(raw_text, '') as body, regexp_replace(coalesce(raw_text, ''), '\\r$', '') as txt
   from raw_record r left join raw_loop l on r.file_name = l.file_name and r.loop_no = l.loop_no
 ), cut as (
-  select *, list_transform(regexp_extract_all(body, '''([^'']|''+[^\\s''])*''+(\\s|$)|"([^"]|"+[^\\s"])*"+(\\s|$)|[^\\s]+'), lambda x: rtrim(x, {_TRIM})) as parts from rec
+  select *, list_transform(regexp_extract_all(body, '''([^'']|''+[^\\s''])*''+(\\s|$)|"([^"]|"+[^\\s"])*"+(\\s|$)|[^\\s]+'), lambda x: rtrim(x, {_TRIM})) as parts
+from rec
 ), tok as (
   select *, len(list_filter(parts, lambda x: x[1] in ('''', '"') and (len(x) < 2 or x[-1] <> x[1]))) > 0 as is_open,
     list_transform(parts, lambda x: case when x[1] in ('''', '"') then x[2:-2] else x end) as toks from cut
@@ -69,9 +70,16 @@ def _atom_row() -> str:
     coordinates = [f"{number(pick([f'Cartn_{c}'], p))} as position_{c}" for c, p in (("x", (31, 38)), ("y", (39, 46)), ("z", (47, 54)))]
     symbol = pick(["type_symbol"], (77, 78))
     return ", ".join([
-        "record_id", "file_name", "source_format", "loop_no", "line_number", f"{pick(['group_PDB'], (1, 6))} as group_pdb", f"{number(pick(['id'], (7, 11)), 'bigint')} as serial_id", f"trim({pick(['label_atom_id', 'auth_atom_id'], (13, 16))}, {_TRIM}) as atom_id",
-        f"{pick(['label_alt_id'], (17, 17))} as indicator", f"{pick(['label_comp_id', 'auth_comp_id'], (18, 20))} as component_id", f"{pick(['label_asym_id', 'auth_asym_id'], (22, 22))} as chain_id", f"{pick(['label_seq_id', 'auth_seq_id'], (23, 26))} as sequence_id", *coordinates,
-        f"coalesce({number(pick(['occupancy'], (55, 60)))}, 1.0) as occupancy", f"coalesce({number(pick(['B_iso_or_equiv'], (61, 66)))}, 0.0) as temperature", f"nullif(nullif({symbol}, '.'), '?') as element_symbol", f"coalesce({number(pick(['pdbx_PDB_model_num'], None), 'bigint')}, 1) as model_number",
+        "record_id", "file_name", "source_format", "loop_no", "line_number", f"{pick(['group_PDB'], (1, 6))} as group_pdb",
+        f"{number(pick(['id'], (7, 11)), 'bigint')} as serial_id",
+        f"trim({pick(['label_atom_id', 'auth_atom_id'], (13, 16))}, {_TRIM}) as atom_id",
+        f"{pick(['label_alt_id'], (17, 17))} as indicator", f"{pick(['label_comp_id', 'auth_comp_id'], (18, 20))} as component_id",
+        f"{pick(['label_asym_id', 'auth_asym_id'], (22, 22))} as chain_id",
+        f"{pick(['label_seq_id', 'auth_seq_id'], (23, 26))} as sequence_id", *coordinates,
+        f"coalesce({number(pick(['occupancy'], (55, 60)))}, 1.0) as occupancy",
+        f"coalesce({number(pick(['B_iso_or_equiv'], (61, 66)))}, 0.0) as temperature",
+        f"nullif(nullif({symbol}, '.'), '?') as element_symbol",
+        f"coalesce({number(pick(['pdbx_PDB_model_num'], None), 'bigint')}, 1) as model_number",
     ])
 
 
@@ -85,7 +93,10 @@ _TABLE = {"map_resolution": "model_object", "emd_id": "model_object", "resolutio
 
 
 def _p4() -> str:
-    out = [f"select '{_TABLE[c]}' as table_name, '{c}' as column_name, 'value' as kind, row_id as ref_id from {_TABLE[c]} where {c} is not null and not ({v})" for c, v in _VALID.items()]
+    out = [
+        f"select '{_TABLE[c]}' as table_name, '{c}' as column_name, 'value' as kind, row_id as ref_id from {_TABLE[c]} where {c} is not null and not ({v})" for c,
+        v in _VALID.items()
+    ]
     for c, v in _VALID.items():
         t = _TABLE[c]
         gap = {"map_resolution": 0.75, "occupancy": 0.10}.get(c)
@@ -94,7 +105,8 @@ def _p4() -> str:
         or_share = ""
         if c == "resolution_method":
             or_share = f""" or (
-              select sum(abs(coalesce(y.s, 0) - coalesce(x.s, 0))) / 2 from (select {c} as k, count(*) / sum(count(*)) over () as s from {t} where load_id = 1 and {v} group by 1) x
+              select sum(abs(coalesce(y.s, 0) - coalesce(x.s, 0))) / 2 from (select {c} as k, count(*) / sum(count(*)) over () as s from {t}
+where load_id = 1 and {v} group by 1) x
               full join (select {c} as k, count(*) / sum(count(*)) over () as s from {t} where load_id = b.load_id and {v} group by 1) y on x.k = y.k) > 0.25"""
         out.append(
             f"""select '{t}', '{c}', 'shift', b.load_id::bigint from
@@ -105,6 +117,27 @@ def _p4() -> str:
     return " union all ".join(f"({x})" for x in out)
 
 
+def _gaps() -> str:
+    out = []
+    for t, columns in _COLUMNS.items():
+        for c in (x.rstrip("*@") for x in columns.split()):
+            if c in ("row_id", "load_id", "loaded_at"):
+                continue
+            mean = f"avg({c}) filter ({_VALID[c]})" if c in ("map_resolution", "occupancy") else "null::double"
+            share = "null::double"
+            if c == "resolution_method":
+                of = f"select {c} as k, count(*) / sum(count(*)) over () as s from {t} where load_id = "
+                share = f"""(select sum(abs(coalesce(y.s, 0) - coalesce(x.s, 0))) / 2 from ({of} 1 and {_VALID[c]} group by 1) x
+                full join ({of} b.load_id and {_VALID[c]} group by 1) y on x.k = y.k)"""
+            load = f"select load_id, count(*) as n, avg(({c} is null)::int) as nulls, {mean} as m from {t} group by 1"
+            out.append(
+                f"""select '{t}' as table_name, '{c}' as column_name, b.load_id::bigint as load_id, b.n, round(b.nulls - a.nulls, 9) as null_gap,
+                round(b.m - a.m, 9) as mean_gap, round({share}, 9) as share_gap from ({load}) b, ({load}) a
+                where a.load_id = 1 and b.load_id > 1 and a.n >= 20 and b.n >= 20"""
+            )
+    return " union all ".join(f"({x})" for x in out)
+
+
 _COLUMNS = {
     "model_object": "row_id key_tag* atom_size pdb_id* emd_id* map_resolution resolution_method* load_id loaded_at@",
     "model_atom": "row_id key_tag* serial_id sequence_id component_id* atom_id* chain_id* indicator* occupancy temperature element structure is_special_atom position_x position_y position_z component_key atom_key load_id loaded_at@",
@@ -121,12 +154,15 @@ def _profile() -> str:
             broken = f"count(*) filter ({c} is not null and not ({_VALID[c]}))" if _TABLE.get(c) == t else "0"
             out.append(
                 f"""select '{t}' as table_name, '{c}' as column_name, count(*) as n_rows, count(*) filter ({c} is null) as n_null, count(distinct {c}) as n_distinct, min({number}) as min_number, max({number}) as max_number,
-                min({text}) as min_text, max({text}) as max_text, {broken}::bigint as n_broken, coalesce((select max(k) from (select count(*) as k from {t} where {c} is not null group by {c})), 0) as top_count from {t}"""
+                min({text}) as min_text, max({text}) as max_text, {broken}::bigint as n_broken, coalesce((select max(k) from (select count(*) as k
+from {t} where {c} is not null group by {c})), 0) as top_count from {t}"""
             )
     return " union all ".join(f"({x})" for x in out)
 
 
-def _orphans(child: str, column: str, keys: list[str], parent: str, parent_keys: list[str], deleted: bool, where: str = "true", strict: bool = False) -> str:
+def _orphans(
+    child: str, column: str, keys: list[str], parent: str, parent_keys: list[str], deleted: bool, where: str = "true", strict: bool = False
+) -> str:
     on = " and ".join(f"p.{b} = c.{a}" for a, b in zip(keys, parent_keys))
     gone = "p.deleted_at is not null and p.deleted_at <= c.loaded_at" if deleted else "false"
     here = " and ".join(f"c.{a} is not null" for a in keys)
@@ -145,7 +181,9 @@ P5 = "with found as (select * from (" + " union all ".join([
     _orphans("model_bond", "atom_serial_id_2", ["key_tag", "atom_serial_id_2"], "model_atom", ["key_tag", "serial_id"], False),
 ]) + ") where kind is not null)"
 
-_KEYS = " union all ".join(f"select '{c}' as column_name, {c}::varchar as key_value, occupancy, temperature from model_atom" for c in ("component_id", "element"))
+_KEYS = " union all ".join(
+    f"select '{c}' as column_name, {c}::varchar as key_value, occupancy, temperature from model_atom" for c in ("component_id", "element")
+)
 
 
 def _stat(v: str) -> str:
@@ -160,6 +198,7 @@ SQL = {
     "p3_found": f"select column_name, key_value from ({_KEYS}) where key_value is not null group by all having count(*) * 100 >= 8 * (select count(*) from model_atom)",
     "p3_stats": f"select column_name, key_value, count(*) as n_rows, {_stat('occupancy')}, {_stat('temperature')} from ({_KEYS}) group by all",
     "p4_found": _p4(),
+    "p4_gaps": _gaps(),
     "p4_profile": _profile(),
     "p5_found": P5 + " select child_table, child_column, row_id, kind from found",
     "p5_by_month": P5 + " select child_table, child_column, kind, strftime(loaded_at, '%Y-%m') as month, count(*) as n_orphans from found group by all",

@@ -81,7 +81,9 @@ class _MapReader(DataSourceReader):
         step = 1 << 20
         for at in range(0, len(v), step):
             part = v[at : at + step]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slab.first + at, slab.first + at + len(part), dtype=np.int64)), pa.array(part)], names=["gid", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(slab.first + at, slab.first + at + len(part), dtype=np.int64)), pa.array(part)], names=["gid", "value"]
+            )
 
 
 class MapSource(DataSource):
@@ -115,12 +117,17 @@ def write_map(voxel: DataFrame, grid: Grid, path: str, value: str = "value") ->
     s = voxel.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("m"), F.stddev_pop(value).alias("sd")).first()
     mrc = path.lower().endswith(".mrc")
     starts = (0, 0, 0) if mrc else tuple(round(o / s_) for o, s_ in zip(grid.origin, grid.spacing))
-    words = [*grid.size, 2, *starts, *grid.size, *[n * d for n, d in zip(grid.size, grid.spacing)], 90.0, 90.0, 90.0, 1, 2, 3, s["lo"] or 0.0, s["hi"] or 0.0, s["m"] or 0.0, 1, 0, *[0] * 25, *(grid.origin if mrc else (0.0, 0.0, 0.0))]
+    words = [
+        *grid.size, 2, *starts, *grid.size, *[n * d for n, d in zip(grid.size, grid.spacing)], 90.0, 90.0, 90.0, 1, 2, 3, s["lo"] or 0.0,
+        s["hi"] or 0.0, s["m"] or 0.0, 1, 0, *[0] * 25, *(grid.origin if mrc else (0.0, 0.0, 0.0))
+    ]
     head = struct.pack("<10i6f3i3f2i25i3f", *words) + b"MAP " + bytes([0x44, 0x44, 0, 0]) + struct.pack("<fi", s["sd"] or 0.0, 0)
     with open(path.removeprefix("file://"), "wb") as f:
         f.write(head.ljust(HEADER, b"\0"))
         f.truncate(HEADER + 4 * grid.n)
-    v = voxel.select(F.col("gid").cast("long").alias("gid"), F.col(value).cast("float").alias("v")).where(F.col("gid").between(0, grid.n - 1) & F.col("v").isNotNull())
+    v = voxel.select(
+        F.col("gid").cast("long").alias("gid"), F.col(value).cast("float").alias("v")
+    ).where(F.col("gid").between(0, grid.n - 1) & F.col("v").isNotNull())
     v = v.groupBy("gid").agg(F.min("v").alias("v"))
     place, slab, total = path.removeprefix("file://"), SLAB_VALUES, grid.n
 

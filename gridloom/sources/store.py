@@ -11,9 +11,13 @@ from pyspark.sql.utils import AnalysisException
 VERSION = 2
 #: Primary keys after key_tag, and foreign keys (columns, parent, parent columns), by table.
 KEYS = {
-    "object_catalog": (), "map_list": (), "model_object": (), "model_chain_map": ("entity_id", "chain_ordinal"), "model_component": ("component_key",), "model_component_atom": ("component_key", "atom_key"), "model_component_bond": ("component_key", "bond_key"),
-    "model_atom": ("serial_id",), "model_bond": ("atom_serial_id_1", "atom_serial_id_2"), "model_atom_local_potential": ("serial_id",), "model_bond_local_potential": ("atom_serial_id_1", "atom_serial_id_2"), "model_atom_posterior": ("class_key", "serial_id"),
-    "model_bond_posterior": ("class_key", "atom_serial_id_1", "atom_serial_id_2"), "model_atom_group_potential": ("class_key", "group_key"), "model_bond_group_potential": ("class_key", "group_key"),
+    "object_catalog": (), "map_list": (), "model_object": (), "model_chain_map": ("entity_id", "chain_ordinal"),
+    "model_component": ("component_key",), "model_component_atom": ("component_key", "atom_key"),
+    "model_component_bond": ("component_key", "bond_key"),
+    "model_atom": ("serial_id",), "model_bond": ("atom_serial_id_1", "atom_serial_id_2"), "model_atom_local_potential": ("serial_id",),
+    "model_bond_local_potential": ("atom_serial_id_1", "atom_serial_id_2"), "model_atom_posterior": ("class_key", "serial_id"),
+    "model_bond_posterior": ("class_key", "atom_serial_id_1", "atom_serial_id_2"), "model_atom_group_potential": ("class_key", "group_key"),
+    "model_bond_group_potential": ("class_key", "group_key"),
 }
 ROOTS = {"model": "model_object", "map": "map_list"}
 
@@ -103,7 +107,11 @@ def violations(spark: SparkSession, got: Mapping[str, DataFrame]) -> DataFrame:
     catalog = got.get("object_catalog")
     for name, t in got.items():
         dup = t.groupBy("key_tag", *KEYS[name]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        out = out.unionByName(dup.groupBy("key_tag").agg(F.sum("n").alias("n")).select(F.lit(name).alias("table_name"), F.lit("primary_key").alias("rule"), "key_tag", "n"))
+        out = out.unionByName(
+            dup.groupBy("key_tag").agg(F.sum("n").alias("n")).select(
+                F.lit(name).alias("table_name"), F.lit("primary_key").alias("rule"), "key_tag", "n"
+            )
+        )
         if name != "object_catalog" and catalog is not None:
             lost = t.join(catalog.select("key_tag"), "key_tag", "left_anti").groupBy("key_tag").agg(F.count(F.lit(1)).alias("n"))
             out = out.unionByName(lost.select(F.lit(name).alias("table_name"), F.lit("no_catalog").alias("rule"), "key_tag", "n"))
@@ -111,11 +119,17 @@ def violations(spark: SparkSession, got: Mapping[str, DataFrame]) -> DataFrame:
         if catalog is not None:
             c = catalog.where(F.col("object_type") == kind)
             lost = c if root not in got else c.join(got[root].select("key_tag"), "key_tag", "left_anti")
-            out = out.unionByName(lost.groupBy("key_tag").agg(F.count(F.lit(1)).alias("n")).select(F.lit("object_catalog").alias("table_name"), F.lit("no_payload").alias("rule"), "key_tag", "n"))
+            out = out.unionByName(
+                lost.groupBy("key_tag").agg(F.count(F.lit(1)).alias("n")).select(
+                    F.lit("object_catalog").alias("table_name"), F.lit("no_payload").alias("rule"), "key_tag", "n"
+                )
+            )
     for child in ("model_bond", "model_atom_local_potential", "model_atom_posterior"):
         if child in got and "model_atom" in got:
             atoms = got["model_atom"].select("key_tag", "serial_id")
             for column in [c for c in KEYS[child] if "serial_id" in c]:
-                lost = got[child].join(atoms.withColumnRenamed("serial_id", column), ["key_tag", column], "left_anti").groupBy("key_tag").agg(F.count(F.lit(1)).alias("n"))
+                lost = got[child].join(
+                    atoms.withColumnRenamed("serial_id", column), ["key_tag", column], "left_anti"
+                ).groupBy("key_tag").agg(F.count(F.lit(1)).alias("n"))
                 out = out.unionByName(lost.select(F.lit(child).alias("table_name"), F.lit("no_parent").alias("rule"), "key_tag", "n"))
     return out

@@ -66,7 +66,9 @@ def test_lines_and_brands(spark):
 
 
 def test_folds(spark):
-    rows = grouped(f"select l_suppkey, l_quantity / 10, ln(l_extendedprice) from '{SMALL}/lineitem.parquet' order by l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice")
+    rows = grouped(
+        f"select l_suppkey, l_quantity / 10, ln(l_extendedprice) from '{SMALL}/lineitem.parquet' order by l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
+    )
     got = {(r.l_suppkey, r.alpha): r.error for r in fit_queries.fold_errors_converged(spark, SMALL).collect()}
     assert len(got) == 11 * len(rows)
     for k, v in rows.items():

@@ -14,7 +14,12 @@ def values(spark):
     rng = random.Random(5)
     rows = []
     for i in range(3000):
-        v = rng.choice([rng.gauss(40, 9), rng.random() * 1e-12, rng.expovariate(1) * 10 ** rng.randint(-3, 300), 20.0, -rng.random(), float("inf"), -float("inf"), float("nan"), None, 0.0, -0.0, 5e-324, 1.7e308, -1.7e308])
+        v = rng.choice(
+            [
+                rng.gauss(40, 9), rng.random() * 1e-12, rng.expovariate(1) * 10 ** rng.randint(-3, 300), 20.0, -rng.random(), float("inf"),
+                -float("inf"), float("nan"), None, 0.0, -0.0, 5e-324, 1.7e308, -1.7e308
+            ]
+        )
         rows.append((i, rng.choice(["a", "a", "a", "b", None]), v, rng.choice([1, 1, 2, None]), 1, "x"))
     return rows
 
@@ -31,7 +36,9 @@ def test_tree(spark):
         mine = [v for _, kk, v, *_ in rows if kk == k]
         r = by_key["k", k]
         ok = [v for v in mine if v is not None and not math.isnan(v)]
-        assert (r.n_rows, r.v_n, r.v_nan, r.v_min, r.v_max) == (len(mine), len(ok), sum(v is not None and math.isnan(v) for v in mine), min(ok), max(ok))
+        assert (r.n_rows, r.v_n, r.v_nan, r.v_min, r.v_max) == (
+            len(mine), len(ok), sum(v is not None and math.isnan(v) for v in mine), min(ok), max(ok)
+        )
 
 
 def test_heavy_keys(spark):

@@ -13,7 +13,12 @@ def frame(spark, rows):
 @pytest.mark.parametrize("share", [0.0, 0.9])
 def test_numbers_and_totals(spark, share):
     rng = random.Random(3)
-    rows = [(None if rng.random() < 0.1 else "hot" if rng.random() < share else rng.choice("ab"), rng.choice([None, 1.0, 2.0, rng.random()]), rng.choice([None, 1, 2]), i) for i in range(900)]
+    rows = [
+        (
+            None if rng.random() < 0.1 else "hot" if rng.random() < share else rng.choice("ab"), rng.choice([None, 1.0, 2.0, rng.random()]),
+            rng.choice([None, 1, 2]), i
+        ) for i in range(900)
+    ]
     df = frame(spark, rows).repartition(5)
     got = sorted(ordering.numbered(df, ["k"], ["v", "n"], "no").collect(), key=lambda r: r.n)
     by_key = {}
@@ -27,7 +32,11 @@ def test_numbers_and_totals(spark, share):
 @pytest.mark.parametrize("task_rows", [10**6, 10])
 def test_percentiles(spark, task_rows):
     rng = random.Random(4)
-    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), 7.0, 7.0, rng.gauss(0, 5), float("inf")]), 1, 1) for _ in range(700)] + [("empty", None, 1, 1), ("one", 3.0, 1, 1)]
+    rows = [
+        (
+            rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), 7.0, 7.0, rng.gauss(0, 5), float("inf")]), 1, 1
+        ) for _ in range(700)
+    ] + [("empty", None, 1, 1), ("one", 3.0, 1, 1)]
     levels = {"low": 0.01, "mid": 0.5, "high": 0.9, "none": 0.0, "top": 1.0}
     got = {r.k: r for r in ordering.percentiles(frame(spark, rows), ["k"], "v", levels, task_rows).collect()}
     assert set(got) == {"a", "b", None, "empty", "one"}

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import profile, references, skew
 
-RULES = [profile.ColumnRule("v", low=0.0, high=10.0, mean_change=0.5), profile.ColumnRule("s", domain=("a", "b", "c"), share_change=0.25), profile.ColumnRule("p", pattern="[a-z]{2}")]
+RULES = [
+    profile.ColumnRule("v", low=0.0, high=10.0, mean_change=0.5), profile.ColumnRule("s", domain=("a", "b", "c"), share_change=0.25),
+    profile.ColumnRule("p", pattern="[a-z]{2}")
+]
 
 
 def loads(spark, change=None, n=400):
@@ -21,7 +24,9 @@ def loads(spark, change=None, n=400):
             s = rng.choices("abc", (1, 6, 3) if other and change == "share" else (6, 3, 1))[0]
             p = None if other and change == "null" and rng.random() < 0.4 else rng.choice(["xy", "zz"])
             rows.append((len(rows), load, v, s, p))
-    rows += [(10_000, 1, float("nan"), "A", "xyz"), (10_001, 1, float("inf"), "", "é"), (10_002, 2, -0.5, None, ""), (10_003, 9, 1.0, "a", "xy")]
+    rows += [
+        (10_000, 1, float("nan"), "A", "xyz"), (10_001, 1, float("inf"), "", "é"), (10_002, 2, -0.5, None, ""), (10_003, 9, 1.0, "a", "xy")
+    ]
     return spark.createDataFrame(rows, "row_id long, load_id int, v double, s string, p string")
 
 
@@ -38,9 +43,13 @@ def test_shifts(spark, change, column):
 
 def test_large_loads_rule_columns_out(spark):
     got = profile.load_changes(loads(spark, "mean", 3000), "t", RULES, fit_rows=500)
-    assert [(r["column_name"], r["load"]) for r in got if r["candidate"]] == [("v", 3)] == [(r["column_name"], r["load"]) for r in got if r["shifted"]]
+    assert [
+        (r["column_name"], r["load"]) for r in got if r["candidate"]
+    ] == [("v", 3)] == [(r["column_name"], r["load"]) for r in got if r["shifted"]]
     by = {(r["column_name"], r["load"]): r for r in got}
-    assert abs(by["v", 3]["seen_mean"] - by["v", 3]["mean_gap"]) < 0.05 and by["v", 3]["distinguishable"] and abs(by["s", 2]["seen_share"]) < 0.05
+    assert abs(
+        by["v", 3]["seen_mean"] - by["v", 3]["mean_gap"]
+    ) < 0.05 and by["v", 3]["distinguishable"] and abs(by["s", 2]["seen_share"]) < 0.05
 
 
 def test_small_blocks_of_loads_agree(spark, monkeypatch):
@@ -51,27 +60,43 @@ def test_small_blocks_of_loads_agree(spark, monkeypatch):
 
 def test_discrimination():
     rng = np.random.default_rng(1)
-    for p, q in (((0.5, 0.3, 0.2), (0.5, 0.3, 0.2)), ((0.5, 0.3, 0.2), (0.2, 0.3, 0.5)), ((1, 0, 0), (0, 0, 1)), ((0.1, 0.9, 0), (0.3, 0.7, 0))):
+    for p, q in (
+        ((0.5, 0.3, 0.2), (0.5, 0.3, 0.2)), ((0.5, 0.3, 0.2), (0.2, 0.3, 0.5)), ((1, 0, 0), (0, 0, 1)), ((0.1, 0.9, 0), (0.3, 0.7, 0))
+    ):
         a, b = ([rng.multinomial(4000, w).astype(float) for _ in range(2)] for w in (p, q))
         assert abs(profile.discrimination(a, b) - np.abs(np.subtract(p, q)).sum() / 2) < 0.04
     none = [np.zeros(3)] * 2
     assert profile.discrimination(none, none) == 0.0 == profile.discrimination(none, [np.ones(3)] * 2)
 
 
-@pytest.mark.parametrize(("column", "change"), [("t", "F.when(F.rand(1) < 0.4, 999.99).otherwise(F.col('t'))"), ("c", "F.lit('zz')"), ("t", "F.lit(float('nan'))"), ("c", "F.when(F.rand(1) > 0.3, F.col('c'))")])
+@pytest.mark.parametrize(
+    ("column", "change"),
+    [
+        ("t", "F.when(F.rand(1) < 0.4, 999.99).otherwise(F.col('t'))"), ("c", "F.lit('zz')"), ("t", "F.lit(float('nan'))"),
+        ("c", "F.when(F.rand(1) > 0.3, F.col('c'))")
+    ]
+)
 def test_shifts_over_cuts_and_buckets(spark, column, change):
     rules = [profile.ColumnRule("t", cuts=(0, 20, 40, 60), share_change=0.25), profile.ColumnRule("c", buckets=16, share_change=0.25)]
-    df = spark.range(1200).select(F.col("id").alias("row_id"), (F.col("id") % 3 + 1).cast("int").alias("load_id"), (F.randn(3) * 10 + 40).alias("t"), F.concat(F.lit("k"), F.floor(F.rand(4) * 40).cast("string")).alias("c"))
+    df = spark.range(1200).select(
+        F.col("id").alias("row_id"), (F.col("id") % 3 + 1).cast("int").alias("load_id"), (F.randn(3) * 10 + 40).alias("t"),
+        F.concat(F.lit("k"), F.floor(F.rand(4) * 40).cast("string")).alias("c")
+    )
     got = profile.load_changes(df.withColumn(column, F.when(F.col("load_id") == 3, eval(change)).otherwise(F.col(column))), "t", rules)
     assert {(r["column_name"], r["load"]) for r in got if r["shifted"]} == {(column, 3)} and len(got) == 4
-    assert profile.load_changes(df.where("row_id < 90"), "t", rules) and not any(r["shifted"] for r in profile.load_changes(df.where("row_id < 90"), "t", rules))
+    assert profile.load_changes(df.where("row_id < 90"), "t", rules) and not any(
+        r["shifted"] for r in profile.load_changes(df.where("row_id < 90"), "t", rules)
+    )
 
 
 def test_all_columns_have_rules(spark, data):
     from gridloom.plans import record_queries
 
     keep = {"row_id", "load_id", "loaded_at"}
-    for name, rules in (("model_object", [*record_queries._object_rules(spark, data), *record_queries.OBJECT_MORE]), ("model_atom", [*record_queries.ATOM_RULES, *record_queries.ATOM_MORE])):
+    for name, rules in (
+        ("model_object", [*record_queries._object_rules(spark, data), *record_queries.OBJECT_MORE]),
+        ("model_atom", [*record_queries.ATOM_RULES, *record_queries.ATOM_MORE])
+    ):
         assert {r.name for r in rules} == set(spark.read.parquet(f"{data}/{name}.parquet").columns) - keep
         # only emd_id has no limit but that of its null share
         assert {r.name for r in rules if r.mean_change is None and r.share_change is None} <= {"emd_id"}
@@ -79,7 +104,13 @@ def test_all_columns_have_rules(spark, data):
 
 def test_mostly_null_columns_of_large_loads(spark):
     # every fifth value is there; of those of load 2 a share is 0, so that the means differ by 0.12 and hardly any pair tells
-    df = spark.range(0, 1_000_000).select(F.col("id").alias("row_id"), (F.col("id") % 2 + 1).cast("int").alias("load_id"), F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, F.when((F.col("id") % 2 == 1) & (F.pmod(F.hash("id"), F.lit(100)) < 12), 0.0).otherwise(1.0)).alias("v"))
+    df = spark.range(0, 1_000_000).select(
+        F.col("id").alias("row_id"), (F.col("id") % 2 + 1).cast("int").alias("load_id"),
+        F.when(
+            F.pmod(F.xxhash64("id"), F.lit(5)) == 0,
+            F.when((F.col("id") % 2 == 1) & (F.pmod(F.hash("id"), F.lit(100)) < 12), 0.0).otherwise(1.0)
+        ).alias("v")
+    )
     (got,) = profile.load_changes(df, "t", [profile.ColumnRule("v", low=0.0, high=1.0, mean_change=0.10)])
     assert abs(got["mean_gap"] + 0.12) < 0.01 and got["auc_only"] + 3 * got["auc_error"] < 0.525
     assert got["candidate"] and got["shifted"]
@@ -127,9 +158,15 @@ def test_orphans(spark, monkeypatch, least):
     kids = [(i, *key(), day()) for i in range(1500)]
     folks = [(*key(), day(), day() if rng.random() < 0.7 else None) for _ in range(14)]
     child = spark.createDataFrame(kids, "row_id long, key_tag string, ref int, loaded_at timestamp_ntz")
-    parent = spark.createDataFrame(folks, "key_tag string, id int, loaded_at timestamp_ntz, deleted_at timestamp_ntz").withColumn("row_id", F.lit(1))
+    parent = spark.createDataFrame(
+        folks, "key_tag string, id int, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
+    ).withColumn("row_id", F.lit(1))
     monkeypatch.setattr(references, "hot_buckets", lambda rows, b: skew.hot_buckets(rows, b, 1 / 64, least))
-    refs = [references.Reference("c", "ref", ("key_tag", "ref"), "p", ("key_tag", "id"), "deleted_at"), references.Reference("c", "strict", ("key_tag", "ref"), "p", ("key_tag", "id"), "deleted_at", only_missing=True), references.Reference("c", "first", ("key_tag",), "p", ("key_tag",))]
+    refs = [
+        references.Reference("c", "ref", ("key_tag", "ref"), "p", ("key_tag", "id"), "deleted_at"),
+        references.Reference("c", "strict", ("key_tag", "ref"), "p", ("key_tag", "id"), "deleted_at", only_missing=True),
+        references.Reference("c", "first", ("key_tag",), "p", ("key_tag",))
+    ]
     got = {}
     for r in references.find_orphans({"c": child, "p": parent}, refs).collect():
         got.setdefault(r.child_column, []).append((r.row_id, r.kind))

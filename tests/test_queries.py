@@ -6,7 +6,10 @@ import __spark_entry__ as entry
 from gridloom.plans import data_queries, estimate_queries, file_queries, fit_queries, record_queries, report_queries
 from oracle import compare
 
-CORE = {**record_queries.QUERIES, **data_queries.QUERIES, **fit_queries.QUERIES, **report_queries.QUERIES, **file_queries.QUERIES, **estimate_queries.QUERIES}
+CORE = {
+    **record_queries.QUERIES, **data_queries.QUERIES, **fit_queries.QUERIES, **report_queries.QUERIES, **file_queries.QUERIES,
+    **estimate_queries.QUERIES
+}
 
 
 @pytest.mark.parametrize("name", [n for n in CORE if n in entry.oracle_sql()])

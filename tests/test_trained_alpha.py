@@ -24,7 +24,11 @@ def test_trained_alphas():
     g, mixed = np.random.default_rng(1), []
     for _ in range(10):
         mixed.append(beta[0][g.permutation(30)])
-    errors = [sum(np.linalg.norm(group_model.group_mean(m[:15], a)[0] - group_model.group_mean(m[15:], a)[0]) for m in mixed) for a in tester.GROUP_ALPHAS]
+    errors = [
+        sum(
+            np.linalg.norm(group_model.group_mean(m[:15], a)[0] - group_model.group_mean(m[15:], a)[0]) for m in mixed
+        ) for a in tester.GROUP_ALPHAS
+    ]
     assert tester.trained_group_alpha(beta[0], np.random.default_rng(1)) == tester.GROUP_ALPHAS[int(np.argmin(errors))]
 
 
