@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -547,38 +547,57 @@ def _confirm(
 CHANGE_SCHEMA = "table_name string, column_name string, load long, n long, n_first long, auc_all double, auc_without double, auc_only double, auc_error double, distinguishable boolean, seen_null double, seen_mean double, seen_share double, candidate boolean, null_gap double, mean_gap double, share_gap double, shifted boolean"
 
 
+def _value_kind(t: T.DataType) -> str | None:
+    """The type that columns are counted in together; None for complex ones, which are left out."""
+    if isinstance(t, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)):
+        return None
+    if isinstance(t, T.IntegralType):
+        return "bigint"
+    return "double" if isinstance(t, (T.FloatType, T.DoubleType)) else t.simpleString()
+
+
 def column_profile(df: DataFrame, table: str, rules: Sequence[ColumnRule] = ()) -> DataFrame:
     """Null rate, exact distinct count, extremes and broken values of every column; complex columns are left out.
 
-    Each column is counted by value in its own narrow scan, combined before its shuffle, so that distinct counts are exact
-    and no task gets all values. Result: table_name, column_name STRING, n_rows, n_null, n_distinct (without null) LONG,
-    min_number, max_number DOUBLE (times in seconds since 1970; NaN is the greatest), min_text, max_text STRING (by bytes),
-    n_broken LONG (0 without a rule), top_count LONG (rows of the commonest value). NaN is one value. An empty table gives
-    a row of zeros a column.
+    The columns of one kind (whole numbers, numbers, texts, times) are unpivoted in one scan of these columns and counted by
+    column and value, combined before the shuffle, so that distinct counts are exact and no task gets all values of a column.
+    Result: table_name, column_name STRING, n_rows, n_null, n_distinct (without null) LONG, min_number, max_number DOUBLE
+    (times in seconds since 1970; NaN is the greatest), min_text, max_text STRING (by bytes), n_broken LONG (0 without a
+    rule), top_count LONG (rows of the commonest value). NaN is one value. An empty table gives a row of zeros a column.
     """
-    rule = {r.name: r for r in rules}
-    out = None
+    kinds: dict[str, list[str]] = {}
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)):
-            continue
-        c = F.col(f"`{f.name}`")
-        broken = rule[f.name].broken() if f.name in rule else F.lit(False)
-        by_value = df.select(c).groupBy(c).agg(F.count(F.lit(1)).alias("__n")).withColumn(
-            "__broken", F.when(broken, F.col("__n")).otherwise(0)
-        )
-        text = isinstance(f.dataType, T.StringType)
-        as_number = c.cast("timestamp").cast("double") if isinstance(
-            f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)
-        ) else c.cast("double")
-        number, words = (F.lit(None).cast("double"), c) if text else (as_number, F.lit(None).cast("string"))
-        one = by_value.agg(
-            F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("n_rows"),
-            F.coalesce(F.sum(F.when(c.isNull(), F.col("__n"))), F.lit(0)).cast("long").alias("n_null"), F.count(c).alias("n_distinct"),
+        if (kind := _value_kind(f.dataType)) is not None:
+            kinds.setdefault(kind, []).append(f.name)
+    out = None
+    for kind, names in kinds.items():
+        columns = df.select(*[F.col(f"`{n}`").cast(kind).alias(n) for n in names])
+        if len(names) > 1:
+            values = columns.unpivot([], [F.col(f"`{n}`") for n in names], "column_name", "value")
+        else:
+            values = columns.select(F.lit(names[0]).alias("column_name"), F.col(f"`{names[0]}`").alias("value"))
+        by_value = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        broken = F.lit(False)
+        for r in rules:
+            if r.name in names and r.limited():
+                broken = F.when(F.col("column_name") == r.name, replace(r, name="value").broken()).otherwise(broken)
+        v, none = F.col("value"), F.lit(None)
+        text, time = kind == "string", kind in ("timestamp", "timestamp_ntz", "date")
+        number = none.cast("double") if text else (v.cast("timestamp") if time else v).cast("double")
+        words = v if text else none.cast("string")
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        one = by_value.groupBy("column_name").agg(
+            F.sum("n").alias("n_rows"), F.sum(F.when(v.isNull(), F.col("n"))).alias("n_null"), F.count(v).alias("n_distinct"),
             F.min(number).alias("min_number"), F.max(number).alias("max_number"), F.min(words).alias("min_text"),
-            F.max(words).alias("max_text"),
-            F.coalesce(F.sum("__broken"), F.lit(0)).cast("long").alias("n_broken"),
-            F.coalesce(F.max(F.when(c.isNotNull(), F.col("__n"))), F.lit(0)).cast("long").alias("top_count"),
-        )
-        one = one.select(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), *one.columns)
+            F.max(words).alias("max_text"), F.sum(F.when(broken, F.col("n"))).alias("n_broken"),
+            F.max(F.when(v.isNotNull(), F.col("n"))).alias("top_count")
+        )
+        every = df.sparkSession.createDataFrame([(n,) for n in names], "column_name string")
+        one = every.join(one, "column_name", "left")
+        counts = ("n_rows", "n_null", "n_distinct")
+        one = one.select(
+            F.lit(table).alias("table_name"), "column_name", *[zero(F.col(c)).alias(c) for c in counts], "min_number", "max_number",
+            "min_text", "max_text", *[zero(F.col(c)).alias(c) for c in ("n_broken", "top_count")]
+        )
         out = one if out is None else out.unionAll(one)
     return out

@@ -176,3 +176,18 @@ def test_orphans(spark, monkeypatch, least):
     assert set(got["first"]) == slow_orphans([(i, k, 0, t) for i, k, _, t in kids], [(k, 0, a, None) for k, _, a, _ in folks])
     assert references.find_orphans({"c": child.limit(0), "p": parent}, refs).count() == 0
     assert references.find_orphans({"c": child, "p": parent.limit(0)}, refs).where("kind <> 'missing'").count() == 0
+
+
+def test_profile_of_all_kinds_and_clashing_names(spark):
+    rows = [(1, "a", 1.5, True, 7, "2024-01-01"), (1, None, float("nan"), None, 8, "2024-01-02"), (None, "", float("nan"), True, 8, None), (3, "a", -0.0, False, None, "2024-01-01")]
+    df = spark.createDataFrame(rows, "value int, column_name string, n double, flag boolean, big int, day string")
+    df = df.select(
+        "value", "column_name", "n", "flag", F.col("big").cast("decimal(20,2)").alias("big"), F.col("day").cast("date").alias("day"), F.array("value").alias("list"), F.lit(9).cast("long").alias("n_rows")
+    )
+    got = {r.column_name: r for r in profile.column_profile(df, "t", [profile.ColumnRule("value", low=0, high=2), profile.ColumnRule("column_name", pattern="a")]).collect()}
+    assert set(got) == set(df.columns) - {"list"} and all(r.n_rows == 4 for r in got.values())
+    assert [(got[c].n_null, got[c].n_distinct, got[c].top_count, got[c].n_broken) for c in ("value", "column_name", "n", "flag", "big", "day", "n_rows")] == [
+        (1, 2, 2, 1), (1, 2, 2, 1), (0, 3, 2, 0), (1, 2, 2, 0), (1, 2, 2, 0), (1, 2, 2, 0), (0, 1, 4, 0)
+    ]
+    assert (got["value"].min_number, got["value"].max_number, got["column_name"].min_text, got["big"].max_number, got["day"].max_number) == (1.0, 3.0, "", 8.0, 1704153600.0)
+    assert {r.n_distinct for r in profile.column_profile(df.limit(0), "t").collect()} == {0}
