@@ -302,8 +302,7 @@ def _models(
     picked = j.where(draw < F.col("__share") * F.lit(1 << 30)).drop("__load", "__share")
     tasks = max(1, -(-len(sizes) * fit_rows // 65_536))
     sample = materialize(_coded(picked, rules, load, row_id).repartition(tasks))
-    others = spark.createDataFrame([(int(k),) for k in later], "model long")
-    head = bounded_join(sample.where(F.col("load") == first), others, F.lit(True), len(later), row_bytes=8)
+    head = sample.where(F.col("load") == first).withColumn("model", F.explode(F.lit(np.array(later, np.int64))))
     pairs = sample.where(F.col("load") != first).withColumn("model", F.col("load")).unionByName(head)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gridloom.operators.skew import BROADCAST_BYTES, bounded_join
+from gridloom.operators.skew import BROADCAST_BYTES
 from gridloom.session import materialize
 
 #: Edge of a cell in radii. Larger cells mean fewer copies of the left points and more candidates a point.
@@ -139,8 +139,9 @@ def _descend(q: DataFrame, p: DataFrame, axes: Sequence[str], k: int, leaf: floa
     while len(levels) < MOST_LEVELS and levels[-1].count() > 1 << len(axes):
         up = levels[-1].select(*[F.floor(F.col(c) / 2).cast("long").alias(c) for c in cells], "n")
         levels.append(materialize(up.groupBy(*cells).agg(F.sum("n").alias("n"))))
-    top = levels[-1].count()
-    kept = bounded_join(q, levels[-1], F.lit(True), top, row_bytes=64)  # at most 2 ** axes cells unless the levels ended
+    # the highest level has at most 2 ** axes cells (some more if the levels ended), with which every query starts
+    top = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in (*cells, "n")]) for r in levels[-1].collect()])
+    kept = q.withColumn("__top", F.explode(top)).select(*q.columns, "__top.*")
     for level in range(len(levels) - 1, -1, -1):
         edge = leaf * 2.0**level
         low = high = F.lit(0.0)

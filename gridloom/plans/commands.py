@@ -316,8 +316,9 @@ def bond_pairs(model: dict, atoms: DataFrame) -> DataFrame:
     links = spark.createDataFrame([(None, a, b) for a, b in codes.LINKS], "component_id string, atom_1 string, atom_2 string")
     known = materialize(model["component_bond"].select("component_id", "atom_1", "atom_2")) if "component_bond" in model else None
     if known is None or known.isEmpty():
-        pairs = spark.createDataFrame([tuple(n.split("_")) for n in codes.BONDS], "atom_1 string, atom_2 string")
-        known = atoms.select("component_id").where("component_id is not null").distinct().crossJoin(F.broadcast(pairs))  # components x the catalogue
+        pairs = F.array(*[F.struct(*[F.lit(x).alias(f"atom_{k}") for k, x in enumerate(n.split("_"), 1)]) for n in codes.BONDS])
+        names = atoms.select("component_id").where("component_id is not null").distinct()
+        known = names.select("component_id", F.explode(pairs).alias("p")).select("component_id", "p.atom_1", "p.atom_2")
     rows = atoms.select(
         F.lit("").alias("key_tag"), F.lit(1).alias("model_number"), "serial_id", "chain_id", "sequence_id", "component_id", "atom_id", "x",
         "y", "z"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from gridloom.functions import keys, potential, strings
 from gridloom.operators import grid, lookup, ordering, reports, select, spatial, stats
@@ -51,7 +50,8 @@ def global_stats(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), _r(stats.mean(c), "mean"), _r(stats.sd(c), "sd"), stats.minimum(c).alias("low"),
         stats.maximum(c).alias("high")
     )
-    return one.crossJoin(ordering.percentiles(e, [], "value", {"m": 0.5}).select(_r(F.col("m"), "median")))  # one row each
+    median = ordering.percentiles(e, [], "value", {"m": 0.5}).first()["m"]
+    return one.withColumn("median", F.round(F.lit(median), 6))
 
 
 @query(
@@ -148,7 +148,7 @@ def model_extent(spark: SparkSession, d: str) -> DataFrame:
 def distinct_groups(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "model_atom").withColumn("serial_id", F.col("row_id"))
     one = a.agg(F.countDistinct(F.struct("element", "structure")).alias("n_groups"), F.countDistinct("component_key").alias("n_components"))
-    return one.crossJoin(reports.parameter_minimum(a, a, 6, "temperature").withColumnRenamed("minimum", "least"))  # one row each
+    return one.withColumn("least", F.lit(reports.parameter_minimum(a, a, 6, "temperature").first()["minimum"]).cast("double"))
 
 
 # selections
@@ -479,7 +479,7 @@ where s.id not in (select id from k)""")
 def dictionary_codes(spark: SparkSession, d: str) -> DataFrame:
     """Codes of component ids: known ones first, others from 30 in order of appearance."""
     known = table(spark, d, "model_component").where("is_standard_monomer = 1 and id is not null").select("id").distinct()
-    known = known.withColumn("code", F.row_number().over(W.orderBy("id")))
+    known = ordering.numbered(known, [], ["id"], "code")
     return keys.encode_ids(table(spark, d, "model_atom"), "component_id", "row_id", known, 30)
 
 
