@@ -321,7 +321,7 @@ def pdb_written_back(spark: SparkSession, d: str) -> DataFrame:
 def _map_back(spark: SparkSession, d: str, suffix: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("event_id").alias("gid"), "value")
     g = grid.Grid((100, 10, e.agg(F.max("gid")).first()[0] // 1000 + 1), (0.5, 1.0, 2.0), (-10.0, 0.0, 6.0))
-    path = scratch(spark) + suffix
+    path = f"{scratch(spark)}/events{suffix}"  # inside the folder, so that release() takes it along
     maps.write_map(e, g, path)
     back, h = formats.read_map(spark, path)
     return back.select(

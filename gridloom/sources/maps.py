@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -111,9 +112,9 @@ def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
 
 
 def write_map(voxel: DataFrame, grid: Grid, path: str, value: str = "value") -> None:
-    """One map file in a folder that all workers share. The driver writes the header (exact extremes, mean and deviation) and
-    sets the length; each task fills slabs of at most SLAB_VALUES values at their place in the file, so that a repeated task
-    writes the same bytes. Missing voxels are 0; of repeated ones the least value counts."""
+    """One map file in a folder that all workers share, made if it is missing. The driver writes the header (exact extremes,
+    mean and deviation) and sets the length; each task fills slabs of at most SLAB_VALUES values at their place in the file, so
+    that a repeated task writes the same bytes. Missing voxels are 0; of repeated ones the least value counts."""
     s = voxel.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("m"), F.stddev_pop(value).alias("sd")).first()
     mrc = path.lower().endswith(".mrc")
     starts = (0, 0, 0) if mrc else tuple(round(o / s_) for o, s_ in zip(grid.origin, grid.spacing))
@@ -122,14 +123,15 @@ def write_map(voxel: DataFrame, grid: Grid, path: str, value: str = "value") ->
         s["hi"] or 0.0, s["m"] or 0.0, 1, 0, *[0] * 25, *(grid.origin if mrc else (0.0, 0.0, 0.0))
     ]
     head = struct.pack("<10i6f3i3f2i25i3f", *words) + b"MAP " + bytes([0x44, 0x44, 0, 0]) + struct.pack("<fi", s["sd"] or 0.0, 0)
-    with open(path.removeprefix("file://"), "wb") as f:
+    place, slab, total = path.removeprefix("file://"), SLAB_VALUES, grid.n
+    Path(place).parent.mkdir(parents=True, exist_ok=True)
+    with open(place, "wb") as f:
         f.write(head.ljust(HEADER, b"\0"))
         f.truncate(HEADER + 4 * grid.n)
     v = voxel.select(
         F.col("gid").cast("long").alias("gid"), F.col(value).cast("float").alias("v")
     ).where(F.col("gid").between(0, grid.n - 1) & F.col("v").isNotNull())
     v = v.groupBy("gid").agg(F.min("v").alias("v"))
-    place, slab, total = path.removeprefix("file://"), SLAB_VALUES, grid.n
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
         first = key[0].as_py() * slab

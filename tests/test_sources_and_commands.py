@@ -3,9 +3,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import session
 from gridloom.functions import gauss, potential
 from gridloom.operators import grid, robust
-from gridloom.plans import commands
+from gridloom.plans import commands, file_queries
 from gridloom.sources import cif, exports, formats, maps, pdb
 from gridloom.sources.store import Store
 
@@ -135,6 +136,19 @@ def test_maps(spark, tmp_path, name, monkeypatch):
         maps.read_header(str(tmp_path / f"q{name}"))
 
 
+@pytest.mark.parametrize("name", ["map_written_back", "mrc_written_back"])
+def test_maps_are_the_first_that_a_new_shared_folder_holds(spark, tmp_path, name, monkeypatch):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(session, "checkpoint_dir", lambda s: f"file://{shared}")
+    monkeypatch.setattr(session, "_TABLES", [])
+    spark.createDataFrame([(2, 0.5), (1001, None), (1002, -3.0)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.gid: r.value for r in file_queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert len(got) == 2000 and {i: v for i, v in got.items() if v} == {2: 0.5, 1002: -3.0}
+    assert len(list(shared.rglob("*.m??"))) == 1
+    session.release()
+    assert not list(shared.rglob("*.m??"))
+
+
 def test_axis_permutation(spark):
     df = spark.range(24).select(F.col("id").alias("gid"), F.col("id").alias("raw"))
     got = {r.gid: r.raw for r in grid.reorder_axes(df, "gid", (2, 3, 4), (3, 1, 2)).collect()}
